@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .exact_dedup import SQL as _SQL7
-from .exact_dedup import op7_exact_dedup
+from . import decontamination, exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup,)}
+    return {
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_decontamination": decontamination.op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _SQL7}
+    return {"op7_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontamination.SQL}

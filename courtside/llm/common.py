@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         n = batch.num_rows
         if not n:
             continue
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), float))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), float))
         end, start, held = 0, 0, 0.0
         for end in range(n):
             if held and held + sizes[end] > most:
@@ -88,13 +89,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             held += sizes[end]
         yield batch.slice(start, n - start)
 
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash (xor, shift, multiply), in place where x owns its memory."""
-    with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(30))
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return x
