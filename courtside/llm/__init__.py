@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup
+from . import decontamination, exact_dedup, pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
