@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, pieces
+from . import decontamination, exact_dedup, lm_scoring, pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op10_decontamination": decontamination.op10_decontamination,
