@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, lm_scoring, pieces
+from . import decontamination, exact_dedup, lm_scoring, near_dedup, pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
