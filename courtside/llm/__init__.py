@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, lm_scoring, near_dedup, pieces
+from . import decontamination, exact_dedup, line_dedup, lm_scoring, near_dedup, pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_near_dedup": near_dedup.op9_near_dedup,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op6_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontamination.SQL}
