@@ -6,11 +6,13 @@ rounds every element goes into coordinate (round - t); a coordinate keeps the le
 2t rounds at the latest and a sketch costs about n + t log t steps instead of n * t. Coordinates agree with probability
 equal to the Jaccard similarity. 40 bands of 4 coordinates miss a pair at similarity 0.75 with probability 3e-7.
 
-Verification. Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest member,
-on full sets; found links are joined to components. Buckets that then still hold several components compare members with
-their bucket's largest one; in those that remain, members of different components are compared, each pair once. A pair
-within a component needs no test, so a group of near copies costs a few comparisons per member, and no link between
-components is lost. A centre that very many members are compared with is replicated over salts.
+Verification. Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest and
+largest member, on full sets; found links are joined to components. In buckets that then still hold several components,
+members of different components are compared, each pair once. A pair within a component needs no test, so a group of near
+copies costs a few comparisons per member, and no link between components is lost. A centre that very many members are
+compared with is replicated over salts. Before texts are fetched, two bits of each of the 160 coordinates are compared:
+by the sketch's concentration a pair at similarity 0.75 disagrees in 30 places, and one in ten million in more than 56;
+those are passed over.
 
 Defined cases: null, empty and blank texts have an empty set (n_shingles 0) and stand alone; a text of fewer than 5 words
 is one shingle; rows with the same id count as one document; rows with a null id are never linked and stay; empty tables
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, slices, small_batches, string_bytes, table, unsettle
@@ -32,6 +34,9 @@ from .words import NOT_SPACE, gram_hashes, mixed, whole, word_bounds, word_hashe
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 40, 4
 PER_SALT = 2000
+LONGS = 5  # of 64 bits, 32 coordinates each
+MISMATCHES = 56
+_BITS = [f"s{i}" for i in range(LONGS)]
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +89,22 @@ def _described(bands: int, rows: int):
             full = np.flatnonzero(n)
             keys = np.zeros((2, len(n)), np.int64)
             band = np.zeros((len(full), bands), np.uint64)
+            bits = np.zeros((LONGS, len(n)), np.int64)
             if len(full):
                 with np.errstate(over="ignore"):
                     for k, salt in enumerate((0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)):
                         keys[k, full] = np.add.reduceat(mixed(value ^ np.uint64(salt)), off[:-1][full]).view(np.int64)
-                    sketch = sketches(value, off, bands * rows).reshape(len(full), bands, rows)
+                    sketch = sketches(value, off, bands * rows)
+                    two = np.zeros((len(full), LONGS * 32), np.uint64)
+                    two[:, : min(bands * rows, LONGS * 32)] = (mixed(sketch) >> np.uint64(62))[:, : LONGS * 32]
+                    bits[:, full] = np.bitwise_or.reduce(two.reshape(-1, LONGS, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=2).T.view(np.int64)
+                    sketch = sketch.reshape(len(full), bands, rows)
                     for r in range(rows):
                         band = mixed(band * np.uint64(0xD6E8FEB86659FD93) + sketch[:, :, r])
                     band = mixed(band + np.arange(bands, dtype=np.uint64))
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), lists], names=["id", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), *map(pa.array, bits), lists], names=["id", "n", "k1", "k2", *_BITS, "bands"])
 
     return run
 
@@ -141,45 +151,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    described = settle(source.mapInArrow(_described(bands, rows), f"id {kind}, n long, k1 long, k2 long, bands array<long>"))
+    described = settle(source.mapInArrow(_described(bands, rows), f"id {kind}, n long, k1 long, k2 long, {', '.join(f'{b} long' for b in _BITS)}, bands array<long>"))
     classes = settle(described.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
 
-    buckets = described.where("n > 0").join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
+    buckets = described.where("n > 0").join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi").select("id", "n", *_BITS, F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    members = settle(buckets.join(shared, "bucket").select("bucket", "id", "n", "low", "high"))
+    members = settle(buckets.join(shared, "bucket").select("bucket", "id", "n", *_BITS, "low", "high"))
     texts = settle(source.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    sizes = members.select("id", "n").distinct()
-    close = f"{percent} * greatest(n, m) <= 100 * least(n, m)"
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs (c, x, n of x), each once, without those whose sizes alone rule a link out."""
-        return pairs.join(sizes.select(F.col("id").alias("c"), F.col("n").alias("m")), "c").where(close).select("c", "x").distinct()
-
-    links = verified(sized(members.where("id <> low").select(F.col("low").alias("c"), F.col("id").alias("x"), "n")), texts, percent)
+    own = members.select("id", "n", *_BITS).distinct()
+    sides = {x: [F.col(f"{x}.{c}") for c in ("n", *_BITS)] for x in ("a", "b")}
+
+    def may_link() -> Column:
+        """Whether sides a and b can be similar enough by their sizes and by their sketches' bits."""
+        (na, *sa), (nb, *sb) = sides["a"], sides["b"]
+        fits = percent * F.greatest(na, nb) <= 100 * F.least(na, nb)
+        apart = [F.bit_count((x.bitwiseXOR(y)).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(F.lit(0x5555555555555555))) for x, y in zip(sa, sb, strict=True)]
+        return fits & (sum(apart[1:], apart[0]) <= MISMATCHES)
+
+    stars = members.select("id", F.explode(F.array("low", "high")).alias("c"), "n", *_BITS).where("id <> c").distinct()
+    stars = stars.alias("a").join(own.withColumnRenamed("id", "c").alias("b"), F.col("a.c") == F.col("b.c")).where(may_link()).select(F.col("a.c").alias("c"), F.col("a.id").alias("x"))
+    links = verified(stars, texts, percent)
     roots = settle(components(links))
 
-    def open_buckets(roots: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with their component."""
-        at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        return at.join(several, "bucket", "left_semi")
-
-    left = settle(open_buckets(roots))
-    ends = left.select("bucket", "high", F.col("root").alias("top"), "id").where("id = high").drop("id")
-    pairs = left.join(ends, ["bucket", "high"]).where("root <> top").select(F.col("high").alias("c"), F.col("id").alias("x"), "n")
-    more = verified(sized(pairs), texts, percent)
-    roots2 = settle(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-
     # What remains: members of different components, each pair in the first bucket that it shares.
-    left = open_buckets(roots2).select("bucket", "id", "n", "root")
-    all_ = F.array_sort(F.collect_set("bucket"))
-    left = settle(left.join(left.groupBy("id").agg(all_.alias("all")), "id"))
+    at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    left = settle(at.join(several, "bucket", "left_semi").select("bucket", "id", "n", *_BITS, "root"))
+    left = left.join(left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("all")), "id")
     a, b = left.alias("a"), left.alias("b")
-    cross = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & F.expr(f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)") & (F.element_at(F.array_intersect("a.all", "b.all"), 1) == F.col("a.bucket")))
-    last = verified(cross.select(F.col("a.id").alias("c"), F.col("b.id").alias("x")), texts, percent)
-    roots3 = settle(components(roots2.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last)))
+    first = F.element_at(F.array_intersect("a.all", "b.all"), 1) == F.col("a.bucket")
+    cross = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & may_link() & first)
+    more = verified(cross.select(F.col("a.id").alias("c"), F.col("b.id").alias("x")), texts, percent)
+    roots = settle(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
-    final = classes.join(roots3.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
+    final = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
     out = described.select("id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
