@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, near_dedup, pieces, pii
+from . import decontamination, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, near_dedup, pieces, pii, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op2_language_id": language_id.op2_language_id,
+        "op3_url_filters": url_filters.op3_url_filters,
         "op4_pii_surrogates": pii.op4_pii_surrogates,
         "op5_html_extraction": html_extraction.op5_html_extraction,
         "op6_line_dedup": line_dedup.op6_line_dedup,

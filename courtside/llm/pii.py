@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -214,9 +215,15 @@ def detected(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _apart(spans: list[tuple]) -> list[tuple]:
-    """Without names that overlap an entity of another kind."""
-    others = [(a, b) for a, b, _, kind, _ in spans if kind != "name"]
-    return [x for x in spans if x[3] != "name" or not any(a < x[1] and x[0] < b for a, b in others)]
+    """Without names that overlap an entity of another kind; those don't overlap each other and are in order."""
+    others = [(x[0], x[1]) for x in spans if x[3] != "name"]
+    starts = [a for a, _ in others]
+
+    def free(start: int, stop: int) -> bool:
+        i = bisect_left(starts, stop)
+        return i == 0 or others[i - 1][1] <= start
+
+    return [x for x in spans if x[3] != "name" or free(x[0], x[1])]
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
