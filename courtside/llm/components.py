@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from .common import settle, unsettle
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).head())
-
-
 def _open(edges: DataFrame) -> bool:
     """Whether a node still has two smaller neighbours, or a neighbour that has a smaller one itself."""
     twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -22,8 +18,7 @@ def _open(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b) to (node, root) for each node that has a link and isn't its component's smallest one."""
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    was = _digest(edges)
-    while was[0] and _open(edges):
+    while _open(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -33,8 +28,5 @@ def components(links: DataFrame) -> DataFrame:
         new = settle(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         for done in (edges, large):
             unsettle(done)
-        edges, now = new, _digest(new)
-        if now == was:
-            break
-        was = now
+        edges = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -34,6 +34,7 @@ from .words import NOT_SPACE, gram_hashes, mixed, whole, word_bounds, word_hashe
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 40, 4
 PER_SALT = 2000
+SLICE = 512 << 10  # bytes of text that a worker holds as arrays at a time
 LONGS = 5  # of 64 bits, 32 coordinates each
 MISMATCHES = 56
 _BITS = [f"s{i}" for i in range(LONGS)]
@@ -83,7 +84,7 @@ def sketches(value: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
 
 def _described(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             value, off = shingle_sets(*string_bytes(batch.column("text")))
             n = np.diff(off)
             full = np.flatnonzero(n)
@@ -114,7 +115,7 @@ def _compared(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SLICE):
             value, off = shingle_sets(*string_bytes(batch.column("text")))
             found = []
             for i, (c, x, kind) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("c", "x", "kind")), strict=True)):

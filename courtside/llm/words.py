@@ -20,7 +20,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse, modulo 2**64; they grow to the longest slice seen."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         with np.errstate(over="ignore"):
             for i, base in enumerate((_BASE, _BASE_INVERSE)):
                 x = np.full(size, base, np.uint64)
