@@ -2,7 +2,7 @@
 
 What is removed. Lines without a word don't count in comparisons. A run is a stretch of consecutive lines with words; it
 is repeated if an equal run of at least `least` words starts earlier, in order of (id, place). Every line of such a later
-run is removed, and wordless lines inside it; the first occurrence stays. Within one document an occurrence that overlaps
+run is removed, and wordless lines inside its shortest windows (see below); the first occurrence stays. Within one document an occurrence that overlaps
 the first one is not a repetition.
 
 Method. For each line the window is the shortest run from it that has `least` words; the smallest line hash in it is its

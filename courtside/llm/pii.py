@@ -8,9 +8,10 @@ shape, so different entities get different surrogates, equal ones the same where
 digit holds; first names of a known gender are permuted among names of that gender; other names keep their last letter.
 
 Collision check. A surrogate must not be an entity of the corpus itself. The distinct entities are joined with their own
-surrogates; those that hit one are permuted again until they leave the set (cycle walking), which keeps the map
-one-to-one. An entity whose whole cycle is taken is replaced by its type in brackets. The few entities that needed more
-than one step travel to their documents by a join; if there are none, that join isn't made.
+surrogates; those that hit one are tried again with a key of the next step, and again while the result is an entity or
+a surrogate already given, so the map stays one-to-one. An entity that finds none in STEPS steps (its type's numbers are
+used up) is replaced by its type in brackets. The few entities that needed more than one step travel to their documents
+by a join; if there are none, that join isn't made.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card numbers (13 to 19 digits), US social security numbers,
 IBANs, keys and tokens, and names after a title or with a listed first name.
@@ -237,23 +238,29 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def surrogate_steps(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, surrogate) of the distinct entities whose first surrogate is an entity of the corpus."""
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Surrogates(key)
-        for b in batches:
-            new = [s.permuted(k, e) for k, e in zip(b.column("kind").to_pylist(), b.column("surrogate").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+    def step(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = Surrogates(hmac.new(key, b"step %d" % k, hashlib.sha256).digest() if k else key)
+            for b in batches:
+                new = [s.permuted(*x) for x in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+
+        return run
 
-    schema = "kind string, entity string, surrogate string"
+    schema, by = "kind string, entity string, surrogate string", ["kind", "surrogate"]
     taken = entities.select("kind", F.col("entity").alias("surrogate"))
-    walking = settle(entities.select("kind", "entity", F.col("entity").alias("surrogate")).mapInArrow(step, schema).join(taken, ["kind", "surrogate"], "left_semi").select("kind", "entity", "surrogate"))
-    done = walking.limit(0)
-    for _ in range(STEPS):
-        if walking.isEmpty():
+    first = settle(entities.select("kind", "entity").mapInArrow(step(0), schema))
+    left = settle(first.join(taken, by, "left_semi").select("kind", "entity", "surrogate"))
+    given = first.join(taken, by, "left_anti").select(by)
+    done = left.limit(0)
+    for k in range(1, STEPS):
+        if left.isEmpty():
             return done
-        moved = settle(walking.mapInArrow(step, schema))
-        done = done.unionByName(moved.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "entity", "surrogate"))
-        walking = settle(moved.join(taken, ["kind", "surrogate"], "left_semi").select("kind", "entity", "surrogate"))
-    return done.unionByName(walking.withColumn("surrogate", F.concat(F.lit("["), "kind", F.lit("]"))))
+        tried = settle(left.select("kind", "entity").mapInArrow(step(k), schema))
+        clear = settle(tried.join(taken, by, "left_anti").join(given, by, "left_anti").select("kind", "entity", "surrogate"))
+        done, given = done.unionByName(clear), given.unionByName(clear.select(by))
+        left = settle(tried.join(clear, ["kind", "entity"], "left_anti").select("kind", "entity", "surrogate"))
+    return done.unionByName(left.withColumn("surrogate", F.concat(F.lit("["), "kind", F.lit("]"))))
 
 
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
