@@ -8,7 +8,8 @@ equal to the Jaccard similarity. 40 bands of 4 coordinates miss a pair at simila
 
 Verification. Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest and
 largest member, on full sets; found links are joined to components. In buckets that then still hold several components,
-members of different components are compared, each pair once. A pair within a component needs no test, so a group of near
+members are compared with three that a hash picks, and in those that remain, members of different components are compared,
+each pair once. A pair within a component needs no test, so a group of near
 copies costs a few comparisons per member, and no link between components is lost. A centre that very many members are
 compared with is replicated over salts. Before texts are fetched, two bits of each of the 160 coordinates are compared:
 by the sketch's concentration a pair at similarity 0.75 disagrees in 30 places, and one in ten million in more than 56;
@@ -33,7 +34,7 @@ from .components import components
 from .words import NOT_SPACE, gram_hashes, mixed, whole, word_bounds, word_hashes
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 40, 4
-PER_SALT = 2000
+PER_SALT, PICKED = 2000, 3
 SLICE = 512 << 10  # bytes of text that a worker holds as arrays at a time
 LONGS = 5  # of 64 bits, 32 coordinates each
 MISMATCHES = 56
@@ -174,16 +175,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verified(stars, texts, percent)
     roots = settle(components(links))
 
+    def open_members() -> DataFrame:
+        """Members of buckets that hold several components, with their component."""
+        at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+        return settle(at.join(several, "bucket", "left_semi").select("bucket", "id", "n", *_BITS, "root"))
+
+    def joined(more: DataFrame) -> DataFrame:
+        return settle(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+
+    # Where several components still meet, their members are compared with a few that a hash picks in each bucket.
+    left = open_members()
+    picked = left.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64(F.lit(k), "id", "bucket")) for k in range(PICKED)))).alias("picked"))
+    stars = left.join(picked, "bucket").select("id", "root", "n", *_BITS, F.explode("picked").alias("c")).distinct()
+    centres = left.select(F.col("id").alias("c"), F.col("root").alias("top"), "n", *_BITS).distinct()
+    stars = stars.alias("a").join(centres.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.root") != F.col("b.top"))).where(may_link()).select(F.col("a.c").alias("c"), F.col("a.id").alias("x"))
+    roots = joined(verified(stars, texts, percent))
+
     # What remains: members of different components, each pair in the first bucket that it shares.
-    at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    left = settle(at.join(several, "bucket", "left_semi").select("bucket", "id", "n", *_BITS, "root"))
+    left = open_members()
     left = left.join(left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("all")), "id")
     a, b = left.alias("a"), left.alias("b")
     first = F.element_at(F.array_intersect("a.all", "b.all"), 1) == F.col("a.bucket")
     cross = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & may_link() & first)
     more = verified(cross.select(F.col("a.id").alias("c"), F.col("b.id").alias("x")), texts, percent)
-    roots = settle(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    roots = joined(more)
 
     final = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
     out = described.select("id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
