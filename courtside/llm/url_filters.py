@@ -66,7 +66,7 @@ def templates(counts: DataFrame, depth: int, fan: int, z: float) -> DataFrame:
         many = t.where(literal(k)).select(*at, F.get("template", F.lit(k)).alias("s")).distinct().groupBy("host", "above").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > fan)
         t = t.withColumn("above", F.slice("template", 1, k)).join(many, ["host", "above"], "left")
         t = t.withColumn("template", F.when(F.col("kinds").isNotNull() & literal(k), _with(F.col("template"), k, "{s}")).otherwise(F.col("template"))).drop("kinds", "above")
-    t = settle(t)
+        t = settle(t)  # each level's plan stays small
     for k in range(depth):
         branch = t.where(F.size("template") > k).groupBy("host", F.slice("template", 1, k).alias("above"), F.get("template", F.lit(k)).alias("s")).agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
         node = branch.groupBy("host", "above").agg(F.sum("n").alias("nn"), F.sum("b").alias("bb"))
@@ -77,6 +77,7 @@ def templates(counts: DataFrame, depth: int, fan: int, z: float) -> DataFrame:
         alike = both.where(gap <= z * error).select("host", "above", "s", F.lit(True).alias("alike"))
         t = t.withColumns({"above": F.slice("template", 1, k), "s": F.get("template", F.lit(k))}).join(alike, ["host", "above", "s"], "left")
         t = t.withColumn("template", F.when(F.col("alike") & literal(k), _with(F.col("template"), k, "{m}")).otherwise(F.col("template"))).drop("above", "s", "alike")
+        t = settle(t)
     return t
 
 
