@@ -190,8 +190,12 @@ for _name in ("g18_window_mean", "w1_last_n"):
 simple("g19_metrics", lambda b: models.evaluate(b.pairs.withColumn("predicted", F.when(F.coalesce("player1_rank", F.lit(999)) <= F.coalesce("player2_rank", F.lit(999)), 1).otherwise(2))).select(*(r6(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1"))))
 
 # -- windows
-_W = Window.partitionBy("player").orderBy("rn")
-simple("w1_running_last_n", lambda b: b.events.select("player", "rn", F.round(F.avg("won").over(_W.rowsBetween(-4, 0)), 6).alias("last_5"), F.round(F.avg("won").over(_W.rowsBetween(-9, 0)), 6).alias("last_10")))
+def _recent(n: int):
+    """The mean result over the last n matches, this one included."""
+    return F.round(F.avg("won").over(Window.partitionBy("player").orderBy("rn").rowsBetween(1 - n, 0)), 6)
+
+
+simple("w1_running_last_n", lambda b: b.events.select("player", "rn", _recent(5).alias("last_5"), _recent(10).alias("last_10")))
 simple("w2_surface_last_10", lambda b: st.last_rates(b.known, 10, "player", "surface", name="rate").select("player", "surface", r6("rate")))
 simple("w3_streaks", lambda b: st.streaks(b.known))
 simple("w4_running_totals", lambda b: st.running_totals(b.events))
