@@ -63,18 +63,21 @@ _MED = ["player1_age", "player2_age", "player1_ht", "player2_ht", "rank_diff", "
 _FILL = {"player1_hand": "'U'", "player2_hand": "'U'", "player1_rank": "999", "player2_rank": "999", "player1_seed": "-1", "player2_seed": "-1"}
 _CTES[-1] = ("fl", "SELECT fx.* REPLACE (" + ", ".join([f"coalesce({c}, {v}) AS {c}" for c, v in _FILL.items()] + [f"coalesce({c}, (SELECT median({c}) FROM fx)) AS {c}" for c in _MED]) + ") FROM fx")
 
+#: The shared definitions with the reference's limit, which keeps the whole split, in place of the selective one.
+_WHOLE = [(k, v.replace("n >= 75", "n >= 10") if k == "act" else v) for k, v in _CTES]
 
-def _with(tail: str) -> str:
+
+def _with(tail: str, ctes: list[tuple[str, str]] = _CTES) -> str:
     """tail after those of the shared definitions that it needs."""
     import re
 
-    need, names = set(), {k: v for k, v in _CTES}
+    need, names = set(), {k: v for k, v in ctes}
     todo = [tail]
     while todo:
         for w in set(re.findall(r"\b\w+\b", todo.pop())) & names.keys() - need:
             need.add(w)
             todo.append(names[w])
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in _CTES if k in need) + "\n" + tail if need else tail
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes if k in need) + "\n" + tail if need else tail
 
 
 def r(c: str, name: str | None = None) -> str:
@@ -213,14 +216,19 @@ SQL = {
     "e2_streaming_state": f"SELECT p.player, count(*) AS matches, cast(sum(won) AS BIGINT) AS wins FROM e p GROUP BY p.player",
 }
 
+#: Queries over the selective rows of `act`, which are also registered as NAME_whole over the whole split.
+WHOLE_SPLIT = """p2_side_swap p3_result_label p9_projection p14_either_side p15_segment_routing j2_form_lookup j3_head_to_head_lookup j4_surface_form_lookup j8_median_broadcast g19_metrics o6_holdout
+    f2_differences f3_log_gap f5_constant_fill f6_median_fill f9_casts f10_rank_band f11_age_band f12_seed_xor f13_height_band f14_hands f15_surface_match f20_seeded_coin f22_z_score m1_label_encoder m3_standard_scaler
+    x_pair_features_snapshot x_filled_features e1_pair_features_point_in_time""".split()
+
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for k, tail in SQL.items():
+    for k, tail, ctes in [*((k, v, _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
         if tail.startswith(", "):  # has definitions of its own after the shared ones
-            full = _with(tail)
+            full = _with(tail, ctes)
             head, own = full[: -len(tail)].rstrip(), tail
             out[k] = head + own
         else:
-            out[k] = _with(tail)
+            out[k] = _with(tail, ctes)
     return out

@@ -15,10 +15,12 @@ from ..operators import state as st
 from ..operators import timeline as tm
 from ..schema import STATE_SURFACES, SURFACE_CODES
 from ..sources import matches as src
-from .oracles import FEATURE_COLUMNS, LOOKED_UP, ROUNDED
+from .oracles import FEATURE_COLUMNS, LOOKED_UP, ROUNDED, WHOLE_SPLIT
 
 Query = Callable[[SparkSession, str], DataFrame]
 MIN_MATCHES = 75
+#: The reference's own limit; it keeps every row of a split here.
+REFERENCE_MIN_MATCHES = 10
 _QUERIES: dict[str, Query] = {}
 
 
@@ -34,8 +36,9 @@ def named(name: str, f: Query) -> None:
 class Base:
     """The frames that queries start from; all lazy."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, min_matches: int = MIN_MATCHES):
         self.spark = spark
+        self.min_matches = min_matches
         self.matches = src.derived_matches(spark, sf_dir)
 
     @property
@@ -55,9 +58,13 @@ class Base:
         """Events that the snapshot has seen: all but the final split's."""
         return st.player_match_events(self.timeline.where("split <> 'final'"))
 
+    @property
+    def active(self) -> DataFrame:
+        return tm.filter_min_matches(self.next, self.min_matches)
+
     @property
     def pairs(self) -> DataFrame:
-        return ft.orient_pairs(tm.filter_min_matches(self.next, MIN_MATCHES))
+        return ft.orient_pairs(self.active)
 
     @property
     def diffs(self) -> DataFrame:
@@ -81,8 +88,10 @@ def picked(columns: list[str]):
 
 
 def simple(name: str, f: Callable[[Base], DataFrame]) -> None:
-    """Registers a query that only needs the base frames."""
+    """Registers a query that only needs the base frames; those of WHOLE_SPLIT once more, over the whole split."""
     named(name, lambda spark, sf_dir: f(Base(spark, sf_dir)))
+    if name in WHOLE_SPLIT:
+        named(f"{name}_whole", lambda spark, sf_dir: f(Base(spark, sf_dir, REFERENCE_MIN_MATCHES)))
 
 
 PLAYERS = ["match_num", "winner_name", "loser_name"]
@@ -235,7 +244,7 @@ simple("f16_is_top_10", lambda b: b.matches.select("match_num", S.is_top_10(_c("
 simple("f17_list_tail", lambda b: b.known.groupBy("player").agg(F.array_sort(F.collect_list(F.struct("rn", "won"))).alias("h")).select("player", S.last_n(_c("h"), 5).alias("h")).select("player", F.size("h").cast("long").alias("n"), F.expr("aggregate(h, 0L, (a, x) -> a + x.won)").alias("wins")))
 simple("f18_map_default", lambda b: st.surface_maps(b.known).select("player", S.at_key(_c("surface_wins"), F.lit("Hard"), F.lit(0)).cast("long").alias("wins_hard"), S.at_key(_c("surface_wins"), F.lit("Ice"), F.lit(0)).cast("long").alias("wins_ice")))
 simple("f19_two_decimals", lambda b: st.totals(b.known, "player").where("abs(win_pct * 1000 - floor(win_pct * 1000)) < 2 and round(win_pct * 1000) % 10 <> 5").select("player", S.shown(F.round("win_pct", 6)).cast("double").alias("shown")))
-simple("f20_seeded_coin", lambda b: tm.filter_min_matches(b.next, MIN_MATCHES).select("match_num", S.coin(_c("match_num"), 42).alias("swap")))
+simple("f20_seeded_coin", lambda b: b.active.select("match_num", S.coin(_c("match_num"), 42).alias("swap")))
 simple("f21_or_unranked", lambda b: b.matches.select("match_num", S.or_unranked(S.lenient_double(_c("winner_seed"))).alias("seed")))
 simple("f23_required", lambda b: b.matches.select("match_num", S.required(_c("winner_name"), "a match without a winner").alias("winner_name")))
 _SCALED = ["rank_diff", "age_diff", "player1_last_10_win_percentage"]
