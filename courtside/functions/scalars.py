@@ -105,7 +105,8 @@ def text_or_nan(c: Column) -> Column:
 
 
 def shown(c: Column) -> Column:
-    """Two decimals, for display."""
+    """Two decimals, for display. Ties go away from zero, by the shortest decimal that stands for the number: 0.125 and
+    0.285 give 0.13 and 0.29, whatever their binary value."""
     return F.format_string("%.2f", c)
 
 

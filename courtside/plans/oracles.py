@@ -195,6 +195,7 @@ SQL = {
     "f17_list_tail": "SELECT player, count(*) AS n, cast(sum(won) AS BIGINT) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY rn DESC) AS k FROM s) WHERE k <= 5 GROUP BY player",
     "f18_map_default": "SELECT player, cast(wins AS BIGINT) AS wins_hard, 0::BIGINT AS wins_ice FROM grid WHERE surface = 'Hard'",
     "f19_two_decimals": f"SELECT player, round(round(win_pct, 6), 2) AS shown FROM tot WHERE abs(win_pct * 1000 - floor(win_pct * 1000)) < 2 AND round(win_pct * 1000) % 10 <> 5",
+    "f19_two_decimals_whole": "SELECT player, ((200 * wins + matches) // (2 * matches)) / 100 AS shown FROM tot",
     "f20_seeded_coin": "SELECT match_num, swap FROM sw",
     "f21_or_unranked": "SELECT match_num, coalesce(nullif(try_cast(winner_seed AS DOUBLE), 0), 999) AS seed FROM matches",
     "f22_z_score": "SELECT match_num, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM fl)) / (SELECT stddev_pop({c}) FROM fl), 6) AS {c}" for c in _SCALED) + " FROM fl",

@@ -244,6 +244,7 @@ simple("f16_is_top_10", lambda b: b.matches.select("match_num", S.is_top_10(_c("
 simple("f17_list_tail", lambda b: b.known.groupBy("player").agg(F.array_sort(F.collect_list(F.struct("rn", "won"))).alias("h")).select("player", S.last_n(_c("h"), 5).alias("h")).select("player", F.size("h").cast("long").alias("n"), F.expr("aggregate(h, 0L, (a, x) -> a + x.won)").alias("wins")))
 simple("f18_map_default", lambda b: st.surface_maps(b.known).select("player", S.at_key(_c("surface_wins"), F.lit("Hard"), F.lit(0)).cast("long").alias("wins_hard"), S.at_key(_c("surface_wins"), F.lit("Ice"), F.lit(0)).cast("long").alias("wins_ice")))
 simple("f19_two_decimals", lambda b: st.totals(b.known, "player").where("abs(win_pct * 1000 - floor(win_pct * 1000)) < 2 and round(win_pct * 1000) % 10 <> 5").select("player", S.shown(F.round("win_pct", 6)).cast("double").alias("shown")))
+simple("f19_two_decimals_whole", lambda b: st.totals(b.known, "player").select("player", S.shown(_c("win_pct")).cast("double").alias("shown")))
 simple("f20_seeded_coin", lambda b: b.active.select("match_num", S.coin(_c("match_num"), 42).alias("swap")))
 simple("f21_or_unranked", lambda b: b.matches.select("match_num", S.or_unranked(S.lenient_double(_c("winner_seed"))).alias("seed")))
 simple("f23_required", lambda b: b.matches.select("match_num", S.required(_c("winner_name"), "a match without a winner").alias("winner_name")))
