@@ -293,13 +293,13 @@ def m4_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m5_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = Base(spark, sf_dir)
     rows = training_rows(b)
-    routed = models.train(rows.where("split = 'next'"), max_iter=5)
+    routed = models.train(rows.where("split = 'next'"))
     return routed.predict(prep.scale(rows.where("split = 'final'"), prep.NUMERIC, routed.scaling)).select("match_num", "is_top", "predicted", "p_player1")
 
 
 @query
 def m7_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = models.train(training_rows(Base(spark, sf_dir)).where("split = 'next'"), max_iter=5)
+    routed = models.train(training_rows(Base(spark, sf_dir)).where("split = 'next'"))
     parts = [models.top_importances(models.importances(spark, m)).withColumn("model", F.lit(k)) for k, m in (("top", routed.top), ("other", routed.other))]
     return parts[0].unionByName(parts[1])
 
@@ -309,7 +309,7 @@ def m10_predict_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .serving import predict_matches
 
     b = Base(spark, sf_dir)
-    routed = models.train(training_rows(b).where("split = 'next'"), max_iter=5)
+    routed = models.train(training_rows(b).where("split = 'next'"))
     return predict_matches(_neighbours(b), b.events, routed)
 
 
