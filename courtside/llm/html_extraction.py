@@ -12,7 +12,8 @@ article. Node weights are fitted by logistic regression, edge potentials by the
 Scale. Pages are read once, each on its own; the model has one weight for each feature seen in the bounded sample.
 
 Defined cases: null and empty html give an empty text; unclosed tags, raw text elements, comments and broken references
-are read as browsers do; <br> counts as white space; repeated rows are extracted row by row; other columns are not read.
+are read as browsers with scripts do, and what they don't show (scripts, styles, templates, frames) is no text; svg, math
+and object are part of the text around them, with /> honoured in svg and math; <br> counts as white space; repeated rows are extracted row by row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +35,18 @@ from .common import slices, small_batches, table
 SAMPLE, EPOCHS, RATE, PENALTY = 300, 6, 0.5, 1e-5
 
 # HTML's own element classes.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object", "math"}
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
+FOREIGN = {"svg", "math"}
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BOILERPLATE = {"nav", "aside", "footer", "form", "head", "button", "dialog", "menu"}
+LEAVES_FOREIGN = CLOSES_P | SAME_LEVEL.keys() | set("body button embed head iframe img input label noscript object select template textarea".split())
+BOILERPLATE = {"nav", "aside", "footer", "form", "head", "button", "dialog", "menu", "select"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")  # a slash at its end is part of the value
 _SPACES = re.compile(r"[\s\xa0]+")
 _NAMES = re.compile(r"[a-z]+")
 
@@ -61,12 +65,13 @@ def parse(page: str) -> list[Node]:
     """The page's block elements and runs of text (tag #text), each after its parent."""
     nodes = [Node("#root", -1)]
     stack: list[int] = [0]
-    links, run = 0, None
+    links, run, foreign = 0, None, 0
+    inert = 0  # templates that are open
     at, end = 0, len(page)
 
     def put(raw: str) -> None:
         nonlocal run
-        if not raw:
+        if not raw or inert:
             return
         if run is None:
             if not raw.strip():
@@ -78,7 +83,8 @@ def parse(page: str) -> list[Node]:
             nodes[run].linked += len(raw)
 
     def close(k: int) -> None:
-        nonlocal run
+        nonlocal run, inert
+        inert -= sum(nodes[i].tag == "template" for i in stack[k:])
         del stack[k:]
         run = None
 
@@ -95,18 +101,32 @@ def parse(page: str) -> list[Node]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag not in INLINE and tag not in VOID:
+            if tag in FOREIGN:
+                foreign = max(0, foreign - 1)
+            elif tag not in INLINE and tag not in VOID:
                 for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
+                    here = nodes[stack[k]].tag
+                    if here == tag:
                         close(k)
-                        links = 0
+                        links = foreign = 0
+                        break
+                    if here == "template":
                         break
             continue
+        if tag in FOREIGN or foreign and tag not in LEAVES_FOREIGN:
+            if m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+                continue
+            if tag not in RAW:
+                foreign += tag in FOREIGN
+                continue
+        else:
+            foreign = 0
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
-            run = None
-            continue
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if stop or tag != "noscript":
+                at = stop.end() if stop else end
+                run = None if not foreign else run
+                continue
         if tag == "br":
             put(" ")
         if tag == "a":
@@ -118,12 +138,19 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
             close(len(stack) - 1)
+        if tag in CLOSES_P and tag != "hr":  # a list of choices that wasn't closed
+            for k in range(len(stack) - 1, 0, -1):
+                if nodes[stack[k]].tag not in ("select", "option", "optgroup"):
+                    break
+                if nodes[stack[k]].tag == "select":
+                    close(k)
+                    break
         for k in range(len(stack) - 1, 0, -1):
             here = nodes[stack[k]].tag
             if here in SAME_LEVEL.get(tag, ()):
                 close(k)
                 break
-            if here in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
+            if here in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "template"):
                 break
         names, keep = [], None
         for name, value in _ATTRIBUTE.findall(m[3]):
@@ -132,8 +159,9 @@ def parse(page: str) -> list[Node]:
                 names += _NAMES.findall(value.lower())
             elif name.lower() == "data-keep":
                 keep = value
-        nodes.append(Node(tag, stack[-1], names[:12], keep))
+        nodes.append(Node(tag, stack[-1], names, keep))
         stack.append(len(nodes) - 1)
+        inert += tag == "template"
         run, links = None, 0
     return nodes
 
@@ -198,7 +226,7 @@ def generated() -> Iterator[str]:
         inner = (f"<p>{_WORDS}</p>", "<li><a href='#'>One link</a></li><li><a href='#'>Another</a></li>", _WORDS[:60])[i % 3]
         junk = f"<{box} class='{name}' data-keep='0'>{inner}</{box}>"
         ask = ("Name", "Your address", "Search", "Leave a message here")[i % 4]
-        form = f"<form data-keep='0'><label>{ask}</label> <input name='n'><div>{ask} again<input></div><button>Send it</button></form>"
+        form = f"<form data-keep='0'><label>{ask}</label> <input name='n'><div>{ask} again<input></div><select><option>One</option><option>Another</option></select><button>Send it</button></form>"
         host = ("article", f"div class='{_WITHIN[i % len(_WITHIN)]}'", f"main id='{_WITHIN[i % len(_WITHIN)]}'")[i % 3]
         end = host.split()[0]
         menu = "<nav data-keep='0'><ul><li><a href='#'>Home</a></li><li><a href='#'>About us</a></li></ul></nav>"
