@@ -52,8 +52,8 @@ DETECT = re.compile(
     "|".join(
         [
             r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24})",
-            r"(?P<secret>(?<=[=:\s\"'])(?<![\w])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,256}|[0-9A-F]{32,256})(?![\w]))",
-            r"(?i:\b(?:api[_-]?key|key|token|secret|passw(?:or)?d)\b\s{0,4}[:=]\s{0,4}[\"']?)(?P<value>[A-Za-z0-9_/+-]{8,256})",
+            r"(?P<secret>(?<=[=:\s\"'])(?<![\w])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\w]))",
+            r"(?i:\b(?:api[_-]?key|key|token|secret|passw(?:or)?d)\b\s{0,4}[:=]\s{0,4}[\"']?)(?P<value>[A-Za-z0-9_/+-]{8,}(?:\.[A-Za-z0-9_/+-]+)*)",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
@@ -96,6 +96,29 @@ def _alphabet(c: str, names: bool) -> str:
     return next((a for a in (DIGITS, LATIN, ACCENTED, GREEK, CYRILLIC) if c in a), "")
 
 
+def _packed(values: list[int], radices: list[int]) -> tuple[int, int]:
+    """The mixed-radix number and the count of such numbers; by halves, since secrets can be long."""
+    n, size = 0, 1
+    if len(values) <= 256:
+        for v, r in zip(values, radices, strict=True):
+            n, size = n * r + v, size * r
+        return n, size
+    h = len(values) // 2
+    (a, x), (b, y) = _packed(values[:h], radices[:h]), _packed(values[h:], radices[h:])
+    return a * y + b, x * y
+
+
+def _unpacked(n: int, radices: list[int]) -> list[int]:
+    if len(radices) > 256:
+        h = len(radices) // 2
+        a, b = divmod(n, _packed([0] * (len(radices) - h), radices[h:])[1])
+        return _unpacked(a, radices[:h]) + _unpacked(b, radices[h:])
+    out = [0] * len(radices)
+    for i in range(len(radices) - 1, -1, -1):
+        n, out[i] = divmod(n, radices[i])
+    return out
+
+
 class Surrogates:
     """The keyed map. permuted() is one step; replaced() writes a surrogate in the original's format."""
 
@@ -106,21 +129,15 @@ class Surrogates:
     def _mixed(self, shape: str, values: list[int], radices: list[int]) -> list[int]:
         """A permutation of the mixed-radix numbers of this shape."""
         half = len(values) // 2
-        size = [1, 1]
-        n = [0, 0]
-        for i, (v, r) in enumerate(zip(values, radices, strict=True)):
-            s = int(i >= half)
-            n[s], size[s] = n[s] * r + v, size[s] * r
+        (a, x), (b, y) = _packed(values[:half], radices[:half]), _packed(values[half:], radices[half:])
+        n, size = [a, b], [x, y]
         for k in range(ROUNDS):
             s = k % 2
-            mac = hmac.new(self.key, f"{shape}|{k}|{n[1 - s]}".encode(), hashlib.sha256).digest()
+            other = f"{n[1 - s]:x}" if size[1 - s] > 1 << 4096 else f"{n[1 - s]}"  # Python writes no longer decimals
+            mac = hmac.new(self.key, f"{shape}|{k}|{other}".encode(), hashlib.sha256).digest()
             wide = int.from_bytes(mac + (hashlib.sha512(mac).digest() * (size[s].bit_length() // 512 + 1) if size[s] > 1 << 192 else b""), "big")
             n[s] = (n[s] + wide) % size[s]
-        out = [0] * len(values)
-        for s, places in ((1, range(len(values) - 1, half - 1, -1)), (0, range(half - 1, -1, -1))):
-            for i in places:
-                n[s], out[i] = divmod(n[s], radices[i])
-        return out
+        return _unpacked(n[0], radices[:half]) + _unpacked(n[1], radices[half:])
 
     def _text(self, kind: str, text: str, fixed: frozenset[int] = frozenset()) -> str:
         """Letters and digits permuted within their alphabets; case and all else stay."""
