@@ -9,8 +9,10 @@ digit holds; first names of a known gender are permuted among names of that gend
 
 Collision check. A surrogate must not be an entity of the corpus itself. The distinct entities are joined with their own
 surrogates; those that hit one are tried again with a key of the next step, and again while the result is an entity or
-a surrogate already given, so the map stays one-to-one. An entity that finds none in STEPS steps (its type's numbers are
-used up) is replaced by its type in brackets. The few entities that needed more than one step travel to their documents
+a surrogate already given, so the map stays one-to-one. An entity that finds none in STEPS steps (its shape is used up, or
+nearly) gets a longer one, keyed and distinct: first names become compounds of names of the same gender, other names get
+letters of their script, e-mail addresses and secrets letters, phone numbers digits; one place more at each further step,
+until it is free. Addresses, card and social security numbers and IBANs have no longer form and walk on. The few entities that needed more than one step travel to their documents
 by a join; if there are none, that join isn't made.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card numbers (13 to 19 digits), US social security numbers,
@@ -28,6 +30,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -199,6 +202,42 @@ class Surrogates:
             return names[self._mixed(f"first:{gender}", [i], [len(names)])[0]]
         return self._text("name", word, frozenset([len(word) - 1]) if len(word) > 2 else frozenset())
 
+    def longer(self, kind: str, entity: str, more: int) -> str:
+        """A surrogate that is longer than the entity by `more` keyed letters, digits or first names. Distinct entities
+        have distinct ones: without the places added, which are as many for all, they are those of permuted()."""
+        base = self.permuted(kind, entity)
+        if kind in ("ip", "ssn", "card", "iban") or kind == "phone" and base == entity:
+            return base
+        seed = int.from_bytes(b"".join(hmac.new(self.key, f"longer|{kind}|{i}|{entity}".encode(), hashlib.sha256).digest() for i in range(more // 32 + 2)), "big")
+
+        def drawn(alphabets: list) -> list:
+            nonlocal seed
+            out = []
+            for a in alphabets:
+                seed, i = divmod(seed, len(a))
+                out.append(a[i])
+            return out
+
+        if base == entity:  # maybe none of its letters has an alphabet here: nothing of it may stay
+            new = "".join(drawn([LATIN] * 24))  # distinct as a hash is
+            return f"{new}@{new[::-1]}.{entity.rpartition('.')[2]}" if kind == "email" else new.capitalize() if kind == "name" else new
+        if kind == "email":
+            return "".join(drawn([LATIN] * more)) + base
+        if kind == "phone":
+            return "".join(drawn(["123456789"] + [DIGITS] * (more - 1))) + base
+        if kind == "secret":
+            hexed = re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", entity)
+            return base + "".join(drawn([("0123456789abcdef" if entity == entity.lower() else "0123456789ABCDEF") if hexed else LATIN if entity != entity.upper() else LATIN.upper()] * more))
+        words, own = base.split(" "), entity.split()
+        k = next((i for i, w in enumerate(own) if w.lower() not in _FIRST), 0)
+        if known := _FIRST.get(own[k].lower()):
+            words[k] = "-".join([*drawn([FEMALE if known[0] == "f" else MALE] * more), words[k]])
+            return " ".join(words)
+        script = next((a for c in words[k].lower() for a in (GREEK, CYRILLIC) if c in a), None)
+        letters = "".join(drawn([script or (CONSONANTS, VOWELS)[i % 2] for i in range(more)]))
+        words[k] = words[k][:-1] + (letters.upper() if len(words[k]) > 1 and words[k].isupper() else letters) + words[k][-1]
+        return " ".join(words)
+
     @staticmethod
     def replaced(kind: str, text: str, surrogate: str) -> str:
         """The surrogate in the format of text: its separators and, in e-mail addresses, its case."""
@@ -207,6 +246,11 @@ class Surrogates:
             out = list(text)
             for i, c in zip(reversed(slots), reversed(surrogate)):
                 out[i] = c
+            if (more := len(surrogate) - len(normal(kind, text) or "")) > 0:  # a longer one: what it has more stands before the number
+                slots = slots[-len(surrogate) + more :]
+                for i, c in zip(reversed(slots), reversed(surrogate)):
+                    out[i] = c
+                out = [*text[: slots[0]], surrogate[:more], *out[slots[0] :]]
             return "".join(out)
         if kind == "email" and len(surrogate) == len(text):
             return "".join(s.upper() if c.isupper() and len(s.upper()) == 1 else s for c, s in zip(text, surrogate, strict=True))
@@ -259,7 +303,7 @@ def surrogate_steps(entities: DataFrame, key: bytes) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = Surrogates(hmac.new(key, b"step %d" % k, hashlib.sha256).digest() if k else key)
             for b in batches:
-                new = [s.permuted(*x) for x in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+                new = [s.longer(*x, k - STEPS + 1) if k >= STEPS else s.permuted(*x) for x in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
 
         return run
@@ -270,14 +314,13 @@ def surrogate_steps(entities: DataFrame, key: bytes) -> DataFrame:
     left = settle(first.join(taken, by, "left_semi").select("kind", "entity", "surrogate"))
     given = first.join(taken, by, "left_anti").select(by)
     done = left.limit(0)
-    for k in range(1, STEPS):
+    for k in count(1):
         if left.isEmpty():
             return done
         tried = settle(left.select("kind", "entity").mapInArrow(step(k), schema))
         clear = settle(tried.join(taken, by, "left_anti").join(given, by, "left_anti").select("kind", "entity", "surrogate"))
         done, given = done.unionByName(clear), given.unionByName(clear.select(by))
         left = settle(tried.join(clear, ["kind", "entity"], "left_anti").select("kind", "entity", "surrogate"))
-    return done.unionByName(left.withColumn("surrogate", F.concat(F.lit("["), "kind", F.lit("]"))))
 
 
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +348,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                 out, at, size, marks = [], 0, 0, []
                 for start, stop, k, entity in detected(text or ""):
                     new = known.get((k, entity)) or s.permuted(k, entity)
-                    new = new if new == f"[{k}]" else s.replaced(k, text[start:stop], new)
+                    new = s.replaced(k, text[start:stop], new)
                     out += [text[at:start], new]
                     size += start - at
                     marks.append({"kind": k, "start": size, "stop": size + len(new)})
