@@ -10,8 +10,8 @@ half with weight `prior`, reaches `purity`; without labels it is allowed. Labell
 whatever label column is given.
 
 Scale. Urls are combined to counts of (host, template) before anything else, within each task first, so a host with a
-third of all rows sends one row per template and task; the tree's levels are aggregates and joins over those counts. Only
-the first `depth` segments are told apart; what follows is one wildcard.
+third of all rows sends one row per template and task; the tree's levels are aggregates and joins over those counts, down
+to the last level where two paths of a host can part. With `depth`, what follows that many segments is one wildcard.
 
 Defined cases: a url that is null or has no `://` has an empty host and path, fits no rule, and is judged with its like;
 repeated rows are judged alike; empty tables work; other columns are not read.
@@ -19,12 +19,12 @@ repeated rows are judged alike; empty tables work; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
 
-DEPTH, FAN, Z, PRIOR, PURITY = 4, 50, 1.64, 2.0, 0.8
+FAN, Z, PRIOR, PURITY = 50, 1.64, 2.0, 0.8
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,11 +45,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return name, verdict
 
 
-def shapes(path: Column, depth: int) -> Column:
-    """The path's first segments with digits and hex as wildcards, and ** for what follows them."""
+def shapes(path: Column, depth: int | None) -> Column:
+    """The path's segments with digits and hex as wildcards; with depth so many, and ** for what follows them."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    shaped = F.transform(F.slice(parts, 1, depth), lambda s: F.regexp_replace(F.regexp_replace(s, "^[0-9a-f]{16,}$", "{h}"), "[0-9]+", "{n}"))
-    return F.when(F.size(parts) > depth, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)
+    shaped = F.transform(F.slice(parts, 1, depth) if depth else parts, lambda s: F.regexp_replace(F.regexp_replace(s, "^[0-9a-f]{16,}$", "{h}"), "[0-9]+", "{n}"))
+    return shaped if not depth else F.when(F.size(parts) > depth, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)
 
 
 def _with(segments: Column, k: int, value: str) -> Column:
@@ -57,6 +57,13 @@ def _with(segments: Column, k: int, value: str) -> Column:
     return F.concat(F.slice(segments, 1, k), F.array(F.lit(value)), F.slice(segments, k + 2, 1 << 20))
 
 
+def levels(counts: DataFrame) -> int:
+    """How many levels have a node that two shapes of a host reach; below them nothing is generalised or merged."""
+    sizes = counts.groupBy("host", F.size("shape").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    reached = sizes.withColumn("n", F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("size"))))
+    return reached.where("n > 1").agg(F.max("size")).first()[0] or 0
+
+
 def templates(counts: DataFrame, depth: int, fan: int, z: float) -> DataFrame:
     """counts: (host, shape, labelled, blocked). Adds template: the shape generalised and merged level by level."""
     t = counts.withColumn("template", F.col("shape"))
@@ -81,7 +88,7 @@ def templates(counts: DataFrame, depth: int, fan: int, z: float) -> DataFrame:
     return t
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, depth: int = DEPTH, fan: int = FAN, z: float = Z, prior: float = PRIOR, purity: float = PURITY) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, depth: int | None = None, fan: int = FAN, z: float = Z, prior: float = PRIOR, purity: float = PURITY) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, template, score (the template's smoothed purity). label: a
     boolean column of pages, true for urls known to be bad; null where unknown; by default what the rules say."""
     host, path = host_and_path(F.col(url_col))
@@ -91,7 +98,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     if label is None:
         rows = rows.withColumn("bad", F.col("says") == "block")
     counts = settle(rows.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.count(F.when(F.col("bad"), 1)).alias("blocked")))
-    tree = templates(counts, depth, fan, z)
+    tree = templates(counts, depth or levels(counts), fan, z)
     pooled = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     score = (F.col("blocked") + F.lit(prior / 2)) / (F.col("labelled") + F.lit(prior))
     judged = settle(tree.select("host", "shape", "template").join(pooled, ["host", "template"]).select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), score.alias("score"), ((score >= purity) & (F.col("labelled") > 0)).alias("reject")))
