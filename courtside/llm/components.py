@@ -16,17 +16,16 @@ def _open(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """From links (a, b) to (node, root) for each node that has a link and isn't its component's smallest one."""
+    """From links (a, b) to (node, root) for each node that has a link and isn't its component's smallest one. Each round
+    is one written table."""
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while _open(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = settle(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = settle(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        for done in (edges, large):
-            unsettle(done)
+        unsettle(edges)
         edges = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

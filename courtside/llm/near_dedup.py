@@ -1,23 +1,25 @@
 """Operator 9, near-duplicate groups by fast similarity sketching, banding and exact verification.
 
-Method. A document's set is its distinct shingles of 5 lower-cased words. Equal sets are one class. A class's sketch has
-t coordinates filled in rounds: in the first t rounds each element is thrown into a random coordinate, in the next t
-rounds every element goes into coordinate (round - t); a coordinate keeps the least (round, hash), so all are full after
-2t rounds at the latest and a sketch costs about n + t log t steps instead of n * t. Coordinates agree with probability
-equal to the Jaccard similarity. 40 bands of 4 coordinates miss a pair at similarity 0.75 with probability 3e-7.
-
-Verification. Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest and
-largest member, on full sets; found links are joined to components. In buckets that then still hold several components,
-members are compared with three that a hash picks, and in those that remain, members of different components are compared,
-each pair once. A pair within a component needs no test, so a group of near
-copies costs a few comparisons per member, and no link between components is lost. A centre that very many members are
-compared with is replicated over salts. Before texts are fetched, two bits of each of the 160 coordinates are compared:
-by the sketch's concentration a pair at similarity 0.75 disagrees in 30 places, and one in ten million in more than 56;
-those are passed over.
+Method. A document's set is its distinct shingles of 5 lower-cased words. Equal sets are one class, the node of all that
+follows. A class's sketch has t coordinates filled in rounds: in the first t rounds each element is thrown into a random
+coordinate, in the next t rounds every element goes into coordinate (round - t); a coordinate keeps the least
+(round, hash), so all are full after 2t rounds at the latest and a sketch costs about n + t log t steps instead of n * t.
+Coordinates agree with probability equal to the Jaccard similarity. 40 bands of 4 coordinates miss a pair at similarity
+0.75 with probability 3e-7.
+
+Verification. A class is first compared, on full sets, with two leaders: the smallest member of all its buckets and the
+largest. Links found are joined to components. A pair within a component needs no test, so a group of near copies costs
+two comparisons a member. Buckets in which several components still meet are joined with themselves, across components
+only and each pair in the first bucket that it shares; a bucket of many members is dealt out in blocks, so that no task
+meets more than BLOCK of its members with another. Before texts are fetched, sketch bits are compared: two bits of each of
+the 160 coordinates, and for what meets across components also of 1024 coordinates, computed for those classes alone. By
+the sketch's concentration a pair at similarity 0.75 disagrees in 30 and 192 places, and one in ten million in more than
+56 and 262; those are passed over. sift=False compares every candidate pair instead. What this cannot avoid: dissimilar
+texts that fill one bucket without being linked (texts at 0.5 to 0.75 of each other) are compared by bits pair by pair.
 
 Defined cases: null, empty and blank texts have an empty set (n_shingles 0) and stand alone; a text of fewer than 5 words
-is one shingle; rows with the same id count as one document; rows with a null id are never linked and stay; empty tables
-work; other columns are not read.
+is one shingle; rows with the same id are one document, whose links are those of all its texts; rows with a null id are
+never linked and stay; empty tables work; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, small_batches, string_bytes, table, unsettle
+from .common import settle, slices, string_bytes, table, unsettle
 from .components import components
 from .words import NOT_SPACE, gram_hashes, mixed, whole, word_bounds, word_hashes
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 40, 4
-PER_SALT, PICKED = 2000, 3
+PER_SALT, BLOCK = 2000, 1000
 SLICE = 512 << 10  # bytes of text that a worker holds as arrays at a time
-LONGS = 5  # of 64 bits, 32 coordinates each
-MISMATCHES = 56
-_BITS = [f"s{i}" for i in range(LONGS)]
+#: Longs of sketch bits, 32 coordinates each: of every class, and of those that meet across components; with how many
+#: places may differ.
+LONGS, MISMATCHES = 5, 56
+FINE_LONGS, FINE_MISMATCHES = 32, 262
+_BITS, _FINE = [f"s{i}" for i in range(LONGS)], [f"f{i}" for i in range(FINE_LONGS)]
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +87,16 @@ def sketches(value: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
+def _two_bits(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """Two bits of each of a sketch's first coordinates, packed into `longs` rows of 64-bit numbers."""
+    two = np.zeros((len(sketch), longs * 32), np.uint64)
+    two[:, : min(sketch.shape[1], longs * 32)] = (mixed(sketch) >> np.uint64(62))[:, : longs * 32]
+    return np.bitwise_or.reduce(two.reshape(-1, longs, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=2).T.view(np.int64)
+
+
 def _described(bands: int, rows: int):
+    """A mapper from (uid, id, text) to these and the set's size, two keys, sketch bits and band hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             value, off = shingle_sets(*string_bytes(batch.column("text")))
@@ -97,20 +110,25 @@ def _described(bands: int, rows: int):
                     for k, salt in enumerate((0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7)):
                         keys[k, full] = np.add.reduceat(mixed(value ^ np.uint64(salt)), off[:-1][full]).view(np.int64)
                     sketch = sketches(value, off, bands * rows)
-                    two = np.zeros((len(full), LONGS * 32), np.uint64)
-                    two[:, : min(bands * rows, LONGS * 32)] = (mixed(sketch) >> np.uint64(62))[:, : LONGS * 32]
-                    bits[:, full] = np.bitwise_or.reduce(two.reshape(-1, LONGS, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=2).T.view(np.int64)
+                    bits[:, full] = _two_bits(sketch, LONGS)
                     sketch = sketch.reshape(len(full), bands, rows)
                     for r in range(rows):
                         band = mixed(band * np.uint64(0xD6E8FEB86659FD93) + sketch[:, :, r])
                     band = mixed(band + np.arange(bands, dtype=np.uint64))
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), *map(pa.array, bits), lists], names=["id", "n", "k1", "k2", *_BITS, "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "id", "text")), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), *map(pa.array, bits), lists], names=["uid", "id", "text", "n", "k1", "k2", *_BITS, "bands"])
 
     return run
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (node, text) to the bits of a longer sketch; every text has a word."""
+    for batch in slices(batches, "text", SLICE):
+        sketch = sketches(*shingle_sets(*string_bytes(batch.column("text"))), FINE_LONGS * 32)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, _two_bits(sketch, FINE_LONGS))], names=["node", *_FINE])
+
+
 def _compared(percent: int):
     """A mapper from rows sorted by (centre, salt, kind) to links: kind 0 is the centre's own text, kind 1 a member's."""
 
@@ -134,76 +152,84 @@ def _compared(percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (c, x) whose full sets are similar enough, as links (a, b). texts: (id, text)."""
+    """Those pairs (c, x) whose full sets are similar enough, as links (a, b). texts: (node, text)."""
     pairs = settle(pairs)
     salts = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "c").select("c", F.col("x").alias("id"), F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
-    members = members.join(texts, "id").select("c", "salt", F.lit(1).alias("kind"), F.col("id").alias("x"), "text")
-    centres = salts.withColumnRenamed("c", "id").join(texts, "id").select(F.col("id").alias("c"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), F.col("id").alias("x"), "text")
-    kind = dict(pairs.dtypes)["c"]
+    members = pairs.join(salts, "c").select("c", F.col("x").alias("node"), F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
+    members = members.join(texts, "node").select("c", "salt", F.lit(1).alias("kind"), F.col("node").alias("x"), "text")
+    centres = salts.withColumnRenamed("c", "node").join(texts, "node").select(F.col("node").alias("c"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), F.col("node").alias("x"), "text")
     rows = members.unionByName(centres).repartition("c", "salt").sortWithinPartitions("c", "salt", "kind")
-    links = settle(rows.mapInArrow(_compared(percent), f"a {kind}, b {kind}"))
+    links = settle(rows.mapInArrow(_compared(percent), "a long, b long"))
     unsettle(pairs)
     return links
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id reachable over links), kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    described = settle(source.mapInArrow(_described(bands, rows), f"id {kind}, n long, k1 long, k2 long, {', '.join(f'{b} long' for b in _BITS)}, bands array<long>"))
-    classes = settle(described.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
+def _apart(bits: list[str], a: str = "a", b: str = "b") -> Column:
+    """In how many places the sketch bits of sides a and b differ."""
+    found = None
+    for c in bits:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        found = n if found is None else found + n
+    return found
 
-    buckets = described.where("n > 0").join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi").select("id", "n", *_BITS, F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    members = settle(buckets.join(shared, "bucket").select("bucket", "id", "n", *_BITS, "low", "high"))
-    texts = settle(source.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    own = members.select("id", "n", *_BITS).distinct()
-    sides = {x: [F.col(f"{x}.{c}") for c in ("n", *_BITS)] for x in ("a", "b")}
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, sift: bool = True) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id reachable over links), kept. sift: pass over
+    candidate pairs whose sketch bits differ in too many places (one in ten million of the similar ones at most)."""
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    described = settle(source.mapInArrow(_described(bands, rows), f"uid long, id {kind}, text string, n long, k1 long, k2 long, {', '.join(f'{b} long' for b in _BITS)}, bands array<long>"))
+    linkable = described.where("n > 0 and id is not null")
+    classes = settle(linkable.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("id").alias("least")))
+
+    own = linkable.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "node")
+    buckets = own.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = settle(buckets.join(shared, "bucket"))
+    leaders = members.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    info = settle(own.join(leaders, "node").select("node", "n", *_BITS, "text", "low", "high"))
+    texts = info.select("node", "text")
 
     def may_link() -> Column:
-        """Whether sides a and b can be similar enough by their sizes and by their sketches' bits."""
-        (na, *sa), (nb, *sb) = sides["a"], sides["b"]
-        fits = percent * F.greatest(na, nb) <= 100 * F.least(na, nb)
-        apart = [F.bit_count((x.bitwiseXOR(y)).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(F.lit(0x5555555555555555))) for x, y in zip(sa, sb, strict=True)]
-        return fits & (sum(apart[1:], apart[0]) <= MISMATCHES)
-
-    stars = members.select("id", F.explode(F.array("low", "high")).alias("c"), "n", *_BITS).where("id <> c").distinct()
-    stars = stars.alias("a").join(own.withColumnRenamed("id", "c").alias("b"), F.col("a.c") == F.col("b.c")).where(may_link()).select(F.col("a.c").alias("c"), F.col("a.id").alias("x"))
+        """Whether sides a and b can be similar enough by their sizes and, with sift, by their sketches' bits."""
+        fits = percent * F.greatest("a.n", "b.n") <= 100 * F.least("a.n", "b.n")
+        return fits & (_apart(_BITS) <= MISMATCHES) if sift else fits
+
+    sketched = info.select("node", "n", *_BITS)
+    stars = info.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("c"), "n", *_BITS).where("node <> c")
+    stars = stars.alias("a").join(sketched.alias("b"), (F.col("a.c") == F.col("b.node")) & may_link()).select("a.c", F.col("a.node").alias("x"))
+    # Texts of one document are linked, however different.
+    same = linkable.select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
     links = verified(stars, texts, percent)
-    roots = settle(components(links))
-
-    def open_members() -> DataFrame:
-        """Members of buckets that hold several components, with their component."""
-        at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        return settle(at.join(several, "bucket", "left_semi").select("bucket", "id", "n", *_BITS, "root"))
-
-    def joined(more: DataFrame) -> DataFrame:
-        return settle(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-
-    # Where several components still meet, their members are compared with a few that a hash picks in each bucket.
-    left = open_members()
-    picked = left.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64(F.lit(k), "id", "bucket")) for k in range(PICKED)))).alias("picked"))
-    stars = left.join(picked, "bucket").select("id", "root", "n", *_BITS, F.explode("picked").alias("c")).distinct()
-    centres = left.select(F.col("id").alias("c"), F.col("root").alias("top"), "n", *_BITS).distinct()
-    stars = stars.alias("a").join(centres.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.root") != F.col("b.top"))).where(may_link()).select(F.col("a.c").alias("c"), F.col("a.id").alias("x"))
-    roots = joined(verified(stars, texts, percent))
-
-    # What remains: members of different components, each pair in the first bucket that it shares.
-    left = open_members()
-    left = left.join(left.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("all")), "id")
-    a, b = left.alias("a"), left.alias("b")
-    first = F.element_at(F.array_intersect("a.all", "b.all"), 1) == F.col("a.bucket")
-    cross = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & may_link() & first)
-    more = verified(cross.select(F.col("a.id").alias("c"), F.col("b.id").alias("x")), texts, percent)
-    roots = joined(more)
-
-    final = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
+    first = settle(components(links.unionByName(same.select("a", F.explode("all").alias("b")))))
+
+    # Buckets that hold several components: members of different ones are compared, each pair in one bucket.
+    at = members.join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("r0 <> r1")
+    open_ = settle(at.join(several.select("bucket", "blocks"), "bucket"))
+    places = open_.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("all"))
+    fine = info.join(places, "node").select("node", "n", *_BITS, "all", "text")
+    if sift:
+        fine = fine.drop("text").join(fine.select("node", "text").mapInArrow(_fine, f"node long, {', '.join(f'{f} long' for f in _FINE)}"), "node")
+    fine = settle(fine.drop("text"))
+    met = open_.join(fine, "node")
+    a = met.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).alias("a")
+    b = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("b")
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & may_link()
+    if sift:
+        on &= _apart(_FINE) <= FINE_MISMATCHES
+    on &= F.element_at(F.array_intersect("a.all", "b.all"), 1) == F.col("a.bucket")
+    more = verified(a.join(b, on).select(F.col("a.node").alias("c"), F.col("b.node").alias("x")), texts, percent)
+    roots = settle(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    for done in (members, info, links, first, open_, fine, more):
+        unsettle(done)
+
+    named = classes.join(roots, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    final = named.join(least, "root").select("k1", "k2", "component")
     out = described.select("id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
