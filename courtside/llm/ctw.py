@@ -35,8 +35,8 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Levels:
-    """The trees over one set of grams, from depth `depth` up to depth `top`, where all grams share their first `top`
-    context bytes or top is 0. keys: distinct grams, sorted. counts: how often training saw each, 0 allowed."""
+    """The trees over one set of grams, from depth `depth` up to depth `top`; the set holds all grams of each context of
+    `top` bytes that it has any of. keys: distinct grams, sorted. counts: how often training saw each, 0 allowed."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
         self.depth, self.top = depth, top
@@ -79,18 +79,17 @@ class Levels:
         return p, seen
 
 
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of each text and of its end, in order, and the n+1 offsets of each text's grams."""
-    pad = bytes([EDGE])
-    raw = np.frombuffer(b"".join([pad * depth + t + pad for t in texts]), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts])
-    starts = np.cumsum(sizes + depth) - sizes
-    at = np.ones(len(raw), bool)
-    for i in range(1, depth + 1):
-        at[starts - i] = False
-    key = np.zeros(len(raw), np.uint64)
-    wide = raw.astype(np.uint64)
-    for d in range(1, depth + 1):
-        key[d:] |= wide[:-d] << np.uint64(8 * (depth + 1 - d))
-    key |= wide
-    return key[at], np.concatenate([[0], np.cumsum(sizes)])
+def grams(body: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of each text and of its end, in order, and the n+1 offsets of each text's grams. body: the texts' bytes
+    one after another; sizes: how many each has. depth: 7 at most."""
+    k = np.arange(1, len(sizes) + 1)
+    raw = np.full(len(body) + len(sizes) * (depth + 1) + 8, EDGE, np.uint8)
+    raw[np.arange(8, len(body) + 8) + np.repeat(k * depth + k - 1, sizes)] = body
+    starts = np.cumsum(np.concatenate([[8], sizes[:-1] + depth + 1])) + depth if len(sizes) else np.zeros(0, np.int64)
+    off = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
+    at = np.arange(off[-1]) + np.repeat(starts - off[:-1], sizes + 1)
+    # Backwards, the context of a place is the bytes that follow it: one unaligned load has them, most recent first.
+    back = raw[::-1].copy()
+    loads = np.ndarray((len(back) - 7,), ">u8", back, strides=(1,))
+    context = loads[len(raw) - at].astype(np.uint64) >> np.uint64(8 * (8 - depth))
+    return (context << np.uint64(8)) | raw[at], off

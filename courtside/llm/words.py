@@ -7,6 +7,7 @@ import numpy as np
 _LETTERS = np.arange(256)
 #: Byte classes: what may stand in a word. Upper and lower ASCII letters share a hash value, which lower-cases for free.
 NOT_SPACE = ~np.isin(_LETTERS, [0x20, *range(0x09, 0x0E)])
+LOWER = np.where((_LETTERS >= 0x41) & (_LETTERS <= 0x5A), _LETTERS + 32, _LETTERS).astype(np.uint8)
 ALPHANUMERIC = (_LETTERS >= 0x80) | np.isin(_LETTERS, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from courtside.llm import html_extraction as html
 from courtside.llm import language_id, lm_scoring, pieces, pii, url_filters
+from courtside.llm.hashed import Table
 from courtside.llm.common import crc_mod
 from courtside.llm.ctw import Levels, grams, log_kt
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def test_kt_and_normalisation():
         assert log_kt(np.array([a]), np.array([b]))[0] == pytest.approx(kt(a, b))
     big = log_kt(np.array([5000]), np.array([4000]))[0]
     assert big == pytest.approx(math.lgamma(5000.5) + math.lgamma(4000.5) - math.log(math.pi) - math.lgamma(9001), rel=1e-12)
-    key, off = grams([b"abracadabra", b"abra"], 3)
+    key, off = grams(np.frombuffer(b"abracadabraabra", np.uint8), np.array([11, 4]), 3)
     seen, n = np.unique(key[:off[1]], return_counts=True)
     context = int(seen[3]) >> 8 << 8
     ask = np.union1d(seen, np.array([context | b for b in range(256)], np.uint64))
@@ -41,25 +42,88 @@ def test_kt_and_normalisation():
     assert p.prod(0)[(ask >> np.uint64(8)) == context >> 8].sum() == pytest.approx(1)
 
 
-def test_scores(spark, monkeypatch):
+def brute_scores(texts, train, depth):
+    """Context-tree weighting by its definition: dictionaries of contexts, one decision at a time."""
+    count, below = {}, {}
+
+    def decisions(text):
+        padded = b"\xff" * depth + text + b"\xff"
+        for at in range(depth, len(padded)):
+            bits = f"{padded[at]:08b}"
+            for k in range(8):
+                yield bits[:k], int(bits[k]), [padded[at - d : at] for d in range(depth + 1)]
+
+    for text, learned in zip(texts, train):
+        for node, bit, contexts in decisions(text) if learned else ():
+            for c in contexts:
+                count.setdefault((node, c), [0, 0])[bit] += 1
+    for node, c in count:
+        if c:
+            below.setdefault((node, c[1:]), []).append((node, c))
+
+    def own(x):
+        z, o = count[x]
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+
+    weight = {}
+    for x in sorted(count, key=lambda x: -len(x[1])):
+        inner = sum(weight[y] for y in below.get(x, []))
+        weight[x] = own(x) if len(x[1]) == depth else math.log(0.5) + max(own(x), inner) + math.log1p(math.exp(-abs(own(x) - inner)))
+    out = []
+    for text in texts:
+        total = 0.0
+        for node, bit, contexts in decisions(text):
+            p = None
+            for c in reversed(contexts):
+                z, o = count.get((node, c), (0, 0))
+                here = ((o if bit else z) + 0.5) / (z + o + 1)
+                if p is None:
+                    p = here
+                else:
+                    stay = math.exp(own((node, c)) + math.log(0.5) - weight[node, c]) if (node, c) in count else 1.0
+                    p = stay * here + (1 - stay) * p
+                p = p if z + o else None
+            total += math.log10(here if p is None else p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [20_000, 2])
+def test_scores(spark, monkeypatch, partitions):
     monkeypatch.setattr(lm_scoring, "UNIT", 10)
-    got = {r.doc_id: r for r in lm_scoring.score_texts(docs(spark), crc_mod("doc_id", 5) == 1, chunk_bytes=200).collect()}
-    canon = [(t or "").encode().lower().split() for t in TEXTS]
-    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(TEXTS))]
+    monkeypatch.setattr(lm_scoring, "PARTITIONS", partitions)
+    rows = [*enumerate(TEXTS), (3, "A"), (4, "a a a"), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame([(i, t, 1.0, 2) for i, t in rows], "doc_id long, text string, score double, gram long")
+    got = [(r.doc_id, tuple(r)[1:]) for r in lm_scoring.score_texts(df, crc_mod("doc_id", 5) == 1, chunk_bytes=200).collect()]
+    canon = [(t or "").encode().lower().split() for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
     c = Counter(w for ws, h in zip(canon, held) if not h for w in [*ws, b""])
     total, kinds = sum(c.values()), len(c)
-    key, off = grams([b" ".join(w) for w in canon], lm_scoring.DEPTH)
-    u, code = np.unique(key, return_inverse=True)
-    p, _ = Levels(u, np.bincount(code, np.repeat(~np.array(held), np.diff(off)), len(u)).astype(int), lm_scoring.DEPTH, 0).mixed()
-    score = np.add.reduceat(np.log10(p).sum(0)[code], off[:-1])
-    for i, ws in enumerate(canon):
-        base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in [*ws, b""])
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws) + 1, sum(c[w] > 0 for w in [*ws, b""]), total)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score[i])
+    joined = [b" ".join(ws) for ws in canon]
+    score = brute_scores(joined, [not h for h in held], lm_scoring.DEPTH)
+    want = []
+    for k, (i, _) in enumerate(rows):
+        all_ = [*canon[k], b""]
+        base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in all_)
+        want.append((i, (held[k], len(all_), sum(c[w] > 0 for w in all_), total, pytest.approx(base), pytest.approx(score[k]), pytest.approx(-score[k] * math.log2(10) / (len(joined[k]) + 1)))))
+    by = lambda x: (x[0] is not None, x[0] or 0)
+    assert sorted(got, key=by) == sorted(want, key=by)
     assert lm_scoring.score_texts(docs(spark, []), F.lit(False)).count() == 0
 
 
+def test_unlearned_scores(spark):
+    (row,) = lm_scoring.score_texts(docs(spark, ["ab"]), F.lit(True)).collect()
+    assert row.score == pytest.approx(3 * 8 * math.log10(0.5)) and row.bits_per_byte == pytest.approx(8) and row.n_known == 0 and row.train_tokens == 0
+
+
+def test_looked_up_values():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 2, 17, 5000):
+        key = np.unique(np.concatenate([rnd.integers(0, 1 << 60, n).astype(np.uint64), np.arange(n // 2, dtype=np.uint64)]))
+        value = rnd.random(len(key))
+        assert (Table(key, value).of(np.tile(key, 3)) == np.tile(value, 3)).all()
+
+
 def test_language(spark):
     rnd = random.Random(1)
     words = {"en": "the and of with that was".split(), "fr": "le les des avec que était".split()}
