@@ -6,12 +6,17 @@ window each and have the hash of all their words as fingerprint. Document and it
 is extended word by word in both directions over the words around it, which proves the match; a match of 10 words or more
 (or of a whole short item) marks its words.
 
-Scale. A fixed bitmap of 2**23 bits (1 MB whatever the benchmark's size, combined by a distributed aggregate) lets a
-document's fingerprints through that some item may have; the rest never leave the scan. The join behind it is a plain
-shuffle join, so the benchmark may grow. Documents are read once, and what survives is written to the shared folder.
+Scale. A bitmap of 16 bits for each fingerprint of the benchmark (2**27 bits, 16 MB, at most; combined by a distributed
+aggregate) lets a document's fingerprints through that some item may have; the rest never leave the scan. Equal
+surroundings of a fingerprint in several items are one row of the index, whose items are attached after the extension. Of
+the 5 words by which a match goes beyond its k-gram at least 3 lie on one side, so the join's key is the fingerprint and the
+3 words before it, or after it: a k-gram that thousands of items and documents have meets only those that go on alike. The
+join is a shuffle join, so the benchmark may grow. Documents are read once, and what survives is written to the shared
+folder.
 
 Defined cases: null or wordless texts have no words and hit nothing; null and wordless items match nothing; repeated
-documents are judged row by row; repeated item ids count once; empty tables work; other columns are not read.
+documents are judged row by row; repeated item ids count once; very long texts are read whole; empty tables work; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, small_batches, string_bytes, table
+from .common import settle, slices, string_bytes, table
 from .words import ALPHANUMERIC, gram_hashes, whole, word_bounds, word_hashes
 
 WINDOW, GRAM = 10, 5
-BITS = 23
+#: Bits of the bitmap for each fingerprint, and the least and the most that it has, as powers of two.
+SPARSE, FEWEST, MOST = 16, 16, 27
 _MAPPED = "uid long, n_words long, hits array<struct<fp:long,n:int,at:array<int>,around:string,lead:int>>"
 
 
@@ -36,17 +43,18 @@ def _lowered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, b: i
     return b" ".join(raw[s:e].tobytes().lower() for s, e in zip(starts[a:b], ends[a:b], strict=True)).decode()
 
 
-def _fingerprints(window: int, gram: int, short: list[int], bitmap: np.ndarray | None, items: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapper from (uid, text) to each text's word count and fingerprints with the words around them. With a bitmap,
-    only fingerprints in it are returned. items: a text of fewer words than a window is itself a window; documents look
+def _fingerprints(window: int, gram: int, short: list[int], known: Broadcast | None, items: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapper from (uid, text) to each text's word count and fingerprints with the words around them. With a known
+    bitmap, only fingerprints in it are returned. items: a text of fewer words than a window is itself a window; documents look
     for those of each length in `short` at every place instead."""
     spread = window - gram + 1
     schema = pa.schema([("uid", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("at", pa.list_(pa.int32())), ("around", pa.string()), ("lead", pa.int32())])))])
 
     def passes(g: np.ndarray) -> np.ndarray:
-        if bitmap is None:
+        if known is None:
             return np.ones(len(g), bool)
-        place = g >> np.uint64(64 - BITS)
+        bitmap = known.value
+        place = g >> np.uint64(65 - (8 * len(bitmap)).bit_length())
         return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,29 +107,39 @@ def _fingerprints(window: int, gram: int, short: list[int], bitmap: np.ndarray |
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, and items (their ids)."""
     spark = docs.sparkSession
-    small_batches(spark)
     tests = settle(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id()))
-    index = settle(tests.select("uid", "text").mapInArrow(_fingerprints(window, gram, [], None, True), _MAPPED).select("uid", F.explode("hits").alias("x")).select("uid", "x.*").join(tests.select("uid", "item"), "uid").drop("uid", "at"))
+    found = settle(tests.select("uid", "text").mapInArrow(_fingerprints(window, gram, [], None, True), _MAPPED).select("uid", F.explode("hits").alias("x")).select("uid", "x.fp", "x.n", "x.around", "x.lead"))
+    index = settle(found.select("fp", "n", "around", "lead").distinct().withColumn("place", F.monotonically_increasing_id()))
+    owners = settle(found.join(index, ["fp", "n", "around", "lead"]).join(tests.select("uid", "item"), "uid").select("place", "item").distinct())
     short = sorted(r.n for r in index.where(F.col("n") < window).select("n").distinct().collect())  # window - 1 lengths at most
-    # The fingerprints' leading bits, gathered into bytes where they are: 2**(BITS-3) rows at most reach the driver.
-    place = F.shiftrightunsigned("fp", 64 - BITS)
-    bytes_ = index.groupBy(F.shiftright(place, 3).alias("i")).agg(F.bit_or(F.expr(f"cast(shiftleft(1, cast(shiftrightunsigned(fp, {64 - BITS}) & 7 as int)) as int)")).alias("b")).collect()
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in bytes_:
-        bitmap[r.i] = r.b
+    # The fingerprints' leading bits, gathered into bytes where they are.
+    bits = min(MOST, max(FEWEST, (SPARSE * index.count()).bit_length()))
+    lead = F.shiftrightunsigned("fp", 64 - bits)
+    bytes_ = index.groupBy(F.shiftright(lead, 3).alias("i")).agg(F.bit_or(F.expr(f"cast(shiftleft(1, cast(shiftrightunsigned(fp, {64 - bits}) & 7 as int)) as int)")).alias("b")).toArrow()  # 2**(MOST-3) rows at most
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    bitmap[bytes_.column("i").to_numpy()] = bytes_.column("b").to_numpy()
+    bitmap_ = spark.sparkContext.broadcast(bitmap)
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
-    mapped = settle(_with_id(rows, _fingerprints(window, gram, short, bitmap, False)))
+    mapped = settle(_with_id(rows, _fingerprints(window, gram, short, bitmap_, False)))
     hits = mapped.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("x")).select("uid", "x.*")
-    pairs = hits.alias("d").join(index.alias("b"), ["fp", "n"]).select(
-        "uid", "item", "n", "at", F.split("d.around", " ").alias("a"), F.split("b.around", " ").alias("b"), F.col("d.lead").alias("i"), F.col("b.lead").alias("j")
-    )
+    half = -(-(window - gram) // 2)
+
+    def keyed(df: DataFrame, words: str) -> DataFrame:
+        """df's fingerprints with what goes on alike: the words before, the words after, or nothing for a short item."""
+        before = f"if(lead >= {half}, struct('before' as side, concat_ws(' ', slice({words}, lead - {half - 1}, {half})) as next), null)"
+        after = f"if(size({words}) - lead - {gram} >= {half}, struct('after' as side, concat_ws(' ', slice({words}, lead + {gram + 1}, {half})) as next), null)"
+        df = df.withColumn(words, F.split("around", " ")).drop("around")
+        return df.withColumn("key", F.explode(F.expr(f"if(n < {window}, array(struct('' as side, '' as next)), array_compact(array({before}, {after})))"))).select("*", "key.side", "key.next").drop("key")
+
+    pairs = keyed(hits, "a").withColumnRenamed("lead", "i").join(keyed(index, "b").withColumnRenamed("lead", "j"), ["fp", "n", "side", "next"])
     # Extension: how many words before and after the k-gram agree; the k-gram itself is compared too.
     pairs = pairs.withColumn("left", F.expr("aggregate(sequence(0, least(i, j)), 0, (s, x) -> if(x > 0 and s = x - 1 and a[i - x] = b[j - x], x, s))"))
     pairs = pairs.withColumn("right", F.expr("aggregate(sequence(0, least(size(a) - i, size(b) - j)), 0, (s, x) -> if(x > 0 and s = x - 1 and a[i + x - 1] = b[j + x - 1], x, s))"))
-    spans = pairs.where("left + right >= n").select("uid", "item", F.expr("transform(at, p -> struct(p - left as lo, p + right as hi))").alias("spans"))
-    per = spans.select("uid", "item", F.explode("spans").alias("span")).groupBy("uid").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("item").alias("items"))
-    per = per.select(
+    matched = settle(pairs.where("left + right >= n").select("uid", "place", F.expr("transform(at, p -> struct(p - left as lo, p + right as hi))").alias("spans")).distinct())
+    spans = matched.select("uid", F.explode("spans").alias("span")).groupBy("uid").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    items = matched.select("uid", "place").distinct().join(owners, "place").groupBy("uid").agg(F.collect_set("item").alias("items"))
+    per = spans.join(items, "uid").select(
         "uid",
         F.expr("aggregate(spans, struct(0 as stop, 0L as total), (s, x) -> struct(greatest(s.stop, x.hi) as stop, s.total + greatest(0, x.hi - greatest(x.lo, s.stop)) as total), s -> s.total)").alias("n_hit"),
         F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"),
