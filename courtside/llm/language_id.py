@@ -9,11 +9,11 @@ frequencies), by follow-the-regularised-leader steps with L1 and L2 penalties, w
 of the sample is kept back to fit one temperature by which the logits are divided, so that scores are probabilities.
 
 Prediction reads the text alone. The model (32,768 buckets for each language) is broadcast; its size depends on the
-number of languages only, of which at most LANGUAGES are learned (an error otherwise).
+number of languages only: 0.13 MB each, and 0.5 MB each on the driver while it is fitted.
 
 Defined cases: a text that is null or without a letter is `und` with score 0; without training texts all are `und`; ties
-go to the first language in order; null labels teach nothing; repeated rows are judged row by row; empty tables work;
-other columns are carried and not read.
+go to the first language in order; null labels teach nothing; repeated rows are judged row by row; very long texts are
+read whole; empty tables work; other columns are carried and not read, those named like the two new ones are replaced.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, small_batches, table
+from .common import crc_mod, slices, table
 
-BUCKETS, SAMPLE, LANGUAGES, EPOCHS = 1 << 15, 1000, 1000, 4
+BUCKETS, SAMPLE, EPOCHS = 1 << 15, 1000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-3
 
 
@@ -153,24 +153,24 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
     """learn: a boolean column of docs, true where a row may teach."""
-    small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).alias("lang"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     df = np.zeros(BUCKETS)
-    for r in rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():  # one row a bucket
-        df[r.bucket] = r.df
+    seen = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()  # one row a bucket
+    df[seen.column("bucket").to_numpy()] = seen.column("df").to_numpy()
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
     order = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40))
     cut = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample / n) * (1 << 40))))), F.col("lang"))
-    chosen = rows.withColumn("order", order).where(F.col("order") <= cut).select("lang", "order", "text").mapInArrow(_vectors, "lang string, order long, bucket array<int>, share array<float>").toArrow()
+    chosen = rows.withColumn("order", order).where(F.col("order") <= cut).select("lang", "order", "text").mapInArrow(_vectors, "lang string, order long, bucket array<int>, share array<float>").toArrow().combine_chunks()
     place = {lang: i for i, lang in enumerate(languages)}
-    found = sorted(((o, np.array(b, np.int64), np.array(s, float), place[lang]) for lang, o, b, s in zip(*(chosen.column(c).to_pylist() for c in ("lang", "order", "bucket", "share")), strict=True)), key=lambda x: (x[0], x[3], len(x[1])))
-    found = [x[1:] for x in found]
+    label, turn = np.array([place[x] for x in chosen.column("lang").to_pylist()], np.int64), chosen.column("order").to_numpy()
+    lists = [chosen.column(c).combine_chunks() for c in ("bucket", "share")]
+    off, (bucket, share) = lists[0].offsets.to_numpy(), (x.values.to_numpy() for x in lists)
+    # Views into the collected arrays, in an order that doesn't depend on how rows arrive.
+    found = [(bucket[off[i] : off[i + 1]], share[off[i] : off[i + 1]], int(label[i])) for i in np.lexsort((np.diff(off), label, turn)).tolist()]
     kept_back = found[::5] if len(found) >= 20 else []
     fitted = [x for i, x in enumerate(found) if i % 5] if kept_back else found
     weights, bias = fit(fitted, len(languages), idf)
@@ -181,8 +181,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns: the language and its probability."""
+    """docs with two more columns: the language and its probability. Columns of docs with these names go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*({lang, score} - {text_col}))
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
