@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,16 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else the context's own, else (tests) a local one."""
+    """The folder that all executors share: spark.checkpoint.dir, else the context's own checkpoint folder. Where neither is
+    set, a local one serves a session of a single machine; on a cluster that is an error."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    here = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if here.isDefined():
-        return here.get()
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="courtside-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="courtside-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -58,10 +59,20 @@ def unsettle(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of an Arrow batch, so that a run of very long texts can't fill a worker's memory."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)) in (str(2**31 - 1), "2147483647b", "-1"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Keys with more than this many rows, and more than this share of all, are dealt out in parts by join_one.
+HOT_ROWS, HOT_SHARE = 5000, 10_000
+
+
+def join_one(rows: DataFrame, one: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined with a settled table that has one row a key and, in n, how many of the rows have that key. Keys that
+    have over HOT_ROWS rows and over one in HOT_SHARE of all (so HOT_SHARE keys at most, which are broadcast) are dealt
+    out by `spread`, a hash of what tells rows apart; their row of `one` is repeated for each part."""
+    per = one.agg(F.greatest(F.lit(float(HOT_ROWS)), F.sum("n") / HOT_SHARE).alias("__per"))
+    hot = one.crossJoin(F.broadcast(per)).where("n > __per").select(*on, F.ceil(F.col("n") / F.col("__per")).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    many = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.pmod(spread, parts).cast("int")).drop("__parts")
+    repeated = one.join(F.broadcast(hot), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return many.join(repeated, [*on, "__part"], how).drop("__part")
 
 
 def crc_mod(id_col: str, m: int) -> Column:

@@ -6,8 +6,9 @@ keyed by (digest, whole text) combines the winners of the salts. Keys hold the w
 each stage and a digest only decides where a row goes. A content of which a third of the corpus are copies sends at most
 one row per task to the salted stage and at most `salts` rows to the last one.
 
-The winners then reach the rows by a join on the digest alone, which is exact wherever one content has that digest. Digests
-shared by several contents (none with SHA-256) are joined by whole text instead.
+The winners then reach the rows by a join on the digest alone, which is exact wherever one content has that digest; a digest
+of very many rows is dealt out in parts, each with a copy of its winner. Digests shared by several contents (none with
+SHA-256) are joined by whole text instead.
 
 Defined cases: null text is empty; texts differing only in white space are equal; leading and trailing white space counts
 as one space, so " a" is not "a"; a row with a null id never wins while the group has another, and stays if all are null;
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle, table
+from .common import SPACE, join_one, settle, table
 
 
 def normalised(text: Column) -> Column:
@@ -38,7 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = settle(merged.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.min("keep").alias("keep"), F.sum("n").alias("n")))
     single = winners.where("contents = 1").drop("contents")
     sha = F.sha2("body", 256).alias("sha")
-    out = rows.select("id", "digest", sha).join(single, "digest")
+    out = join_one(rows.select("id", "digest", sha), single, ["digest"], F.xxhash64("id"))
     shared = winners.where("contents > 1").select("digest")
     if not shared.isEmpty():  # digests that several contents have: whole texts are the key
         few = rows.join(shared, "digest", "left_semi")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table
+from .common import slices, table
 
 SAMPLE, EPOCHS, RATE, PENALTY = 300, 6, 0.5, 1e-5
 
@@ -295,7 +295,6 @@ def fit(pages: list[tuple[list[list[str]], list[int], list[int]]]) -> TreeModel:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> TreeModel:
-    small_batches(pages.sparkSession)
     n = pages.count()
     cut = int(min(1.0, sample / max(n, 1)) * (1 << 40))
     some = pages.where(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) <= cut).select(F.coalesce(F.col(html_col), F.lit("")).alias("html"))

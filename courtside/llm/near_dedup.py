@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, string_bytes, table, unsettle
+from .common import join_one, settle, slices, string_bytes, table, unsettle
 from .components import components
 from .words import NOT_SPACE, gram_hashes, mixed, whole, word_bounds, word_hashes
 
@@ -181,7 +181,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = source.schema["id"].dataType.simpleString()
     described = settle(source.mapInArrow(_described(bands, rows), f"uid long, id {kind}, text string, n long, k1 long, k2 long, {', '.join(f'{b} long' for b in _BITS)}, bands array<long>"))
     linkable = described.where("n > 0 and id is not null")
-    classes = settle(linkable.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("id").alias("least")))
+    classes = settle(linkable.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
 
     own = linkable.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "node")
     buckets = own.select("node", F.explode("bands").alias("bucket"))
@@ -225,12 +225,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for done in (members, info, links, first, open_, fine, more):
         unsettle(done)
 
-    named = classes.join(roots, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    final = named.join(least, "root").select("k1", "k2", "component")
-    out = described.select("id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    named = classes.join(roots, "node", "left").select("k1", "k2", F.col("n").alias("copies"), "least", F.coalesce("root", "node").alias("root"))
+    least = settle(named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")))
+    final = settle(join_one(named.drop("least"), least, ["root"], F.xxhash64("k1")).select("k1", "k2", "component", F.col("copies").alias("n")))
+    in_class = join_one(linkable.select("uid", "id", F.col("n").alias("size"), "k1", "k2"), final, ["k1", "k2"], F.xxhash64("uid")).select("id", "size", "component")
+    alone = described.where("not (n > 0 and id is not null)").select("id", F.col("n").alias("size"), F.col("id").alias("component"))
+    kept = F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    return in_class.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), kept)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, small_batches, table
+from .common import settle, slices, table
 
 ROUNDS, STEPS = 8, 32
 
@@ -326,7 +326,6 @@ def surrogate_steps(entities: DataFrame, key: bytes) -> DataFrame:
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text with surrogates, n_entities, and entities: kind, start, stop in the new text."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     found = settle(rows.mapInArrow(_found, f"id {kind}, th long, kind string, entity string"))
