@@ -2,18 +2,21 @@
 
 What is removed. Lines without a word don't count in comparisons. A run is a stretch of consecutive lines with words; it
 is repeated if an equal run of at least `least` words starts earlier, in order of (id, place). Every line of such a later
-run is removed, and wordless lines inside its shortest windows (see below); the first occurrence stays. Within one document an occurrence that overlaps
-the first one is not a repetition.
-
-Method. For each line the window is the shortest run from it that has `least` words; the smallest line hash in it is its
-fingerprint. Any repeated run holds a whole window, so both occurrences have kept the same fingerprint: documents without
-a fingerprint that another place shares are done. In the others a match is extended both ways: every shortest run from a
-line forward, and every one from a line backward, is compared by its 128-bit content key with its first occurrence, and
-together these cover each repeated run from its first line to its last. All is one row per line at most, combined by
-hash; no pairs are made, however many documents share a run.
+run is removed, and wordless lines between two lines that one shortest window removes, since they belong to the passage;
+the first occurrence stays. Within one document an occurrence that overlaps the first one is not a repetition.
+
+Method. The window of a line is the shortest run from it, and the shortest run up to it, that has `least` words. The
+smallest line hash in a window is its fingerprint, kept with its position, so any two equal runs of `least` words keep
+equal fingerprints. Positions are joined over their fingerprints: those that no second position shares are done, and with
+them their windows. Around the others a match is extended both ways, forward from each line and backward from each line, as
+far as windows still hold a shared position: equal windows are those whose fingerprint and SHA-256 digest of all their
+lines agree, and the first of them, in order, is what the later ones repeat. Together these windows cover each repeated run
+from its first line to its last. All is one row per line and direction at most, combined by hash; no pairs are made, however
+many documents share a run, and the rows of a run that very many share are dealt out in parts.
 
 Defined cases: null text stays null and takes no part; empty texts stay; rows with the same id and text are one document
-and are treated alike; null ids come first; empty tables work; other columns are returned as they are.
+and are treated alike; null ids come first; very long texts are read whole; empty tables work; other columns are returned as
+they are.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import join_one, settle, table, unsettle
 
 LEAST = 50
 _WORD = r"[^\\x20\\x09-\\x0D]+"
@@ -37,28 +40,28 @@ def removed_runs(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
         F.expr("transform(x, s -> s.at)").alias("at"),
         F.expr(f"transform(x, s -> least(s.w, {least}))").alias("w"),
         F.expr("transform(x, s -> xxhash64(s.l))").alias("h"),
-        F.expr("transform(x, s -> xxhash64('line', s.l))").alias("g"),
+        F.expr("transform(x, s -> unhex(sha2(s.l, 256)))").alias("d"),
     )
     step = f"struct(0 as s, 0 as n), (a, v) -> if(a.s >= {least}, a, struct(a.s + v as s, a.n + 1 as n)), a -> if(a.s >= {least}, a.n, 0)"
-    narrow = narrow.withColumn("ahead", F.expr(f"transform(w, (v, i) -> aggregate(slice(w, i + 1, {least}), {step}))"))
-    narrow = narrow.withColumn("back", F.expr(f"transform(w, (v, i) -> aggregate(reverse(slice(w, greatest(i - {least - 1}, 0) + 1, least({least}, i + 1))), {step}))"))
-    narrow = settle(narrow.drop("w"))
-
-    windows = narrow.select("id", "th", F.expr("array_distinct(transform(filter(transform(ahead, (n, i) -> struct(i as i, n as n)), s -> s.n > 0), s -> struct(array_min(slice(h, s.i + 1, s.n)) as fp, s.i + array_position(slice(h, s.i + 1, s.n), array_min(slice(h, s.i + 1, s.n))) as at)))").alias("kept"))
-    prints = windows.select("id", "th", F.explode("kept").alias("k")).select("id", "th", "k.fp")
-    shared = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    touched = prints.join(shared, "fp", "left_semi").select("id", "th").distinct()
-
-    d, t = narrow.alias("d"), touched.alias("t")
-    some = d.join(t, F.col("d.id").eqNullSafe(F.col("t.id")) & (F.col("d.th") == F.col("t.th")), "left_semi")
-    forward = "transform(ahead, (n, i) -> struct(i as a, i + n - 1 as b, n as n))"
-    backward = "transform(back, (n, i) -> struct(i - n + 1 as a, i as b, n as n))"
-    runs = some.select("id", "th", F.explode(F.expr(f"transform(array_distinct(filter(concat({forward}, {backward}), s -> s.n > 0)), s -> struct(s.a as a, s.b as b, xxhash64(slice(h, s.a + 1, s.n)) as k1, xxhash64(slice(g, s.a + 1, s.n)) as k2, at[s.a] as lo, at[s.b] as hi))")).alias("r")).select("id", "th", "r.*")
-    runs = settle(runs.distinct())
-    first = runs.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "a", "b")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    ahead = f"transform(w, (v, i) -> struct(i as a, aggregate(slice(w, i + 1, {least}), {step}) as n))"
+    back = f"transform(transform(w, (v, i) -> struct(i as b, aggregate(reverse(slice(w, greatest(i - {least - 1}, 0) + 1, least({least}, i + 1))), {step}) as n)), s -> struct(s.b - s.n + 1 as a, s.n as n))"
+    spans = f"array_distinct(filter(concat({ahead}, {back}), s -> s.n > 0))"
+    # Each window with its fingerprint, where that stands, and the digest of its lines; a window of one line has its own.
+    window = "transform(spans, s -> struct(s.a as a, s.a + s.n - 1 as b, at[s.a] as lo, at[s.a + s.n - 1] as hi, array_min(slice(h, s.a + 1, s.n)) as fp, if(s.n = 1, d[s.a], unhex(sha2(concat_ws('', transform(slice(d, s.a + 1, s.n), x -> hex(x))), 256))) as k, slice(h, s.a + 1, s.n) as hs))"
+    placed = "transform(windows, s -> struct(s.a as a, s.b as b, s.lo as lo, s.hi as hi, s.fp as fp, s.k as k, s.a + cast(array_position(s.hs, s.fp) as int) - 1 as p))"
+    windows = narrow.withColumn("spans", F.expr(spans)).select("id", "th", F.expr(window).alias("windows")).select("id", "th", F.inline(F.expr(placed)))
+    windows = settle(windows)
+
+    positions = windows.select("fp", "id", "th", "p").distinct()
+    shared = settle(positions.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = settle(join_one(windows, shared, ["fp"], F.xxhash64("id", "a")).drop("n").distinct())
+    first = settle(met.groupBy("fp", "k").agg(F.min(F.struct("id", "th", "a", "b")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    later = runs.join(first, ["k1", "k2"]).where(~same | (F.col("a") > F.col("first.b")))
-    return later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("cuts"))
+    later = join_one(met, first, ["fp", "k"], F.xxhash64("id", "a")).where(~same | (F.col("a") > F.col("first.b")))
+    cuts = settle(later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("cuts")))
+    for done in (windows, shared, met, first):
+        unsettle(done)
+    return cuts
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, counts: bool = False) -> DataFrame:
