@@ -6,14 +6,19 @@ parent's and child's states. Sum-product messages from the leaves up and from th
 runs of text above one half are the page's text.
 
 Training. Labelled pages are (a) a sample of at most about SAMPLE pages of the corpus, chosen by a hash of the id, that
-mark their text with one <article>, and (b) generated pages that show common kinds of boilerplate in and around an
-article. Node weights are fitted by logistic regression, edge potentials by the ratio of joint to separate frequencies.
+mark their text with one <article> and have NODES nodes at most (SAMPLE and NODES bound what is fitted, nothing else), and
+(b) generated pages that show common kinds of boilerplate in and around a text, with and without an article, whole or split
+over several containers. Node weights are fitted by logistic regression, edge potentials by the ratio of joint to separate
+frequencies.
 
-Scale. Pages are read once, each on its own; the model has one weight for each feature seen in the bounded sample.
+Scale. Pages are read once, each on its own, in time that grows with the page's length; the model has one weight for each
+feature seen in the bounded sample.
 
 Defined cases: null and empty html give an empty text; unclosed tags, raw text elements, comments and broken references
-are read as browsers with scripts do, and what they don't show (scripts, styles, templates, frames) is no text; svg, math
-and object are part of the text around them, with /> honoured in svg and math; <br> counts as white space; repeated rows are extracted row by row; other columns are not read.
+are read as browsers with scripts do, and what they don't show (scripts, styles, templates, frames, a last tag without an
+end) is no text; svg, math and object are part of the text around them, with /> honoured in svg and math; <br> counts as
+white space; a run of text whose two states are equally likely is left out; pages may have any length; repeated rows are
+extracted row by row; empty tables work; other columns are not read, not even those named like the new one.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-SAMPLE, EPOCHS, RATE, PENALTY = 300, 6, 0.5, 1e-5
+SAMPLE, NODES, EPOCHS, RATE, PENALTY = 300, 2000, 6, 0.5, 1e-5
 
 # HTML's own element classes.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
@@ -44,9 +49,15 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 LEAVES_FOREIGN = CLOSES_P | SAME_LEVEL.keys() | set("body button embed head iframe img input label noscript object select template textarea".split())
 BOILERPLATE = {"nav", "aside", "footer", "form", "head", "button", "dialog", "menu", "select"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")  # a slash at its end is part of the value
+CONTAINERS = ("ul", "ol", "dl", "table", "select", "div", "article", "section", "template")
+CHOICES = {"select", "option", "optgroup"}
+
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"
+#: A comment, a tag or a declaration; nothing is read twice, however a page ends.
+_TOKEN = re.compile(rf"<!--(?:>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
+_BEGUN = re.compile(r"</?[a-zA-Z]")
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
 _SPACES = re.compile(r"[\s\xa0]+")
 _NAMES = re.compile(r"[a-z]+")
 
@@ -61,40 +72,70 @@ class Node:
     linked: int = 0
 
 
+class _Open:
+    """The stack of open elements, and for each tag the places where it stands in it."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack, self.places = nodes, [0], defaultdict(list)
+        self.others: list[int] = [0]  # places of what isn't a list of choices
+
+    def push(self, i: int) -> None:
+        tag = self.nodes[i].tag
+        self.places[tag].append(len(self.stack))
+        if tag not in CHOICES:
+            self.others.append(len(self.stack))
+        self.stack.append(i)
+
+    def last(self, *tags: str) -> int:
+        """The innermost place of any of these tags, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def close(self, k: int) -> None:
+        for i in self.stack[k:]:
+            tag = self.nodes[i].tag
+            self.places[tag].pop()
+            if tag not in CHOICES:
+                self.others.pop()
+        del self.stack[k:]
+
+
 def parse(page: str) -> list[Node]:
     """The page's block elements and runs of text (tag #text), each after its parent."""
     nodes = [Node("#root", -1)]
-    stack: list[int] = [0]
+    here = _Open(nodes)
     links, run, foreign = 0, None, 0
-    inert = 0  # templates that are open
-    at, end = 0, len(page)
+    unclosed: set[str] = set()  # raw text elements that no end tag follows any more
+    at, seen, end = 0, 0, len(page)
 
     def put(raw: str) -> None:
         nonlocal run
-        if not raw or inert:
+        if not raw or here.places["template"]:
             return
         if run is None:
             if not raw.strip():
                 return
-            nodes.append(Node("#text", stack[-1]))
+            nodes.append(Node("#text", here.stack[-1]))
             run = len(nodes) - 1
         nodes[run].text.append(raw)
         if links:
             nodes[run].linked += len(raw)
 
     def close(k: int) -> None:
-        nonlocal run, inert
-        inert -= sum(nodes[i].tag == "template" for i in stack[k:])
-        del stack[k:]
+        nonlocal run
+        here.close(k)
         run = None
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        seen = page.find("<", seen)
+        m = _TOKEN.match(page, seen) if seen >= 0 else None
         if m is None:
-            put(page[at:])
+            if seen >= 0 and not _BEGUN.match(page, seen):
+                seen += 1  # a sign of its own
+                continue
+            put(page[at : seen if seen >= 0 else end])  # a tag that never ends isn't shown
             break
-        put(page[at : m.start()])
-        at = m.end()
+        put(page[at:seen])
+        at = seen = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -104,17 +145,14 @@ def parse(page: str) -> list[Node]:
             if tag in FOREIGN:
                 foreign = max(0, foreign - 1)
             elif tag not in INLINE and tag not in VOID:
-                for k in range(len(stack) - 1, 0, -1):
-                    here = nodes[stack[k]].tag
-                    if here == tag:
-                        close(k)
-                        links = foreign = 0
-                        break
-                    if here == "template":
-                        break
+                k = here.last(tag)
+                if k and k >= here.last("template"):
+                    close(k)
+                    links = foreign = 0
             continue
+        attributes = list(_ATTRIBUTE.finditer(m[3]))
         if tag in FOREIGN or foreign and tag not in LEAVES_FOREIGN:
-            if m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+            if m[3].endswith("/") and not (attributes and attributes[-1].end() == len(m[3])):
                 continue
             if tag not in RAW:
                 foreign += tag in FOREIGN
@@ -122,46 +160,36 @@ def parse(page: str) -> list[Node]:
         else:
             foreign = 0
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            stop = None if tag in unclosed else _RAW_END[tag].search(page, at)
+            if stop is None:
+                unclosed.add(tag)
             if stop or tag != "noscript":
-                at = stop.end() if stop else end
+                at = seen = stop.end() if stop else end
                 run = None if not foreign else run
                 continue
         if tag == "br":
             put(" ")
         if tag == "a":
             links = 1
-        if tag in INLINE:
-            continue
-        if tag in VOID:
+        if tag == "hr":
             run = None
+        if tag in CLOSES_P and nodes[here.stack[-1]].tag == "p":
+            close(len(here.stack) - 1)
+        if tag in INLINE or tag in VOID:
             continue
-        if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
-            close(len(stack) - 1)
-        if tag in CLOSES_P and tag != "hr":  # a list of choices that wasn't closed
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag not in ("select", "option", "optgroup"):
-                    break
-                if nodes[stack[k]].tag == "select":
-                    close(k)
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            here = nodes[stack[k]].tag
-            if here in SAME_LEVEL.get(tag, ()):
-                close(k)
-                break
-            if here in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "template"):
-                break
+        if tag in CLOSES_P and here.last("select") > here.others[-1]:  # a list of choices that wasn't closed
+            close(here.last("select"))
+        if (k := here.last(*SAME_LEVEL.get(tag, ()))) and k > here.last(*(t for t in CONTAINERS if t not in SAME_LEVEL[tag])):
+            close(k)
         names, keep = [], None
-        for name, value in _ATTRIBUTE.findall(m[3]):
-            value = value.strip("\"'")
+        for name, value in (x.groups() for x in attributes):
+            value = (value or "").strip("\"'")
             if name.lower() in ("class", "id", "role"):
                 names += _NAMES.findall(value.lower())
             elif name.lower() == "data-keep":
                 keep = value
-        nodes.append(Node(tag, stack[-1], names, keep))
-        stack.append(len(nodes) - 1)
-        inert += tag == "template"
+        nodes.append(Node(tag, here.stack[-1], names, keep))
+        here.push(len(nodes) - 1)
         run, links = None, 0
     return nodes
 
@@ -170,30 +198,33 @@ def block_text(node: Node) -> str:
     return _SPACES.sub(" ", references.unescape("".join(node.text))).strip()
 
 
-def features(nodes: list[Node]) -> list[list[str]]:
-    """Each node's features: its own, and its nearest ancestors' tags and names."""
-    near: list[tuple[str, tuple[str, ...], str]] = []  # nearest section tag, nearest names, kind of path
-    out: list[list[str]] = []
+def _described(nodes: list[Node]) -> Iterator[tuple[list[str], tuple[str, ...]]]:
+    """Each node's own features, and the names that it has or takes from its nearest ancestor with names."""
+    near: list[tuple[str, tuple[str, ...]]] = []  # nearest section tag, nearest names
     for n in nodes:
         if n.parent < 0:
-            near.append(("", (), ""))
-            out.append(["root"])
+            near.append(("", ()))
+            yield ["root"], ()
             continue
-        section, names, _ = near[n.parent]
+        section, names = near[n.parent]
         if n.tag in ("article", "main", "section", "header", *BOILERPLATE):
             section = n.tag
         if n.names:
             names = tuple(n.names)
-        near.append((section, names, ""))
-        x = ["bias", f"tag={n.tag}", f"section={section}", f"up={nodes[n.parent].tag}", *(f"name={w}" for w in names)]
+        near.append((section, names))
+        x = ["bias", f"tag={n.tag}", f"section={section}", f"up={nodes[n.parent].tag}"]
         if n.tag == "#text":
             text = "".join(n.text)
             size = len(text)
             x += [f"size={min(8, int(math.log2(1 + size / 8)))}", f"links={int(4 * n.linked / max(size, 1))}", f"stops={min(4, sum(map(text.count, '.!?')))}"]
             if "©" in text or "&copy" in text:
                 x.append("copyright")
-        out.append(x)
-    return out
+        yield x, names
+
+
+def features(nodes: list[Node]) -> list[list[str]]:
+    """Each node's features: its own, and its nearest ancestors' tags and names."""
+    return [[*x, *(f"name={w}" for w in names)] for x, names in _described(nodes)]
 
 
 def labels(nodes: list[Node]) -> list[int] | None:
@@ -219,7 +250,8 @@ _WORDS = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmo
 
 
 def generated() -> Iterator[str]:
-    """Labelled pages: each kind of boilerplate beside and inside an article, in several kinds of container."""
+    """Labelled pages: each kind of boilerplate beside and inside a text, in several kinds of container: one article, one
+    container without it, or several containers one after the other, with boilerplate between them."""
     long = f"<p>{_WORDS} {_WORDS}</p><p>{_WORDS}</p>"
     for i, name in enumerate(_AROUND):
         box = ("div", "section", "aside", "ul")[i % 4]
@@ -227,10 +259,13 @@ def generated() -> Iterator[str]:
         junk = f"<{box} class='{name}' data-keep='0'>{inner}</{box}>"
         ask = ("Name", "Your address", "Search", "Leave a message here")[i % 4]
         form = f"<form data-keep='0'><label>{ask}</label> <input name='n'><div>{ask} again<input></div><select><option>One</option><option>Another</option></select><button>Send it</button></form>"
-        host = ("article", f"div class='{_WITHIN[i % len(_WITHIN)]}'", f"main id='{_WITHIN[i % len(_WITHIN)]}'")[i % 3]
+        within = _WITHIN[i % len(_WITHIN)]
+        host = ("article", f"div class='{within}'", f"main id='{within}'", f"section class='{within}-part'", "div", "section", "main")[i % 7]
         end = host.split()[0]
         menu = "<nav data-keep='0'><ul><li><a href='#'>Home</a></li><li><a href='#'>About us</a></li></ul></nav>"
-        yield f"<body><header data-keep='0'>Site name {menu}</header>{junk}<{host} data-keep='1'><h1>A title</h1>{long}{junk}{form}<ul><li>{_WORDS[:80]}</li></ul><blockquote>{_WORDS}</blockquote></{end}><aside data-keep='0'><p>{_WORDS[:70]}</p></aside><footer data-keep='0'>&copy; Site &middot; {_WORDS[:40]}</footer></body>"
+        more = f"<{host} data-keep='1'><h2>A part</h2>{long}</{end}>{junk}" * (i % 3)
+        crumbs = "<div data-keep='0'><a href='#'>Home</a> / <a href='#'>A part</a></div>"
+        yield f"<body><header data-keep='0'>Site name {menu}</header>{crumbs}{junk}<div>{more}<{host} data-keep='1'><h1>A title</h1>{long}{junk}{form}<ul><li>{_WORDS[:80]}</li></ul><blockquote>{_WORDS}</blockquote></{end}></div><aside data-keep='0'><p>{_WORDS[:70]}</p></aside><footer data-keep='0'>&copy; Site &middot; {_WORDS[:40]}</footer></body>"
 
 
 @dataclass
@@ -239,7 +274,12 @@ class TreeModel:
     edge: tuple[tuple[float, float], tuple[float, float]]  # log potentials by parent's and child's state
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        own = [sum(map(self.weights.get, x, [0.0] * len(x))) for x in features(nodes)]
+        weight, by_names = self.weights.get, {}  # names are summed once, however many nodes take the same ones over
+        own = []
+        for x, names in _described(nodes):
+            if (of_names := by_names.get(id(names))) is None:
+                of_names = by_names[id(names)] = sum(weight(f"name={w}", 0.0) for w in names)
+            own.append(sum(map(weight, x, [0.0] * len(x))) + of_names)
         (e00, e01), (e10, e11) = self.edge
         n = len(nodes)
         up0, up1 = [0.0] * n, own[:]
@@ -304,7 +344,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
             out = []
             for page in batch.column("html").to_pylist():
                 nodes = parse(page)
-                if (y := labels(nodes)) is not None and len(nodes) <= 2000:  # a longer page teaches what shorter ones do
+                if (y := labels(nodes)) is not None and len(nodes) <= NODES:
                     out.append(json.dumps([features(nodes), y, [x.parent for x in nodes]]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["page"])
 
@@ -316,6 +356,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per page: id, the columns of `keep`, text."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(c for c in keep if c not in (id_col, "text"))
     rows = pages.select(id_col, *keep, F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     names = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
