@@ -1,5 +1,10 @@
 """Urls that part below the fourth segment."""
 
+import random
+from collections import defaultdict
+from statistics import mean, pvariance
+
+import pytest
 from courtside.llm import url_filters
 from pyspark.sql import functions as F
 
@@ -13,3 +18,114 @@ def test_urls_part_at_any_level(spark):
     assert got[1].template == "/a/b/c/d/e/bad/page" and got[100].verdict == "allow" and got[100].template.count("x") == 300
     cut = {r.page_id: r for r in url_filters.judge_urls(df, [], label=known, depth=4).collect()}
     assert cut[1].template == "/a/b/c/d/**"
+
+
+def brute_templates(counts, support, variable, z, alike):
+    """The tree by its definition. counts: {(host, shape): (urls, labelled, blocked)}; gives {(host, shape): (template, inherited)}."""
+    template = {k: list(k[1]) for k in counts}
+    inherited = dict.fromkeys(counts)
+    fixed = lambda s: "{" in s or "*" in s
+    depth = max((len(k[1]) for k in counts), default=0)
+
+    def at(k):
+        nodes = defaultdict(lambda: defaultdict(list))
+        for key, t in template.items():
+            if len(t) > k:
+                nodes[key[0], tuple(t[:k])][t[k]].append(key)
+        return nodes
+
+    def backed(nodes, tail):
+        share, out = {}, {}
+        for node, branches in nodes.items():
+            for s, keys in branches.items():
+                n = sum(counts[x][1] for x in keys)
+                if n:
+                    share.setdefault(node, {})[s] = sum(counts[x][2] for x in keys) / n
+        if not (free := sum(len(x) - 1 for x in share.values())):
+            return out
+        means = [mean(x.values()) for x in share.values()]
+        within = sum(len(x) * pvariance(x.values()) for x in share.values()) / free
+        between = max(0.0, pvariance(means) - within * mean(1 / len(x) for x in share.values()))
+        for node, known in share.items():
+            some = lambda keys: {t: sum(counts[x][0] for x in keys if tail(x) == t) / sum(counts[x][0] for x in keys) for t in {tail(x) for x in keys}}  # noqa: B023, E731
+            q = some([x for s in known for x in nodes[node][s]])
+            for s, keys in nodes[node].items():
+                p = some(keys)
+                if s not in known and sum(min(v, q.get(t, 0)) for t, v in p.items()) >= alike:
+                    spread = between + within / len(known)
+                    out[node, s] = mean(means) + (between / spread if spread else 0) * (mean(known.values()) - mean(means))
+        return out
+
+    for k in range(depth):
+        for branches in at(k).values():
+            n = {s: sum(counts[x][0] for x in keys) for s, keys in branches.items() if not fixed(s)}
+            once = sum(v == 1 for v in n.values())
+            if once >= support and once >= variable * sum(n.values()):
+                for s in n:
+                    for key in branches[s] if n[s] < support else ():
+                        template[key][k] = "{s}"
+    for k in range(depth):
+        nodes = at(k)
+        back = backed(nodes, lambda x: tuple(template[x][k + 1 :]))
+        merge = []
+        for node, branches in nodes.items():
+            nn, bb = (sum(counts[x][i] for keys in branches.values() for x in keys) for i in (1, 2))
+            for s, keys in branches.items():
+                n, b = (sum(counts[x][i] for x in keys) for i in (1, 2))
+                if 0 < n < nn:
+                    error = (bb / nn * (1 - bb / nn) * (1 / n + 1 / (nn - n))) ** 0.5
+                    merge += keys if abs(b / n - (bb - b) / (nn - n)) <= z * error and not fixed(s) else []
+                for key in keys:
+                    inherited[key] = back.get((node, s), inherited[key])
+        for key in merge:
+            template[key][k] = "{m}"
+    hosts = defaultdict(lambda: defaultdict(list))
+    for key in counts:
+        if "." in key[0]:
+            hosts[key[0].split(".", 1)[1]][key[0]].append(key)
+    back = backed(hosts, lambda x: x[1])
+    return {k: (template[k], back.get((k[0].split(".", 1)[1], k[0])) if inherited[k] is None and "." in k[0] else inherited[k]) for k in counts}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    counts = {}
+    for host in ("a.x.org", "b.x.org", "c.x.org", "d.y.net", "plain"):
+        for i in range(rnd.randrange(3, 40)):
+            shape = tuple(rnd.choice(["en", "de", "{n}", f"w{i}", "p"]) for _ in range(rnd.randrange(1, 4)))
+            urls = rnd.choice([1, 1, 2, 9])
+            known = rnd.randrange(urls + 1) if host not in ("c.x.org", "plain") and rnd.random() < 0.5 else 0
+            counts[host, shape] = (urls, known, rnd.choice([0, known, rnd.randrange(known + 1)]))
+    df = spark.createDataFrame([(h, list(s), *v) for (h, s), v in counts.items()], "host string, shape array<string>, urls long, labelled long, blocked long")
+    got = {(r.host, tuple(r.shape)): (r.template, r.inherited) for r in url_filters.templates(df, 3, support=4, variable=0.3, z=1.64, alike=0.3).collect()}
+    want = brute_templates(counts, 4, 0.3, 1.64, 0.3)
+    assert got.keys() == want.keys()
+    for k, (template, inherited) in want.items():
+        assert got[k][0] == template and got[k][1] == (inherited if inherited is None else pytest.approx(inherited)), k
+    assert any(v[1] is not None for v in got.values())
+
+
+def test_unlabelled_branches_inherit_where_siblings_agree(spark):
+    """Hosts whose known branches are all bad, and hosts whose are all good: an unknown branch is judged like its host's."""
+    rows = []
+    for h in range(12):
+        for lang in ("en", "de", "fr", "es"):
+            rows += [(len(rows) + i, f"http://h{h}.{'bad' if h % 2 else 'good'}.org/{lang}/{i}") for i in range(4)]
+    rows += [(900 + 10 * i + j, f"http://{host}/{lang}/1") for i, host in enumerate(("new.bad.org", "new.good.org", "other.net")) for j, lang in enumerate(("en", "de", "fr"))]
+    rows += [(930, "http://h1.bad.org/odd/a/b/c")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    known = F.when(~F.col("url").rlike("/es/|new|other|odd"), F.col("url").contains(".bad."))
+    got = {r.page_id: r for r in url_filters.judge_urls(df, [], label=known).collect()}
+    for i, url in rows[:-10]:
+        assert got[i].verdict == ("block" if ".bad." in url else "allow"), got[i]
+        assert (got[i].labelled == 0) == ("/es/" in url and "{m}" not in got[i].template)
+    assert [got[i].verdict for i in (900, 902, 910, 911, 920, 930)] == ["block", "block", "allow", "allow", "allow", "allow"]
+
+
+def test_corner_cases(spark):
+    urls = ["http://h.org/a", "http://h.org/a", None, "http://h.org/" + "y" * 100000, "http://h.org/" + "/" * 200]
+    df = spark.createDataFrame([(1, u, "x", 5) for u in urls], "page_id long, url string, host string, urls long")
+    rules = [("h.org/a", "block"), ("h.org/a", "allow")]
+    got = url_filters.judge_urls(df, rules).collect()
+    assert sorted((len(r.path), r.verdict) for r in got) == [(0, "allow"), (2, "block"), (2, "block"), (201, "allow"), (100001, "allow")]
