@@ -46,7 +46,7 @@ def difference_features(pairs: DataFrame) -> DataFrame:
 
 def form_lookup(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Both players' form and preferred surface from a snapshot; unknown players have 0 and Hard."""
-    form = st.last_rates(events, 5, name="last_5").join(st.last_rates(events, 10, name="last_10"), "player").join(st.surface_grid(events).select("player", st.preferred().alias("preferred_surface")), "player")
+    form = st.player_state(events).select("player", "last_5", "last_10", "preferred_surface")
     for i in (1, 2):
         side = form.toDF(f"player{i}", f"player{i}_last_5_win_percentage", f"player{i}_last_10_win_percentage", f"player{i}_preferred_surface")
         pairs = pairs.join(side, f"player{i}", "left").fillna(0.0, [f"player{i}_last_5_win_percentage", f"player{i}_last_10_win_percentage"]).fillna(STATE_SURFACES[0], [f"player{i}_preferred_surface"])
@@ -103,7 +103,7 @@ def serving_pairs(pairs: DataFrame, events: DataFrame) -> DataFrame:
     return x
 
 
-def pair_features_v2(pairs: DataFrame, events: DataFrame) -> DataFrame:
+def serving_features(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Serving features of (player1, player2, surface as text) by their own rules: flags look one way only, missing
     seeds count 999, and the preferred surface is compared as text."""
     x = serving_pairs(pairs, events)

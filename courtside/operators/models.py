@@ -34,24 +34,37 @@ def vectors(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Routed:
+    """Two models and what rows need before them: the medians (a row) and scales (a row a feature) of what they learned."""
+
     top: GBTClassificationModel
     other: GBTClassificationModel
+    medians: DataFrame
     scaling: DataFrame
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """rows (features filled and scaled alike, and filled ranks) with the predicted result, 1 or 2, by segment."""
-        x = vectors(rows)
+        """rows (features, not filled or scaled, with is_top) with the predicted result, 1 or 2, by segment. A row's
+        prediction depends on no other row."""
+        x = vectors(prep.scale(prep.fill_missing(rows, self.medians), prep.NUMERIC, self.scaling))
         parts = [m.transform(x.where(c)) for m, c in ((self.top, F.col("is_top")), (self.other, ~F.col("is_top")))]
         return parts[0].unionByName(parts[1]).withColumns({"predicted": F.when(F.col("prediction") == 1.0, 1).otherwise(2), "p_player1": vector_to_array("probability")[1]})
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A frame of a few rows, computed now."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def train(df: DataFrame, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> Routed:
-    """df: filled, unscaled pair features with result. Boosted trees, one model a segment."""
-    scaling = prep.scale_parameters(df, prep.NUMERIC)
-    x = prep.scale(df, prep.NUMERIC, scaling)
-    fit = lambda part: GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, maxBins=32).fit(vectors(part))
-    top, other = segments(x)
-    return Routed(fit(top), fit(other), scaling)
+    """df: pair features with result and is_top, not filled. Boosted trees, one model a segment."""
+    medians = _kept(prep.medians(df, [c for c in prep.MEDIAN_FILLED if c in df.columns]))
+    filled = prep.fill_missing(df, medians)
+    scaling = _kept(prep.scale_parameters(filled, prep.NUMERIC))
+    x = vectors(prep.scale(filled, prep.NUMERIC, scaling)).select("is_top", "features", "label").persist()  # each fit reads it several times
+    fit = lambda part: GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, maxBins=32).fit(part)
+    try:
+        return Routed(fit(x.where("is_top")), fit(x.where("not is_top")), medians, scaling)
+    finally:
+        x.unpersist()
 
 
 def evaluate(predictions: DataFrame, label: str = "result", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:

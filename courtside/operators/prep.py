@@ -15,9 +15,24 @@ NUMBER_FILLED = {"result": -1, "surface_encoded": -1, "player1_seed": UNSEEDED,
 FALSE_FILLED = ["top_10_vs_not", "young_vs_old", "seeded_vs_unseeded", "tall_vs_short", "left_vs_right", "same_hand", "player1_surface_match", "player2_surface_match"]
 
 
+#: Characters by which a vocabulary is dealt out.
+LEAD = 3
+#: Of the share of rows by which a bracket may reach from the median; the quantiles' error is 1 / ACCURACY.
+MARGIN, ACCURACY = 0.01, 1000
+
+
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact medians, missing values left out: one row."""
-    return df.agg(*(F.median(c).alias(c) for c in columns))
+    """Exact medians, missing values left out: one row. Approximate quantiles bracket each median first; only values within
+    the bracket are then counted and put in order, so that no task has to hold a column's distinct values. df is read
+    twice."""
+    long = df.select(F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', cast(`{c}` as double)" for c in columns)}) as (feature, value)")).where("value is not null")
+    bracket = long.groupBy("feature").agg(F.percentile_approx("value", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("q"), F.count(F.lit(1)).alias("n"))  # a row a column
+    low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    counts = long.join(F.broadcast(bracket), "feature").where(F.col("value") <= high).groupBy("feature", F.col("n"), F.when(F.col("value") >= low, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("k"))
+    upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("feature").orderBy(F.asc_nulls_first("value"))))
+    reached = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    middle = upto.groupBy("feature").agg(((reached(F.floor((F.col("n") - 1) / 2)) + reached(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    return middle.agg(*(F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in columns))
 
 
 def impute(df: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -27,13 +42,15 @@ def impute(df: DataFrame, parameters: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(row)).withColumns(filled).drop(*row.columns)
 
 
-def fill_missing(df: DataFrame) -> DataFrame:
-    """The fill rules of a split, each applied to the columns that df has. Differences were taken before, so a missing
-    rank gives the median difference and not one against UNRANKED."""
+def fill_missing(df: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+    """The fill rules of a split, each applied to the columns that df has. parameters: medians of another frame (one row),
+    else df's own. Differences were taken before, so a missing rank gives the median difference and not one against
+    UNRANKED."""
     has = set(df.columns)
     df = df.fillna({c: v for c, v in TEXT_FILLED.items() if c in has}).fillna({c: v for c, v in NUMBER_FILLED.items() if c in has})
     df = df.fillna(False, [c for c in FALSE_FILLED if c in has])
-    return impute(df, medians(df, [c for c in MEDIAN_FILLED if c in has]))
+    columns = [c for c in MEDIAN_FILLED if c in has]
+    return impute(df, medians(df, columns) if parameters is None else parameters.select(columns))
 
 
 def numeric_features(df: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
@@ -47,9 +64,13 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the column's distinct texts in order, a missing value as the text nan."""
-    values = df.select(S.text_or_nan(F.col(column)).alias("value")).distinct()
-    return values.withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int"))
+    """(value, code): the column's distinct texts in order, a missing value as the text nan. Places are counted within
+    values of equal first characters and shifted by those before; only these beginnings meet in one task."""
+    values = df.select(S.text_or_nan(F.col(column)).alias("value")).distinct().withColumn("lead", F.substring("value", 1, LEAD))
+    leads = values.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    before = leads.select("lead", (F.sum("n").over(Window.orderBy("lead")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("lead").orderBy("value")) - 1
+    return values.withColumn("place", place).join(before, "lead").select("value", (F.col("before") + F.col("place")).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, column: str, vocab: DataFrame, into: str | None = None) -> DataFrame:

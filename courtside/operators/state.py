@@ -29,11 +29,18 @@ def totals(events: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("win_pct", ratio(F.col("wins"), F.col("matches")))
 
 
+def _hands() -> list[Column]:
+    hands = (("R", "right"), ("L", "left"))
+    matches = [F.count(F.when(F.col("opp_hand") == h, 1)).alias(f"matches_vs_{k}") for h, k in hands]
+    return matches + [F.count(F.when((F.col("opp_hand") == h) & (F.col("won") == 1), 1)).alias(f"wins_vs_{k}") for h, k in hands]
+
+
+def _hand_rates() -> dict[str, Column]:
+    return {f"pct_vs_{k}": ratio(F.col(f"wins_vs_{k}"), F.col(f"matches_vs_{k}")) for k in ("right", "left")}
+
+
 def versus_hands(events: DataFrame) -> DataFrame:
-    counts = [F.count(F.when(F.col("opp_hand") == h, 1)).alias(f"matches_vs_{k}") for h, k in (("R", "right"), ("L", "left"))]
-    wins = [F.count(F.when((F.col("opp_hand") == h) & (F.col("won") == 1), 1)).alias(f"wins_vs_{k}") for h, k in (("R", "right"), ("L", "left"))]
-    out = events.groupBy("player").agg(*counts, *wins)
-    return out.withColumns({f"pct_vs_{k}": ratio(F.col(f"wins_vs_{k}"), F.col(f"matches_vs_{k}")) for k in ("right", "left")})
+    return events.groupBy("player").agg(*_hands()).withColumns(_hand_rates())
 
 
 def last_rates(events: DataFrame, n: int, *by: str, name: str) -> DataFrame:
@@ -43,13 +50,29 @@ def last_rates(events: DataFrame, n: int, *by: str, name: str) -> DataFrame:
     return recent.groupBy(*by).agg(F.avg("won").alias(name))
 
 
+def _backwards(events: DataFrame, *by: str) -> DataFrame:
+    """events with k, the place from the last one on, from one shuffle and sort by player."""
+    return events.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rn"))))
+
+
+def _streak(won: int) -> Column:
+    """How many matches, from the last one back, had this result: the others begin one place further."""
+    return F.coalesce(F.min(F.when(F.col("won") != won, F.col("k"))) - 1, F.count(F.lit(1))).cast("long")
+
+
+def _recent(n: int) -> Column:
+    return F.avg(F.when(F.col("k") <= n, F.col("won")))
+
+
 def streaks(events: DataFrame) -> DataFrame:
-    """How many matches the current run of wins, or of losses, has: those after the last opposite result."""
-    ends = events.groupBy("player").agg(F.max(F.when(F.col("won") == 1, F.col("rn"))).alias("last_win"), F.max(F.when(F.col("won") == 0, F.col("rn"))).alias("last_loss"))
-    after = events.join(ends, "player").groupBy("player").agg(
-        F.count(F.when(F.col("rn") > F.coalesce("last_loss", F.lit(-1)), 1)).alias("win_streak"), F.count(F.when(F.col("rn") > F.coalesce("last_win", F.lit(-1)), 1)).alias("loss_streak")
-    )
-    return after
+    """How many matches the current run of wins, or of losses, has."""
+    return _backwards(events, "player").groupBy("player").agg(_streak(1).alias("win_streak"), _streak(0).alias("loss_streak"))
+
+
+def form(events: DataFrame) -> DataFrame:
+    """Recent rates and streaks of each player. Only (player, rn, won) is shuffled, once."""
+    skinny = _backwards(events.select("player", "rn", "won"), "player")
+    return skinny.groupBy("player").agg(_recent(5).alias("last_5"), _recent(10).alias("last_10"), _streak(1).alias("win_streak"), _streak(0).alias("loss_streak"))
 
 
 def histories(events: DataFrame) -> DataFrame:
@@ -59,16 +82,23 @@ def histories(events: DataFrame) -> DataFrame:
     return got.select("player", *(F.expr(f"transform(x, s -> s.{f})").alias(f"{f}s") for f in fields))
 
 
+def _latest() -> list[Column]:
+    return [F.max_by(c, "rn").alias(f"latest_{c}") for c in ("rank", "ht", "hand", "seed", "age")]
+
+
 def latest(events: DataFrame) -> DataFrame:
     """Each attribute in the player's last match, missing if it was missing there."""
-    return events.groupBy("player").agg(*(F.max_by(c, "rn").alias(f"latest_{c}") for c in ("rank", "ht", "hand", "seed", "age")))
+    return events.groupBy("player").agg(*_latest())
+
+
+def _surfaces() -> list[Column]:
+    m = [F.count(F.when(F.col("surface") == s, 1)).alias(f"matches_{s.lower()}") for s in STATE_SURFACES]
+    return m + [F.count(F.when((F.col("surface") == s) & (F.col("won") == 1), 1)).alias(f"wins_{s.lower()}") for s in STATE_SURFACES]
 
 
 def surface_grid(events: DataFrame) -> DataFrame:
     """One row per player: matches and wins on each of the five surfaces, 0 where never played."""
-    m = [F.count(F.when(F.col("surface") == s, 1)).alias(f"matches_{s.lower()}") for s in STATE_SURFACES]
-    w = [F.count(F.when((F.col("surface") == s) & (F.col("won") == 1), 1)).alias(f"wins_{s.lower()}") for s in STATE_SURFACES]
-    return events.groupBy("player").agg(*m, *w)
+    return events.groupBy("player").agg(*_surfaces())
 
 
 def preferred() -> Column:
@@ -91,12 +121,11 @@ def check_surfaces(events: DataFrame) -> DataFrame:
 
 
 def player_state(events: DataFrame) -> DataFrame:
-    """All scalars of a snapshot, one row per player, keyed alike so that the parts share one partitioning."""
-    grid = surface_grid(events).withColumn("preferred_surface", preferred())
-    out = totals(events, "player")
-    for part in (grid, versus_hands(events), last_rates(events, 5, name="last_5"), last_rates(events, 10, name="last_10"), streaks(events), latest(events)):
-        out = out.join(part, "player")
-    return out
+    """All scalars of a snapshot, one row per player, in two passes: one aggregate, combined before the shuffle, of what has
+    no order, and one over each player's matches from the last one back."""
+    counted = events.groupBy("player").agg(F.count(F.lit(1)).alias("matches"), F.sum("won").cast("long").alias("wins"), *_surfaces(), *_hands(), *_latest())
+    counted = counted.withColumns({"win_pct": ratio(F.col("wins"), F.col("matches")), "preferred_surface": preferred(), **_hand_rates()})
+    return counted.join(form(events), "player")
 
 
 def player_profile(events: DataFrame, player: str) -> DataFrame:

@@ -51,6 +51,15 @@ def holdout(df: DataFrame, share: float = 0.2, seed: int = 42, id_col: str = "ma
     """df with is_test: exactly the rounded-up share of the rows (of each group of `by`), in the order of a keyed
     hash (another one than the coin's, which decides the label)."""
     key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}:holdout")))
-    part = [F.col(c) for c in by or []] or [F.lit(0)]
-    w = Window.partitionBy(*part)
-    return df.withColumn("is_test", F.row_number().over(w.orderBy(key, id_col)) <= F.ceil(F.count(F.lit(1)).over(w) * F.lit(share)))
+    by = by or []
+    x = df.withColumn("__key", key).withColumn("__lead", F.substring("__key", 1, 4))
+    # How many rows come before those that share a key's first four digits, and how many a group has: 65,536 rows a group.
+    leads = x.groupBy(*by, "__lead").agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(*by).orderBy("__lead") if by else Window.orderBy("__lead")
+    before, size = F.sum("__n").over(order) - F.col("__n"), F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    leads = leads.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__lead").alias("__l"), before.alias("__before"), F.ceil(size * F.lit(share)).alias("__cut"))
+    place = F.row_number().over(Window.partitionBy(*by, "__lead").orderBy("__key", id_col))
+    same = F.col("__lead") == F.col("__l")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return x.withColumn("__place", place).join(leads, same).withColumn("is_test", F.col("__before") + F.col("__place") <= F.col("__cut")).select(*df.columns, "is_test")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..operators import features as ft
 from ..operators import models, prep
 from ..operators import state as st
 from ..operators import timeline as tm
-from ..schema import STATE_SURFACES, SURFACE_CODES
+from ..schema import STATE_SURFACES, SURFACE_CODES, UNRANKED
 from ..sources import matches as src
 from .oracles import FEATURE_COLUMNS, LOOKED_UP, ROUNDED, WHOLE_SPLIT
 
@@ -34,16 +35,17 @@ def named(name: str, f: Query) -> None:
 
 
 class Base:
-    """The frames that queries start from; all lazy."""
+    """The frames that queries start from. The timeline and the full features are computed once and written to the shared
+    folder, the timeline by split; the rest is lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, min_matches: int = MIN_MATCHES):
         self.spark = spark
         self.min_matches = min_matches
         self.matches = src.derived_matches(spark, sf_dir)
 
-    @property
+    @cached_property
     def timeline(self) -> DataFrame:
-        return tm.with_splits(self.matches)
+        return src.written(tm.with_splits(self.matches), "split")
 
     @property
     def next(self) -> DataFrame:
@@ -74,9 +76,9 @@ class Base:
     def full(self) -> DataFrame:
         return ft.pair_features(self.pairs, self.known)
 
-    @property
+    @cached_property
     def filled(self) -> DataFrame:
-        return prep.fill_missing(self.full)
+        return prep.fill_missing(src.written(self.full))
 
 
 def r6(c: str, name: str | None = None):
@@ -265,36 +267,38 @@ def _neighbours(b: Base) -> DataFrame:
     return p.select(_c("player").alias("player1"), (k + 1).alias("k")).join(p.select(_c("player").alias("player2"), k.alias("k")), "k").select("player1", "player2", F.lit("Clay").alias("surface"))
 
 
-simple("m9_serving_features", lambda b: ft.pair_features_v2(_neighbours(b), b.known).select(
+simple("m9_serving_features", lambda b: ft.serving_features(_neighbours(b), b.known).select(
     "player1", "player2", "rank_diff", r6("log_rank_diff"), "top_10_vs_not", "age_diff", "young_vs_old", "seed_diff", "seeded_vs_unseeded", "height_diff", "tall_vs_short",
     r6("player1_last_5_win_percentage"), r6("player2_last_5_win_percentage"), r6("player1_surface_last_10_win_percentage"), "player1_surface_match", "head_to_head_wins_p1", "surface"))
 simple("m11_player_profile", lambda b: st.player_profile(b.known, "P7").select("player", r6("pct_hard"), r6("pct_clay"), r6("pct_grass"), r6("win_pct"), r6("last_5"), "win_streak", "loss_streak", "preferred_surface"))
 
 
 def training_rows(b: Base, mode: str = "point_in_time") -> DataFrame:
-    """Filled pair features of the next and final splits, from what was known before each match."""
-    pairs = ft.orient_pairs(b.timeline.where("split <> 'initial'"))
-    rows = prep.fill_missing(ft.pair_features(pairs, b.events, mode)).drop("winner_name", "loser_name")
-    return rows.withColumn("is_top", models.is_top_segment()).persist()  # each model's fit reads it several times
+    """Pair features of the next and final splits, from what was known before each match, with is_top; not filled. Both
+    splits keep only players active in them."""
+    active = tm.filter_min_matches(b.next, REFERENCE_MIN_MATCHES).unionByName(tm.filter_min_matches(b.timeline.where("split = 'final'"), REFERENCE_MIN_MATCHES))
+    rows = ft.pair_features(ft.orient_pairs(active), b.events, mode).drop("winner_name", "loser_name")
+    ranks = {f"player{i}_rank": F.coalesce(f"player{i}_rank", F.lit(float(UNRANKED))) for i in (1, 2)}
+    return src.written(rows.withColumns(ranks).withColumn("is_top", models.is_top_segment()))
 
 
 @query
 def m4_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both segments' metrics on a fifth of the next split (held out by hash) and on the final split (held out in time)."""
+    """Both segments' metrics on a fifth of the next split (held out by hash) and on the final split (held out in time).
+    Medians and scales are those of the rows that train."""
     b = Base(spark, sf_dir)
     rows = training_rows(b)
     next_ = tm.holdout(rows.where("split = 'next'"), by=["is_top"])
     routed = models.train(next_.where("not is_test"))
     test = next_.where("is_test").select(*rows.columns, F.lit("holdout").alias("part")).unionByName(rows.where("split = 'final'").withColumn("part", F.lit("final")))
-    return models.evaluate(routed.predict(prep.scale(test, prep.NUMERIC, routed.scaling)), by=["part", "is_top"])
+    return models.evaluate(routed.predict(test), by=["part", "is_top"])
 
 
 @query
 def m5_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Base(spark, sf_dir)
-    rows = training_rows(b)
+    rows = training_rows(Base(spark, sf_dir))
     routed = models.train(rows.where("split = 'next'"))
-    return routed.predict(prep.scale(rows.where("split = 'final'"), prep.NUMERIC, routed.scaling)).select("match_num", "is_top", "predicted", "p_player1")
+    return routed.predict(rows.where("split = 'final'")).select("match_num", "is_top", "predicted", "p_player1")
 
 
 @query

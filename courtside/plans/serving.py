@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features as ft
-from ..operators import prep
 from ..operators.models import Routed
 
 
 def predict_matches(pairs: DataFrame, events: DataFrame, routed: Routed) -> DataFrame:
     """pairs: (player1, player2, surface). Returns them with predicted (1 or 2) and p_player1. An unknown player is an
-    error. A pair goes to the top-10 model if either player's latest rank is in the top 10."""
+    error. A pair goes to the top-10 model if either player's latest rank is in the top 10. What is missing gets the medians
+    that the models learned with, so a pair's prediction doesn't depend on the others asked for."""
     x = ft.serving_pairs(pairs, events)
     for i in (1, 2):
         x = x.withColumns({f"player{i}_{c}": F.col(f"p{i}_{c}") for c in ("rank", "age", "ht")} | {f"player{i}_seed": F.col(f"p{i}_seed"), f"player{i}_hand": F.lit(None).cast("string")})
@@ -21,7 +21,4 @@ def predict_matches(pairs: DataFrame, events: DataFrame, routed: Routed) -> Data
     x = x.withColumn("asked", F.col("surface")).drop(*[c for c in x.columns if c.startswith(("p1_", "p2_"))])
     x = ft.difference_features(x)
     x = ft.match_preference(ft.head_to_head_lookup(ft.surface_lookup(ft.form_lookup(x, events), events), events))
-    filled = prep.fill_missing(x)
-    means = {r.feature: r["mean"] for r in routed.scaling.collect()}  # one row a feature; for columns that are missing throughout
-    filled = filled.fillna({k: v for k, v in means.items() if k in dict(filled.dtypes) and dict(filled.dtypes)[k] == "double"})
-    return routed.predict(prep.scale(filled, prep.NUMERIC, routed.scaling)).select("player1", "player2", F.col("asked").alias("surface"), "is_top", "predicted", "p_player1")
+    return routed.predict(x).select("player1", "player2", F.col("asked").alias("surface"), "is_top", "predicted", "p_player1")

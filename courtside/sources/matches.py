@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,21 @@ from ..schema import MATCH_COLUMNS, MATCH_FILE, SIDE
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that executors share (spark.checkpoint.dir); a local one where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="courtside-")
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session of a single machine gets a
+    local one; on a cluster that is an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="courtside-")
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the shared folder, partitioned by the given columns: computed once, however often it is read."""
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
