@@ -79,8 +79,13 @@ def evaluate(predictions: DataFrame, label: str = "result", predicted: str = "pr
     return each.groupBy(*by).agg((F.sum("hit") / F.sum("support")).alias("accuracy"), *weighted)
 
 
+def feature_values(spark: SparkSession, values: list[float], name: str = "importance") -> DataFrame:
+    """What a model says of each of its inputs, as a frame of two columns."""
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, values, strict=True)], f"feature string, {name} double")
+
+
 def importances(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    return feature_values(spark, model.featureImportances.toArray())
 
 
 def top_importances(frame: DataFrame, k: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..schema import FEATURES
+
 _SIDE = """concat('P', cast({k} AS VARCHAR)) AS {s}_name,
   CASE WHEN {k} % 10 < 7 THEN 'R' WHEN {k} % 10 < 9 THEN 'L' END AS {s}_hand,
   CASE WHEN {k} % 17 <> 5 THEN cast(1 + ({k} * 13 + month(o_orderdate)) % 200 AS DOUBLE) END AS {s}_rank,
@@ -57,13 +59,22 @@ _CTES = [
     ("fx", "SELECT *, surface = player1_preferred_surface AS player1_surface_match, surface = player2_preferred_surface AS player2_surface_match, cast(surface = player1_preferred_surface AS INT) - cast(surface = player2_preferred_surface AS INT) AS surface_preference_diff FROM pf"),
     ("pit", """SELECT player, rn, match_num, coalesce(avg(won) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS last_5, coalesce(avg(won) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS last_10,
       coalesce(avg(won) OVER (PARTITION BY player, surface ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS surface_last_10, cast(coalesce(sum(won) OVER (PARTITION BY player, opponent ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS h2h_wins FROM e WINDOW w AS (PARTITION BY player ORDER BY rn)"""),
+    ("sofar", """SELECT e.player, e.rn, f.surface, f.o, sum(CASE WHEN e.surface = f.surface THEN 1 ELSE 0 END) OVER w AS matches, sum(CASE WHEN e.surface = f.surface THEN won ELSE 0 END) OVER w AS wins
+      FROM e CROSS JOIN five f WINDOW w AS (PARTITION BY e.player, f.surface ORDER BY e.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
+    ("pitp", "SELECT player, rn, arg_max(surface, (CASE WHEN matches > 0 THEN wins / matches ELSE 0.0 END, -o)) AS preferred_surface FROM sofar GROUP BY player, rn"),
+    ("pin", """SELECT df.*, a.last_5 AS player1_last_5_win_percentage, b.last_5 AS player2_last_5_win_percentage, a.last_10 AS player1_last_10_win_percentage, b.last_10 AS player2_last_10_win_percentage,
+      a.surface_last_10 AS player1_surface_last_10_win_percentage, b.surface_last_10 AS player2_surface_last_10_win_percentage, ap_.preferred_surface AS player1_preferred_surface, bp.preferred_surface AS player2_preferred_surface,
+      a.h2h_wins AS head_to_head_wins_p1, b.h2h_wins AS head_to_head_wins_p2
+      FROM df JOIN pit a ON a.player = player1 AND a.match_num = df.match_num JOIN pit b ON b.player = player2 AND b.match_num = df.match_num JOIN pitp ap_ ON ap_.player = player1 AND ap_.rn = df.rn JOIN pitp bp ON bp.player = player2 AND bp.rn = df.rn"""),
+    ("pinx", "SELECT *, surface = player1_preferred_surface AS player1_surface_match, surface = player2_preferred_surface AS player2_surface_match, cast(surface = player1_preferred_surface AS INT) - cast(surface = player2_preferred_surface AS INT) AS surface_preference_diff FROM pin"),
     ("fl", None),
 ]
 _MED = ["player1_age", "player2_age", "player1_ht", "player2_ht", "rank_diff", "log_rank_diff", "age_diff", "seed_diff", "height_diff"] + [f"player{i}_{k}_win_percentage" for k in ("last_5", "last_10", "surface_last_10") for i in (1, 2)]
 _FILL = {"player1_hand": "'U'", "player2_hand": "'U'", "player1_rank": "999", "player2_rank": "999", "player1_seed": "-1", "player2_seed": "-1"}
 _CTES[-1] = ("fl", "SELECT fx.* REPLACE (" + ", ".join([f"coalesce({c}, {v}) AS {c}" for c, v in _FILL.items()] + [f"coalesce({c}, (SELECT median({c}) FROM fx)) AS {c}" for c in _MED]) + ") FROM fx")
 
-#: The shared definitions with the reference's limit, which keeps the whole split, in place of the selective one.
+#: The shared definitions with the state after all events, and with the reference's limit, which keeps the whole split, in place of the selective one.
+_AFTER_ALL = [(k, "SELECT * FROM e" if k == "s" else v) for k, v in _CTES]
 _WHOLE = [(k, v.replace("n >= 75", "n >= 10") if k == "act" else v) for k, v in _CTES]
 
 
@@ -95,6 +106,7 @@ def _pick(columns: list[str]) -> str:
 
 
 _ALL = "match_num, tourney_id, tourney_date, surface, " + ", ".join(f"{s}_{c}" for c in ("name", "hand", "rank", "ht", "seed", "age") for s in ("winner", "loser"))
+_ALL_COLUMNS = ["tourney_id", "tourney_date", "surface", *(f"{s}_{c}" for c in ("name", "hand", "rank", "ht", "seed", "age") for s in ("winner", "loser")), "match_num"]
 _MNA = "match_num, winner_name, loser_name"
 _DIFF = ["rank_diff", "age_diff", "seed_diff", "height_diff"]
 _SCALED = ["rank_diff", "age_diff", "player1_last_10_win_percentage"]
@@ -104,9 +116,12 @@ _H = "md5(concat(cast(match_num AS VARCHAR), ':42:holdout'))"
 SQL = {
     "s1_csv_scan": f"SELECT {_ALL} FROM matches",
     "s3_csv_sink": f"SELECT {_ALL} FROM matches",
+    "s4_ensure_folder": "SELECT * FROM (VALUES ('there before', false), ('made', true), ('there after', true), ('made again', false)) AS t(step, answer)",
     "s5_season_scan": "SELECT cast(year(tourney_date) AS INT) AS source_year, count(*) AS n FROM matches WHERE year(tourney_date) BETWEEN 1993 AND 1996 GROUP BY 1",
     "s6_union_files": "SELECT match_num, winner_name, CASE WHEN match_num % 2 = 0 THEN loser_name END AS loser_name FROM matches",
     "s7_inline_literals": "SELECT * FROM (VALUES ('Clay', 0), ('Grass', 1), ('Hard', 2), ('Unknown', 3)) AS t(surface, code)",
+    "s8_output_frame": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i / 8})" for i, f in enumerate(FEATURES)) + ") AS t(feature, importance)",
+    "s9_profile_report": "SELECT tot.player, " + ", ".join(f"(SELECT round(CASE WHEN matches > 0 THEN wins / matches ELSE 0 END, 6) FROM grid WHERE grid.player = tot.player AND surface = '{x}') AS pct_{x.lower()}" for x in ("Hard", "Clay", "Grass")) + f", {r('win_pct')}, {r('last_5')}, " + ", ".join(f"round(CASE WHEN matches_vs_{k} > 0 THEN wins_vs_{k} / matches_vs_{k} ELSE 0 END, 6) AS pct_vs_{k}" for k in ("right", "left")) + ", coalesce(latest_rank <> 0 AND latest_rank <= 10, false) AS is_top_10, win_streak, loss_streak, preferred_surface FROM tot JOIN l5 ON l5.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player JOIN vs ON vs.player = tot.player JOIN lat ON lat.player = tot.player WHERE tot.player = 'P7'",
     "p1_add_columns": "SELECT match_num, winner_rank - loser_rank AS rank_diff, coalesce(surface, 'Unknown') AS surface FROM matches",
     "p2_side_swap": "SELECT match_num, player1, player2, player1_seed, player2_seed, player1_rank, player2_rank, player1_age, player2_age, player1_ht, player2_ht, player1_hand, player2_hand FROM pr",
     "p3_result_label": "SELECT match_num, result FROM pr",
@@ -116,6 +131,8 @@ SQL = {
     "p7_null_tests": "SELECT count(CASE WHEN surface IS NULL THEN 1 END) AS no_surface, count(CASE WHEN winner_seed IS NOT NULL THEN 1 END) AS seeded FROM matches",
     "p8_null_safe_logic": "SELECT match_num, coalesce(winner_rank <= 10 AND loser_rank > 10, false) AS favourite_won FROM matches",
     "p9_projection": f"SELECT {_pick(['match_num', 'rank_diff', 'log_rank_diff', 'top_10_vs_not', 'result'])} FROM df",
+    "p10_text_columns": "SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in _ALL_COLUMNS if c in ("tourney_id", "surface") or c.endswith(("_name", "_hand", "_seed"))) + ") AS t(\"column\")",
+    "p11_schema": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_ALL_COLUMNS)) + ") AS t(position, \"column\")",
     "p12_row_slice": "SELECT match_num, rn FROM m WHERE rn >= 100 AND rn < 250",
     "p13_point_lookup": "SELECT player, matches, wins FROM tot WHERE player = 'P7'",
     "p14_either_side": "SELECT match_num, player1, player2 FROM pr WHERE player1 = 'P7' OR player2 = 'P7' OR player1 = 'P8' OR player2 = 'P8'",
@@ -153,6 +170,7 @@ SQL = {
     "g16_distinct": "SELECT DISTINCT surface FROM matches",
     "g17_count": "SELECT count(*) AS n FROM matches",
     "g18_window_mean": f"SELECT l5.player, {r('last_5')}, {r('last_10')} FROM l5 JOIN l10 ON l5.player = l10.player",
+    "g18_window_sums": "SELECT player, rn, cast(sum(won) OVER (PARTITION BY player ORDER BY rn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS won_5, count(rank) OVER (PARTITION BY player ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ranked_10 FROM e",
     "g19_metrics": """, c AS (SELECT result AS l, CASE WHEN coalesce(player1_rank, 999) <= coalesce(player2_rank, 999) THEN 1 ELSE 2 END AS p FROM pr),
       k AS (SELECT x.c, count(CASE WHEN l = x.c THEN 1 END) AS sup, count(CASE WHEN p = x.c THEN 1 END) AS cal, count(CASE WHEN l = x.c AND p = x.c THEN 1 END) AS hit FROM c, (VALUES (1), (2)) AS x(c) GROUP BY x.c),
       q AS (SELECT sup, hit, CASE WHEN cal > 0 THEN hit / cal ELSE 0 END AS pre, CASE WHEN sup > 0 THEN hit / sup ELSE 0 END AS rec FROM k)
@@ -167,6 +185,7 @@ SQL = {
     "w6_category_code": "SELECT match_num, cast(dense_rank() OVER (ORDER BY winner_name) - 1 AS INT) AS code FROM matches",
     "o1_sort_by_date": "SELECT match_num, tourney_date FROM matches ORDER BY tourney_date, match_num",
     "o2_index_reset": "SELECT match_num, rn FROM m",
+    "o2_index_reset_split": "SELECT match_num, row_number() OVER (ORDER BY tourney_date, match_num) - 1 AS rn, count(*) OVER () AS n FROM m WHERE split = 'next'",
     "o3_splits": "SELECT split, count(*) AS n, min(rn) AS first_rn, max(rn) AS last_rn FROM m GROUP BY split",
     "o4_sort_desc": "SELECT player, wins FROM tot ORDER BY wins DESC, player",
     "o5_top_k": "SELECT player, wins FROM tot ORDER BY wins DESC, player LIMIT 10",
@@ -194,27 +213,38 @@ SQL = {
     "f16_is_top_10": "SELECT match_num, coalesce(winner_rank <> 0 AND winner_rank <= 10, false) AS is_top_10 FROM matches",
     "f17_list_tail": "SELECT player, count(*) AS n, cast(sum(won) AS BIGINT) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY rn DESC) AS k FROM s) WHERE k <= 5 GROUP BY player",
     "f18_map_default": "SELECT player, cast(wins AS BIGINT) AS wins_hard, 0::BIGINT AS wins_ice FROM grid WHERE surface = 'Hard'",
-    "f19_two_decimals": f"SELECT player, round(round(win_pct, 6), 2) AS shown FROM tot WHERE abs(win_pct * 1000 - floor(win_pct * 1000)) < 2 AND round(win_pct * 1000) % 10 <> 5",
+    "f19_two_decimals": "SELECT player, ((200 * wins + matches) // (2 * matches)) / 100 AS shown FROM tot",
     "f19_two_decimals_whole": "SELECT player, ((200 * wins + matches) // (2 * matches)) / 100 AS shown FROM tot",
     "f20_seeded_coin": "SELECT match_num, swap FROM sw",
     "f21_or_unranked": "SELECT match_num, coalesce(nullif(try_cast(winner_seed AS DOUBLE), 0), 999) AS seed FROM matches",
+    "f23_required": "SELECT match_num, winner_name FROM matches",
     "f22_z_score": "SELECT match_num, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM fl)) / (SELECT stddev_pop({c}) FROM fl), 6) AS {c}" for c in _SCALED) + " FROM fl",
     "m1_label_encoder": "SELECT value, cast(row_number() OVER (ORDER BY value) - 1 AS INT) AS code FROM (SELECT DISTINCT coalesce(player1_hand, 'nan') AS value FROM pr)",
     "m2_median_imputer": "SELECT match_num, round(coalesce(winner_rank, (SELECT median(winner_rank) FROM m WHERE split = 'next')), 6) AS winner_rank, round(coalesce(winner_ht, (SELECT median(winner_ht) FROM m WHERE split = 'next')), 6) AS winner_ht FROM m WHERE split = 'final'",
     "m3_standard_scaler": "SELECT match_num, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM fl)) / (SELECT stddev_pop({c}) FROM fl), 6) AS {c}" for c in _SCALED) + " FROM fl",
+    "m6_metrics": """, c AS (SELECT CASE WHEN surface IN ('Hard', 'Clay', 'Grass', 'Carpet') THEN surface ELSE 'Unknown' END AS surface, match_num % 3 AS l, (match_num * 7 + length(winner_name)) % 3 AS p FROM matches),
+      k AS (SELECT surface, x.c, count(CASE WHEN l = x.c THEN 1 END) AS sup, count(CASE WHEN p = x.c THEN 1 END) AS cal, count(CASE WHEN l = x.c AND p = x.c THEN 1 END) AS hit FROM c, (VALUES (0), (1), (2)) AS x(c) GROUP BY surface, x.c),
+      q AS (SELECT surface, sup, hit, CASE WHEN cal > 0 THEN hit / cal ELSE 0 END AS pre, CASE WHEN sup > 0 THEN hit / sup ELSE 0 END AS rec FROM k)
+      SELECT surface, round(sum(hit) / sum(sup), 6) AS accuracy, round(sum(pre * sup) / sum(sup), 6) AS weighted_precision, round(sum(rec * sup) / sum(sup), 6) AS weighted_recall, round(sum(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END * sup) / sum(sup), 6) AS weighted_f1 FROM q GROUP BY surface""",
+    "m3_scaler_parameters": " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM df" for c in ("rank_diff", "player2_age")),
     "m8_numeric_coercion": "SELECT match_num, try_cast(winner_seed AS DOUBLE) AS winner_seed, try_cast(loser_seed AS DOUBLE) AS loser_seed, cast(winner_rank AS DOUBLE) AS winner_rank FROM matches",
-    "m9_serving_features": """, q AS (SELECT a.player AS player1, b.player AS player2, 'Clay' AS surface, a.latest_rank AS r1, b.latest_rank AS r2, a.latest_age AS a1, b.latest_age AS a2, a.latest_seed AS s1, b.latest_seed AS s2, a.latest_ht AS h1, b.latest_ht AS h2 FROM lat a, lat b WHERE cast(substr(a.player, 2) AS INT) + 1 = cast(substr(b.player, 2) AS INT))
+    "m9_serving_features": """, q AS (SELECT a.player AS player1, b.player AS player2, 'Clay' AS surface, a.latest_rank AS r1, b.latest_rank AS r2, a.latest_age AS a1, b.latest_age AS a2, a.latest_seed AS s1, b.latest_seed AS s2, a.latest_ht AS h1, b.latest_ht AS h2 FROM lat a, lat b WHERE cast(substr(a.player, 2) AS INT) + 1 = cast(substr(b.player, 2) AS INT)),
+      p1 AS (SELECT player, preferred_surface = 'Clay' AS at_home FROM pref)
       SELECT player1, player2, r1 - r2 AS rank_diff, round(ln(1 + abs(r1 - r2)), 6) AS log_rank_diff, coalesce(r1 <= 10, false) AND NOT coalesce(r2 <= 10, false) AS top_10_vs_not, a1 - a2 AS age_diff, coalesce(a1 < a2, false) AS young_vs_old,
       coalesce(try_cast(s1 AS DOUBLE), 999) - coalesce(try_cast(s2 AS DOUBLE), 999) AS seed_diff, s1 IS NOT NULL AND s2 IS NULL AS seeded_vs_unseeded, h1 - h2 AS height_diff, coalesce(h1 > h2, false) AS tall_vs_short,
-      round(a5.last_5, 6) AS player1_last_5_win_percentage, round(b5.last_5, 6) AS player2_last_5_win_percentage, round(coalesce(asl.rate, 0), 6) AS player1_surface_last_10_win_percentage, cast(ap_.preferred_surface = q.surface AS INT) AS player1_surface_match, cast(coalesce(ah.wins, 0) AS BIGINT) AS head_to_head_wins_p1, 0 AS surface
-      FROM q JOIN l5 a5 ON a5.player = player1 JOIN l5 b5 ON b5.player = player2 LEFT JOIN sl asl ON asl.player = player1 AND asl.surface = q.surface JOIN pref ap_ ON ap_.player = player1 LEFT JOIN h2h ah ON ah.player = player1 AND ah.opponent = player2""",
+      round(a5.last_5, 6) AS player1_last_5_win_percentage, round(b5.last_5, 6) AS player2_last_5_win_percentage, round(a10.last_10, 6) AS player1_last_10_win_percentage, round(b10.last_10, 6) AS player2_last_10_win_percentage,
+      round(coalesce(asl.rate, 0), 6) AS player1_surface_last_10_win_percentage, round(coalesce(bsl.rate, 0), 6) AS player2_surface_last_10_win_percentage,
+      cast(ah_.at_home AS INT) AS player1_preferred_surface, cast(bh_.at_home AS INT) AS player2_preferred_surface, cast(ah_.at_home AS INT) AS player1_surface_match, cast(bh_.at_home AS INT) AS player2_surface_match, cast(ah_.at_home AS INT) - cast(bh_.at_home AS INT) AS surface_preference_diff,
+      cast(coalesce(ah.wins, 0) AS BIGINT) AS head_to_head_wins_p1, cast(coalesce(bh.wins, 0) AS BIGINT) AS head_to_head_wins_p2, 0 AS surface, 0 AS surface_encoded
+      FROM q JOIN l5 a5 ON a5.player = player1 JOIN l5 b5 ON b5.player = player2 JOIN l10 a10 ON a10.player = player1 JOIN l10 b10 ON b10.player = player2 LEFT JOIN sl asl ON asl.player = player1 AND asl.surface = q.surface LEFT JOIN sl bsl ON bsl.player = player2 AND bsl.surface = q.surface
+      JOIN p1 ah_ ON ah_.player = player1 JOIN p1 bh_ ON bh_.player = player2 LEFT JOIN h2h ah ON ah.player = player1 AND ah.opponent = player2 LEFT JOIN h2h bh ON bh.player = player2 AND bh.opponent = player1""",
     "m11_player_profile": f"SELECT tot.player, {', '.join(f'(SELECT round(CASE WHEN matches > 0 THEN wins / matches ELSE 0 END, 6) FROM grid WHERE grid.player = tot.player AND surface = {chr(39)}{x}{chr(39)}) AS pct_{x.lower()}' for x in ('Hard', 'Clay', 'Grass'))}, {r('win_pct')}, {r('last_5')}, win_streak, loss_streak, preferred_surface FROM tot JOIN l5 ON l5.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player WHERE tot.player = 'P7'",
     "x_state_snapshot": f"SELECT tot.player, matches, wins, {r('win_pct')}, {r('last_5')}, {r('last_10')}, win_streak, loss_streak, preferred_surface, matches_vs_right, wins_vs_right, matches_vs_left, wins_vs_left, latest_rank, latest_ht, latest_hand, latest_seed, latest_age FROM tot JOIN l5 ON l5.player = tot.player JOIN l10 ON l10.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player JOIN vs ON vs.player = tot.player JOIN lat ON lat.player = tot.player",
     "x_pair_features_snapshot": f"SELECT {_pick([*FEATURE_COLUMNS, *LOOKED_UP])} FROM fx",
     "x_filled_features": f"SELECT {_pick([*FEATURE_COLUMNS, *LOOKED_UP, 'player1_rank', 'player2_rank', 'player1_seed', 'player1_hand', 'player1_age', 'player2_ht'])} FROM fl",
-    "e1_before_match": "SELECT player, rn, round(last_5, 6) AS last_5, round(last_10, 6) AS last_10, round(surface_last_10, 6) AS surface_last_10, h2h_wins FROM pit",
-    "e1_pair_features_point_in_time": "SELECT df.match_num, round(a.last_5, 6) AS player1_last_5_win_percentage, round(b.last_10, 6) AS player2_last_10_win_percentage, round(a.surface_last_10, 6) AS player1_surface_last_10_win_percentage, a.h2h_wins AS head_to_head_wins_p1, b.h2h_wins AS head_to_head_wins_p2 FROM df JOIN pit a ON a.player = player1 AND a.match_num = df.match_num JOIN pit b ON b.player = player2 AND b.match_num = df.match_num",
-    "e2_streaming_state": f"SELECT p.player, count(*) AS matches, cast(sum(won) AS BIGINT) AS wins FROM e p GROUP BY p.player",
+    "e1_before_match": "SELECT pit.player, pit.rn, round(last_5, 6) AS last_5, round(last_10, 6) AS last_10, round(surface_last_10, 6) AS surface_last_10, h2h_wins, preferred_surface FROM pit JOIN pitp ON pitp.player = pit.player AND pitp.rn = pit.rn",
+    "e1_pair_features_point_in_time": f"SELECT {_pick([*FEATURE_COLUMNS, *LOOKED_UP])} FROM pinx",
+    "e2_streaming_state": f"SELECT tot.player, matches, wins, {r('last_5')}, {r('last_10')}, win_streak, loss_streak, preferred_surface, matches_vs_right, wins_vs_right, matches_vs_left, wins_vs_left FROM tot JOIN l5 ON l5.player = tot.player JOIN l10 ON l10.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player JOIN vs ON vs.player = tot.player",
 }
 
 #: Queries over the selective rows of `act`, which are also registered as NAME_whole over the whole split.
@@ -225,7 +255,7 @@ WHOLE_SPLIT = """p2_side_swap p3_result_label p9_projection p14_either_side p15_
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for k, tail, ctes in [*((k, v, _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
+    for k, tail, ctes in [*((k, v, _AFTER_ALL if k == "e2_streaming_state" else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
         if tail.startswith(", "):  # has definitions of its own after the shared ones
             full = _with(tail, ctes)
             head, own = full[: -len(tail)].rstrip(), tail

@@ -14,7 +14,7 @@ from ..operators import features as ft
 from ..operators import models, prep
 from ..operators import state as st
 from ..operators import timeline as tm
-from ..schema import STATE_SURFACES, SURFACE_CODES, UNRANKED
+from ..schema import FEATURES, STATE_SURFACES, SURFACE_CODES, UNRANKED
 from ..sources import matches as src
 from .oracles import FEATURE_COLUMNS, LOOKED_UP, ROUNDED, WHOLE_SPLIT
 
@@ -134,7 +134,21 @@ def s7_inline_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(SURFACE_CODES.items()), "surface string, code int")
 
 
-simple("s9_profile_report", lambda b: st.player_profile(b.known, "P7"))
+@query
+def s4_ensure_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested folder that is missing, made, and then left alone."""
+    path = f"{src.scratch(spark)}/made-{uuid.uuid4().hex}/inner"
+    steps = [("there before", src.exists(spark, path)), ("made", src.ensure_folder(spark, path)), ("there after", src.exists(spark, path)), ("made again", src.ensure_folder(spark, path))]
+    return spark.createDataFrame(steps, "step string, answer boolean")
+
+
+@query
+def s8_output_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.feature_values(spark, [i / 8 for i in range(len(FEATURES))])
+
+
+_PROFILE = ["pct_hard", "pct_clay", "pct_grass", "win_pct", "last_5", "pct_vs_right", "pct_vs_left"]
+simple("s9_profile_report", lambda b: st.player_profile(b.known, "P7").select("player", *(r6(c) for c in _PROFILE), "is_top_10", "win_streak", "loss_streak", "preferred_surface"))
 
 # -- projections and filters
 simple("p1_add_columns", lambda b: b.matches.withColumns({"rank_diff": F.col("winner_rank") - F.col("loser_rank"), "surface": F.coalesce("surface", F.lit("Unknown"))}).select("match_num", "rank_diff", "surface"))
@@ -177,6 +191,10 @@ simple("j10_encoder_apply", lambda b: prep.encode(b.matches, "winner_hand", prep
 simple("j11_serving_pair", lambda b: ft.serving_pairs(b.spark.createDataFrame([("P7", "P8", "Clay")], "player1 string, player2 string, surface string"), b.known).select("player1", "player2", "p1_rank", "p2_rank"))
 
 # -- aggregates
+def _last(n: int):
+    return Window.partitionBy("player").orderBy("rn").rowsBetween(1 - n, 0)
+
+
 simple("g0_events", lambda b: b.events.select("rn", "match_num", "player", "opponent", "hand", "opp_hand", "rank", "ht", "seed", "age", "surface", "tourney_id", "won"))
 simple("g1_player_totals", lambda b: st.totals(b.known, "player").select("player", "matches", "wins", r6("win_pct")))
 simple("g2_surface_totals", lambda b: st.totals(b.known, "player", "surface").drop("win_pct"))
@@ -198,12 +216,13 @@ simple("g16_distinct", lambda b: b.matches.select("surface").distinct())
 simple("g17_count", lambda b: b.matches.agg(F.count(F.lit(1)).alias("n")))
 for _name in ("g18_window_mean", "w1_last_n"):
     simple(_name, lambda b: st.last_rates(b.known, 5, name="last_5").join(st.last_rates(b.known, 10, name="last_10"), "player").select("player", r6("last_5"), r6("last_10")))
+simple("g18_window_sums", lambda b: b.events.select("player", "rn", F.sum("won").over(_last(5)).cast("long").alias("won_5"), F.count("rank").over(_last(10)).alias("ranked_10")))
 simple("g19_metrics", lambda b: models.evaluate(b.pairs.withColumn("predicted", F.when(F.coalesce("player1_rank", F.lit(999)) <= F.coalesce("player2_rank", F.lit(999)), 1).otherwise(2))).select(*(r6(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1"))))
 
 # -- windows
 def _recent(n: int):
     """The mean result over the last n matches, this one included."""
-    return F.round(F.avg("won").over(Window.partitionBy("player").orderBy("rn").rowsBetween(1 - n, 0)), 6)
+    return F.round(F.avg("won").over(_last(n)), 6)
 
 
 simple("w1_running_last_n", lambda b: b.events.select("player", "rn", _recent(5).alias("last_5"), _recent(10).alias("last_10")))
@@ -212,6 +231,7 @@ simple("w3_streaks", lambda b: st.streaks(b.known))
 simple("w4_running_totals", lambda b: st.running_totals(b.events))
 for _name in ("w5_ordinal", "o2_index_reset"):
     simple(_name, lambda b: tm.ordered(b.matches).select("match_num", "rn"))
+simple("o2_index_reset_split", lambda b: tm.ordered(b.next.drop("rn", "n_matches")).select("match_num", "rn", F.col("n_matches").alias("n")))
 simple("w6_category_code", lambda b: prep.encode(b.matches, "winner_name", prep.vocabulary(b.matches, "winner_name"), "code").select("match_num", "code"))
 
 # -- order and limits
@@ -245,8 +265,8 @@ simple("f15_surface_match", lambda b: ft.match_preference(ft.form_lookup(b.diffs
 simple("f16_is_top_10", lambda b: b.matches.select("match_num", S.is_top_10(_c("winner_rank")).alias("is_top_10")))
 simple("f17_list_tail", lambda b: b.known.groupBy("player").agg(F.array_sort(F.collect_list(F.struct("rn", "won"))).alias("h")).select("player", S.last_n(_c("h"), 5).alias("h")).select("player", F.size("h").cast("long").alias("n"), F.expr("aggregate(h, 0L, (a, x) -> a + x.won)").alias("wins")))
 simple("f18_map_default", lambda b: st.surface_maps(b.known).select("player", S.at_key(_c("surface_wins"), F.lit("Hard"), F.lit(0)).cast("long").alias("wins_hard"), S.at_key(_c("surface_wins"), F.lit("Ice"), F.lit(0)).cast("long").alias("wins_ice")))
-simple("f19_two_decimals", lambda b: st.totals(b.known, "player").where("abs(win_pct * 1000 - floor(win_pct * 1000)) < 2 and round(win_pct * 1000) % 10 <> 5").select("player", S.shown(F.round("win_pct", 6)).cast("double").alias("shown")))
-simple("f19_two_decimals_whole", lambda b: st.totals(b.known, "player").select("player", S.shown(_c("win_pct")).cast("double").alias("shown")))
+for _name in ("f19_two_decimals", "f19_two_decimals_whole"):
+    simple(_name, lambda b: st.totals(b.known, "player").select("player", S.shown(_c("win_pct")).cast("double").alias("shown")))
 simple("f20_seeded_coin", lambda b: b.active.select("match_num", S.coin(_c("match_num"), 42).alias("swap")))
 simple("f21_or_unranked", lambda b: b.matches.select("match_num", S.or_unranked(S.lenient_double(_c("winner_seed"))).alias("seed")))
 simple("f23_required", lambda b: b.matches.select("match_num", S.required(_c("winner_name"), "a match without a winner").alias("winner_name")))
@@ -254,6 +274,8 @@ _SCALED = ["rank_diff", "age_diff", "player1_last_10_win_percentage"]
 for _name in ("f22_z_score", "m3_standard_scaler"):
     simple(_name, lambda b: prep.scale(b.filled, _SCALED).select("match_num", *(r6(c) for c in _SCALED)))
 
+simple("m3_scaler_parameters", lambda b: prep.scale_parameters(b.diffs, ["rank_diff", "player2_age"]).select("feature", r6("mean"), r6("std")))
+
 # -- encoders, imputers, models
 simple("m1_label_encoder", lambda b: prep.vocabulary(b.pairs, "player1_hand"))
 simple("m2_median_imputer", lambda b: prep.impute(b.timeline.where("split = 'final'"), prep.medians(b.next, ["winner_rank", "winner_ht"])).select("match_num", r6("winner_rank"), r6("winner_ht")))
@@ -267,9 +289,8 @@ def _neighbours(b: Base) -> DataFrame:
     return p.select(_c("player").alias("player1"), (k + 1).alias("k")).join(p.select(_c("player").alias("player2"), k.alias("k")), "k").select("player1", "player2", F.lit("Clay").alias("surface"))
 
 
-simple("m9_serving_features", lambda b: ft.serving_features(_neighbours(b), b.known).select(
-    "player1", "player2", "rank_diff", r6("log_rank_diff"), "top_10_vs_not", "age_diff", "young_vs_old", "seed_diff", "seeded_vs_unseeded", "height_diff", "tall_vs_short",
-    r6("player1_last_5_win_percentage"), r6("player2_last_5_win_percentage"), r6("player1_surface_last_10_win_percentage"), "player1_surface_match", "head_to_head_wins_p1", "surface"))
+simple("m6_metrics", lambda b: models.evaluate(b.matches.select(S.known_or_unknown(_c("surface")).alias("surface"), (_c("match_num") % 3).alias("result"), ((_c("match_num") * 7 + F.length("winner_name")) % 3).alias("predicted")), by=["surface"]).select("surface", *(r6(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1"))))
+simple("m9_serving_features", lambda b: ft.serving_features(_neighbours(b), b.known).select("player1", "player2", *(r6(c) if c in ROUNDED else _c(c) for c in FEATURES)))
 simple("m11_player_profile", lambda b: st.player_profile(b.known, "P7").select("player", r6("pct_hard"), r6("pct_clay"), r6("pct_grass"), r6("win_pct"), r6("last_5"), "win_streak", "loss_streak", "preferred_surface"))
 
 
@@ -322,8 +343,11 @@ STATE = ["matches", "wins", "win_pct", "last_5", "last_10", "win_streak", "loss_
 simple("x_state_snapshot", lambda b: st.player_state(b.known).select("player", *(r6(c) if c in ("win_pct", "last_5", "last_10") else _c(c) for c in STATE)))
 simple("x_pair_features_snapshot", lambda b: b.full.select(*picked([*FEATURE_COLUMNS, *LOOKED_UP])))
 simple("x_filled_features", lambda b: b.filled.select(*picked([*FEATURE_COLUMNS, *LOOKED_UP, "player1_rank", "player2_rank", "player1_seed", "player1_hand", "player1_age", "player2_ht"])))
-simple("e1_before_match", lambda b: st.before_match(b.events).select("player", "rn", r6("last_5"), r6("last_10"), r6("surface_last_10"), "h2h_wins"))
-simple("e1_pair_features_point_in_time", lambda b: ft.pair_features(b.pairs, b.events, "point_in_time").select("match_num", r6("player1_last_5_win_percentage"), r6("player2_last_10_win_percentage"), r6("player1_surface_last_10_win_percentage"), "head_to_head_wins_p1", "head_to_head_wins_p2"))
+simple("e1_before_match", lambda b: st.before_match(b.events).select("player", "rn", r6("last_5"), r6("last_10"), r6("surface_last_10"), "h2h_wins", "preferred_surface"))
+simple("e1_pair_features_point_in_time", lambda b: ft.pair_features(b.pairs, b.events, "point_in_time").select(*picked([*FEATURE_COLUMNS, *LOOKED_UP])))
+
+
+STREAMED = ["matches", "wins", "last_5", "last_10", "win_streak", "loss_streak", "preferred_surface", "matches_vs_right", "wins_vs_right", "matches_vs_left", "wins_vs_left"]
 
 
 @query
@@ -331,7 +355,7 @@ def e2_streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matches streamed from files in four steps of time; the last state of each player."""
     from ..streaming.run import final_state
 
-    return final_state(spark, tm.ordered(src.derived_matches(spark, sf_dir)), 4).select("player", "matches", "wins")
+    return final_state(spark, src.written(tm.ordered(src.derived_matches(spark, sf_dir))), 4).select("player", *(r6(c) if c in ("last_5", "last_10") else _c(c) for c in STREAMED))
 
 
 def queries() -> dict[str, Query]:

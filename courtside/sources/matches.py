@@ -31,6 +31,20 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def ensure_folder(spark: SparkSession, path: str) -> bool:
+    """Makes a folder and those above it where they are missing; whether it had to."""
+    if exists(spark, path):
+        return False
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files with a header and the declared columns, typed; a malformed date is an error. URLs aren't fetched."""
     for p in [paths] if isinstance(paths, str) else paths:

@@ -15,15 +15,20 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 def final_state(spark: SparkSession, timeline: DataFrame, steps: int = 4) -> DataFrame:
-    """timeline (with rn and n_matches) is written as one file for each step of time and streamed file by file; of each
-    player's emitted states the last is returned."""
+    """timeline (with rn and n_matches; computed before, since each step reads it) arrives in so many steps of time. After
+    each, a stream takes in what is new and ends, and the next one goes on from its state; of each player's emitted states
+    the last is returned."""
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     rows = timeline.withColumn("step", F.floor(F.col("rn") * steps / F.col("n_matches")))
-    for k in range(steps):
-        rows.where(F.col("step") == k).drop("step").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(timeline.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{root}/in")
+    before = spark.conf.get(*STATE_STORE)
     spark.conf.set(*STATE_STORE)
-    q = streaming_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        for k in range(steps):
+            rows.where(F.col("step") == k).drop("step").write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(timeline.schema).parquet(f"{root}/in")
+            q = streaming_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
     out = spark.read.parquet(f"{root}/out")
     return out.withColumn("k", F.row_number().over(Window.partitionBy("player").orderBy(F.desc("rn")))).where("k = 1").drop("k")
