@@ -33,20 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go once it is there, and Arrow batches of long texts stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as a Parquet table in the shared folder and reads it back, so a lost executor costs
-    a reread and never a recomputation of what lies before. The shuffle files behind it go once it is written."""
+    a reread and never a recomputation of what lies before. Session settings are afterwards as they were."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "snappy").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,7 +75,7 @@ def join_one(rows: DataFrame, one: DataFrame, on: list[str], spread: Column, how
     parts = F.coalesce("__parts", F.lit(1))
     many = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.pmod(spread, parts).cast("int")).drop("__parts")
     repeated = one.join(F.broadcast(hot), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return many.join(repeated, [*on, "__part"], how).drop("__part")
+    return many.join(repeated.hint("merge"), [*on, "__part"], how).drop("__part")
 
 
 def crc_mod(id_col: str, m: int) -> Column:

@@ -9,8 +9,8 @@ Method. The window of a line is the shortest run from it, and the shortest run u
 smallest line hash in a window is its fingerprint, kept with its position, so any two equal runs of `least` words keep
 equal fingerprints. Positions are joined over their fingerprints: those that no second position shares are done, and with
 them their windows. Around the others a match is extended both ways, forward from each line and backward from each line, as
-far as windows still hold a shared position: equal windows are those whose fingerprint and SHA-256 digest of all their
-lines agree, and the first of them, in order, is what the later ones repeat. Together these windows cover each repeated run
+far as windows still hold a shared position: equal windows are those whose fingerprint and SHA-256 digest (its first 128
+bits) of all their lines agree, and the first of them, in order, is what the later ones repeat. Together these windows cover each repeated run
 from its first line to its last. All is one row per line and direction at most, combined by hash; no pairs are made, however
 many documents share a run, and the rows of a run that very many share are dealt out in parts.
 
@@ -40,14 +40,14 @@ def removed_runs(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
         F.expr("transform(x, s -> s.at)").alias("at"),
         F.expr(f"transform(x, s -> least(s.w, {least}))").alias("w"),
         F.expr("transform(x, s -> xxhash64(s.l))").alias("h"),
-        F.expr("transform(x, s -> unhex(sha2(s.l, 256)))").alias("d"),
+        F.expr("transform(x, s -> substring(unhex(sha2(s.l, 256)), 1, 16))").alias("d"),
     )
     step = f"struct(0 as s, 0 as n), (a, v) -> if(a.s >= {least}, a, struct(a.s + v as s, a.n + 1 as n)), a -> if(a.s >= {least}, a.n, 0)"
     ahead = f"transform(w, (v, i) -> struct(i as a, aggregate(slice(w, i + 1, {least}), {step}) as n))"
     back = f"transform(transform(w, (v, i) -> struct(i as b, aggregate(reverse(slice(w, greatest(i - {least - 1}, 0) + 1, least({least}, i + 1))), {step}) as n)), s -> struct(s.b - s.n + 1 as a, s.n as n))"
     spans = f"array_distinct(filter(concat({ahead}, {back}), s -> s.n > 0))"
     # Each window with its fingerprint, where that stands, and the digest of its lines; a window of one line has its own.
-    window = "transform(spans, s -> struct(s.a as a, s.a + s.n - 1 as b, at[s.a] as lo, at[s.a + s.n - 1] as hi, array_min(slice(h, s.a + 1, s.n)) as fp, if(s.n = 1, d[s.a], unhex(sha2(concat_ws('', transform(slice(d, s.a + 1, s.n), x -> hex(x))), 256))) as k, slice(h, s.a + 1, s.n) as hs))"
+    window = "transform(spans, s -> struct(s.a as a, s.a + s.n - 1 as b, at[s.a] as lo, at[s.a + s.n - 1] as hi, array_min(slice(h, s.a + 1, s.n)) as fp, if(s.n = 1, d[s.a], substring(unhex(sha2(concat_ws('', transform(slice(d, s.a + 1, s.n), x -> hex(x))), 256)), 1, 16)) as k, slice(h, s.a + 1, s.n) as hs))"
     placed = "transform(windows, s -> struct(s.a as a, s.b as b, s.lo as lo, s.hi as hi, s.fp as fp, s.k as k, s.a + cast(array_position(s.hs, s.fp) as int) - 1 as p))"
     windows = narrow.withColumn("spans", F.expr(spans)).select("id", "th", F.expr(window).alias("windows")).select("id", "th", F.inline(F.expr(placed)))
     windows = settle(windows)
@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with later repeated runs of lines cut out of the text. counts: adds n_lines and n_removed."""
     cuts = removed_runs(docs, id_col, text_col, least).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("cuts").alias("__cuts"))
     rows = docs.withColumn("__hash", F.xxhash64(text_col))
-    both = rows.join(cuts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
+    both = rows.join(cuts.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     both = both.withColumn("__lines", F.expr(f"split(`{text_col}`, '\\n', -1)"))
     parts = """aggregate(__cuts, struct(0 as next, cast(array() as array<struct<lo:int,n:int>>) as keep),
         (s, c) -> struct(greatest(s.next, c.hi + 1) as next, if(c.lo > s.next, concat(s.keep, array(struct(s.next as lo, c.lo - s.next as n))), s.keep) as keep),
