@@ -2,30 +2,39 @@
 
 Surrogates. An entity's value characters (format characters such as spaces, dots and brackets stay) are a number in mixed
 radix, one digit per character, whose radix is its class: digits, Latin, accented Latin, Greek, Cyrillic letters, CJK;
-vowels and consonants apart in names; octets in addresses. A keyed Feistel network permutes these numbers within each
-shape, so different entities get different surrogates, equal ones the same wherever and however they are written
-(coreference across documents, cases and separators), and nothing has to be stored. Card numbers keep whether their check
-digit holds; first names of a known gender are permuted among names of that gender; other names keep their last letter.
-
-Collision check. A surrogate must not be an entity of the corpus itself. The distinct entities are joined with their own
-surrogates; those that hit one are tried again with a key of the next step, and again while the result is an entity or
-a surrogate already given, so the map stays one-to-one. An entity that finds none in STEPS steps (its shape is used up, or
-nearly) gets a longer one, keyed and distinct: first names become compounds of names of the same gender, other names get
-letters of their script, e-mail addresses and secrets letters, phone numbers digits; one place more at each further step,
-until it is free. Addresses, card and social security numbers and IBANs have no longer form and walk on. The few entities that needed more than one step travel to their documents
-by a join; if there are none, that join isn't made.
-
-Detected: e-mail addresses, phone numbers, IPv4 addresses, card numbers (13 to 19 digits), US social security numbers,
-IBANs, keys and tokens, and names after a title or with a listed first name.
-
-Defined cases: null stays null with no entities; texts are read whole; rows with the same id and text are treated alike;
-empty tables work; other columns are not read.
+vowels and consonants apart in names; octets in addresses. A keyed permutation maps these numbers within each shape (a
+Feistel network; for shapes of few values a keyed cycle through all of them, which no pair of values gives away), so
+different entities get different surrogates, equal ones the same wherever and however they are written (coreference across
+documents, cases and separators), and nothing has to be stored. Names are mapped word by word: a surname is the same after
+a title, after a first name and alone. Card numbers keep whether their check digit holds; first names of a known gender are
+permuted among names of that gender, and no other word becomes one of them; other words keep their last letter.
+
+Collision check. A surrogate must not be an entity (of names: a word) of the corpus itself. The distinct entities are joined
+with their own surrogates; those that hit one are tried again with a key of the next step, and again while the result is an
+entity or a surrogate already given, so the map stays one-to-one; since words move and not whole names, coreference holds. An
+entity that finds none in STEPS steps (its shape is used up, or nearly) gets a longer one, keyed and distinct: first names
+become compounds of names of the same gender, other names get letters of their script, e-mail addresses and secrets letters,
+phone numbers digits; one place more at each further step, until it is free. Addresses, card and social security numbers and
+IBANs have no longer form and walk on. The few entities that needed more than one step travel to their documents by a join;
+if there are none, that join isn't made.
+
+Detected, each of any length: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card numbers (13 to 19 digits), US
+social security numbers, IBANs, keys and tokens (after a key word, by their issuers' prefixes, or as hex), and names: up to
+three capitalised words, of Latin, Greek or Cyrillic letters, after a title or with a listed first name before them. Names
+that neither a title nor a listed first name announces are not found: telling them from other capitalised words takes a
+model trained on marked names, and there are none to train on here.
+
+Defined cases: null stays null with no entities; texts are read whole; rows with the same id and text are treated alike,
+repeated rows too; of overlapping entities the first stays, and names give way; empty tables work; other columns are not
+read, not even those named like the new ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -38,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, slices, table
 
-ROUNDS, STEPS = 8, 32
+ROUNDS, STEPS, SMALL = 8, 32, 1024
 
 # Alphabets, titles, and first names by gender.
 VOWELS, CONSONANTS, LATIN, DIGITS = "aeiou", "bcdfghjklmnpqrstvwxyz", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -50,15 +59,16 @@ FEMALE = "Mary Anna Emma Laura Julia Sarah Maria Elena Carmen Lucia Claire Camil
 MALE = "John James Robert Michael David Peter Thomas Daniel Carlos Miguel Antonio Javier Pierre Jacques Louis Hugo Hans Klaus Stefan Juergen Dieter Paul Mark Kevin George".split()
 _FIRST = {n.lower(): (g, i) for g, names in (("f", FEMALE), ("m", MALE)) for i, n in enumerate(names)}
 
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'’-]{1,30}"
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞĀ-ŽΆ-ΏΑ-ΩЀ-Я][\w'’-]+"
 DETECT = re.compile(
     "|".join(
         [
-            r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24})",
-            r"(?P<secret>(?<=[=:\s\"'])(?<![\w])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\w]))",
+            r"(?P<email>(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,})",
+            r"(?P<secret>(?<![^=:\s\"'(,\[])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abposr]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![\w]))",
             r"(?i:\b(?:api[_-]?key|key|token|secret|passw(?:or)?d)\b\s{0,4}[:=]\s{0,4}[\"']?)(?P<value>[A-Za-z0-9_/+-]{8,}(?:\.[A-Za-z0-9_/+-]+)*)",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))",
+            r"(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,}+(?![\w:]))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<phone>(?<![\w+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w))",
             r"(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))",
@@ -70,9 +80,26 @@ NAMED = re.compile(rf"\b(?:(?:{TITLES})\b\.?\s(?P<name>{_CAPITAL}(?:\s{_CAPITAL}
 _SIGNS = re.compile(r"[@0-9=:]")
 _CAPITALISED = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]+")
 _CALLED = {*TITLES.split("|"), *FEMALE, *MALE}
+_ISSUED = re.compile(r"AKIA|(?:sk|pk|rk)[-_]|gh[opsur]_|github_pat_|xox[abposr]-")
+_NAME_PARTS = re.compile(r"(\s+)")
 _KIND = {"value": "secret", "full": "name"}
 
 
+def folded(text: str) -> str:
+    """What words of names are known by, in whatever case: Greek capitals have one sigma."""
+    return text.lower().replace("ς", "σ")
+
+
+def cased(word: str, new: str) -> str:
+    """A new word in the case of another: of each letter where there are as many, else all capitals or a capital first."""
+    new = f"{new[:-1]}ς" if len(new) > 1 and new[-1] == "σ" else new
+    if len(word) > 1 and word.isupper():
+        return new.upper()
+    if len(word) == len(new):
+        return "".join(b.upper() if a.isupper() and len(b.upper()) == 1 else b.lower() if a.islower() else b for a, b in zip(word, new, strict=True))
+    return "-".join(x.capitalize() for x in new.split("-")) if word[0].isupper() else new
+
+
 def luhn_digit(digits: str) -> int:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -85,6 +112,13 @@ def normal(kind: str, text: str) -> str | None:
     if kind == "ip":
         parts = [int(p) for p in text.split(".")]
         return ".".join(map(str, parts)) if max(parts) < 256 else None
+    if kind == "ip6":
+        if not re.search(r"\d", text):  # as names in programs are written
+            return None
+        try:
+            return ipaddress.IPv6Address(text).exploded
+        except ValueError:
+            return None
     if kind in ("phone", "card", "ssn"):
         d = re.sub(r"\D", "", text)
         return d[-10:] if kind == "phone" and len(d) in (10, 11) and d[:-10] in ("", "1") else d
@@ -128,9 +162,22 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
         self.permuted = lru_cache(50_000)(self._permuted)
+        self.cycle = lru_cache(2_000)(self._cycle)
+
+    def _cycle(self, shape: str, radices: tuple[int, ...]) -> list[int]:
+        """Of each number of a shape with few of them, the next in a keyed cycle through all: none stays as it is."""
+        size = math.prod(radices)
+        order = sorted(range(size), key=lambda i: hmac.digest(self.key, f"{shape}|cycle|{i}".encode(), "sha256"))
+        after = [0] * size
+        for a, b in zip(order, [*order[1:], order[0]], strict=True):
+            after[a] = b
+        return after
 
     def _mixed(self, shape: str, values: list[int], radices: list[int]) -> list[int]:
         """A permutation of the mixed-radix numbers of this shape."""
+        if len(values) == 1 or len(values) <= 10 and math.prod(radices) <= SMALL:
+            after = self.cycle(shape, tuple(radices))
+            return _unpacked(after[_packed(values, radices)[0]], radices)
         half = len(values) // 2
         (a, x), (b, y) = _packed(values[:half], radices[:half]), _packed(values[half:], radices[half:])
         n, size = [a, b], [x, y]
@@ -167,6 +214,8 @@ class Surrogates:
     def _permuted(self, kind: str, entity: str) -> str:
         if kind == "ip":
             return ".".join(map(str, self._mixed("ip", [int(x) for x in entity.split(".")], [256] * 4)))
+        if kind == "ip6":
+            return ":".join(f"{g:04x}" for g in self._mixed("ip6", [int(x, 16) for x in entity.split(":")], [1 << 16] * 8))
         if kind == "email":
             local, _, domain = entity.partition("@")
             *labels, top = domain.split(".")
@@ -192,21 +241,27 @@ class Surrogates:
             return "".join(f"{v:x}" for v in new) if entity.lower() == entity else "".join(f"{v:X}" for v in new)
         if kind == "name":
             return " ".join(map(self._word, entity.split()))
-        return self._text(kind, entity)
+        issuer = _ISSUED.match(entity) if kind == "secret" else None
+        return self._text(kind, entity, frozenset(range(issuer.end())) if issuer else frozenset())
 
     def _word(self, word: str) -> str:
         """One word of a name, alike wherever it stands."""
         if known := _FIRST.get(word.lower()):
             gender, i = known
             names = FEMALE if gender == "f" else MALE
-            return names[self._mixed(f"first:{gender}", [i], [len(names)])[0]]
-        return self._text("name", word, frozenset([len(word) - 1]) if len(word) > 2 else frozenset())
+            new = names[self._mixed(f"first:{gender}", [i], [len(names)])[0]]
+            return new.upper() if word.isupper() else new
+        fixed = frozenset([len(word) - 1]) if len(word) > 2 else frozenset()
+        new = self._text("name", word, fixed)
+        while new.lower() in _FIRST and new != word:  # the permutation goes on to the next word that isn't a first name
+            new = self._text("name", new, fixed)
+        return new
 
     def longer(self, kind: str, entity: str, more: int) -> str:
         """A surrogate that is longer than the entity by `more` keyed letters, digits or first names. Distinct entities
         have distinct ones: without the places added, which are as many for all, they are those of permuted()."""
         base = self.permuted(kind, entity)
-        if kind in ("ip", "ssn", "card", "iban") or kind == "phone" and base == entity:
+        if kind in ("ip", "ip6", "ssn", "card", "iban") or kind == "phone" and base == entity:
             return base
         seed = int.from_bytes(b"".join(hmac.new(self.key, f"longer|{kind}|{i}|{entity}".encode(), hashlib.sha256).digest() for i in range(more // 32 + 2)), "big")
 
@@ -290,7 +345,7 @@ def _apart(spans: list[tuple]) -> list[tuple]:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
-        seen = [sorted({(k, e) for _, _, k, e in detected(t or "")}) for t in batch.column("text").to_pylist()]
+        seen = [sorted({(k, w) for _, _, k, e in detected(t or "") for w in (folded(e).split() if k == "name" else [e])}) for t in batch.column("text").to_pylist()]
         rows = [(i, k, e) for i, s in enumerate(seen) for k, e in s]
         at = pa.array([r[0] for r in rows], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["id", "th", "kind", "entity"])
@@ -303,7 +358,9 @@ def surrogate_steps(entities: DataFrame, key: bytes) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = Surrogates(hmac.new(key, b"step %d" % k, hashlib.sha256).digest() if k else key)
             for b in batches:
-                new = [s.longer(*x, k - STEPS + 1) if k >= STEPS else s.permuted(*x) for x in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+                pairs = list(zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True))
+                new = [s.longer(*x, k - STEPS + 1) if k >= STEPS else s.permuted(*x) for x in pairs]
+                new = [n.lower() if x[0] == "name" else n for x, n in zip(pairs, new, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
 
         return run
@@ -346,7 +403,10 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                 known = {(x["kind"], x["entity"]): x["surrogate"] for x in own or []}
                 out, at, size, marks = [], 0, 0, []
                 for start, stop, k, entity in detected(text or ""):
-                    new = known.get((k, entity)) or s.permuted(k, entity)
+                    if k == "name":  # word by word, with the spaces between them
+                        new = "".join(cased(w, known.get((k, folded(w))) or s.permuted(k, folded(w))) if w.strip() else w for w in _NAME_PARTS.split(entity))
+                    else:
+                        new = known.get((k, entity)) or s.permuted(k, entity)
                     new = s.replaced(k, text[start:stop], new)
                     out += [text[at:start], new]
                     size += start - at
