@@ -244,7 +244,9 @@ SQL = {
     "x_filled_features": f"SELECT {_pick([*FEATURE_COLUMNS, *LOOKED_UP, 'player1_rank', 'player2_rank', 'player1_seed', 'player1_hand', 'player1_age', 'player2_ht'])} FROM fl",
     "e1_before_match": "SELECT pit.player, pit.rn, round(last_5, 6) AS last_5, round(last_10, 6) AS last_10, round(surface_last_10, 6) AS surface_last_10, h2h_wins, preferred_surface FROM pit JOIN pitp ON pitp.player = pit.player AND pitp.rn = pit.rn",
     "e1_pair_features_point_in_time": f"SELECT {_pick([*FEATURE_COLUMNS, *LOOKED_UP])} FROM pinx",
-    "e2_streaming_state": f"SELECT tot.player, matches, wins, {r('last_5')}, {r('last_10')}, win_streak, loss_streak, preferred_surface, matches_vs_right, wins_vs_right, matches_vs_left, wins_vs_left FROM tot JOIN l5 ON l5.player = tot.player JOIN l10 ON l10.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player JOIN vs ON vs.player = tot.player",
+    "e2_streaming_state": f"SELECT tot.player, matches, wins, {r('last_5')}, {r('last_10')}, win_streak, loss_streak, preferred_surface, matches_vs_right, wins_vs_right, matches_vs_left, wins_vs_left, latest_rank, latest_ht, latest_hand, latest_seed, latest_age FROM tot JOIN l5 ON l5.player = tot.player JOIN l10 ON l10.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player JOIN vs ON vs.player = tot.player JOIN lat ON lat.player = tot.player",
+    "e2_streaming_tallies": """SELECT player, 'opponents' AS of, opponent AS name, count(*) AS matches, cast(sum(won) AS BIGINT) AS wins, cast(NULL AS DOUBLE) AS rate FROM e GROUP BY player, opponent
+      UNION ALL SELECT player, 'tournaments', tourney_id, count(*), cast(sum(won) AS BIGINT), NULL FROM e GROUP BY player, tourney_id UNION ALL SELECT player, 'surfaces', surface, NULL, NULL, round(rate, 6) FROM sl""",
 }
 
 #: Queries over the selective rows of `act`, which are also registered as NAME_whole over the whole split.
@@ -255,7 +257,7 @@ WHOLE_SPLIT = """p2_side_swap p3_result_label p9_projection p14_either_side p15_
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for k, tail, ctes in [*((k, v, _AFTER_ALL if k == "e2_streaming_state" else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
+    for k, tail, ctes in [*((k, v, _AFTER_ALL if k.startswith("e2_") else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
         if tail.startswith(", "):  # has definitions of its own after the shared ones
             full = _with(tail, ctes)
             head, own = full[: -len(tail)].rstrip(), tail

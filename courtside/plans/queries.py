@@ -347,15 +347,33 @@ simple("e1_before_match", lambda b: st.before_match(b.events).select("player", "
 simple("e1_pair_features_point_in_time", lambda b: ft.pair_features(b.pairs, b.events, "point_in_time").select(*picked([*FEATURE_COLUMNS, *LOOKED_UP])))
 
 
-STREAMED = ["matches", "wins", "last_5", "last_10", "win_streak", "loss_streak", "preferred_surface", "matches_vs_right", "wins_vs_right", "matches_vs_left", "wins_vs_left"]
+STREAMED = ["matches", "wins", "last_5", "last_10", "win_streak", "loss_streak", "preferred_surface", "matches_vs_right", "wins_vs_right", "matches_vs_left", "wins_vs_left", "latest_rank", "latest_ht", "latest_hand", "latest_seed", "latest_age"]
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of the matches emits that arrives in four steps of time."""
+    from ..streaming.run import emitted
+
+    return emitted(spark, src.written(tm.ordered(src.derived_matches(spark, sf_dir))), 4)
 
 
 @query
 def e2_streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matches streamed from files in four steps of time; the last state of each player."""
-    from ..streaming.run import final_state
+    """The last state of each player."""
+    from ..streaming.run import last
 
-    return final_state(spark, src.written(tm.ordered(src.derived_matches(spark, sf_dir))), 4).select("player", *(r6(c) if c in ("last_5", "last_10") else _c(c) for c in STREAMED))
+    return last(_streamed(spark, sf_dir), "player").select("player", *(r6(c) if c in ("last_5", "last_10") else _c(c) for c in STREAMED))
+
+
+@query
+def e2_streaming_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head-to-head and tournament counts, and the last ten on each surface, of the same stream."""
+    from ..streaming.run import final_tallies, last
+
+    states = _streamed(spark, sf_dir)
+    parts = [final_tallies(states, of).select("player", F.lit(of).alias("of"), "name", "matches", "wins", F.lit(None).cast("double").alias("rate")) for of in ("opponents", "tournaments")]
+    surfaces = last(states, "player").select("player", F.lit("surfaces").alias("of"), F.explode("surface_last_10").alias("name", "rate"))
+    return parts[0].unionByName(parts[1]).unionByName(surfaces.withColumn("rate", F.round("rate", 6)), allowMissingColumns=True)
 
 
 def queries() -> dict[str, Query]:

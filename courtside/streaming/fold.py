@@ -1,12 +1,12 @@
 """Player state over a stream of matches: keyed state for each player, advanced in order of rn.
 
 Rows of a micro-batch are sorted by rn within each player; a row at or below the last one applied is late and dropped.
-The state is bounded by a player's opponents, tournaments and five surfaces; counters and last-ten lists are constant.
+Counters and latest values are one value, the last ten results a list, and surfaces, opponents and tournaments maps, of which
+a batch reads and writes only the entries that it touches. The state is bounded by a player's opponents and tournaments.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,54 +17,75 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.state import player_match_events
 from ..schema import STATE_SURFACES
 
-OUTPUT = "player string, rn long, matches long, wins long, win_streak long, loss_streak long, last_5 double, last_10 double, preferred_surface string, matches_vs_right long, wins_vs_right long, matches_vs_left long, wins_vs_left long"
+COUNTERS = ["rn", "matches", "wins", "win_streak", "loss_streak", "matches_vs_right", "wins_vs_right", "matches_vs_left", "wins_vs_left"]
+LATEST = {"rank": "double", "ht": "double", "hand": "string", "seed": "string", "age": "double"}
+_VALUE = ", ".join([*(f"{c} long" for c in COUNTERS), *(f"{c} {t}" for c, t in LATEST.items())])
+_ENTRY = "array<struct<name:string,matches:long,wins:long>>"
+OUTPUT = ", ".join(["player string", *(f"{c} long" for c in COUNTERS), *(f"latest_{c} {t}" for c, t in LATEST.items()), "last_5 double", "last_10 double", "preferred_surface string", "surface_last_10 map<string,double>", f"opponents {_ENTRY}", f"tournaments {_ENTRY}"])
+_SIDE = {"R": "right", "L": "left"}
 
 
-def _empty() -> dict[str, Any]:
-    return {"rn": -1, "matches": 0, "wins": 0, "win_streak": 0, "loss_streak": 0, "recent": [], "surface": {s: [0, 0] for s in STATE_SURFACES}, "R": [0, 0], "L": [0, 0]}
-
-
-def _advance(s: dict[str, Any], rn: int, won: int, surface: str, opp_hand: str | None) -> None:
-    s["rn"] = rn
-    s["matches"] += 1
-    s["wins"] += won
-    s["win_streak"], s["loss_streak"] = (s["win_streak"] + 1, 0) if won else (0, s["loss_streak"] + 1)
-    s["recent"] = [*s["recent"][-9:], won]
-    for tally in [s["surface"][surface], *([s[opp_hand]] if opp_hand in ("R", "L") else [])]:
-        tally[0] += 1
-        tally[1] += won
-
-
-def _row(player: str, s: dict[str, Any]) -> dict[str, Any]:
-    rate = lambda x: sum(x) / len(x) if x else 0.0
-    share = lambda t: t[1] / t[0] if t[0] else 0.0
-    best = max(STATE_SURFACES, key=lambda k: (share(s["surface"][k]), -STATE_SURFACES.index(k)))
-    return {
-        "player": player, "rn": s["rn"], "matches": s["matches"], "wins": s["wins"], "win_streak": s["win_streak"], "loss_streak": s["loss_streak"], "last_5": rate(s["recent"][-5:]), "last_10": rate(s["recent"]), "preferred_surface": best,
-        "matches_vs_right": s["R"][0], "wins_vs_right": s["R"][1], "matches_vs_left": s["L"][0], "wins_vs_left": s["L"][1],
-    }
+def _share(wins: float, matches: float) -> float:
+    return wins / matches if matches else 0.0
 
 
 class PlayerFold(StatefulProcessor):
-    """One value for each player: the counters and lists of _empty(), as JSON."""
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string")
+        self.value = handle.getValueState("value", _VALUE)
+        self.recent = handle.getListState("recent", "won long")
+        self.surfaces = handle.getMapState("surfaces", "surface string", "matches long, wins long, recent string")
+        self.opponents = handle.getMapState("opponents", "name string", "matches long, wins long")
+        self.tournaments = handle.getMapState("tournaments", "name string", "matches long, wins long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.state.get()[0]) if self.state.exists() else _empty()
-        for r in pd.concat(list(rows)).sort_values("rn").itertuples():
-            if r.rn > s["rn"]:
-                _advance(s, int(r.rn), int(r.won), r.surface, r.opp_hand)
-        self.state.update((json.dumps(s),))
-        yield pd.DataFrame([_row(key[0], s)])
+        names = [*COUNTERS, *LATEST]
+        s = dict(zip(names, self.value.get(), strict=True)) if self.value.exists() else {**dict.fromkeys(COUNTERS, 0), "rn": -1, **dict.fromkeys(LATEST)}
+        batch = pd.concat(list(rows)).sort_values("rn")
+        batch = batch[batch["rn"] > s["rn"]]
+        recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
+        surfaces = {k[0]: list(v) for k, v in self.surfaces.iterator()}
+        for r in batch.itertuples():
+            won = int(r.won)
+            s["rn"] = int(r.rn)
+            s["matches"] += 1
+            s["wins"] += won
+            s["win_streak"], s["loss_streak"] = (s["win_streak"] + 1, 0) if won else (0, s["loss_streak"] + 1)
+            if side := _SIDE.get(r.opp_hand):
+                s[f"matches_vs_{side}"] += 1
+                s[f"wins_vs_{side}"] += won
+            recent = [*recent[-9:], won]
+            at = surfaces.setdefault(r.surface, [0, 0, ""])
+            at[:] = [at[0] + 1, at[1] + won, f"{at[2][-9:]}{won}"]
+            for c in LATEST:
+                x = getattr(r, c)
+                s[c] = None if pd.isna(x) else x
+        touched = [self._tallied(state, batch, c) for state, c in ((self.opponents, "opponent"), (self.tournaments, "tourney_id"))]
+        if len(batch):
+            self.value.update(tuple(s[c] for c in names))
+            self.recent.put([(x,) for x in recent])
+            for surface in set(batch["surface"]):
+                self.surfaces.updateValue((surface,), tuple(surfaces[surface]))
+        best = max(STATE_SURFACES, key=lambda k: (_share(surfaces[k][1], surfaces[k][0]) if k in surfaces else 0.0, -STATE_SURFACES.index(k)))
+        rate = lambda x: _share(sum(map(int, x)), len(x))
+        yield pd.DataFrame([{"player": key[0], **{c: s[c] for c in COUNTERS}, **{f"latest_{c}": s[c] for c in LATEST}, "last_5": rate(recent[-5:]), "last_10": rate(recent), "preferred_surface": best, "surface_last_10": {k: rate(v[2]) for k, v in surfaces.items()}, "opponents": touched[0], "tournaments": touched[1]}])
+
+    @staticmethod
+    def _tallied(state: Any, batch: pd.DataFrame, column: str) -> list[dict[str, Any]]:
+        """Adds a batch's matches and wins by the column to a map; the entries that changed."""
+        out = []
+        for name, won in batch.groupby(column)["won"].agg(["size", "sum"]).iterrows():
+            old = state.getValue((name,)) if state.containsKey((name,)) else (0, 0)
+            new = (int(old[0] + won["size"]), int(old[1] + won["sum"]))
+            state.updateValue((name,), new)
+            out.append({"name": name, "matches": new[0], "wins": new[1]})
+        return out
 
     def close(self) -> None:
         pass
 
 
 def streaming_state(matches: DataFrame) -> DataFrame:
-    """matches: a streaming frame with rn. Emits each touched player's state after every micro-batch (update mode).
-    Needs the RocksDB state store (see run.STATE_STORE)."""
-    events = player_match_events(matches).select("player", "rn", "won", "surface", "opp_hand")
+    """matches: a streaming frame with rn. Emits each touched player's state after every micro-batch (update mode), with the
+    opponents and tournaments that the batch touched. Needs the RocksDB state store (see run.STATE_STORE)."""
+    events = player_match_events(matches).select("player", "rn", "won", "surface", "opp_hand", "opponent", "tourney_id", *LATEST)
     return events.groupBy("player").transformWithStateInPandas(PlayerFold(), OUTPUT, "update", "none")

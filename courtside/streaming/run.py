@@ -14,10 +14,9 @@ from .fold import streaming_state
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def final_state(spark: SparkSession, timeline: DataFrame, steps: int = 4) -> DataFrame:
+def emitted(spark: SparkSession, timeline: DataFrame, steps: int = 4) -> DataFrame:
     """timeline (with rn and n_matches; computed before, since each step reads it) arrives in so many steps of time. After
-    each, a stream takes in what is new and ends, and the next one goes on from its state; of each player's emitted states
-    the last is returned."""
+    each, a stream takes in what is new and ends, and the next one goes on from its state. All that it emits."""
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     rows = timeline.withColumn("step", F.floor(F.col("rn") * steps / F.col("n_matches")))
     before = spark.conf.get(*STATE_STORE)
@@ -30,5 +29,18 @@ def final_state(spark: SparkSession, timeline: DataFrame, steps: int = 4) -> Dat
             q.awaitTermination()
     finally:
         spark.conf.set(STATE_STORE[0], before)
-    out = spark.read.parquet(f"{root}/out")
-    return out.withColumn("k", F.row_number().over(Window.partitionBy("player").orderBy(F.desc("rn")))).where("k = 1").drop("k")
+    return spark.read.parquet(f"{root}/out")
+
+
+def last(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rn")))).where("k = 1").drop("k")
+
+
+def final_state(spark: SparkSession, timeline: DataFrame, steps: int = 4) -> DataFrame:
+    """Of each player's emitted states the last."""
+    return last(emitted(spark, timeline, steps), "player")
+
+
+def final_tallies(states: DataFrame, of: str) -> DataFrame:
+    """(player, name, matches, wins): of: opponents or tournaments; each one's last emitted entry."""
+    return last(states.select("player", "rn", F.inline(of)), "player", "name").drop("rn")
