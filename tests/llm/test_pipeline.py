@@ -26,3 +26,22 @@ def test_run(spark, tmp_path):
     want = {i: (lib.encode(t, add_eos=True), t) for i, t in docs}
     got = {r.doc_id: (r.ids, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and 20 < len(got) < len(rows) - 8
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, columns whose names the operators use, and an empty table."""
+    rnd = random.Random(5)
+    texts = [prose(rnd, 30, 90) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (None, prose(rnd, 30, 90)), (None, None), (50, None), (51, ""), (52, " \n"), (53, "w1 " * 30000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, bucket long, node long, kept boolean, n long"
+    df = spark.createDataFrame([(i, t, "en" if i is None or i % 2 else None, "s", len(t or ""), 0.1, "x", 1, 2, False, 3) for i, t in rows], schema)
+    df.write.parquet(f"{tmp_path}/a/documents.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    items = spark.createDataFrame([(1, None), (2, ""), (2, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    items.limit(0).write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, f"{tmp_path}/a").columns == df.columns, name
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == sorted([(True, i) for i in [*range(12), 3, 3, 53]] + [(False, 0)])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
