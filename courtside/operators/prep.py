@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..schema import NUMERIC, UNKNOWN, UNRANKED, UNSEEDED
 
+# What fills missing values of a split.
 MEDIAN_FILLED = ["player1_age", "player2_age", "player1_ht", "player2_ht", "rank_diff", "log_rank_diff", "age_diff", "seed_diff", "height_diff"] + [f"player{i}_{k}_win_percentage" for k in ("last_5", "last_10", "surface_last_10") for i in (1, 2)]
 TEXT_FILLED = {"player1": UNKNOWN, "player2": UNKNOWN, "player1_preferred_surface": UNKNOWN, "player2_preferred_surface": UNKNOWN, "player1_hand": "U", "player2_hand": "U"}
 NUMBER_FILLED = {"result": -1, "surface_encoded": -1, "player1_seed": UNSEEDED, "player2_seed": UNSEEDED, "player1_rank": UNRANKED, "player2_rank": UNRANKED, "head_to_head_wins_p1": 0, "head_to_head_wins_p2": 0, "surface_preference_diff": 0}

@@ -18,11 +18,16 @@ def player_match_events(timeline: DataFrame) -> DataFrame:
             F.col(f"{me}_rank").alias("rank"), F.col(f"{me}_ht").alias("ht"), F.col(f"{me}_seed").alias("seed"), F.col(f"{me}_age").alias("age"), F.lit(won).alias("won"),
         )
 
-    keep = [c for c in ("rn", "split") if c in timeline.columns]
+    keep = [c for c in ("rn", "split", "tourney_date") if c in timeline.columns]
     surface = F.coalesce("surface", F.lit(UNKNOWN)).alias("surface")
     return timeline.select(*keep, "match_num", "tourney_id", surface, F.inline(F.array(side("winner", "loser", 1), side("loser", "winner", 0))))
 
 
+def as_of(events: DataFrame, date: str) -> DataFrame:
+    """What was known on the morning of a date (yyyy-mm-dd): events of earlier dates."""
+    return events.where(F.col("tourney_date") < F.to_date(F.lit(date)))
+
+
 def totals(events: DataFrame, *by: str) -> DataFrame:
     """Matches, wins and their ratio by the given columns (player, player and surface, opponent, tournament)."""
     out = events.groupBy(*by).agg(F.count(F.lit(1)).alias("matches"), F.sum("won").cast("long").alias("wins"))

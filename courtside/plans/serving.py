@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features as ft
+from ..operators import state as st
 from ..operators.models import Routed
 
 
-def predict_matches(pairs: DataFrame, events: DataFrame, routed: Routed) -> DataFrame:
+def predict_matches(pairs: DataFrame, events: DataFrame, routed: Routed, as_of: str | None = None) -> DataFrame:
     """pairs: (player1, player2, surface). Returns them with predicted (1 or 2) and p_player1. An unknown player is an
     error. A pair goes to the top-10 model if either player's latest rank is in the top 10. What is missing gets the medians
-    that the models learned with, so a pair's prediction doesn't depend on the others asked for."""
+    that the models learned with, so a pair's prediction doesn't depend on the others asked for. as_of: a date; the players'
+    state is then that before it, and who hadn't played by then is unknown."""
+    events = st.as_of(events, as_of) if as_of else events
     x = ft.serving_pairs(pairs, events)
     for i in (1, 2):
         x = x.withColumns({f"player{i}_{c}": F.col(f"p{i}_{c}") for c in ("rank", "age", "ht")} | {f"player{i}_seed": F.col(f"p{i}_seed"), f"player{i}_hand": F.lit(None).cast("string")})

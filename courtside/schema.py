@@ -17,7 +17,7 @@ SURFACE_CODES = {"Clay": 0, "Grass": 1, "Hard": 2, "Unknown": 3}
 SURFACE_SPELLINGS = {"Hard": "Hard", "hard": "Hard", "HARD": "Hard", "Clay": "Clay", "clay": "Clay", "CLAY": "Clay", "Grass": "Grass", "grass": "Grass", "GRASS": "Grass"}
 UNRANKED, UNSEEDED, UNKNOWN = 999, -1, "Unknown"
 
-#: Model inputs in order; the categorical ones aren't scaled.
+# Model inputs in order; the categorical ones aren't scaled.
 FEATURES = [
     "rank_diff", "log_rank_diff", "top_10_vs_not", "age_diff", "young_vs_old", "seed_diff", "seeded_vs_unseeded", "height_diff", "tall_vs_short",
     "player1_last_5_win_percentage", "player2_last_5_win_percentage", "player1_last_10_win_percentage", "player2_last_10_win_percentage",

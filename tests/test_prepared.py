@@ -93,3 +93,14 @@ def test_medians_are_those_of_the_training_rows(spark, trained):
     _, rows, routed = trained
     want = rows.where("split = 'next'").agg(*(F.median(c).alias(c) for c in routed.medians.columns)).head()
     assert routed.medians.head() == want
+
+
+def test_state_as_of_a_date(spark, trained):
+    b, _, routed = trained
+    pairs = spark.createDataFrame([("P7", "P8", "Clay")], "player1 string, player2 string, surface string")
+    date = str(b.timeline.where("split = 'final'").agg(F.min("tourney_date")).head()[0])
+    then = b.events.where(F.col("tourney_date") < date)
+    ask = lambda *x: predict_matches(pairs, *x).head().p_player1
+    assert ask(b.events, routed, date) == ask(then, routed) and then.count() < b.events.count()
+    with pytest.raises(Exception, match="unknown player"):
+        predict_matches(pairs, b.events, routed, "1900-01-01").collect()
