@@ -204,7 +204,7 @@ def _up(node: np.ndarray) -> np.ndarray:
 
 
 def train(totals: DataFrame, depth: int) -> DataFrame:
-    """From (gram, n), one row per distinct gram, to (gram, value): the log10 probability of its last byte."""
+    """From (gram, n), one row per distinct gram, to a settled (gram, value): the log10 probability of its last byte."""
     shift = 8 * (depth + 1 - _TOP)
     two = 8 * (depth - 1)  # from this bit up, a gram's two most recent context bytes
 
@@ -259,7 +259,9 @@ def train(totals: DataFrame, depth: int) -> DataFrame:
     own = deep.select(F.shiftleft(F.shiftrightunsigned("node", 8), two).alias("gram"), "node", F.col("zeros").cast("double").alias("zeros"), F.col("ones").cast("double").alias("ones"), "below", F.lit(0).alias("kind"))
     both = totals.withColumn("kind", F.lit(1)).unionByName(own, allowMissingColumns=True)
     both = both.repartition(F.shiftrightunsigned("gram", two)).sortWithinPartitions("gram", "kind").drop("kind")
-    return both.mapInArrow(downward, "gram long, value double")
+    values = settle(both.mapInArrow(downward, "gram long, value double"))
+    unsettle(deep)
+    return values
 
 
 def _scored(depth: int, n_tokens: int, n_distinct: int):
@@ -330,7 +332,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     tokens, distinct = counts.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).head()
 
     totals = settle(grams_.groupBy("gram").agg(F.sum("n").alias("n")))
-    values = settle(train(totals, depth))
+    values = train(totals, depth)
     lookup = grams_.select("chunk", "gram").join(values, "gram").select("chunk", F.lit(0).alias("kind"), F.col("gram").alias("key"), "value")
     lookup = settle(lookup.unionByName(counts.select("chunk", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value"))))
     for done in (asked, totals, values, counts):

@@ -149,6 +149,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     score = F.when(F.col("labelled") > 0, smoothed).otherwise(F.coalesce("inherited", F.lit(0.5)))
     pooled = pooled.select("host", "template", score.alias("score"), "labelled", ((score >= purity) & ((F.col("labelled") > 0) | F.col("inherited").isNotNull())).alias("reject"))
     judged = settle(tree.select("host", "shape", "template", F.col("urls").alias("n")).join(pooled, ["host", "template"]).withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/"))))
+    for done in (counts, tree):
+        unsettle(done)
     method = F.when(F.col("reject"), "block").otherwise("allow")
     return join_one(rows, judged, ["host", "shape"], F.xxhash64("id", "path")).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("says", method).alias("verdict"), "template", "score", "labelled")
 
