@@ -6,7 +6,7 @@ window each and have the hash of all their words as fingerprint. Document and it
 is extended word by word in both directions over the words around it, which proves the match; a match of 10 words or more
 (or of a whole short item) marks its words.
 
-Scale. A bitmap of 16 bits for each fingerprint of the benchmark (2**27 bits, 16 MB, at most; combined by a distributed
+Scale. A bitmap of 512 bits for each fingerprint of the benchmark (2**27 bits, 16 MB, at most; combined by a distributed
 aggregate) lets a document's fingerprints through that some item may have; the rest never leave the scan. Equal
 surroundings of a fingerprint in several items are one row of the index, whose items are attached after the extension. Of
 the 5 words by which a match goes beyond its k-gram at least 3 lie on one side, so the join's key is the fingerprint and the
@@ -29,12 +29,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, string_bytes, table
+from .common import settle, slices, string_bytes, table, unsettle
 from .words import ALPHANUMERIC, gram_hashes, whole, word_bounds, word_hashes
 
 WINDOW, GRAM = 10, 5
 #: Bits of the bitmap for each fingerprint, and the least and the most that it has, as powers of two.
-SPARSE, FEWEST, MOST = 16, 16, 27
+SPARSE, FEWEST, MOST = 512, 20, 27
 _MAPPED = "uid long, n_words long, hits array<struct<fp:long,n:int,at:array<int>,around:string,lead:int>>"
 
 
@@ -137,6 +137,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = pairs.withColumn("left", F.expr("aggregate(sequence(0, least(i, j)), 0, (s, x) -> if(x > 0 and s = x - 1 and a[i - x] = b[j - x], x, s))"))
     pairs = pairs.withColumn("right", F.expr("aggregate(sequence(0, least(size(a) - i, size(b) - j)), 0, (s, x) -> if(x > 0 and s = x - 1 and a[i + x - 1] = b[j + x - 1], x, s))"))
     matched = settle(pairs.where("left + right >= n").select("uid", "place", F.expr("transform(at, p -> struct(p - left as lo, p + right as hi))").alias("spans")).distinct())
+    for done in (tests, found, index):
+        unsettle(done)
     spans = matched.select("uid", F.explode("spans").alias("span")).groupBy("uid").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     items = matched.select("uid", "place").distinct().join(owners, "place").groupBy("uid").agg(F.collect_set("item").alias("items"))
     per = spans.join(items, "uid").select(
