@@ -10,9 +10,8 @@ from .common import settle, unsettle
 
 def _open(edges: DataFrame) -> bool:
     """Whether a node still has two smaller neighbours, or a neighbour that has a smaller one itself."""
-    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chained = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
-    return bool(twice.select(F.lit(1)).unionAll(chained.select(F.lit(1))).take(1))
+    roles = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("low")), F.struct(F.col("b").alias("node"), F.lit(0).alias("low")))).alias("r")).select("r.*")
+    return bool(roles.groupBy("node").agg(F.sum("low").alias("up"), F.min("low").alias("least")).where("up > 1 or up = 1 and least = 0").take(1))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     while _open(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = settle(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

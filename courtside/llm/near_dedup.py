@@ -1,7 +1,7 @@
 """Operator 9, near-duplicate groups by fast similarity sketching, banding and exact verification.
 
-Method. A document's set is its distinct shingles of 5 lower-cased words. Equal sets are one class, the node of all that
-follows. A class's sketch has t coordinates filled in rounds: in the first t rounds each element is thrown into a random
+Method. A document's set is its distinct shingles of 5 lower-cased words. Equal sets are one class, which stands for its
+smallest id in links and components. A class's sketch has t coordinates filled in rounds: in the first t rounds each element is thrown into a random
 coordinate, in the next t rounds every element goes into coordinate (round - t); a coordinate keeps the least
 (round, hash), so all are full after 2t rounds at the latest and a sketch costs about n + t log t steps instead of n * t.
 Coordinates agree with probability equal to the Jaccard similarity. 40 bands of 4 coordinates miss a pair at similarity
@@ -123,43 +123,46 @@ def _described(bands: int, rows: int):
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (node, text) to the bits of a longer sketch; every text has a word."""
+    """Adds the bits of a longer sketch to rows, whose text goes; every text has a word."""
     for batch in slices(batches, "text", SLICE):
         sketch = sketches(*shingle_sets(*string_bytes(batch.column("text"))), FINE_LONGS * 32)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, _two_bits(sketch, FINE_LONGS))], names=["node", *_FINE])
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *map(pa.array, _two_bits(sketch, FINE_LONGS))], names=[*kept, *_FINE])
 
 
 def _compared(percent: int):
-    """A mapper from rows sorted by (centre, salt, kind) to links: kind 0 is the centre's own text, kind 1 a member's."""
+    """A mapper from rows sorted by (centre, salt, kind) to links between ids: kind 0 is the centre's own text, kind 1 a
+    member's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, None
+        centre, name, own = None, None, None
         for batch in slices(batches, "text", SLICE):
             value, off = shingle_sets(*string_bytes(batch.column("text")))
             found = []
-            for i, (c, x, kind) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("c", "x", "kind")), strict=True)):
+            for i, (c, least, kind) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("c", "least", "kind")), strict=True)):
                 s = value[off[i] : off[i + 1]]
                 if kind == 0:
-                    centre, own = c, s
+                    centre, name, own = c, least, s
                     continue
                 assert c == centre, "a member came without its centre"
                 both = len(np.intersect1d(s, own, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(own) - both):
-                    found.append((c, x))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], batch.schema.field(k).type) for i, k in enumerate(("c", "x"))], names=["a", "b"])
+                    found.append((name, least))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], batch.schema.field("least").type) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (c, x) whose full sets are similar enough, as links (a, b). texts: (node, text)."""
+    """Those pairs (c, x) whose full sets are similar enough, as links (a, b) between the nodes' least ids. texts: (node, least, text)."""
     pairs = settle(pairs)
     salts = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
     members = pairs.join(salts, "c").select("c", F.col("x").alias("node"), F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
-    members = members.join(texts, "node").select("c", "salt", F.lit(1).alias("kind"), F.col("node").alias("x"), "text")
-    centres = salts.withColumnRenamed("c", "node").join(texts, "node").select(F.col("node").alias("c"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), F.col("node").alias("x"), "text")
+    members = members.join(texts, "node").select("c", "salt", F.lit(1).alias("kind"), "least", "text")
+    centres = salts.withColumnRenamed("c", "node").join(texts, "node").select(F.col("node").alias("c"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), "least", "text")
     rows = members.unionByName(centres).repartition("c", "salt").sortWithinPartitions("c", "salt", "kind")
-    links = settle(rows.mapInArrow(_compared(percent), "a long, b long"))
+    kind = texts.schema["least"].dataType.simpleString()
+    links = settle(rows.mapInArrow(_compared(percent), f"a {kind}, b {kind}"))
     unsettle(pairs)
     return links
 
@@ -183,13 +186,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linkable = described.where("n > 0 and id is not null")
     classes = settle(linkable.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
 
-    own = linkable.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "node")
+    own = linkable.join(classes.select(F.col("node").alias("uid"), "least"), "uid").withColumnRenamed("uid", "node")
     buckets = own.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = settle(buckets.join(shared, "bucket"))
     leaders = members.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    info = settle(own.join(leaders, "node").select("node", "n", *_BITS, "text", "low", "high"))
-    texts = info.select("node", "text")
+    info = settle(own.join(leaders, "node").select("node", "least", "n", *_BITS, "text", "low", "high"))
+    texts = info.select("node", "least", "text")
 
     def may_link() -> Column:
         """Whether sides a and b can be similar enough by their sizes and, with sift, by their sketches' bits."""
@@ -199,19 +202,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = info.select("node", "n", *_BITS)
     stars = info.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("c"), "n", *_BITS).where("node <> c")
     stars = stars.alias("a").join(sketched.alias("b"), (F.col("a.c") == F.col("b.node")) & may_link()).select("a.c", F.col("a.node").alias("x"))
-    # Texts of one document are linked, however different.
-    same = linkable.select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
     links = verified(stars, texts, percent)
-    first = settle(components(links.unionByName(same.select("a", F.explode("all").alias("b")))))
+    # Texts of one document are linked, however different.
+    edges = links
+    repeated = linkable.groupBy("id").agg(F.min("k1").alias("k1"), F.max("k1").alias("other")).where("k1 <> other").select("id")
+    if not repeated.isEmpty():
+        classes_of = linkable.join(repeated, "id", "left_semi").select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"])
+        edges = links.unionByName(classes_of.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    first = settle(components(edges))
 
     # Buckets that hold several components: members of different ones are compared, each pair in one bucket.
-    at = members.join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    named = info.select("node", "least").join(first.withColumnRenamed("node", "least"), "least", "left").select("node", F.coalesce("root", "least").alias("root"))
+    at = members.join(named, "node").select("bucket", "node", "root")
     several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("r0 <> r1")
     open_ = settle(at.join(several.select("bucket", "blocks"), "bucket"))
     places = open_.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("all"))
     fine = info.join(places, "node").select("node", "n", *_BITS, "all", "text")
     if sift:
-        fine = fine.drop("text").join(fine.select("node", "text").mapInArrow(_fine, f"node long, {', '.join(f'{f} long' for f in _FINE)}"), "node")
+        fine = fine.mapInArrow(_fine, ", ".join([*(f"{c} {t}" for c, t in fine.dtypes if c != "text"), *(f"{f} long" for f in _FINE)]))
     fine = settle(fine.drop("text"))
     met = open_.join(fine, "node")
     a = met.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).alias("a")
@@ -225,9 +233,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for done in (members, info, links, first, open_, fine, more):
         unsettle(done)
 
-    named = classes.join(roots, "node", "left").select("k1", "k2", F.col("n").alias("copies"), "least", F.coalesce("root", "node").alias("root"))
-    least = settle(named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")))
-    final = settle(join_one(named.drop("least"), least, ["root"], F.xxhash64("k1")).select("k1", "k2", "component", F.col("copies").alias("n")))
+    final = settle(classes.join(roots.withColumnRenamed("node", "least"), "least", "left").select("k1", "k2", "n", F.coalesce("root", "least").alias("component")))
+    for done in (classes, roots):
+        unsettle(done)
     in_class = join_one(linkable.select("uid", "id", F.col("n").alias("size"), "k1", "k2"), final, ["k1", "k2"], F.xxhash64("uid")).select("id", "size", "component")
     alone = described.where("not (n > 0 and id is not null)").select("id", F.col("n").alias("size"), F.col("id").alias("component"))
     kept = F.col("id").eqNullSafe(F.col("component")).alias("kept")
