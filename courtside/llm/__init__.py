@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, near_dedup, pieces, pii, url_filters
+from . import decontamination, divergence, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, near_dedup, negatives, pieces, pii, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontamination.SQL, "op11_source_divergence": divergence.SQL}
+    return {"op6_line_dedup": line_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_decontamination": decontamination.SQL, "op11_source_divergence": divergence.SQL, "op12_hard_negatives": negatives.SQL}
