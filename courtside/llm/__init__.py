@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, near_dedup, negatives, pieces, pii, url_filters
+from . import decontamination, divergence, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, near_dedup, negatives, packing, pieces, pii, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_source_divergence": divergence.op11_source_divergence,
         "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_best_fit_packing": packing.op13_best_fit_packing,
     }
 
 

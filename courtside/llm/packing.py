@@ -13,9 +13,9 @@ Spark numbers the pieces of each length: hot lengths are dealt out in parts that
 orders more than PART pieces; the plan, whose size only the capacity bounds, goes to every task, which looks up the
 sequence and place of each piece.
 
-Documents are encoded with the library, blank by blank of white space: the tokenizer's normaliser and splits never reach
-across white space (only ASCII blanks are cut at here), so the ids of equal parts are kept, up to a bounded number of
-bytes, and put together as arrays.
+Documents are encoded with the library. Where the tokenizer's own description says that it drops white space and splits
+words, digits and other signs, the ids of parts between blanks, and of plain Latin words in them, are kept up to a bounded
+number of bytes and put together; any other tokenizer gets whole texts.
 
 Defined cases: null text is empty and gives one piece of the end id; repeated rows and ids are documents of their own; very
 long texts are encoded part by part and cut into pieces as they come; an empty table gives an empty result; pack() keeps all
@@ -24,6 +24,7 @@ columns of its input, replaces those of the new names, and refuses lengths outsi
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,11 +39,11 @@ from pyspark.sql import functions as F
 from .common import settle, slices, table, unsettle
 
 CAPACITY, END = 4096, 1
-LARGE, GROUPS, COLUMNS = 8, 64, 1500
+LARGE, GROUPS, COLUMNS = 3, 256, 3000
 #: Pieces of one length that a task numbers.
 PART = 100_000
 #: Bytes of text encoded at a time, of parts whose ids are kept, and of a part that is kept.
-TEXT, KEPT, KEPT_PART = 1 << 20, 32 << 20, 64
+TEXT, KEPT, KEPT_PART = 1 << 20, 128 << 20, 64
 _BLANK = re.compile("[ \t\n\r]+")
 
 
@@ -53,50 +54,67 @@ def public_tokenizer() -> str:
 
 
 # -- token ids
+# The parts of a tokenizer's file by which it drops white space, and splits words, digits and other signs.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: White space beside ASCII blanks; texts that hold some are cut at ASCII blanks only.
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Parts that the split above surely cuts as _SIGNS does: ASCII without apostrophes, and Latin letters that have one code.
+_SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIGNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class Encoder:
-    """Ids of texts; those of short parts are remembered. codes() of parts index `flat` by `starts`."""
+    """Ids of texts as little-endian unsigned 32-bit numbers. Where a tokenizer is known to drop white space, those of short
+    parts are remembered: what was used of late stays, in KEPT bytes. Other tokenizers get whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.held, self.flat, self.starts = 0, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, parts: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(parts, add_special_tokens=False)]
-        for part, ids in zip(parts, found, strict=True):
-            self.known[part] = len(self.ids)
-            self.ids.append(ids)
-            self.held += 100 + 4 * len(part) + 40 * len(ids)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(ids) for ids in found])])
+        self.library.no_truncation()
+        self.library.no_padding()
+        made = json.loads(self.library.to_str())
+        self.blanks_drop = made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in made["added_tokens"])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _library(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)]
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= KEPT_PART:
+            self.young[part] = ids
+            self.held += 200 + 4 * len(part) + len(ids)
+            if self.held > KEPT // 2:
+                self.old, self.young, self.held = self.young, {}, 0
+
+    def _learned(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that `young` lacks."""
+        found = {p: ids for p in parts if (ids := self.old.get(p)) is not None}
+        cut_up = {p: _SIGNS.findall(p.lower()) for p in parts - found.keys() if len(p) <= KEPT_PART and _SIMPLE.fullmatch(p) and "<|" not in p}
+        signs = {s: ids for s in {s for c in cut_up.values() for s in c} if (ids := self.young.get(s) or self.old.get(s)) is not None}
+        new = [*{s for c in cut_up.values() for s in c if s not in signs}, *(parts - found.keys() - cut_up.keys())]
+        made = dict(zip(new, self._library(new), strict=True)) if new else {}
+        signs |= made
+        found |= {p: b"".join(map(signs.__getitem__, c)) for p, c in cut_up.items()} | {p: made[p] for p in parts - found.keys() - cut_up.keys()}
+        for some in (signs, found):
+            for p, ids in some.items():
+                if p not in self.young:
+                    self._keep(p, ids)
+        return found
 
     def __call__(self, text: str) -> np.ndarray:
-        parts = _BLANK.split(text)
-        if self.held > KEPT:
-            self._forget()
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        if long := [p for p in new if len(p) > KEPT_PART]:  # encoded in place, not kept
-            whole = set(long)
-            out, run = [], []
-            for p in parts:
-                if p in whole:
-                    out += [self(" ".join(run)), np.array(self.library.encode(p, add_special_tokens=False).ids, np.uint32)]
-                    run = []
-                else:
-                    run.append(p)
-            return np.concatenate([*out, self(" ".join(run))])
-        if new:
-            self._learn(new)
-        codes = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        first, many = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
-        ends = np.cumsum(many)
-        return self.flat[np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        if not self.blanks_drop:
+            return np.frombuffer(self._library([text])[0], "<u4")
+        parts = _BLANK.split(text) if _OTHER_SPACE.search(text) else text.split()
+        ids = list(map(self.young.get, parts))
+        if None in ids:
+            new = self._learned({p for p, x in zip(parts, ids, strict=True) if x is None})
+            ids = [new[p] if x is None else x for p, x in zip(parts, ids, strict=True)]
+        return np.frombuffer(b"".join(ids), "<u4")
 
 
 @lru_cache(1)
@@ -116,14 +134,14 @@ def _texts(text: str) -> Iterator[str]:
 
 def cut(text: str, encoder: Encoder, capacity: int, end: int) -> Iterator[np.ndarray]:
     """A document's ids, the end id last, in pieces of `capacity`; the last may be shorter."""
-    rest = np.zeros(0, np.uint32)
-    for part in _texts(text):
+    rest = np.zeros(0, "<u4")
+    for part in _texts(text) if encoder.blanks_drop else [text]:
         rest = np.concatenate([rest, encoder(part)])
         whole = (len(rest) - 1) // capacity * capacity if len(rest) else 0
         for at in range(0, whole, capacity):
             yield rest[at : at + capacity]
         rest = rest[whole:]
-    rest = np.append(rest, np.uint32(end))
+    rest = np.append(rest, np.array(end, "<u4"))
     for at in range(0, len(rest), capacity):
         yield rest[at : at + capacity]
 
@@ -139,7 +157,7 @@ def _pieces(path: str, capacity: int, end: int):
                         at.append(i)
                         piece.append(k)
                         start.append(before)
-                        found.append(ids.astype("<u4").tobytes())
+                        found.append(ids.tobytes())
                         before += len(ids)
                 ids = pa.array(found, pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), ids], names=["id", "piece", "start", "length", "ids"])
@@ -157,26 +175,29 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Which numbers of each size to put together, and how often: the fewest sequences, as a linear programme by column
     generation. sizes are distinct. After COLUMNS columns the solution so far is taken, which is feasible as well."""
-    k = len(sizes)
+    k, deepest = len(sizes), capacity // int(sizes.min())
     base = np.diag(capacity // sizes).astype(float)  # columns are configurations
     inverse, amount = np.diag(1 / np.diag(base)), need / np.diag(base)
     for _ in range(COLUMNS):
         price = inverse.sum(0)  # each configuration costs one sequence
-        best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(sizes.min()), capacity + 1):
-            fits = sizes <= c
-            value = np.where(fits, price + best[c - sizes * fits], -1)
-            i = int(value.argmax())
-            best[c], took[c] = (value[i], i) if value[i] > best[c - 1] + 1e-12 else (best[c - 1], -1)
-        if best[capacity] <= 1 + 1e-7:
-            break
+        value, took = np.zeros(capacity + 1), []
+        for _ in range(deepest):  # of one piece more at a time: what it is worth to fill so many places
+            more, last = value.copy(), np.full(capacity + 1, -1)
+            for i in np.flatnonzero(price > 0):
+                tried = value[: capacity + 1 - sizes[i]] + price[i]
+                better = tried > more[sizes[i] :] + 1e-12
+                more[sizes[i] :][better], last[sizes[i] :][better] = tried[better], i
+            if (last < 0).all():
+                break
+            value = more
+            took.append(last)
+        if value[-1] <= 1 + 1e-7 or amount.sum() * (1 - 1 / value[-1]) < max(0.5, 1e-5 * amount.sum()):
+            break  # prices over value[-1] are dual feasible, so no solution can be much better
         column, c = np.zeros(k), capacity
-        while c > 0:
-            if took[c] < 0:
-                c -= 1
-            else:
-                column[took[c]] += 1
-                c -= sizes[took[c]]
+        for last in reversed(took):
+            if last[c] >= 0:
+                column[last[c]] += 1
+                c -= sizes[last[c]]
         way = inverse @ column
         ratio = np.where(way > 1e-9, amount / np.where(way > 1e-9, way, 1), np.inf)
         out = int(ratio.argmin())
@@ -202,7 +223,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: int = LARGE
         left[length] -= count
 
     # Groups of equal cardinality, longest first: (length, count) in each; a group's size is its first length.
-    over = {n: c for n, c in left.items() if n > capacity // large and n <= capacity // 2 or capacity // 2 < n < capacity}
+    over = {n: c for n, c in left.items() if capacity // large < n < capacity}
     share, group, room = -(-sum(over.values()) // groups), [], 0
     for n, c in over.items():
         while c:
