@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import STATE_SURFACES
+from ..sources.matches import written
 from . import state as st
+from .asof import as_of_join, last_of
 
 
 def orient_pairs(matches: DataFrame, seed: int = 42) -> DataFrame:
@@ -71,6 +73,31 @@ def head_to_head_lookup(pairs: DataFrame, events: DataFrame) -> DataFrame:
     return pairs
 
 
+#: What is looked up as of a date: keys, and the state's columns with their names as features ({p}: a side).
+AS_OF = {
+    "form": (["player"], {"last_5": "{p}_last_5_win_percentage", "last_10": "{p}_last_10_win_percentage", "preferred_surface": "{p}_preferred_surface"}),
+    "surface": (["player", "surface"], {"surface_last_10": "{p}_surface_last_10_win_percentage"}),
+    "head_to_head": (["player", "opponent"], {"h2h_wins": "head_to_head_wins_{k}"}),
+}
+
+
+def features_as_of(asked: DataFrame, events: DataFrame, id_col: str = "match_num", lookups: list[str] | None = None) -> DataFrame:
+    """asked: (id, player1, player2, surface, date), ids distinct; any players, and any dates, whether anyone played then or
+    not. Returns ids with both sides' form and preferred surface, rate on the surface and wins over the other (or what
+    lookups names of these) as they were known before that date: 0 and Hard for who hadn't played by then."""
+    after = written(st.after_match(events).withColumnRenamed("tourney_date", "date"))
+    side = lambda i, j: F.struct(F.lit(i).alias("side"), F.col(f"player{i}").alias("player"), F.col(f"player{j}").alias("opponent"))
+    x = asked.select(id_col, "date", "surface", F.inline(F.array(side(1, 2), side(2, 1))))
+    out = []
+    for lookup in lookups or AS_OF:
+        keys, names = AS_OF[lookup]
+        x = as_of_join(x, last_of(after, keys, "date", "rn", [*names]), keys, "date", [*names])
+        for c, name in names.items():
+            value = F.coalesce(c, F.lit(STATE_SURFACES[0] if c == "preferred_surface" else 0).cast(x.schema[c].dataType))
+            out += [F.max(F.when(F.col("side") == i, value)).alias(name.format(p=f"player{i}", k=f"p{i}")) for i in (1, 2)]
+    return x.groupBy(id_col).agg(*out)
+
+
 def match_preference(pairs: DataFrame) -> DataFrame:
     m = {f"player{i}_surface_match": F.col("surface") == F.col(f"player{i}_preferred_surface") for i in (1, 2)}
     diff = m["player1_surface_match"].cast("int") - m["player2_surface_match"].cast("int")

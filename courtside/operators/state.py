@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..schema import STATE_SURFACES, UNKNOWN
+from . import fold
 
 
 def player_match_events(timeline: DataFrame) -> DataFrame:
@@ -55,29 +56,9 @@ def last_rates(events: DataFrame, n: int, *by: str, name: str) -> DataFrame:
     return recent.groupBy(*by).agg(F.avg("won").alias(name))
 
 
-def _backwards(events: DataFrame, *by: str) -> DataFrame:
-    """events with k, the place from the last one on, from one shuffle and sort by player."""
-    return events.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rn"))))
-
-
-def _streak(won: int) -> Column:
-    """How many matches, from the last one back, had this result: the others begin one place further."""
-    return F.coalesce(F.min(F.when(F.col("won") != won, F.col("k"))) - 1, F.count(F.lit(1))).cast("long")
-
-
-def _recent(n: int) -> Column:
-    return F.avg(F.when(F.col("k") <= n, F.col("won")))
-
-
 def streaks(events: DataFrame) -> DataFrame:
     """How many matches the current run of wins, or of losses, has."""
-    return _backwards(events, "player").groupBy("player").agg(_streak(1).alias("win_streak"), _streak(0).alias("loss_streak"))
-
-
-def form(events: DataFrame) -> DataFrame:
-    """Recent rates and streaks of each player. Only (player, rn, won) is shuffled, once."""
-    skinny = _backwards(events.select("player", "rn", "won"), "player")
-    return skinny.groupBy("player").agg(_recent(5).alias("last_5"), _recent(10).alias("last_10"), _streak(1).alias("win_streak"), _streak(0).alias("loss_streak"))
+    return fold.form(events).select("player", "win_streak", "loss_streak")
 
 
 def histories(events: DataFrame) -> DataFrame:
@@ -127,10 +108,10 @@ def check_surfaces(events: DataFrame) -> DataFrame:
 
 def player_state(events: DataFrame) -> DataFrame:
     """All scalars of a snapshot, one row per player, in two passes: one aggregate, combined before the shuffle, of what has
-    no order, and one over each player's matches from the last one back."""
+    no order, and one of slices of time that merge."""
     counted = events.groupBy("player").agg(F.count(F.lit(1)).alias("matches"), F.sum("won").cast("long").alias("wins"), *_surfaces(), *_hands(), *_latest())
     counted = counted.withColumns({"win_pct": ratio(F.col("wins"), F.col("matches")), "preferred_surface": preferred(), **_hand_rates()})
-    return counted.join(form(events), "player")
+    return counted.join(fold.form(events), "player")
 
 
 def player_profile(events: DataFrame, player: str) -> DataFrame:
@@ -151,32 +132,32 @@ def add_missing_players(state: DataFrame, names: DataFrame) -> DataFrame:
 
 def running_totals(events: DataFrame) -> DataFrame:
     """State after each match: matches and wins so far, and both streaks."""
-    w = Window.partitionBy("player").orderBy("rn")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    lost, won = F.sum(1 - F.col("won")).over(so_far), F.sum("won").over(so_far)
-    x = events.withColumns({"matches": F.count(F.lit(1)).over(so_far), "wins": won, "losses": lost})
-    runs = {"win_streak": Window.partitionBy("player", "losses"), "loss_streak": Window.partitionBy("player", "wins")}
-    for name, run in runs.items():
-        hit = F.col("won") if name == "win_streak" else 1 - F.col("won")
-        x = x.withColumn(name, F.sum(hit).over(run.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)))
-    zero = F.lit(0).cast("long")
-    return x.withColumns({"win_streak": F.when(F.col("won") == 1, F.col("win_streak")).otherwise(zero), "loss_streak": F.when(F.col("won") == 0, F.col("loss_streak")).otherwise(zero)}).select("player", "rn", "matches", F.col("wins").cast("long").alias("wins"), F.col("win_streak").cast("long").alias("win_streak"), F.col("loss_streak").cast("long").alias("loss_streak"))
+    return fold.running(events).select("player", "rn", "matches", "wins", "win_streak", "loss_streak")
 
 
-def before_match(events: DataFrame) -> DataFrame:
-    """What was known of a player before each match: frames end at the row before, so no result leaks into its features.
-    All frames of one partitioning share a sort; the preferred surface comes from running counts of the same sort."""
+def _frames(events: DataFrame, end: int) -> DataFrame:
+    """events with what is known of a player in frames that end `end` rows from each match. All frames of one partitioning
+    share a sort; the preferred surface comes from running counts of the same sort."""
     w = Window.partitionBy("player").orderBy("rn")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, end)
     cols = {
-        "last_5": F.avg("won").over(w.rowsBetween(-5, -1)),
-        "last_10": F.avg("won").over(w.rowsBetween(-10, -1)),
-        "surface_last_10": F.avg("won").over(Window.partitionBy("player", "surface").orderBy("rn").rowsBetween(-10, -1)),
-        "h2h_wins": F.sum("won").over(Window.partitionBy("player", "opponent").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)),
+        "last_5": F.avg("won").over(w.rowsBetween(end - 4, end)),
+        "last_10": F.avg("won").over(w.rowsBetween(end - 9, end)),
+        "surface_last_10": F.avg("won").over(Window.partitionBy("player", "surface").orderBy("rn").rowsBetween(end - 9, end)),
+        "h2h_wins": F.sum("won").over(Window.partitionBy("player", "opponent").orderBy("rn").rowsBetween(Window.unboundedPreceding, end)),
     }
     for s in STATE_SURFACES:
-        cols[f"matches_{s.lower()}"] = F.count(F.when(F.col("surface") == s, 1)).over(before)
-        cols[f"wins_{s.lower()}"] = F.count(F.when((F.col("surface") == s) & (F.col("won") == 1), 1)).over(before)
-    x = events.withColumns(cols).withColumn("preferred_surface", preferred())
-    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("last_5", "last_10", "surface_last_10")]
-    return x.select("player", "rn", "match_num", *zero, F.coalesce("h2h_wins", F.lit(0)).cast("long").alias("h2h_wins"), "preferred_surface")
+        cols[f"matches_{s.lower()}"] = F.count(F.when(F.col("surface") == s, 1)).over(upto)
+        cols[f"wins_{s.lower()}"] = F.count(F.when((F.col("surface") == s) & (F.col("won") == 1), 1)).over(upto)
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("last_5", "last_10", "surface_last_10")}
+    return events.withColumns(cols).withColumn("preferred_surface", preferred()).withColumns({**zero, "h2h_wins": F.coalesce("h2h_wins", F.lit(0)).cast("long")})
+
+
+def before_match(events: DataFrame) -> DataFrame:
+    """What was known of a player before each match: frames end at the row before, so no result leaks into its features."""
+    return _frames(events, -1).select("player", "rn", "match_num", "last_5", "last_10", "surface_last_10", "h2h_wins", "preferred_surface")
+
+
+def after_match(events: DataFrame) -> DataFrame:
+    """What is known of a player after each match, with its date, opponent and surface."""
+    return _frames(events, 0).select("player", "opponent", "surface", "tourney_date", "rn", "last_5", "last_10", "surface_last_10", "h2h_wins", "preferred_surface")

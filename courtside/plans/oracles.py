@@ -67,6 +67,16 @@ _CTES = [
       a.h2h_wins AS head_to_head_wins_p1, b.h2h_wins AS head_to_head_wins_p2
       FROM df JOIN pit a ON a.player = player1 AND a.match_num = df.match_num JOIN pit b ON b.player = player2 AND b.match_num = df.match_num JOIN pitp ap_ ON ap_.player = player1 AND ap_.rn = df.rn JOIN pitp bp ON bp.player = player2 AND bp.rn = df.rn"""),
     ("pinx", "SELECT *, surface = player1_preferred_surface AS player1_surface_match, surface = player2_preferred_surface AS player2_surface_match, cast(surface = player1_preferred_surface AS INT) - cast(surface = player2_preferred_surface AS INT) AS surface_preference_diff FROM pin"),
+    ("aft", """SELECT player, opponent, surface, tourney_date AS known_at, rn, avg(won) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last_5, avg(won) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS last_10,
+      avg(won) OVER (PARTITION BY player, surface ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS surface_last_10, sum(won) OVER (PARTITION BY player, opponent ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h2h_wins
+      FROM (SELECT e.*, m.tourney_date FROM e JOIN m ON m.rn = e.rn) WINDOW w AS (PARTITION BY player ORDER BY rn)"""),
+    ("aftp", """SELECT player, rn, arg_max(surface, (CASE WHEN matches > 0 THEN wins / matches ELSE 0.0 END, -o)) AS preferred_surface FROM (
+      SELECT e.player, e.rn, f.surface, f.o, sum(CASE WHEN e.surface = f.surface THEN 1 ELSE 0 END) OVER w AS matches, sum(CASE WHEN e.surface = f.surface THEN won ELSE 0 END) OVER w AS wins
+      FROM e CROSS JOIN five f WINDOW w AS (PARTITION BY e.player, f.surface ORDER BY e.rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY player, rn"""),
+    ("adf", "SELECT aft.*, preferred_surface FROM aft JOIN aftp ON aft.player = aftp.player AND aft.rn = aftp.rn QUALIFY row_number() OVER (PARTITION BY aft.player, known_at ORDER BY aft.rn DESC) = 1"),
+    ("ads", "SELECT * FROM aft QUALIFY row_number() OVER (PARTITION BY player, surface, known_at ORDER BY rn DESC) = 1"),
+    ("adh", "SELECT * FROM aft QUALIFY row_number() OVER (PARTITION BY player, opponent, known_at ORDER BY rn DESC) = 1"),
+    ("ask", "SELECT df.*, cast(tourney_date + cast(match_num % 701 - 350 AS INT) AS DATE) AS asked FROM df"),
     ("fl", None),
 ]
 _MED = ["player1_age", "player2_age", "player1_ht", "player2_ht", "rank_diff", "log_rank_diff", "age_diff", "seed_diff", "height_diff"] + [f"player{i}_{k}_win_percentage" for k in ("last_5", "last_10", "surface_last_10") for i in (1, 2)]
@@ -143,6 +153,9 @@ SQL = {
     "j2_form_lookup": f"SELECT match_num, {', '.join(r(c) for c in RATES[:4])}, player1_preferred_surface, player2_preferred_surface FROM pf",
     "j3_head_to_head_lookup": "SELECT match_num, head_to_head_wins_p1, head_to_head_wins_p2 FROM pf",
     "j4_surface_form_lookup": f"SELECT match_num, {', '.join(r(c) for c in RATES[4:])} FROM pf",
+    "j2_as_of_form": "SELECT match_num, round(coalesce(a.last_5, 0), 6) AS player1_last_5_win_percentage, round(coalesce(b.last_5, 0), 6) AS player2_last_5_win_percentage, round(coalesce(a.last_10, 0), 6) AS player1_last_10_win_percentage, round(coalesce(b.last_10, 0), 6) AS player2_last_10_win_percentage, coalesce(a.preferred_surface, 'Hard') AS player1_preferred_surface, coalesce(b.preferred_surface, 'Hard') AS player2_preferred_surface FROM ask ASOF LEFT JOIN adf a ON a.player = player1 AND asked > a.known_at ASOF LEFT JOIN adf b ON b.player = player2 AND asked > b.known_at",
+    "j3_as_of_head_to_head": "SELECT match_num, cast(coalesce(a.h2h_wins, 0) AS BIGINT) AS head_to_head_wins_p1, cast(coalesce(b.h2h_wins, 0) AS BIGINT) AS head_to_head_wins_p2 FROM ask ASOF LEFT JOIN adh a ON a.player = player1 AND a.opponent = player2 AND asked > a.known_at ASOF LEFT JOIN adh b ON b.player = player2 AND b.opponent = player1 AND asked > b.known_at",
+    "j4_as_of_surface_form": "SELECT match_num, round(coalesce(a.surface_last_10, 0), 6) AS player1_surface_last_10_win_percentage, round(coalesce(b.surface_last_10, 0), 6) AS player2_surface_last_10_win_percentage FROM ask ASOF LEFT JOIN ads a ON a.player = player1 AND a.surface = ask.surface AND asked > a.known_at ASOF LEFT JOIN ads b ON b.player = player2 AND b.surface = ask.surface AND asked > b.known_at",
     "j5_semi_join": f"SELECT {_MNA} FROM m WHERE winner_name IN (SELECT player FROM ap WHERE n >= 80)",
     "j6_unseen_values": "SELECT DISTINCT surface AS value FROM matches WHERE surface IS NOT NULL AND surface NOT IN ('Clay', 'Grass', 'Hard')",
     "j7_value_mapping": "SELECT match_num, CASE surface WHEN 'Clay' THEN 0 WHEN 'Grass' THEN 1 WHEN 'Hard' THEN 2 ELSE 3 END AS code FROM matches",
@@ -255,9 +268,13 @@ WHOLE_SPLIT = """p2_side_swap p3_result_label p9_projection p14_either_side p15_
     x_pair_features_snapshot x_filled_features e1_pair_features_point_in_time""".split()
 
 
+#: Queries that read the whole split under their only name.
+_PLAIN_WHOLE = {"j2_as_of_form", "j3_as_of_head_to_head", "j4_as_of_surface_form", "m4_first_splits", "m7_permuted_accuracy"}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for k, tail, ctes in [*((k, v, _AFTER_ALL if k.startswith("e2_") else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
+    for k, tail, ctes in [*((k, v, _AFTER_ALL if k.startswith("e2_") else _WHOLE if k in _PLAIN_WHOLE else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
         if tail.startswith(", "):  # has definitions of its own after the shared ones
             full = _with(tail, ctes)
             head, own = full[: -len(tail)].rstrip(), tail

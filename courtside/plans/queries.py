@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features as ft
-from ..operators import models, prep
+from ..operators import fold, models, prep
 from ..operators import state as st
 from ..operators import timeline as tm
 from ..schema import FEATURES, STATE_SURFACES, SURFACE_CODES, UNRANKED
@@ -182,6 +182,17 @@ simple("j1_single_aggregate_counts", lambda b: tm.appearances(b.next))
 simple("j2_form_lookup", lambda b: ft.form_lookup(b.diffs, b.known).select("match_num", *(r6(f"player{i}_last_{n}_win_percentage") for n in (5, 10) for i in (1, 2)), "player1_preferred_surface", "player2_preferred_surface"))
 simple("j3_head_to_head_lookup", lambda b: ft.head_to_head_lookup(b.diffs, b.known).select("match_num", "head_to_head_wins_p1", "head_to_head_wins_p2"))
 simple("j4_surface_form_lookup", lambda b: ft.surface_lookup(b.diffs, b.known).select("match_num", *(r6(f"player{i}_surface_last_10_win_percentage") for i in (1, 2))))
+
+
+def _as_of(b: Base, lookup: str) -> DataFrame:
+    """The next split's pairs, each asked for on a date up to 350 days from its own."""
+    pairs = ft.difference_features(ft.orient_pairs(b.next)).select("match_num", "player1", "player2", "surface", F.expr("date_add(tourney_date, cast(match_num % 701 - 350 as int))").alias("date"))
+    return ft.features_as_of(pairs, b.events, lookups=[lookup])
+
+
+simple("j2_as_of_form", lambda b: _as_of(b, "form").select("match_num", *(r6(f"player{i}_last_{n}_win_percentage") for n in (5, 10) for i in (1, 2)), "player1_preferred_surface", "player2_preferred_surface"))
+simple("j3_as_of_head_to_head", lambda b: _as_of(b, "head_to_head"))
+simple("j4_as_of_surface_form", lambda b: _as_of(b, "surface").select("match_num", *(r6(f"player{i}_surface_last_10_win_percentage") for i in (1, 2))))
 simple("j5_semi_join", lambda b: b.timeline.join(tm.appearances(b.next).where("n >= 80"), F.col("winner_name") == F.col("player"), "left_semi").select(PLAYERS))
 simple("j6_unseen_values", lambda b: prep.unseen(b.matches.where("surface is not null"), "surface", b.spark.createDataFrame([("Clay", 0), ("Grass", 1), ("Hard", 2)], "value string, code int")))
 simple("j7_value_mapping", lambda b: b.matches.select("match_num", S.surface_code(F.col("surface")).alias("code")))
@@ -220,12 +231,7 @@ simple("g18_window_sums", lambda b: b.events.select("player", "rn", F.sum("won")
 simple("g19_metrics", lambda b: models.evaluate(b.pairs.withColumn("predicted", F.when(F.coalesce("player1_rank", F.lit(999)) <= F.coalesce("player2_rank", F.lit(999)), 1).otherwise(2))).select(*(r6(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1"))))
 
 # -- windows
-def _recent(n: int):
-    """The mean result over the last n matches, this one included."""
-    return F.round(F.avg("won").over(_last(n)), 6)
-
-
-simple("w1_running_last_n", lambda b: b.events.select("player", "rn", _recent(5).alias("last_5"), _recent(10).alias("last_10")))
+simple("w1_running_last_n", lambda b: fold.running(b.events).select("player", "rn", r6("last_5"), r6("last_10")))
 simple("w2_surface_last_10", lambda b: st.last_rates(b.known, 10, "player", "surface", name="rate").select("player", "surface", r6("rate")))
 simple("w3_streaks", lambda b: st.streaks(b.known))
 simple("w4_running_totals", lambda b: st.running_totals(b.events))

@@ -31,6 +31,14 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f[: f.index("/", f.index("/table-") + 1)] for f in table.inputFiles() if "/table-" in f}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever file system the path names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
