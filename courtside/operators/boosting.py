@@ -77,10 +77,11 @@ class Boosted:
     trees: list[list[Tree]]
     gains: list[np.ndarray] = field(default_factory=list)
 
-    def probability(self, key: Column) -> Column:
-        """P(label 1) of a row with the binning's features. A key that has no model is an error."""
+    def probability(self, key: Column, features: dict[str, Column] | None = None) -> Column:
+        """P(label 1) of a row with the binning's features, or with other values of theirs. A key that has no model is an
+        error."""
         model = F.coalesce(*(F.when(key == F.lit(k), F.lit(i)) for i, k in enumerate(self.keys)), F.raise_error(F.concat(F.lit("no model for "), F.coalesce(key.cast("string"), F.lit("null")))).cast("int"))
-        return self._udf()(model, *(F.col(c).cast("double") for c in self.binning.features))
+        return self._udf()(model, *((features[c] if features else F.col(c)).cast("double") for c in self.binning.features))
 
     def _udf(self):
         binning, base, trees = self.binning, self.base, self.trees
@@ -258,22 +259,50 @@ class _Growing:
         return out
 
 
-def train(df: DataFrame, features: list[str], label: str, by: str, iterations: int = 100, rate: float = 0.1, leaves: int = 31, depth: int | None = None, least_rows: int = 20, bins: int = 255, l2: float = 0.0) -> Boosted:
-    """One model for each value of `by` (a few). label: 0 or 1. The defaults are the usual ones of such learners; missing
-    values need no filling. depth bounds a tree's levels, and with them the passes that it needs."""
+def _models(df: DataFrame, label: str, by: str) -> tuple[DataFrame, list, np.ndarray]:
+    """Rows that can teach, the values of `by`, and each model's first score: the log odds of its labels."""
     rows = df.where(F.col(label).isNotNull() & F.col(by).isNotNull())
     known = rows.groupBy(by).agg(F.avg(F.col(label).cast("double")).alias("share")).orderBy(by).limit(MODELS + 1).collect()
     if len(known) > MODELS:
         raise ValueError(f"{by} has more than {MODELS} values")
     if not known:
         raise ValueError("no rows to learn from")
-    keys, share = [r[by] for r in known], np.clip([r.share for r in known], 1e-6, 1 - 1e-6)
-    base, binning = np.log(share / (1 - share)), binned(rows, features, bins)
-    widths, models = [len(u) + 2 for u in binning.upper], range(len(keys))
+    share = np.clip([r.share for r in known], 1e-6, 1 - 1e-6)
+    return rows, [r[by] for r in known], np.log(share / (1 - share))
+
+
+def _source(rows: DataFrame, features: list[str], label: str, by: str, keys: list) -> DataFrame:
     number = F.coalesce(*(F.when(F.col(by) == F.lit(k), F.lit(i)) for i, k in enumerate(keys)))
-    source = rows.select(number.alias("model"), F.col(label).cast("double").alias("label"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)))
-    schema = "model int, label double, bins binary, score double"
-    table = written(source.mapInArrow(_prepared(binning, base), schema))
+    return rows.select(number.alias("model"), F.col(label).cast("double").alias("label"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)))
+
+
+_TABLE = "model int, label double, bins binary, score double"
+
+
+def first_splits(df: DataFrame, features: list[str], label: str, by: str, least_rows: int = 20, bins: int = 1000, l2: float = 0.0) -> DataFrame:
+    """(by, feature, gain, upto, missing_left, n_left): for each model, what the first tree's first split would gain by each
+    feature; upto is the largest value on the left. No row for a feature that can't split."""
+    rows, keys, base = _models(df, label, by)
+    binning = binned(rows, features, bins)
+    widths = [len(u) + 2 for u in binning.upper]
+    table = written(_source(rows, features, label, by, keys).mapInArrow(_prepared(binning, base), _TABLE))
+    root = [_Growing().tree() for _ in keys]
+    sums = table.mapInArrow(_histograms([[] for _ in keys], root, [[0] for _ in keys], widths), "model int, node int, feature int, bin int, g long, h long, n long")
+    found = best_splits(sums.withColumn("of", F.col("feature")), ["model", "of"], least_rows, l2=l2).where("split is not null")
+    bounds = df.sparkSession.createDataFrame([(f, b + 1, float(x)) for f, upper in enumerate(binning.upper) for b, x in enumerate(upper)], "of int, bin int, bound double")
+    names = F.element_at(F.array(*map(F.lit, features)), F.col("of") + 1).alias("feature")
+    key = F.element_at(F.array(*map(F.lit, keys)), F.col("model") + 1).alias(by)
+    upto = F.coalesce("bound", F.lit(float("inf"))).alias("upto")  # beyond the last bound only missing values are apart
+    return found.select("model", "of", "split.*").join(bounds, ["of", "bin"], "left").select(key, names, "gain", upto, "missing_left", F.col("n_left"))
+
+
+def train(df: DataFrame, features: list[str], label: str, by: str, iterations: int = 100, rate: float = 0.1, leaves: int = 31, depth: int | None = None, least_rows: int = 20, bins: int = 255, l2: float = 0.0) -> Boosted:
+    """One model for each value of `by` (a few). label: 0 or 1. The defaults are the usual ones of such learners; missing
+    values need no filling. depth bounds a tree's levels, and with them the passes that it needs."""
+    rows, keys, base = _models(df, label, by)
+    binning = binned(rows, features, bins)
+    widths, models, schema = [len(u) + 2 for u in binning.upper], range(len(keys)), _TABLE
+    table = written(_source(rows, features, label, by, keys).mapInArrow(_prepared(binning, base), schema))
     trees, pending, gains = [[] for _ in models], [[] for _ in models], [np.zeros(len(features)) for _ in models]
     for k in range(iterations):
         growing, wanted = [_Growing() for _ in models], [[0] for _ in models]

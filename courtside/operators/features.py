@@ -122,7 +122,12 @@ def pair_features(pairs: DataFrame, events: DataFrame, mode: str = "snapshot") -
 
 def serving_pairs(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """(player1, player2, surface) with both players' latest state; a player that no event has is an error."""
-    s = st.player_state(events).select("player", "latest_rank", "latest_age", "latest_seed", "latest_ht", "last_5", "last_10", "preferred_surface")
+    return side_by_side(pairs, st.player_state(events))
+
+
+def side_by_side(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """serving_pairs from a state that is there already."""
+    s = state.select("player", "latest_rank", "latest_age", "latest_seed", "latest_ht", "last_5", "last_10", "preferred_surface")
     x = pairs
     for i in (1, 2):
         x = x.join(s.toDF(f"player{i}", *(f"p{i}_{c}" for c in ("rank", "age", "seed", "ht", "last_5", "last_10", "preferred"))), f"player{i}", "left")

@@ -56,12 +56,17 @@ def _before(parts: DataFrame, order: str, *by: str) -> DataFrame:
     return got.select(*by, F.explode(F.arrays_zip("x", "before")).alias("z")).select(*by, F.col("z.x")[order].alias(order), F.col("z.before").alias("s"))
 
 
-def _rate(last: Column, n: int) -> Column:
+def rate(last: Column, n: int) -> Column:
     """The mean of the last n results; null of none."""
     few = F.slice(last, F.greatest(F.lit(1), F.size(last) - (n - 1)), n)
     return F.try_divide(F.aggregate(few, F.lit(0.0), lambda a, x: a + x), F.size(few))
 
 
+def followed(a: str, b: str) -> Column:
+    """The summary column a followed by b, either of which may be missing."""
+    return F.expr(f"case when {a} is null then {b} when {b} is null then {a} else {_merged(a, b)} end")
+
+
 def whole(events: DataFrame, width: int = SLICE) -> DataFrame:
     """(player, s): the summary of each player's career."""
     return _together(_together(summaries(sliced(events, width)), "slice", "player", "era"), "era", "player")
@@ -69,7 +74,7 @@ def whole(events: DataFrame, width: int = SLICE) -> DataFrame:
 
 def form(events: DataFrame, width: int = SLICE) -> DataFrame:
     """Each player's last_5, last_10, win_streak and loss_streak."""
-    return whole(events, width).select("player", _rate(F.col("s.last"), 5).alias("last_5"), _rate(F.col("s.last"), 10).alias("last_10"), F.col("s.win_tail").alias("win_streak"), F.col("s.loss_tail").alias("loss_streak"))
+    return whole(events, width).select("player", rate(F.col("s.last"), 5).alias("last_5"), rate(F.col("s.last"), 10).alias("last_10"), F.col("s.win_tail").alias("win_streak"), F.col("s.loss_tail").alias("loss_streak"))
 
 
 def running(events: DataFrame, width: int = SLICE) -> DataFrame:
@@ -87,4 +92,4 @@ def running(events: DataFrame, width: int = SLICE) -> DataFrame:
     x = x.join(carried, ["player", "era", "slice"])
     last = F.concat("s.last", "here")
     run = lambda at, tail: F.when(F.col(at).isNull(), F.col("k") + F.col(f"s.{tail}")).otherwise(F.col("k") - F.col(at))
-    return x.select("player", "rn", (F.col("k") + F.col("s.n")).alias("matches"), (F.col("w") + F.col("s.wins")).cast("long").alias("wins"), run("lost_at", "win_tail").alias("win_streak"), run("won_at", "loss_tail").alias("loss_streak"), _rate(last, 5).alias("last_5"), _rate(last, 10).alias("last_10"))
+    return x.select("player", "rn", (F.col("k") + F.col("s.n")).alias("matches"), (F.col("w") + F.col("s.wins")).cast("long").alias("wins"), run("lost_at", "win_tail").alias("win_streak"), run("won_at", "loss_tail").alias("loss_streak"), rate(last, 5).alias("last_5"), rate(last, 10).alias("last_10"))

@@ -35,7 +35,7 @@ def totals(events: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("win_pct", ratio(F.col("wins"), F.col("matches")))
 
 
-def _hands() -> list[Column]:
+def hand_counts() -> list[Column]:
     hands = (("R", "right"), ("L", "left"))
     matches = [F.count(F.when(F.col("opp_hand") == h, 1)).alias(f"matches_vs_{k}") for h, k in hands]
     return matches + [F.count(F.when((F.col("opp_hand") == h) & (F.col("won") == 1), 1)).alias(f"wins_vs_{k}") for h, k in hands]
@@ -46,7 +46,7 @@ def _hand_rates() -> dict[str, Column]:
 
 
 def versus_hands(events: DataFrame) -> DataFrame:
-    return events.groupBy("player").agg(*_hands()).withColumns(_hand_rates())
+    return events.groupBy("player").agg(*hand_counts()).withColumns(_hand_rates())
 
 
 def last_rates(events: DataFrame, n: int, *by: str, name: str) -> DataFrame:
@@ -77,14 +77,14 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("player").agg(*_latest())
 
 
-def _surfaces() -> list[Column]:
+def surface_counts() -> list[Column]:
     m = [F.count(F.when(F.col("surface") == s, 1)).alias(f"matches_{s.lower()}") for s in STATE_SURFACES]
     return m + [F.count(F.when((F.col("surface") == s) & (F.col("won") == 1), 1)).alias(f"wins_{s.lower()}") for s in STATE_SURFACES]
 
 
 def surface_grid(events: DataFrame) -> DataFrame:
     """One row per player: matches and wins on each of the five surfaces, 0 where never played."""
-    return events.groupBy("player").agg(*_surfaces())
+    return events.groupBy("player").agg(*surface_counts())
 
 
 def preferred() -> Column:
@@ -109,7 +109,7 @@ def check_surfaces(events: DataFrame) -> DataFrame:
 def player_state(events: DataFrame) -> DataFrame:
     """All scalars of a snapshot, one row per player, in two passes: one aggregate, combined before the shuffle, of what has
     no order, and one of slices of time that merge."""
-    counted = events.groupBy("player").agg(F.count(F.lit(1)).alias("matches"), F.sum("won").cast("long").alias("wins"), *_surfaces(), *_hands(), *_latest())
+    counted = events.groupBy("player").agg(F.count(F.lit(1)).alias("matches"), F.sum("won").cast("long").alias("wins"), *surface_counts(), *hand_counts(), *_latest())
     counted = counted.withColumns({"win_pct": ratio(F.col("wins"), F.col("matches")), "preferred_surface": preferred(), **_hand_rates()})
     return counted.join(fold.form(events), "player")
 

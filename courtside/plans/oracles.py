@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..schema import FEATURES
+from ..schema import CATEGORICAL, FEATURES
 
 _SIDE = """concat('P', cast({k} AS VARCHAR)) AS {s}_name,
   CASE WHEN {k} % 10 < 7 THEN 'R' WHEN {k} % 10 < 9 THEN 'L' END AS {s}_hand,
@@ -123,6 +123,9 @@ _SCALED = ["rank_diff", "age_diff", "player1_last_10_win_percentage"]
 _V = "(VALUES ('Hard'), ('hard'), ('HARD'), ('hArd'), ('Clay'), ('clay'), ('CLAY'), ('Grass'), ('grass'), ('GRASS'), ('Carpet'), (''), (NULL)) AS t(raw)"
 _H = "md5(concat(cast(match_num AS VARCHAR), ':42:holdout'))"
 
+_CODE = "CASE {c} WHEN 'Clay' THEN 0.0 WHEN 'Grass' THEN 1.0 WHEN 'Hard' THEN 2.0 ELSE 3.0 END"
+_NUMBERS = {c: f"cast({_CODE.format(c=c)} AS DOUBLE)" for c in CATEGORICAL}
+
 SQL = {
     "s1_csv_scan": f"SELECT {_ALL} FROM matches",
     "s3_csv_sink": f"SELECT {_ALL} FROM matches",
@@ -251,6 +254,25 @@ SQL = {
       cast(coalesce(ah.wins, 0) AS BIGINT) AS head_to_head_wins_p1, cast(coalesce(bh.wins, 0) AS BIGINT) AS head_to_head_wins_p2, 0 AS surface, 0 AS surface_encoded
       FROM q JOIN l5 a5 ON a5.player = player1 JOIN l5 b5 ON b5.player = player2 JOIN l10 a10 ON a10.player = player1 JOIN l10 b10 ON b10.player = player2 LEFT JOIN sl asl ON asl.player = player1 AND asl.surface = q.surface LEFT JOIN sl bsl ON bsl.player = player2 AND bsl.surface = q.surface
       JOIN p1 ah_ ON ah_.player = player1 JOIN p1 bh_ ON bh_.player = player2 LEFT JOIN h2h ah ON ah.player = player1 AND ah.opponent = player2 LEFT JOIN h2h bh ON bh.player = player2 AND bh.opponent = player1""",
+    "m4_first_splits": f""", x AS (SELECT match_num, coalesce(player1_rank, 999) <= 10 OR coalesce(player2_rank, 999) <= 10 AS is_top, cast(result = 1 AS INT) AS y, {', '.join(_NUMBERS.get(c, f'cast({c} AS DOUBLE)') + ' AS ' + c for c in FEATURES)} FROM pinx),
+      sh AS (SELECT is_top, avg(y) AS share FROM x GROUP BY is_top),
+      l AS (SELECT is_top, y, unnest([{', '.join(f"'{c}'" for c in FEATURES)}]) AS feature, unnest([{', '.join(FEATURES)}]) AS v FROM x),
+      q AS (SELECT l.is_top, feature, v, cast(round((share - y) * 16777216) AS BIGINT) AS g, cast(round(share * (1 - share) * 16777216) AS BIGINT) AS h FROM l JOIN sh ON sh.is_top = l.is_top),
+      b AS (SELECT is_top, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM q GROUP BY ALL),
+      c AS (SELECT *, sum(CASE WHEN v IS NOT NULL THEN g END) OVER w AS gu, sum(CASE WHEN v IS NOT NULL THEN h END) OVER w AS hu, sum(CASE WHEN v IS NOT NULL THEN n END) OVER w AS nu, sum(g) OVER o AS ga, sum(h) OVER o AS ha, sum(n) OVER o AS na,
+        coalesce(sum(CASE WHEN v IS NULL THEN g END) OVER o, 0) AS gm, coalesce(sum(CASE WHEN v IS NULL THEN h END) OVER o, 0) AS hm, coalesce(sum(CASE WHEN v IS NULL THEN n END) OVER o, 0) AS nm
+        FROM b WINDOW w AS (PARTITION BY is_top, feature ORDER BY v NULLS FIRST), o AS (PARTITION BY is_top, feature)),
+      t AS (SELECT is_top, feature, v, missing_left, gu + missing_left * gm AS gl, hu + missing_left * hm AS hl, nu + missing_left * nm AS nl, ga, ha, na FROM c, (VALUES (0), (1)) AS z(missing_left) WHERE v IS NOT NULL),
+      s2 AS (SELECT *, round(pow(gl / 16777216, 2) / (hl / 16777216) + pow((ga - gl) / 16777216, 2) / ((ha - hl) / 16777216) - pow(ga / 16777216, 2) / (ha / 16777216), 9) AS gain FROM t WHERE nl >= 20 AND na - nl >= 20)
+      SELECT is_top, feature, round(gain, 6) AS gain, coalesce((v + next_v) / 2, 'inf'::DOUBLE) AS upto, missing_left = 1 AS missing_left, cast(nl AS BIGINT) AS n_left
+      FROM s2 JOIN (SELECT feature, v, lead(v) OVER (PARTITION BY feature ORDER BY v) AS next_v FROM (SELECT DISTINCT feature, v FROM b WHERE v IS NOT NULL)) nv USING (feature, v) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY is_top, feature ORDER BY gain DESC, v, missing_left) = 1""",
+    "m7_permuted_accuracy": """, x AS (SELECT match_num, surface, result, rank_diff AS a, age_diff AS b, height_diff AS c, substr(md5(concat(cast(match_num AS VARCHAR), ':42:block')), 1, 1) AS k FROM df),
+      p AS (SELECT *, """
+    + ", ".join(f"coalesce(lead({{'v': {c}}}) OVER (PARTITION BY k ORDER BY md5(concat(cast(match_num AS VARCHAR), ':42:{f}')), match_num), first({{'v': {c}}}) OVER (PARTITION BY k ORDER BY md5(concat(cast(match_num AS VARCHAR), ':42:{f}')), match_num)).v AS p{c}" for c, f in (("a", "rank_diff"), ("b", "age_diff"), ("c", "height_diff")))
+    + """ FROM x), r AS (SELECT surface, """
+    + ", ".join(f"avg(cast((coalesce(-{x}, 0) + 3 * coalesce(-{y}, 0) + coalesce({z}, 0) > 0) = (result = 1) AS INT)) AS {n}" for n, x, y, z in (("r", "a", "b", "c"), ("ra", "pa", "b", "c"), ("rb", "a", "pb", "c"), ("rc", "a", "b", "pc")))
+    + """ FROM p GROUP BY surface)
+      SELECT surface, feature, round(r, 6) AS accuracy, round(q, 6) AS permuted_accuracy, round(r - q, 6) AS importance FROM (SELECT surface, 'rank_diff' AS feature, r, ra AS q FROM r UNION ALL SELECT surface, 'age_diff', r, rb FROM r UNION ALL SELECT surface, 'height_diff', r, rc FROM r)""",
     "m11_player_profile": f"SELECT tot.player, {', '.join(f'(SELECT round(CASE WHEN matches > 0 THEN wins / matches ELSE 0 END, 6) FROM grid WHERE grid.player = tot.player AND surface = {chr(39)}{x}{chr(39)}) AS pct_{x.lower()}' for x in ('Hard', 'Clay', 'Grass'))}, {r('win_pct')}, {r('last_5')}, win_streak, loss_streak, preferred_surface FROM tot JOIN l5 ON l5.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player WHERE tot.player = 'P7'",
     "x_state_snapshot": f"SELECT tot.player, matches, wins, {r('win_pct')}, {r('last_5')}, {r('last_10')}, win_streak, loss_streak, preferred_surface, matches_vs_right, wins_vs_right, matches_vs_left, wins_vs_left, latest_rank, latest_ht, latest_hand, latest_seed, latest_age FROM tot JOIN l5 ON l5.player = tot.player JOIN l10 ON l10.player = tot.player JOIN strk ON strk.player = tot.player JOIN pref ON pref.player = tot.player JOIN vs ON vs.player = tot.player JOIN lat ON lat.player = tot.player",
     "x_pair_features_snapshot": f"SELECT {_pick([*FEATURE_COLUMNS, *LOOKED_UP])} FROM fx",
@@ -272,6 +294,9 @@ WHOLE_SPLIT = """p2_side_swap p3_result_label p9_projection p14_either_side p15_
 _PLAIN_WHOLE = {"j2_as_of_form", "j3_as_of_head_to_head", "j4_as_of_surface_form", "m4_first_splits", "m7_permuted_accuracy"}
 
 
+SQL |= {"p13_point_lookup_kept": SQL["p13_point_lookup"], "j11_serving_pair_kept": SQL["j11_serving_pair"], "x_state_kept": SQL["x_state_snapshot"]}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for k, tail, ctes in [*((k, v, _AFTER_ALL if k.startswith("e2_") else _WHOLE if k in _PLAIN_WHOLE else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:

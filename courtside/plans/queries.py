@@ -6,15 +6,16 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features as ft
-from ..operators import fold, models, prep
+from ..operators import boosting, fold, importance, models, prep
 from ..operators import state as st
 from ..operators import timeline as tm
-from ..schema import FEATURES, STATE_SURFACES, SURFACE_CODES, UNRANKED
+from ..operators.kept import KeptState
+from ..schema import CATEGORICAL, FEATURES, STATE_SURFACES, SURFACE_CODES, UNRANKED
 from ..sources import matches as src
 from .oracles import FEATURE_COLUMNS, LOOKED_UP, ROUNDED, WHOLE_SPLIT
 
@@ -202,6 +203,20 @@ simple("j10_encoder_apply", lambda b: prep.encode(b.matches, "winner_hand", prep
 simple("j11_serving_pair", lambda b: ft.serving_pairs(b.spark.createDataFrame([("P7", "P8", "Clay")], "player1 string, player2 string, surface string"), b.known).select("player1", "player2", "p1_rank", "p2_rank"))
 
 # -- aggregates
+def _kept(b: Base, buckets: int = 16) -> KeptState:
+    """The state up to the final split, kept in three steps: the first split, and the next one in two."""
+    kept = KeptState(b.spark, f"{src.scratch(b.spark)}/kept-{uuid.uuid4().hex}", buckets)
+    kept.merge(st.player_match_events(b.timeline.where("split = 'initial'")))
+    kept.merge(st.player_match_events(b.next.where("rn < n_matches * 5 div 8")))
+    kept.merge(b.known)  # what was seen before is passed over
+    return kept
+
+
+simple("p13_point_lookup_kept", lambda b: _kept(b).lookup("P7").select("player", "matches", "wins"))
+simple("j11_serving_pair_kept", lambda b: ft.side_by_side(b.spark.createDataFrame([("P7", "P8", "Clay")], "player1 string, player2 string, surface string"), _kept(b).lookup("P7", "P8")).select("player1", "player2", "p1_rank", "p2_rank"))
+simple("x_state_kept", lambda b: _kept(b).all().select("player", *(r6(c) if c in ("win_pct", "last_5", "last_10") else _c(c) for c in STATE)))
+
+
 def _last(n: int):
     return Window.partitionBy("player").orderBy("rn").rowsBetween(1 - n, 0)
 
@@ -321,6 +336,58 @@ def m4_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.evaluate(routed.predict(test), by=["part", "is_top"])
 
 
+def unfilled(b: Base) -> DataFrame:
+    """training_rows with all features as numbers, missing ones left missing, and label (1 if player1 won)."""
+    rows = training_rows(b)
+    codes = {c: S.surface_code(F.col(c)) for c in CATEGORICAL}
+    return rows.withColumns(codes).withColumns({c: F.col(c).cast("double") for c in FEATURES}).withColumn("label", (F.col("result") == 1).cast("int"))
+
+
+#: What the queries of boosted histograms train: as many trees as m4_train_evaluate.
+BOOSTED = {"iterations": 20, "depth": 5}
+
+
+@query
+def m4_histogram_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As m4_train_evaluate, by boosting on histograms, which needs neither filling nor scaling."""
+    rows = unfilled(Base(spark, sf_dir))
+    next_ = tm.holdout(rows.where("split = 'next'"), by=["is_top"])
+    model = boosting.train(next_.where("not is_test"), FEATURES, "label", "is_top", **BOOSTED)
+    test = next_.where("is_test").select(*rows.columns, F.lit("holdout").alias("part")).unionByName(rows.where("split = 'final'").withColumn("part", F.lit("final")))
+    return models.evaluate(test.withColumn("predicted", F.when(model.probability(F.col("is_top")) > 0.5, 1).otherwise(2)), by=["part", "is_top"])
+
+
+@query
+def m4_first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's best first split by each feature: its gain, the largest value that goes left, and where missing ones
+    go. A bin for each value."""
+    rows = unfilled(Base(spark, sf_dir)).where("split = 'next'")
+    return boosting.first_splits(rows, FEATURES, "label", "is_top").select("is_top", "feature", r6("gain"), "upto", "missing_left", "n_left")
+
+
+@query
+def m7_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the boosted models lose on the final split when a feature is shuffled: the ten most important ones of each."""
+    rows = unfilled(Base(spark, sf_dir))
+    model = boosting.train(rows.where("split = 'next'"), FEATURES, "label", "is_top", **BOOSTED)
+    right = lambda c: (model.probability(F.col("is_top"), c) > 0.5) == (F.col("label") == 1)
+    found = importance.permutation_importance(rows.where("split = 'final'"), FEATURES, right, "match_num", by=["is_top"])
+    place = F.row_number().over(Window.partitionBy("is_top").orderBy(F.desc("importance"), "feature"))
+    return found.withColumn("place", place).where("place <= 10")
+
+
+_RULE = ["rank_diff", "age_diff", "height_diff"]
+
+
+def _by_rule(c: dict) -> Column:
+    """Whether a fixed score, in place of a model, names the winner; what is missing counts 0."""
+    score = F.coalesce(-c["rank_diff"], F.lit(0)) + 3 * F.coalesce(-c["age_diff"], F.lit(0)) + F.coalesce(c["height_diff"], F.lit(0))
+    return (score > 0) == (F.col("result") == 1)
+
+
+simple("m7_permuted_accuracy", lambda b: importance.permutation_importance(ft.difference_features(ft.orient_pairs(b.next)), _RULE, _by_rule, "match_num", by=["surface"], digits=1).select("surface", "feature", r6("accuracy"), r6("permuted_accuracy"), r6("importance")))
+
+
 @query
 def m5_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training_rows(Base(spark, sf_dir))
