@@ -24,8 +24,11 @@ columns of its input, replaces those of the new names, and refuses lengths outsi
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,12 +67,17 @@ _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u
 _SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SIGNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
+#: Byte-level signs: a byte's own sign if it is printable, else one of those from 256 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers. Where a tokenizer is known to drop white space, those of short
     parts are remembered: what was used of late stays, in KEPT bytes. Other tokenizers get whole texts."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -82,39 +90,52 @@ class Encoder:
         self.held = 0
 
     def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)] if parts else []
+
+    def _signs(self, signs: set[str]) -> dict[str, bytes]:
+        """Ids of what the split can't cut any further."""
+        tokenize, out = self.library.model.tokenize, {}
+        for s in signs:
+            ids = [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+            out[s] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
-    def _keep(self, part: str, ids: bytes) -> None:
-        if len(part) <= KEPT_PART:
-            self.young[part] = ids
-            self.held += 200 + 4 * len(part) + len(ids)
-            if self.held > KEPT // 2:
-                self.old, self.young, self.held = self.young, {}, 0
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.young |= found
+        self.held += 200 * len(found) + 4 * sum(map(len, found)) + sum(map(len, found.values()))
 
     def _learned(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that `young` lacks."""
-        found = {p: ids for p in parts if (ids := self.old.get(p)) is not None}
-        cut_up = {p: _SIGNS.findall(p.lower()) for p in parts - found.keys() if len(p) <= KEPT_PART and _SIMPLE.fullmatch(p) and "<|" not in p}
-        signs = {s: ids for s in {s for c in cut_up.values() for s in c} if (ids := self.young.get(s) or self.old.get(s)) is not None}
-        new = [*{s for c in cut_up.values() for s in c if s not in signs}, *(parts - found.keys() - cut_up.keys())]
-        made = dict(zip(new, self._library(new), strict=True)) if new else {}
-        signs |= made
-        found |= {p: b"".join(map(signs.__getitem__, c)) for p, c in cut_up.items()} | {p: made[p] for p in parts - found.keys() - cut_up.keys()}
-        for some in (signs, found):
-            for p, ids in some.items():
-                if p not in self.young:
-                    self._keep(p, ids)
-        return found
-
-    def __call__(self, text: str) -> np.ndarray:
+        """Ids of parts that `young` lacks; those that are too long to be kept are returned."""
+        old, words, cuts, other = self.old, {}, {}, []
+        for p in parts:
+            if p in old:
+                pass
+            elif len(p) <= KEPT_PART and p.isascii() and p.isalpha():
+                words[p] = p.lower()
+            elif len(p) <= KEPT_PART and _SIMPLE.fullmatch(p) and "<|" not in p:
+                cuts[p] = _SIGNS.findall(p.lower())
+            else:
+                other.append(p)
+        signs = set(words.values()).union(*cuts.values()).difference(self.young)
+        self._keep({p: old[p] for p in (parts | signs) & old.keys()})
+        self._keep(self._signs(signs - old.keys()))
+        of = self.young.__getitem__
+        self._keep({p: of(w) for p, w in words.items() if p != w} | {p: b"".join(map(of, c)) for p, c in cuts.items() if len(c) > 1 or c[0] != p})
+        made = dict(zip(other, self._library(other), strict=True))
+        self._keep({p: ids for p, ids in made.items() if len(p) <= KEPT_PART})
+        return {p: ids for p, ids in made.items() if len(p) > KEPT_PART}
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some texts, which are held as parts meanwhile."""
         if not self.blanks_drop:
-            return np.frombuffer(self._library([text])[0], "<u4")
-        parts = _BLANK.split(text) if _OTHER_SPACE.search(text) else text.split()
-        ids = list(map(self.young.get, parts))
-        if None in ids:
-            new = self._learned({p for p, x in zip(parts, ids, strict=True) if x is None})
-            ids = [new[p] if x is None else x for p, x in zip(parts, ids, strict=True)]
-        return np.frombuffer(b"".join(ids), "<u4")
+            return [np.frombuffer(ids, "<u4") for ids in self._library(texts)]
+        if self.held > KEPT // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        split = [_BLANK.split(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
+        long, of = self._learned(set().union(*split).difference(self.young)), self.young.get
+        if not long:
+            return [np.frombuffer(b"".join(map(of, parts)), "<u4") for parts in split]
+        return [np.frombuffer(b"".join([long[p] if p in long else of(p) for p in parts]), "<u4") for parts in split]
 
 
 @lru_cache(1)
@@ -132,18 +153,31 @@ def _texts(text: str) -> Iterator[str]:
         start = end
 
 
-def cut(text: str, encoder: Encoder, capacity: int, end: int) -> Iterator[np.ndarray]:
-    """A document's ids, the end id last, in pieces of `capacity`; the last may be shorter."""
+def cut(parts: Iterator[np.ndarray], capacity: int, end: int) -> Iterator[np.ndarray]:
+    """A document's ids, which come in parts, and the end id, in pieces of `capacity`; the last may be shorter."""
     rest = np.zeros(0, "<u4")
-    for part in _texts(text) if encoder.blanks_drop else [text]:
-        rest = np.concatenate([rest, encoder(part)])
-        whole = (len(rest) - 1) // capacity * capacity if len(rest) else 0
+    for ids in itertools.chain(parts, [np.array([end], "<u4")]):
+        rest = np.concatenate([rest, ids])
+        whole = len(rest) // capacity * capacity
         for at in range(0, whole, capacity):
             yield rest[at : at + capacity]
         rest = rest[whole:]
-    rest = np.append(rest, np.array(end, "<u4"))
-    for at in range(0, len(rest), capacity):
-        yield rest[at : at + capacity]
+    if len(rest):
+        yield rest
+
+
+def encoded(texts: list[str], encoder: Encoder) -> Iterator[Iterator[np.ndarray]]:
+    """Ids of each text, in parts: short texts together, TEXT characters at a time, long ones alone and part by part."""
+    run, held = [], 0
+    for text in [*texts, None]:
+        if run and (text is None or held + len(text) > TEXT):
+            yield from ([ids] for ids in encoder.many(run))
+            run, held = [], 0
+        if text is not None and len(text) > TEXT:
+            yield (encoder.many([part])[0] for part in (_texts(text) if encoder.blanks_drop else [text]))
+        elif text is not None:
+            run.append(text)
+            held += len(text)
 
 
 def _pieces(path: str, capacity: int, end: int):
@@ -151,9 +185,9 @@ def _pieces(path: str, capacity: int, end: int):
         for batch in batches:
             for some in slices([batch], "text"):
                 at, piece, start, found = [], [], [], []
-                for i, text in enumerate(some.column("text").to_pylist()):
+                for i, parts in enumerate(encoded(some.column("text").to_pylist(), _encoder(path))):
                     before = 0
-                    for k, ids in enumerate(cut(text, _encoder(path), capacity, end)):
+                    for k, ids in enumerate(cut(parts, capacity, end)):
                         at.append(i)
                         piece.append(k)
                         start.append(before)

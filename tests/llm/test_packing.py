@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from courtside.llm import packing
-from courtside.llm.packing import Encoder, configurations, cut, pack, plan, public_tokenizer, token_pieces
+from courtside.llm.packing import Encoder, configurations, cut, encoded, pack, plan, public_tokenizer, token_pieces
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -25,19 +25,25 @@ def whole(library, text):
     return [*library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def ids(parts):
+    pieces = list(cut(parts, 7, 1))
+    assert all(len(p) == 7 for p in pieces[:-1]) and 0 < len(pieces[-1]) <= 7
+    return np.concatenate(pieces).tolist()
+
+
 def test_ids_are_the_librarys(library, monkeypatch):
     rnd = random.Random(8)
     some = ["".join(rnd.choice("aB é'ßÀ\n1.<|>-漢́\xa0ſÿ×") for _ in range(rnd.randrange(60))) for _ in range(400)]
     encoder = Encoder(public_tokenizer())
     assert encoder.blanks_drop
-    for text in [*TEXTS, *some, *TEXTS]:  # the second time from what is kept
-        assert np.concatenate(list(cut(text or "", encoder, 7, 1))).tolist() == whole(library, text)
+    texts = [*TEXTS, *some, *TEXTS]  # the second time from what is kept
+    assert [ids(p) for p in encoded([t or "" for t in texts], encoder)] == [whole(library, t) for t in texts]
     monkeypatch.setattr(packing, "KEPT", 3000)  # parts are forgotten all the time
     monkeypatch.setattr(packing, "TEXT", 10)
     encoder = Encoder(public_tokenizer())
-    for text in [*TEXTS, *some[:100], *TEXTS]:
-        assert np.concatenate(list(cut(text or "", encoder, 7, 1))).tolist() == whole(library, text)
-        assert encoder.held <= 3000 + 400
+    texts = [*TEXTS, *some[:100], *TEXTS]
+    assert [ids(p) for p in encoded([t or "" for t in texts], encoder)] == [whole(library, t) for t in texts]
+    assert len(encoder.young) + len(encoder.old) < 60
 
 
 def test_another_tokenizer_gets_whole_texts():
@@ -48,7 +54,7 @@ def test_another_tokenizer_gets_whole_texts():
     encoder, library = Encoder(path), Tokenizer.from_file(path)
     assert not encoder.blanks_drop
     for text in TEXTS:
-        assert np.concatenate(list(cut(text or "", encoder, 50, 50256))).tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 50256]
+        assert np.concatenate(list(cut(next(encoded([text or ""], encoder)), 50, 50256))).tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 50256]
 
 
 def check_plan(histogram, rows, n, capacity):
