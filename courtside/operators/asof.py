@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.matches import written
-
-#: Rows of a key beyond which it is cut by time, parts that it is cut into, and hot keys at most (they are broadcast).
-HOT_ROWS, PARTS, HOT_KEYS = 1_000_000, 64, 10_000
+from .parts import HOT_ROWS, hot_keys, with_parts
 
 
 def last_of(events: DataFrame, keys: list[str], time: str, order: str, values: list[str]) -> DataFrame:
@@ -22,19 +20,15 @@ def as_of_join(probes: DataFrame, events: DataFrame, keys: list[str], time: str,
     or where a key or time is missing. events: one a key and time at most, see last_of.
 
     Distinct probes and events are united and sorted by key and time once; the values come from a frame that ends at the
-    row. A key with over hot_rows of them (and over one in HOT_KEYS of all) is cut by time into parts that are sorted apart;
+    row. A key with over hot_rows of them is cut by time into parts that are sorted apart;
     what the parts before it knew last is carried into each. The answers then join the probes by key and time."""
     own, at = [f"__{c}" for c in keys], f"__{time}"
     asked = probes.select(*(F.col(c).alias(k) for c, k in zip([*keys, time], [*own, at], strict=True))).dropna().distinct().withColumn("__is_event", F.lit(False))
     known = events.select(*(F.col(c).alias(k) for c, k in zip([*keys, time], [*own, at], strict=True)), F.struct(*values).alias("__v")).dropna(subset=[*own, at]).withColumn("__is_event", F.lit(True))
     both = written(asked.unionByName(known, allowMissingColumns=True))
 
-    counts = both.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"))
-    least = counts.agg(F.greatest(F.lit(float(hot_rows)), F.sum("__n") / HOT_KEYS).alias("__least"))  # one row
-    hot = counts.crossJoin(F.broadcast(least)).where("__n > __least").select(*own)  # HOT_KEYS rows at most
-    shares = [i / PARTS for i in range(1, PARTS)]
-    cuts = both.join(F.broadcast(hot), own, "left_semi").groupBy(*own).agg(F.percentile_approx(at, shares, 1000).alias("__cuts"))
-    rows = both.join(F.broadcast(cuts), own, "left").withColumn("__part", F.coalesce(F.size(F.filter(F.array_distinct("__cuts"), lambda x: x < F.col(at))), F.lit(0))).drop("__cuts")
+    hot = hot_keys(both, own, hot_rows)
+    rows = with_parts(both, own, at, hot)
 
     # At the same time the probe comes before the event.
     upto = Window.partitionBy(*own, "__part").orderBy(at, "__is_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)

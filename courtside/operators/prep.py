@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..schema import NUMERIC, UNKNOWN, UNRANKED, UNSEEDED
+from ..sources.matches import written
 
 # What fills missing values of a split.
 MEDIAN_FILLED = ["player1_age", "player2_age", "player1_ht", "player2_ht", "rank_diff", "log_rank_diff", "age_diff", "seed_diff", "height_diff"] + [f"player{i}_{k}_win_percentage" for k in ("last_5", "last_10", "surface_last_10") for i in (1, 2)]
@@ -16,24 +17,63 @@ NUMBER_FILLED = {"result": -1, "surface_encoded": -1, "player1_seed": UNSEEDED,
 FALSE_FILLED = ["top_10_vs_not", "young_vs_old", "seeded_vs_unseeded", "tall_vs_short", "left_vs_right", "same_hand", "player1_surface_match", "player2_surface_match"]
 
 
-#: Characters by which a vocabulary is dealt out.
-LEAD = 3
-#: Of the share of rows by which a bracket may reach from the median; the quantiles' error is 1 / ACCURACY.
+#: Values of a column that a task gathers for a median, and distinct texts that it puts in order.
+GATHERED, VOCABULARY = 4096, 100_000
+#: Share of the rows by which a bracket reaches from the place that is looked for; the quantiles' error is 1 / ACCURACY.
 MARGIN, ACCURACY = 0.01, 1000
 
 
-def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact medians, missing values left out: one row. Approximate quantiles bracket each median first; only values within
-    the bracket are then counted and put in order, so that no task has to hold a column's distinct values. df is read
-    twice."""
-    long = df.select(F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', cast(`{c}` as double)" for c in columns)}) as (feature, value)")).where("value is not null")
-    bracket = long.groupBy("feature").agg(F.percentile_approx("value", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("q"), F.count(F.lit(1)).alias("n"))  # a row a column
-    low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    counts = long.join(F.broadcast(bracket), "feature").where(F.col("value") <= high).groupBy("feature", F.col("n"), F.when(F.col("value") >= low, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("k"))
-    upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("feature").orderBy(F.asc_nulls_first("value"))))
-    reached = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
-    middle = upto.groupBy("feature").agg(((reached(F.floor((F.col("n") - 1) / 2)) + reached(F.floor(F.col("n") / 2))) / 2).alias("median"))
-    return middle.agg(*(F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in columns))
+def at_places(df: DataFrame, places: list[tuple[str, int, int]], gathered: int = GATHERED) -> list[float]:
+    """Exact order statistics: for each (column, place from 0, number of values) the value at that place, missing values left
+    out. Rounds of approximate quantiles bracket each place, and counts tell what lies on the bounds and between them,
+    until a bracket has `gathered` values or a bound is the value itself. df is read twice a round; a round leaves about 2 %."""
+    low, high, below = [None] * len(places), [None] * len(places), [0] * len(places)
+    left, found = [n for _, _, n in places], [None] * len(places)
+    value = lambda i: F.col(f"`{places[i][0]}`").cast("double")
+
+    def within(i: int):
+        ok = value(i).isNotNull()
+        ok = ok if low[i] is None else ok & (value(i) > low[i])
+        return F.when(ok if high[i] is None else ok & (value(i) < high[i]), value(i))
+
+    while open_ := [i for i in range(len(places)) if found[i] is None and left[i] > gathered]:
+        shares = {i: [min(1.0, max(0.0, (places[i][1] - below[i]) / left[i] + m)) for m in (-MARGIN, MARGIN)] for i in open_}
+        bounds = df.agg(*(F.percentile_approx(within(i), shares[i], ACCURACY).alias(f"q{i}") for i in open_)).first()
+        counts = []
+        for i in open_:
+            a, b = bounds[f"q{i}"]
+            counts += [F.count(F.when(within(i) < a, 1)).alias(f"a{i}"), F.count(F.when(within(i) == a, 1)).alias(f"b{i}"), F.count(F.when((within(i) > a) & (within(i) < b), 1)).alias(f"c{i}"), F.count(F.when(within(i) == b, 1)).alias(f"d{i}")]
+        seen = df.agg(*counts).first()
+        for i in open_:
+            (a, b), place = bounds[f"q{i}"], places[i][1] - below[i]
+            under, on, between, on_high = seen[f"a{i}"], seen[f"b{i}"], seen[f"c{i}"], seen[f"d{i}"] if a != b else 0
+            if place < under:
+                high[i], left[i] = a, under
+            elif place < under + on:
+                found[i] = a
+            elif place < under + on + between:
+                low[i], high[i], below[i], left[i] = a, b, below[i] + under + on, between
+            elif place < under + on + between + on_high:
+                found[i] = b
+            else:
+                low[i], below[i], left[i] = b, below[i] + under + on + between + on_high, left[i] - under - on - between - on_high
+    if rest := [i for i in range(len(places)) if found[i] is None]:
+        got = df.agg(*(F.get(F.array_sort(F.collect_list(within(i))), F.lit(places[i][1] - below[i])).alias(f"v{i}") for i in rest)).first()
+        for i in rest:
+            found[i] = got[f"v{i}"]
+    return found
+
+
+def medians(df: DataFrame, columns: list[str], gathered: int = GATHERED) -> DataFrame:
+    """Exact medians, missing values left out: one row, null for a column without values. No task gathers more than
+    `gathered` values of a column."""
+    df = df.select(*(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(c) for c in columns))
+    n = df.agg(*(F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns))).first()
+    places = [(c, place, n[i]) for i, c in enumerate(columns) if n[i] for place in sorted({(n[i] - 1) // 2, n[i] // 2})]
+    values: dict[str, list[float]] = {}
+    for (c, _, _), v in zip(places, at_places(df, places, gathered), strict=True):
+        values.setdefault(c, []).append(v)
+    return df.sparkSession.createDataFrame([[sum(v) / len(v) if (v := values.get(c)) else None for c in columns]], ", ".join(f"`{c}` double" for c in columns))
 
 
 def impute(df: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -64,10 +104,24 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
-def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the column's distinct texts in order, a missing value as the text nan. Places are counted within
-    values of equal first characters and shifted by those before; only these beginnings meet in one task."""
-    values = df.select(S.text_or_nan(F.col(column)).alias("value")).distinct().withColumn("lead", F.substring("value", 1, LEAD))
+def _common(a: str, b: str) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def _leads(values: DataFrame, most: int) -> DataFrame:
+    """values with lead, a beginning of the text, such that at most `most` distinct texts share one. Leads of too many grow
+    by what all their texts share and one character more; those that grow at a time are one in `most` of the texts at most."""
+    x = values.withColumn("lead", F.substring("value", 1, 1))
+    while crowded := x.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b")).where(F.col("n") > most).collect():
+        grown = values.sparkSession.createDataFrame([(r["lead"], _common(r.a, r.b) + 1) for r in crowded], "lead string, size int")
+        x = written(x.join(F.broadcast(grown), "lead", "left").select("value", F.expr("if(size is null, lead, substring(value, 1, size))").alias("lead")))
+    return x
+
+
+def vocabulary(df: DataFrame, column: str, most: int = VOCABULARY) -> DataFrame:
+    """(value, code): the column's distinct texts in order, a missing value as the text nan. Places are counted within texts
+    of equal beginnings, of which at most `most` share one, and shifted by those before; only the beginnings meet in one task."""
+    values = _leads(df.select(S.text_or_nan(F.col(column)).alias("value")).distinct(), most)
     leads = values.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
     before = leads.select("lead", (F.sum("n").over(Window.orderBy("lead")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("lead").orderBy("value")) - 1

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ordered(matches: DataFrame) -> DataFrame:
-    """matches with rn, the 0-based place in (tourney_date, match_num) order, and n_matches. Places are counted within
-    each date and shifted by the rows of earlier dates, so no task sorts the whole table: only the dates meet in one."""
-    per_date = matches.groupBy("tourney_date").agg(F.count(F.lit(1)).alias("rows"))
-    dates = Window.orderBy("tourney_date")
-    before = per_date.select("tourney_date", (F.sum("rows").over(dates) - F.col("rows")).alias("before"), F.sum("rows").over(dates.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_matches"))
-    place = F.row_number().over(Window.partitionBy("tourney_date").orderBy("match_num")) - 1
-    return matches.withColumn("place", place).join(before, "tourney_date").withColumn("rn", F.col("before") + F.col("place")).drop("place", "before")
+from .parts import HOT_ROWS, hot_keys, with_parts
+
+
+def ordered(matches: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """matches with rn, the 0-based place in (tourney_date, match_num) order, and n_matches. Places are counted within each
+    date, and within a part of a date of more than hot_rows matches, and shifted by the rows of what comes earlier: no task
+    sorts the whole table or a crowded date, and only dates and their parts meet in one."""
+    x = with_parts(matches, ["tourney_date"], "match_num", hot_keys(matches, ["tourney_date"], hot_rows))
+    per_part = x.groupBy("tourney_date", "__part").agg(F.count(F.lit(1)).alias("rows"))
+    dates = Window.orderBy("tourney_date", "__part")
+    before = per_part.select("tourney_date", "__part", (F.sum("rows").over(dates) - F.col("rows")).alias("before"), F.sum("rows").over(dates.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_matches"))
+    place = F.row_number().over(Window.partitionBy("tourney_date", "__part").orderBy("match_num")) - 1
+    return x.withColumn("place", place).join(before, ["tourney_date", "__part"]).withColumn("rn", F.col("before") + F.col("place")).drop("place", "before", "__part")
 
 
 def with_splits(matches: DataFrame) -> DataFrame:

@@ -131,6 +131,7 @@ SQL = {
     "s3_csv_sink": f"SELECT {_ALL} FROM matches",
     "s4_ensure_folder": "SELECT * FROM (VALUES ('there before', false), ('made', true), ('there after', true), ('made again', false)) AS t(step, answer)",
     "s5_season_scan": "SELECT cast(year(tourney_date) AS INT) AS source_year, count(*) AS n FROM matches WHERE year(tourney_date) BETWEEN 1993 AND 1996 GROUP BY 1",
+    "s5_mixed_headers": "SELECT match_num, tourney_date, CASE WHEN year(tourney_date) NOT BETWEEN 1994 AND 1995 THEN surface END AS surface, winner_name, loser_name, winner_rank, CASE WHEN year(tourney_date) > 1995 THEN cast(match_num % 300 AS VARCHAR) END AS minutes, cast(year(tourney_date) AS INT) AS source_year FROM matches WHERE year(tourney_date) BETWEEN 1993 AND 1997",
     "s6_union_files": "SELECT match_num, winner_name, CASE WHEN match_num % 2 = 0 THEN loser_name END AS loser_name FROM matches",
     "s7_inline_literals": "SELECT * FROM (VALUES ('Clay', 0), ('Grass', 1), ('Hard', 2), ('Unknown', 3)) AS t(surface, code)",
     "s8_output_frame": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i / 8})" for i, f in enumerate(FEATURES)) + ") AS t(feature, importance)",

@@ -15,7 +15,7 @@ from ..operators import boosting, fold, importance, models, prep
 from ..operators import state as st
 from ..operators import timeline as tm
 from ..operators.kept import KeptState
-from ..schema import CATEGORICAL, FEATURES, STATE_SURFACES, SURFACE_CODES, UNRANKED
+from ..schema import CATEGORICAL, FEATURES, MATCH_COLUMNS, STATE_SURFACES, SURFACE_CODES, UNRANKED
 from ..sources import matches as src
 from .oracles import FEATURE_COLUMNS, LOOKED_UP, ROUNDED, WHOLE_SPLIT
 
@@ -124,6 +124,17 @@ def s5_season_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_seasons(spark, path, 1993, 1996).groupBy("source_year").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def s5_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasons whose files have three headers: all columns, another order without surfaces, and one with a column more."""
+    m = src.derived_matches(spark, sf_dir).withColumns({"season": F.year("tourney_date"), "tourney_date": F.date_format("tourney_date", "yyyyMMdd")})
+    path = f"{src.scratch(spark)}/mixed-{uuid.uuid4().hex}"
+    swapped = ["loser_name", "match_num", "winner_name", "tourney_date", "tourney_id", "loser_rank", "winner_rank"]
+    for years, columns in ((F.col("season") < 1994, MATCH_COLUMNS), (F.col("season").between(1994, 1995), swapped), (F.col("season") > 1995, ["minutes", *reversed(MATCH_COLUMNS)])):
+        m.where(years).withColumn("minutes", F.col("match_num") % 300).select(*columns, "season").write.mode("append").partitionBy("season").option("header", True).csv(path)
+    return src.read_seasons(spark, path, 1993, 1997, others=True).select("match_num", "tourney_date", "surface", "winner_name", "loser_name", "winner_rank", "minutes", "source_year")
+
+
 @query
 def s6_union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = src.derived_matches(spark, sf_dir)

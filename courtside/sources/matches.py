@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import tempfile
 import uuid
 
@@ -78,10 +80,48 @@ def write_seasons(matches: DataFrame, path: str, mode: str = "ignore") -> str:
     return path
 
 
-def read_seasons(spark: SparkSession, path: str, first: int = 2000, last: int = 2024) -> DataFrame:
-    """The seasons first..last with their source_year, read from the folder's name; others aren't opened."""
-    raw = spark.read.schema(T.StructType([*MATCH_FILE.fields, T.StructField("season", T.IntegerType())])).option("header", True).option("basePath", path).csv(path)
-    return typed(raw.where(F.col("season").between(first, last))).withColumnRenamed("season", "source_year")
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The names in a CSV file's first line, whatever its file system and compression; none if it is empty."""
+    at, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    stream = at.getFileSystem(conf).open(at)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return next(csv.reader([line.removeprefix("\ufeff")])) if line else []
+
+
+def read_by_header(spark: SparkSession, files: list[str], base: str | None = None, partitions: T.StructType | None = None, others: bool = False) -> DataFrame:
+    """CSV files whose headers may differ, united by name: one scan for all files of one header. Declared columns that a file
+    lacks are missing; others: undeclared columns too, as text, else they are left unread. A header that repeats a name is an
+    error. base, partitions: a folder whose subfolders name columns of these types."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        if names := tuple(header_of(spark, file)):
+            by_header.setdefault(names, []).append(file)
+    declared, extra = {f.name: f for f in MATCH_FILE.fields}, list(partitions.fields) if partitions else []
+    frames = []
+    for names, some in by_header.items():
+        if len(set(names)) < len(names):
+            raise ValueError(f"{some[0]}: its header repeats a name")
+        schema = T.StructType([*(declared.get(n, T.StructField(n, T.StringType())) for n in names), *extra])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        kept = [n for n in names if others or n in declared] + [f.name for f in extra]
+        frames.append((reader.option("basePath", base) if base else reader).csv(some).select(*kept))
+    frames.append(spark.createDataFrame([], T.StructType([*MATCH_FILE.fields, *extra])))
+    out = union_by_name(*frames)
+    return typed(out.select(*MATCH_COLUMNS, *(c for c in out.columns if c not in MATCH_COLUMNS)))
+
+
+def read_seasons(spark: SparkSession, path: str, first: int = 2000, last: int = 2024, others: bool = False) -> DataFrame:
+    """The seasons first..last with their source_year, read from the folder's name; others aren't opened. Files are read by
+    their own headers."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/season=*/*.csv*")
+    files = [f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+    files = [f for f in files if first <= int(re.search(r"/season=(-?\d+)/[^/]*$", f)[1]) <= last]
+    return read_by_header(spark, files, path, T.StructType([T.StructField("season", T.IntegerType())]), others).withColumnRenamed("season", "source_year")
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:

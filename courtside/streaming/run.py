@@ -16,7 +16,8 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 def emitted(spark: SparkSession, timeline: DataFrame, steps: int = 4) -> DataFrame:
     """timeline (with rn and n_matches; computed before, since each step reads it) arrives in so many steps of time. After
-    each, a stream takes in what is new and ends, and the next one goes on from its state. All that it emits."""
+    each, a stream takes in what is new and ends, and the next one goes on from its state. All that it emits. Each batch has a
+    folder of its own, so one that is tried again replaces what it wrote."""
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     rows = timeline.withColumn("step", F.floor(F.col("rn") * steps / F.col("n_matches")))
     before = spark.conf.get(*STATE_STORE)
@@ -25,11 +26,11 @@ def emitted(spark: SparkSession, timeline: DataFrame, steps: int = 4) -> DataFra
         for k in range(steps):
             rows.where(F.col("step") == k).drop("step").write.mode("append").parquet(f"{root}/in")
             stream = spark.readStream.schema(timeline.schema).parquet(f"{root}/in")
-            q = streaming_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+            q = streaming_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out/batch={k}")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
             q.awaitTermination()
     finally:
         spark.conf.set(STATE_STORE[0], before)
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("batch")
 
 
 def last(rows: DataFrame, *by: str) -> DataFrame:
