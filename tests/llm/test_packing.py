@@ -34,6 +34,7 @@ def ids(parts):
 def test_ids_are_the_librarys(library, monkeypatch):
     rnd = random.Random(8)
     some = ["".join(rnd.choice("aB é'ßÀ\n1.<|>-漢́\xa0ſÿ×") for _ in range(rnd.randrange(60))) for _ in range(400)]
+    some += ["".join(rnd.choice("aB 'sStTrReEvVmMlLdD12.,-!éÀÿ\n") for _ in range(rnd.randrange(60))) for _ in range(400)]  # plain ones
     encoder = Encoder(public_tokenizer())
     assert encoder.blanks_drop
     texts = [*TEXTS, *some, *TEXTS]  # the second time from what is kept
