@@ -67,6 +67,9 @@ _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u
 _SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SIGNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
+#: Texts of such letters and ASCII alone, and how the split above cuts them once they are lower-cased.
+_PLAIN = re.compile("[ \t\n\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\ra-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 #: Byte-level signs: a byte's own sign if it is printable, else one of those from 256 on, in order.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -93,12 +96,15 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)] if parts else []
 
     def _signs(self, signs: set[str]) -> dict[str, bytes]:
-        """Ids of what the split can't cut any further."""
-        tokenize, out = self.library.model.tokenize, {}
-        for s in signs:
-            ids = [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_SIGNS))]
-            out[s] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        """Takes in what the split can't cut any further; those that are too long to be kept are returned."""
+        tokenize, old, made, long = self.library.model.tokenize, self.old, {}, {}
+        for s in signs.difference(self.young):
+            if (ids := old.get(s)) is None:
+                found = [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            (made if len(s) <= KEPT_PART else long)[s] = ids
+        self._keep(made)
+        return long
 
     def _keep(self, found: dict[str, bytes]) -> None:
         self.young |= found
@@ -116,9 +122,8 @@ class Encoder:
                 cuts[p] = _SIGNS.findall(p.lower())
             else:
                 other.append(p)
-        signs = set(words.values()).union(*cuts.values()).difference(self.young)
-        self._keep({p: old[p] for p in (parts | signs) & old.keys()})
-        self._keep(self._signs(signs - old.keys()))
+        self._keep({p: old[p] for p in parts & old.keys()})
+        self._signs(set(words.values()).union(*cuts.values()))
         of = self.young.__getitem__
         self._keep({p: of(w) for p, w in words.items() if p != w} | {p: b"".join(map(of, c)) for p, c in cuts.items() if len(c) > 1 or c[0] != p})
         made = dict(zip(other, self._library(other), strict=True))
@@ -131,11 +136,18 @@ class Encoder:
             return [np.frombuffer(ids, "<u4") for ids in self._library(texts)]
         if self.held > KEPT // 2:
             self.old, self.young, self.held = self.young, {}, 0
-        split = [_BLANK.split(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
-        long, of = self._learned(set().union(*split).difference(self.young)), self.young.get
+        split, signs, parts = [], set(), set()
+        for t in texts:
+            if "<|" not in t and _PLAIN.fullmatch(t):
+                split.append(_WORDS.findall(t.lower()))
+                signs.update(split[-1])
+            else:
+                split.append(_BLANK.split(t) if _OTHER_SPACE.search(t) else t.split())
+                parts.update(split[-1])
+        long, of = self._signs(signs) | self._learned(parts.difference(self.young)), self.young.get
         if not long:
-            return [np.frombuffer(b"".join(map(of, parts)), "<u4") for parts in split]
-        return [np.frombuffer(b"".join([long[p] if p in long else of(p) for p in parts]), "<u4") for parts in split]
+            return [np.frombuffer(b"".join(map(of, x)), "<u4") for x in split]
+        return [np.frombuffer(b"".join([long[p] if p in long else of(p) for p in x]), "<u4") for x in split]
 
 
 @lru_cache(1)
