@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it (Java and RE2 syntax agree on it).
@@ -78,6 +78,23 @@ def join_one(rows: DataFrame, one: DataFrame, on: list[str], spread: Column, how
     return many.join(repeated.hint("merge"), [*on, "__part"], how).drop("__part")
 
 
+def hashed_sample(rows: DataFrame, by: str, tell_apart: list[str], size: int, counts: dict) -> DataFrame:
+    """At most `size` rows of each value of `by`, with `order`, a hash of what tells rows apart: those of the smallest hashes.
+    Rows that are equal in it count as one, so repeated or missing ids neither fill the sample nor empty it. counts: how many
+    rows each value has. Hashes are looked at up to a bound that leaves about eight times as many as needed; only if repeated
+    rows leave too few, all are."""
+    whole = 1 << 40
+    hashed = rows.withColumn("order", F.pmod(F.xxhash64(F.lit("sample"), *tell_apart), F.lit(whole)))
+    bound = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 8 * size / n) * whole)))), F.col(by))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("order"))
+    for some in (hashed.where(F.col("order") <= bound), hashed):
+        cuts = some.select(by, "order").distinct().withColumn("place", place).where(F.col("place") <= size).groupBy(by).agg(F.max("order").alias("cut"), F.count(F.lit(1)).alias("n")).collect()  # a row a value
+        if {r[by]: r.n for r in cuts if r.n >= min(size, counts[r[by]])}.keys() == counts.keys():
+            break
+    cut = F.element_at(F.create_map(*(F.lit(x) for r in cuts for x in (r[by], r.cut))), F.col(by))
+    return hashed.where(F.col("order") <= cut).dropDuplicates([by, "order"])
+
+
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of an id written in decimal, modulo m."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(m))

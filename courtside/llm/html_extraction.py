@@ -5,7 +5,7 @@ potential from its own features (tags, class and id words, link share, length, p
 parent's and child's states. Sum-product messages from the leaves up and from the root down give every node's marginal;
 runs of text above one half are the page's text.
 
-Training. Labelled pages are (a) a sample of at most about SAMPLE pages of the corpus, chosen by a hash of the id, that
+Training. Labelled pages are (a) a sample of at most SAMPLE pages of the corpus, chosen by a hash of id and html, that
 mark their text with one <article> and have NODES nodes at most (SAMPLE and NODES bound what is fitted, nothing else), and
 (b) generated pages that show common kinds of boilerplate in and around a text, with and without an article, whole or split
 over several containers. Node weights are fitted by logistic regression, edge potentials by the ratio of joint to separate
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import hashed_sample, slices, table
 
 SAMPLE, NODES, EPOCHS, RATE, PENALTY = 300, 2000, 6, 0.5, 1e-5
 
@@ -335,9 +335,9 @@ def fit(pages: list[tuple[list[list[str]], list[int], list[int]]]) -> TreeModel:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> TreeModel:
-    n = pages.count()
-    cut = int(min(1.0, sample / max(n, 1)) * (1 << 40))
-    some = pages.where(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) <= cut).select(F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(F.lit("").alias("all"), F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    n = rows.count()
+    some = hashed_sample(rows, "all", ["id", "html"], sample, {"": n}).select("html") if n else rows.select("html")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,7 +348,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
                     out.append(json.dumps([features(nodes), y, [x.parent for x in nodes]]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["page"])
 
-    found = sorted(r.page for r in some.mapInArrow(described, "page string").collect())  # about `sample` pages
+    found = sorted(r.page for r in some.mapInArrow(described, "page string").collect())  # `sample` pages at most
     own = [(features(x), labels(x), [n.parent for n in x]) for x in map(parse, generated())]
     return fit([*own, *(tuple(json.loads(p)) for p in found), *own])
 

@@ -3,16 +3,16 @@
 Features. Letters are lower-cased, everything else counts as one space, and n-grams of 1 to 3 characters are hashed into
 2**15 buckets. A feature is the share of a text's n-grams in the bucket, times its inverse document frequency.
 
-Training. Document frequencies come from every training text. The weights are fitted on a sample of about SAMPLE texts for
-each language, chosen by a hash of the id (a documented bound; the rest of the training texts only counts towards
-frequencies), by follow-the-regularised-leader steps with L1 and L2 penalties, which leaves the weights sparse. A fifth
+Training. Document frequencies come from every training text. The weights are fitted on a sample of at most SAMPLE texts for
+each language, chosen by a hash of id and text, equal rows once (a documented bound; the rest of the training texts only
+counts towards frequencies), by follow-the-regularised-leader steps with L1 and L2 penalties, which leaves the weights sparse. A fifth
 of the sample is kept back to fit one temperature by which the logits are divided, so that scores are probabilities.
 
 Prediction reads the text alone. The model (32,768 buckets for each language) is broadcast; its size depends on the
 number of languages only: 0.13 MB each, and 0.5 MB each on the driver while it is fitted.
 
 Defined cases: a text that is null or without a letter is `und` with score 0; without training texts all are `und`; ties
-go to the first language in order; null labels teach nothing; repeated rows are judged row by row; very long texts are
+go to the first language in order; null labels teach nothing; null and repeated ids teach by their texts; repeated rows are judged row by row; very long texts are
 read whole; empty tables work; other columns are carried and not read, those named like the two new ones are replaced.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, hashed_sample, slices, table
 
 BUCKETS, SAMPLE, EPOCHS = 1 << 15, 1000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-3
@@ -162,9 +162,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     seen = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()  # one row a bucket
     df[seen.column("bucket").to_numpy()] = seen.column("df").to_numpy()
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
-    order = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40))
-    cut = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample / n) * (1 << 40))))), F.col("lang"))
-    chosen = rows.withColumn("order", order).where(F.col("order") <= cut).select("lang", "order", "text").mapInArrow(_vectors, "lang string, order long, bucket array<int>, share array<float>").toArrow().combine_chunks()
+    chosen = hashed_sample(rows, "lang", ["id", "text"], sample, counts).select("lang", "order", "text").mapInArrow(_vectors, "lang string, order long, bucket array<int>, share array<float>").toArrow().combine_chunks()
     place = {lang: i for i, lang in enumerate(languages)}
     label, turn = np.array([place[x] for x in chosen.column("lang").to_pylist()], np.int64), chosen.column("order").to_numpy()
     lists = [chosen.column(c).combine_chunks() for c in ("bucket", "share")]
