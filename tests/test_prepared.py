@@ -79,6 +79,12 @@ def test_m4_on_held_out_rows(spark):
     assert all(r.accuracy > 0.5 for r in rows if not r.is_top), rows
 
 
+def test_boosted_histograms_are_as_good_as_filled_trees(spark):
+    sf = SF.replace("0.001", "0.01")
+    new, old = ({(r.part, r.is_top): r.accuracy for r in queries.queries()[q](spark, sf).collect()} for q in ("m4_histogram_boosting", "m4_train_evaluate"))
+    assert new.keys() == old.keys() and all(new["final", top] >= max(0.55, old["final", top] - 0.01) for top in (True, False)), (new, old)
+
+
 def test_a_prediction_does_not_depend_on_its_batch(spark, trained):
     b, _, routed = trained
     pairs = [("P7", "P8", "Clay"), ("P1", "P2", "Hard"), ("P3", "P4", None), ("P8", "P7", "Clay")]

@@ -27,7 +27,7 @@ def plain(v):
     return v.isoformat()[:10] if isinstance(v, (datetime.date, datetime.datetime)) else v
 
 
-CHECKED = ["s1_csv_scan", "s4_ensure_folder", "s8_output_frame", "s9_profile_report", "p10_text_columns", "p11_schema", "f19_two_decimals", "f23_required", "g18_window_sums", "o2_index_reset_split", "m3_scaler_parameters", "m6_metrics", "e1_pair_features_point_in_time", "s5_season_scan", "s6_union_files", "p2_side_swap", "p15_segment_routing", "j1_full_outer_counts", "j9_upsert_players", "g2_surface_map", "g6_histories", "g12_preferred_surface", "g19_metrics", "w4_running_totals", "o3_splits", "o6_holdout", "m2_median_imputer", "m9_serving_features", "x_state_snapshot", "x_pair_features_snapshot", "x_filled_features", "e1_before_match", "e2_streaming_state"]
+CHECKED = ["s1_csv_scan", "s4_ensure_folder", "s8_output_frame", "s9_profile_report", "p10_text_columns", "p11_schema", "f19_two_decimals", "f23_required", "g18_window_sums", "o2_index_reset_split", "m3_scaler_parameters", "m6_metrics", "e1_pair_features_point_in_time", "s5_season_scan", "s6_union_files", "p2_side_swap", "p15_segment_routing", "j1_full_outer_counts", "j9_upsert_players", "g2_surface_map", "g6_histories", "g12_preferred_surface", "g19_metrics", "w4_running_totals", "o3_splits", "o6_holdout", "m2_median_imputer", "m9_serving_features", "x_state_snapshot", "x_pair_features_snapshot", "x_filled_features", "e1_before_match", "e2_streaming_state", "s5_mixed_headers", "j2_as_of_form", "j3_as_of_head_to_head", "j4_as_of_surface_form", "w1_running_last_n", "m4_first_splits", "m7_permuted_accuracy", "p13_point_lookup_kept", "j11_serving_pair_kept", "x_state_kept"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
