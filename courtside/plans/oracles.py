@@ -120,7 +120,6 @@ _ALL_COLUMNS = ["tourney_id", "tourney_date", "surface", *(f"{s}_{c}" for c in (
 _MNA = "match_num, winner_name, loser_name"
 _DIFF = ["rank_diff", "age_diff", "seed_diff", "height_diff"]
 _SCALED = ["rank_diff", "age_diff", "player1_last_10_win_percentage"]
-_V = "(VALUES ('Hard'), ('hard'), ('HARD'), ('hArd'), ('Clay'), ('clay'), ('CLAY'), ('Grass'), ('grass'), ('GRASS'), ('Carpet'), (''), (NULL)) AS t(raw)"
 _H = "md5(concat(cast(match_num AS VARCHAR), ':42:holdout'))"
 
 _CODE = "CASE {c} WHEN 'Clay' THEN 0.0 WHEN 'Grass' THEN 1.0 WHEN 'Hard' THEN 2.0 ELSE 3.0 END"
@@ -218,8 +217,8 @@ SQL = {
     "f4_lenient_number": "SELECT match_num, try_cast(winner_seed AS DOUBLE) AS seed FROM matches",
     "f5_constant_fill": "SELECT match_num, player1_hand, player2_hand, player1_rank, player2_rank, player1_seed, player2_seed, surface_encoded FROM fl",
     "f6_median_fill": f"SELECT match_num, {', '.join(r(c) for c in _MED)} FROM fl",
-    "f7_surface_normaliser": f"SELECT raw, CASE WHEN raw IN ('Hard', 'hard', 'HARD') THEN 'Hard' WHEN raw IN ('Clay', 'clay', 'CLAY') THEN 'Clay' WHEN raw IN ('Grass', 'grass', 'GRASS') THEN 'Grass' ELSE 'Unknown' END AS surface FROM {_V}",
-    "f8_surface_codes": "SELECT code, CASE code WHEN 0 THEN 'Clay' WHEN 1 THEN 'Grass' WHEN 2 THEN 'Hard' ELSE 'Unknown' END AS surface FROM (VALUES (0), (1), (2), (3), (9)) AS t(code)",
+    "f7_surface_normaliser": "SELECT match_num, raw, CASE WHEN raw IN ('Hard', 'hard', 'HARD') THEN 'Hard' WHEN raw IN ('Clay', 'clay', 'CLAY') THEN 'Clay' WHEN raw IN ('Grass', 'grass', 'GRASS') THEN 'Grass' ELSE 'Unknown' END AS surface FROM (SELECT match_num, CASE match_num % 4 WHEN 0 THEN upper(surface) WHEN 1 THEN lower(surface) WHEN 2 THEN surface ELSE lower(surface[1]) || upper(surface[2:]) END AS raw FROM matches)",
+    "f8_surface_codes": "SELECT match_num, cast(match_num % 6 AS INT) AS code, CASE match_num % 6 WHEN 0 THEN 'Clay' WHEN 1 THEN 'Grass' WHEN 2 THEN 'Hard' ELSE 'Unknown' END AS surface FROM matches",
     "f9_casts": "SELECT match_num, cast(player1_rank <= 10 AS INT) AS top, coalesce(player1_hand, 'nan') AS hand FROM pr",
     "f10_rank_band": "SELECT match_num, top_10_vs_not FROM df",
     "f11_age_band": "SELECT match_num, young_vs_old FROM df",
@@ -295,7 +294,7 @@ WHOLE_SPLIT = """p2_side_swap p3_result_label p9_projection p14_either_side p15_
 _PLAIN_WHOLE = {"j2_as_of_form", "j3_as_of_head_to_head", "j4_as_of_surface_form", "m4_first_splits", "m7_permuted_accuracy"}
 
 
-SQL |= {"p13_point_lookup_kept": SQL["p13_point_lookup"], "j11_serving_pair_kept": SQL["j11_serving_pair"], "x_state_kept": SQL["x_state_snapshot"]}
+SQL |= {"p13_point_lookup_kept": SQL["p13_point_lookup"], "j11_serving_pair_kept": SQL["j11_serving_pair"], "x_state_kept": SQL["x_state_snapshot"], "e2_streaming_late": SQL["e2_streaming_state"]}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -288,8 +288,9 @@ simple("f3_log_gap", lambda b: b.diffs.select("match_num", r6("log_rank_diff")))
 simple("f4_lenient_number", lambda b: b.matches.select("match_num", S.lenient_double(_c("winner_seed")).alias("seed")))
 simple("f5_constant_fill", lambda b: b.filled.select("match_num", *(f"player{i}_{c}" for c in ("hand", "rank", "seed") for i in (1, 2)), "surface_encoded"))
 simple("f6_median_fill", lambda b: b.filled.select("match_num", *(r6(c) for c in MED)))
-simple("f7_surface_normaliser", lambda b: b.spark.createDataFrame([(x,) for x in ("Hard", "hard", "HARD", "hArd", "Clay", "clay", "CLAY", "Grass", "grass", "GRASS", "Carpet", "", None)], "raw string").withColumn("surface", S.feature_surface(_c("raw"))))
-simple("f8_surface_codes", lambda b: b.spark.createDataFrame([(x,) for x in (0, 1, 2, 3, 9)], "code int").withColumn("surface", S.surface_of_code(_c("code"))))
+_SPELT = F.expr("case match_num % 4 when 0 then upper(surface) when 1 then lower(surface) when 2 then surface else concat(lower(substring(surface, 1, 1)), upper(substring(surface, 2))) end")
+simple("f7_surface_normaliser", lambda b: b.matches.select("match_num", _SPELT.alias("raw")).withColumn("surface", S.feature_surface(_c("raw"))))
+simple("f8_surface_codes", lambda b: b.matches.select("match_num", (_c("match_num") % 6).cast("int").alias("code")).withColumn("surface", S.surface_of_code(_c("code"))))
 simple("f9_casts", lambda b: b.pairs.select("match_num", (_c("player1_rank") <= 10).cast("int").alias("top"), S.text_or_nan(_c("player1_hand")).alias("hand")))
 for _name, _cols in (("f10_rank_band", ["top_10_vs_not"]), ("f11_age_band", ["young_vs_old"]), ("f12_seed_xor", ["seeded_vs_unseeded"]), ("f13_height_band", ["tall_vs_short"]), ("f14_hands", ["same_hand", "left_vs_right"])):
     simple(_name, lambda b, cols=_cols: b.diffs.select("match_num", *cols))
@@ -376,6 +377,15 @@ def m4_first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.first_splits(rows, FEATURES, "label", "is_top").select("is_top", "feature", r6("gain"), "upto", "missing_left", "n_left")
 
 
+@query
+def m5_histogram_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boosted models' predictions of the final split, learned from the next one."""
+    rows = unfilled(Base(spark, sf_dir))
+    model = boosting.train(rows.where("split = 'next'"), FEATURES, "label", "is_top", **BOOSTED)
+    scored = rows.where("split = 'final'").withColumn("p_player1", model.probability(F.col("is_top")))
+    return scored.select("match_num", "is_top", "result", F.when(F.col("p_player1") > 0.5, 1).otherwise(2).alias("predicted"), "p_player1")
+
+
 @query
 def m7_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the boosted models lose on the final split when a feature is shuffled: the ten most important ones of each."""
@@ -449,6 +459,23 @@ def e2_streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last(_streamed(spark, sf_dir), "player").select("player", *(r6(c) if c in ("last_5", "last_10") else _c(c) for c in STREAMED))
 
 
+@query
+def e2_streaming_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each player from a stream in which matches come up to two months late, a fifth of them twice, and
+    last of all one match of nobody, years later, which moves the watermark on."""
+    from ..streaming.late import late_streaming_state
+    from ..streaming.run import emitted, last
+
+    t = src.written(tm.ordered(src.derived_matches(spark, sf_dir)))
+    bounds = t.agg(F.min("tourney_date").alias("first"), F.max("tourney_date").alias("last"))
+    comes = F.datediff(F.expr("date_add(tourney_date, cast(match_num * 37 % 60 as int))"), F.col("first"))
+    once = t.crossJoin(F.broadcast(bounds)).withColumn("step", F.floor(comes * 4 / (F.datediff("last", "first") + 60)))
+    again = once.where("match_num % 5 = 0").withColumn("step", F.least(F.col("step") + F.col("match_num") % 2, F.lit(3)))
+    end = once.limit(1).withColumns({"step": F.lit(4).cast("long"), "rn": F.col("n_matches"), "tourney_date": F.expr("date_add(last, 5000)"), "winner_name": F.lit(""), "loser_name": F.lit("")})
+    states = emitted(spark, t, 5, src.written(once.unionByName(again).unionByName(end).drop("first", "last")), late_streaming_state)
+    return last(states, "player").where("player <> ''").select("player", *(r6(c) if c in ("last_5", "last_10") else _c(c) for c in STREAMED))
+
+
 @query
 def e2_streaming_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Head-to-head and tournament counts, and the last ten on each surface, of the same stream."""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import statistics
 
+import duckdb
 import pytest
 from courtside.operators import models, prep
 from courtside.operators import timeline as tm
@@ -85,6 +86,19 @@ def test_boosted_histograms_are_as_good_as_filled_trees(spark):
     assert new.keys() == old.keys() and all(new["final", top] >= max(0.55, old["final", top] - 0.01) for top in (True, False)), (new, old)
 
 
+def test_metrics_of_written_predictions_by_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "BOOSTED", {"iterations": 3, "depth": 3})
+    queries.queries()["m5_histogram_predict"](spark, SF).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    got = {r.is_top: (r.accuracy, r.weighted_precision, r.weighted_recall, r.weighted_f1) for r in models.evaluate(p, by=["is_top"]).collect()}
+    want = duckdb.sql(f"""
+        WITH p AS (SELECT * FROM '{tmp_path}/p/*.parquet'), c AS (SELECT DISTINCT is_top, unnest([1, 2]) AS c FROM p),
+        k AS (SELECT c.is_top, c.c, count(*) FILTER (result = c.c) AS sup, count(*) FILTER (predicted = c.c) AS cal, count(*) FILTER (result = c.c AND predicted = c.c) AS hit FROM c JOIN p USING (is_top) GROUP BY ALL),
+        q AS (SELECT *, coalesce(hit / nullif(cal, 0), 0) AS pre, coalesce(hit / nullif(sup, 0), 0) AS rec FROM k)
+        SELECT is_top, sum(hit) / sum(sup), sum(pre * sup) / sum(sup), sum(rec * sup) / sum(sup), sum(coalesce(2 * pre * rec / nullif(pre + rec, 0), 0) * sup) / sum(sup) FROM q GROUP BY is_top""").fetchall()
+    assert got == {r[0]: pytest.approx(r[1:]) for r in want} and p.where("(p_player1 > 0.5) <> (predicted = 1)").count() == 0
+
+
 def test_a_prediction_does_not_depend_on_its_batch(spark, trained):
     b, _, routed = trained
     pairs = [("P7", "P8", "Clay"), ("P1", "P2", "Hard"), ("P3", "P4", None), ("P8", "P7", "Clay")]
