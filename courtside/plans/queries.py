@@ -288,8 +288,8 @@ simple("f3_log_gap", lambda b: b.diffs.select("match_num", r6("log_rank_diff")))
 simple("f4_lenient_number", lambda b: b.matches.select("match_num", S.lenient_double(_c("winner_seed")).alias("seed")))
 simple("f5_constant_fill", lambda b: b.filled.select("match_num", *(f"player{i}_{c}" for c in ("hand", "rank", "seed") for i in (1, 2)), "surface_encoded"))
 simple("f6_median_fill", lambda b: b.filled.select("match_num", *(r6(c) for c in MED)))
-_SPELT = F.expr("case match_num % 4 when 0 then upper(surface) when 1 then lower(surface) when 2 then surface else concat(lower(substring(surface, 1, 1)), upper(substring(surface, 2))) end")
-simple("f7_surface_normaliser", lambda b: b.matches.select("match_num", _SPELT.alias("raw")).withColumn("surface", S.feature_surface(_c("raw"))))
+_SPELT = "case match_num % 4 when 0 then upper(surface) when 1 then lower(surface) when 2 then surface else concat(lower(substring(surface, 1, 1)), upper(substring(surface, 2))) end as raw"
+simple("f7_surface_normaliser", lambda b: b.matches.selectExpr("match_num", _SPELT).withColumn("surface", S.feature_surface(_c("raw"))))
 simple("f8_surface_codes", lambda b: b.matches.select("match_num", (_c("match_num") % 6).cast("int").alias("code")).withColumn("surface", S.surface_of_code(_c("code"))))
 simple("f9_casts", lambda b: b.pairs.select("match_num", (_c("player1_rank") <= 10).cast("int").alias("top"), S.text_or_nan(_c("player1_hand")).alias("hand")))
 for _name, _cols in (("f10_rank_band", ["top_10_vs_not"]), ("f11_age_band", ["young_vs_old"]), ("f12_seed_xor", ["seeded_vs_unseeded"]), ("f13_height_band", ["tall_vs_short"]), ("f14_hands", ["same_hand", "left_vs_right"])):
