@@ -39,7 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = settle(merged.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.min("keep").alias("keep"), F.sum("n").alias("n")))
     single = winners.where("contents = 1").drop("contents")
     sha = F.sha2("body", 256).alias("sha")
-    out = join_one(rows.select("id", "digest", sha), single, ["digest"], F.xxhash64("id"))
+    out = join_one(rows.select("id", "digest", sha), single, ["digest"], F.monotonically_increasing_id())
     shared = winners.where("contents > 1").select("digest")
     if not shared.isEmpty():  # digests that several contents have: whole texts are the key
         few = rows.join(shared, "digest", "left_semi")
