@@ -19,9 +19,10 @@ def components(links: DataFrame) -> DataFrame:
     is one written table."""
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while _open(edges):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Large star: a node's larger neighbours go to its least one; a node without a smaller neighbour keeps its own.
+        up = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        large = edges.join(up, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        # Small star: a node and its smaller neighbours go to the least of these.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = settle(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

@@ -10,8 +10,8 @@ Coordinates agree with probability equal to the Jaccard similarity. 40 bands of
 Verification. A class is first compared, on full sets, with two leaders: the smallest member of all its buckets and the
 largest. Links found are joined to components. A pair within a component needs no test, so a group of near copies costs
 two comparisons a member. Buckets in which several components still meet are joined with themselves, across components
-only and each pair in the first bucket that it shares; a bucket of many members is dealt out in blocks, so that no task
-meets more than BLOCK of its members with another. Before texts are fetched, sketch bits are compared: two bits of each of
+only and each pair in the first bucket that it shares; members of a large bucket are dealt out in blocks of about BLOCK,
+and each pair of blocks is a key of its own, so that no task meets more than two blocks. Before texts are fetched, sketch bits are compared: two bits of each of
 the 160 coordinates, and for what meets across components also of 1024 coordinates, computed for those classes alone. By
 the sketch's concentration a pair at similarity 0.75 disagrees in 30 and 192 places, and one in ten million in more than
 56 and 262; those are passed over. sift=False compares every candidate pair instead. What this cannot avoid: dissimilar
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_one, settle, slices, string_bytes, table, unsettle
+from .common import HOT_SHARE, join_one, settle, slices, string_bytes, table, unsettle
 from .components import components
 from .words import NOT_SPACE, gram_hashes, mixed, whole, word_bounds, word_hashes
 
@@ -123,11 +123,10 @@ def _described(bands: int, rows: int):
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the bits of a longer sketch to rows, whose text goes; every text has a word."""
+    """Adds the bits of a longer sketch to rows; every text has a word."""
     for batch in slices(batches, "text", SLICE):
         sketch = sketches(*shingle_sets(*string_bytes(batch.column("text"))), FINE_LONGS * 32)
-        kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *map(pa.array, _two_bits(sketch, FINE_LONGS))], names=[*kept, *_FINE])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, _two_bits(sketch, FINE_LONGS))], names=[*batch.schema.names, *_FINE])
 
 
 def _compared(percent: int):
@@ -154,13 +153,19 @@ def _compared(percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (c, x) whose full sets are similar enough, as links (a, b) between the nodes' least ids. texts: (node, least, text)."""
+    """Those pairs (c, x) whose full sets are similar enough, as links (a, b) between the nodes' least ids. texts: (node,
+    least, text). Members of a centre with over PER_SALT of them and over one in HOT_SHARE of all pairs are dealt out in
+    parts; such centres, HOT_SHARE at most, are broadcast, so no pair is shuffled by its centre alone."""
     pairs = settle(pairs)
-    salts = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "c").select("c", F.col("x").alias("node"), F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
+    part = max(PER_SALT, pairs.count() // HOT_SHARE)
+    centres = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(centres.where(F.col("n") > part).select("c", F.ceil(F.col("n") / part).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    members = pairs.join(hot, "c", "left").select("c", F.col("x").alias("node"), F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
     members = members.join(texts, "node").select("c", "salt", F.lit(1).alias("kind"), "least", "text")
-    centres = salts.withColumnRenamed("c", "node").join(texts, "node").select(F.col("node").alias("c"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), "least", "text")
-    rows = members.unionByName(centres).repartition("c", "salt").sortWithinPartitions("c", "salt", "kind")
+    own = centres.join(hot, "c", "left").select(F.col("c").alias("node"), salts.alias("salts")).join(texts, "node")
+    own = own.select(F.col("node").alias("c"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("kind"), "least", "text")
+    rows = members.unionByName(own).repartition("c", "salt").sortWithinPartitions("c", "salt", "kind")
     kind = texts.schema["least"].dataType.simpleString()
     links = settle(rows.mapInArrow(_compared(percent), f"a {kind}, b {kind}"))
     unsettle(pairs)
@@ -216,21 +221,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = members.join(named, "node").select("bucket", "node", "root")
     several = at.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("r0 <> r1")
     open_ = settle(at.join(several.select("bucket", "blocks"), "bucket"))
-    places = open_.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("all"))
-    fine = info.join(places, "node").select("node", "n", *_BITS, "all", "text")
+    places = open_.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("all"), F.first("root").alias("least"))
+    fine = info.drop("least").join(places, "node").select("node", "least", "n", *_BITS, "all", "text")
     if sift:
-        fine = fine.mapInArrow(_fine, ", ".join([*(f"{c} {t}" for c, t in fine.dtypes if c != "text"), *(f"{f} long" for f in _FINE)]))
-    fine = settle(fine.drop("text"))
-    met = open_.join(fine, "node")
-    a = met.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).alias("a")
-    b = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("b")
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & may_link()
+        fine = fine.mapInArrow(_fine, ", ".join([*(f"{c} {t}" for c, t in fine.dtypes), *(f"{f} long" for f in _FINE)]))
+    fine = settle(fine)
+    met = open_.join(fine.drop("least", "text"), "node")
+    own_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    a = met.withColumn("i", own_block).withColumn("j", F.explode(F.expr("sequence(i, blocks - 1)"))).alias("a")
+    b = met.withColumn("j", own_block).withColumn("i", F.explode(F.expr("sequence(0, j)"))).alias("b")
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    on &= ((F.col("a.i") < F.col("a.j")) | (F.col("a.node") < F.col("b.node"))) & (F.col("a.root") != F.col("b.root")) & may_link()
     if sift:
         on &= _apart(_FINE) <= FINE_MISMATCHES
     on &= F.element_at(F.array_intersect("a.all", "b.all"), 1) == F.col("a.bucket")
-    more = verified(a.join(b, on).select(F.col("a.node").alias("c"), F.col("b.node").alias("x")), texts, percent)
-    roots = settle(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    for done in (members, info, links, first, open_, fine, more):
+    # What is found here links components: roots stand for their members.
+    more = verified(a.join(b, on).select(F.least("a.node", "b.node").alias("c"), F.greatest("a.node", "b.node").alias("x")), fine.select("node", "least", "text"), percent)
+    above = settle(components(more)).withColumnRenamed("root", "top")
+    roots = first.join(above.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = settle(roots.unionByName(above.withColumnRenamed("top", "root")))
+    for done in (members, info, links, first, open_, fine, more, above):
         unsettle(done)
 
     final = settle(classes.join(roots.withColumnRenamed("node", "least"), "least", "left").select("k1", "k2", "n", F.coalesce("root", "least").alias("component")))
