@@ -43,13 +43,14 @@ def removed_runs(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
         F.expr("transform(x, s -> substring(unhex(sha2(s.l, 256)), 1, 16))").alias("d"),
     )
     step = f"struct(0 as s, 0 as n), (a, v) -> if(a.s >= {least}, a, struct(a.s + v as s, a.n + 1 as n)), a -> if(a.s >= {least}, a.n, 0)"
-    ahead = f"transform(w, (v, i) -> struct(i as a, aggregate(slice(w, i + 1, {least}), {step}) as n))"
+    ahead = f"transform(w, (v, i) -> aggregate(slice(w, i + 1, {least}), {step}))"
     back = f"transform(transform(w, (v, i) -> struct(i as b, aggregate(reverse(slice(w, greatest(i - {least - 1}, 0) + 1, least({least}, i + 1))), {step}) as n)), s -> struct(s.b - s.n + 1 as a, s.n as n))"
-    spans = f"array_distinct(filter(concat({ahead}, {back}), s -> s.n > 0))"
+    # A window up to a line that is also the one from its first line counts once.
+    spans = f"concat(filter(transform(ahead, (n, i) -> struct(i as a, n as n)), s -> s.n > 0), filter({back}, s -> s.n > 0 and get(ahead, s.a) <> s.n))"
     # Each window with its fingerprint, where that stands, and the digest of its lines; a window of one line has its own.
     window = "transform(spans, s -> struct(s.a as a, s.a + s.n - 1 as b, at[s.a] as lo, at[s.a + s.n - 1] as hi, array_min(slice(h, s.a + 1, s.n)) as fp, if(s.n = 1, d[s.a], substring(unhex(sha2(concat_ws('', transform(slice(d, s.a + 1, s.n), x -> hex(x))), 256)), 1, 16)) as k, slice(h, s.a + 1, s.n) as hs))"
     placed = "transform(windows, s -> struct(s.a as a, s.b as b, s.lo as lo, s.hi as hi, s.fp as fp, s.k as k, s.a + cast(array_position(s.hs, s.fp) as int) - 1 as p))"
-    windows = narrow.withColumn("spans", F.expr(spans)).select("id", "th", F.expr(window).alias("windows")).select("id", "th", F.inline(F.expr(placed)))
+    windows = narrow.withColumn("ahead", F.expr(ahead)).withColumn("spans", F.expr(spans)).select("id", "th", F.expr(window).alias("windows")).select("id", "th", F.inline(F.expr(placed)))
     windows = settle(windows)
 
     positions = windows.select("fp", "id", "th", "p").distinct()
@@ -70,9 +71,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn("__hash", F.xxhash64(text_col))
     both = rows.join(cuts.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     both = both.withColumn("__lines", F.expr(f"split(`{text_col}`, '\\n', -1)"))
-    parts = """aggregate(__cuts, struct(0 as next, cast(array() as array<struct<lo:int,n:int>>) as keep),
-        (s, c) -> struct(greatest(s.next, c.hi + 1) as next, if(c.lo > s.next, concat(s.keep, array(struct(s.next as lo, c.lo - s.next as n))), s.keep) as keep),
-        s -> if(size(__lines) > s.next, concat(s.keep, array(struct(s.next as lo, size(__lines) - s.next as n))), s.keep))"""
+    # Of shortest windows, one that begins later never ends earlier, so what is kept lies between a cut and the one before it.
+    between = "transform(__cuts, (c, i) -> struct(coalesce(get(__cuts, i - 1).hi + 1, 0) as lo, c.lo as up))"
+    tail = "array(struct(element_at(__cuts, -1).hi + 1 as lo, size(__lines) as up))"
+    parts = f"transform(filter(concat({between}, {tail}), k -> k.up > k.lo), k -> struct(k.lo as lo, k.up - k.lo as n))"
     kept = F.expr(f"flatten(transform({parts}, k -> slice(__lines, k.lo + 1, k.n)))")
     both = both.withColumn("__kept", F.when(F.col("__cuts").isNotNull(), kept))
     text = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
