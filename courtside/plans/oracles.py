@@ -24,7 +24,7 @@ _CTES = [
     ("s", "SELECT * FROM e WHERE split <> 'final'"),
     ("five", "SELECT * FROM (VALUES ('Hard', 0), ('Clay', 1), ('Grass', 2), ('Carpet', 3), ('Unknown', 4)) AS t(surface, o)"),
     ("ap", "SELECT player, count(*) AS n FROM (SELECT winner_name AS player FROM m WHERE split = 'next' UNION ALL SELECT loser_name FROM m WHERE split = 'next') GROUP BY player"),
-    ("act", "SELECT * FROM m WHERE split = 'next' AND winner_name IN (SELECT player FROM ap WHERE n >= 75) AND loser_name IN (SELECT player FROM ap WHERE n >= 75)"),
+    ("act", "SELECT * FROM m WHERE split = 'next' AND winner_name IN (SELECT player FROM ap WHERE n >= 10) AND loser_name IN (SELECT player FROM ap WHERE n >= 10)"),
     ("sw", "SELECT *, substr(md5(concat(cast(match_num AS VARCHAR), ':42')), 1, 1) < '8' AS swap FROM act"),
     ("pr", "SELECT match_num, rn, split, tourney_date, surface AS raw_surface, " + ", ".join(f"CASE WHEN swap THEN {x}_{c} ELSE {y}_{c} END AS {p}{'' if c == 'name' else '_' + c}" for c in ("name", "seed", "rank", "age", "ht", "hand") for p, x, y in (("player1", "winner", "loser"), ("player2", "loser", "winner"))) + ", CASE WHEN swap THEN 1 ELSE 2 END AS result FROM sw"),
     ("pd", """SELECT * REPLACE (try_cast(player1_seed AS DOUBLE) AS player1_seed, try_cast(player2_seed AS DOUBLE) AS player2_seed),
@@ -83,9 +83,9 @@ _MED = ["player1_age", "player2_age", "player1_ht", "player2_ht", "rank_diff", "
 _FILL = {"player1_hand": "'U'", "player2_hand": "'U'", "player1_rank": "999", "player2_rank": "999", "player1_seed": "-1", "player2_seed": "-1"}
 _CTES[-1] = ("fl", "SELECT fx.* REPLACE (" + ", ".join([f"coalesce({c}, {v}) AS {c}" for c, v in _FILL.items()] + [f"coalesce({c}, (SELECT median({c}) FROM fx)) AS {c}" for c in _MED]) + ") FROM fx")
 
-#: The shared definitions with the state after all events, and with the reference's limit, which keeps the whole split, in place of the selective one.
+#: The shared definitions with the state after all events, and with a selective limit in place of the reference's, which keeps the whole split.
 _AFTER_ALL = [(k, "SELECT * FROM e" if k == "s" else v) for k, v in _CTES]
-_WHOLE = [(k, v.replace("n >= 75", "n >= 10") if k == "act" else v) for k, v in _CTES]
+_SELECTIVE = [(k, v.replace("n >= 10", "n >= 75") if k == "act" else v) for k, v in _CTES]
 
 
 def _with(tail: str, ctes: list[tuple[str, str]] = _CTES) -> str:
@@ -284,22 +284,18 @@ SQL = {
       UNION ALL SELECT player, 'tournaments', tourney_id, count(*), cast(sum(won) AS BIGINT), NULL FROM e GROUP BY player, tourney_id UNION ALL SELECT player, 'surfaces', surface, NULL, NULL, round(rate, 6) FROM sl""",
 }
 
-#: Queries over the selective rows of `act`, which are also registered as NAME_whole over the whole split.
+#: Queries over the whole split that are also registered as NAME_whole.
 WHOLE_SPLIT = """p2_side_swap p3_result_label p9_projection p14_either_side p15_segment_routing j2_form_lookup j3_head_to_head_lookup j4_surface_form_lookup j8_median_broadcast g19_metrics o6_holdout
     f2_differences f3_log_gap f5_constant_fill f6_median_fill f9_casts f10_rank_band f11_age_band f12_seed_xor f13_height_band f14_hands f15_surface_match f20_seeded_coin f22_z_score m1_label_encoder m3_standard_scaler
     x_pair_features_snapshot x_filled_features e1_pair_features_point_in_time""".split()
 
 
-#: Queries that read the whole split under their only name.
-_PLAIN_WHOLE = {"j2_as_of_form", "j3_as_of_head_to_head", "j4_as_of_surface_form", "m4_first_splits", "m7_permuted_accuracy"}
-
-
 SQL |= {"p13_point_lookup_kept": SQL["p13_point_lookup"], "j11_serving_pair_kept": SQL["j11_serving_pair"], "x_state_kept": SQL["x_state_snapshot"], "e2_streaming_late": SQL["e2_streaming_state"]}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for k, tail, ctes in [*((k, v, _AFTER_ALL if k.startswith("e2_") else _WHOLE if k in _PLAIN_WHOLE else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _WHOLE) for k in WHOLE_SPLIT)]:
+    for k, tail, ctes in [*((k, v, _AFTER_ALL if k.startswith("e2_") else _SELECTIVE if k == "p6_min_matches" else _CTES) for k, v in SQL.items()), *((f"{k}_whole", SQL[k], _CTES) for k in WHOLE_SPLIT)]:
         if tail.startswith(", "):  # has definitions of its own after the shared ones
             full = _with(tail, ctes)
             head, own = full[: -len(tail)].rstrip(), tail

@@ -20,8 +20,8 @@ from ..sources import matches as src
 from .oracles import FEATURE_COLUMNS, LOOKED_UP, ROUNDED, WHOLE_SPLIT
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Of p6_min_matches, to be selective there; and the reference's own limit, which keeps every row of a split here.
 MIN_MATCHES = 75
-#: The reference's own limit; it keeps every row of a split here.
 REFERENCE_MIN_MATCHES = 10
 _QUERIES: dict[str, Query] = {}
 
@@ -39,7 +39,7 @@ class Base:
     """The frames that queries start from. The timeline and the full features are computed once and written to the shared
     folder, the timeline by split; the rest is lazy."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, min_matches: int = MIN_MATCHES):
+    def __init__(self, spark: SparkSession, sf_dir: str, min_matches: int = REFERENCE_MIN_MATCHES):
         self.spark = spark
         self.min_matches = min_matches
         self.matches = src.derived_matches(spark, sf_dir)
@@ -91,10 +91,9 @@ def picked(columns: list[str]):
 
 
 def simple(name: str, f: Callable[[Base], DataFrame]) -> None:
-    """Registers a query that only needs the base frames; those of WHOLE_SPLIT once more, over the whole split."""
-    named(name, lambda spark, sf_dir: f(Base(spark, sf_dir)))
-    if name in WHOLE_SPLIT:
-        named(f"{name}_whole", lambda spark, sf_dir: f(Base(spark, sf_dir, REFERENCE_MIN_MATCHES)))
+    """Registers a query that only needs the base frames; those of WHOLE_SPLIT keep their second name."""
+    for n in (name, f"{name}_whole") if name in WHOLE_SPLIT else (name,):
+        named(n, lambda spark, sf_dir: f(Base(spark, sf_dir)))
 
 
 PLAYERS = ["match_num", "winner_name", "loser_name"]

@@ -25,7 +25,7 @@ def test_whole_split_keeps_every_match(spark, con):  # noqa: F811
     n = con.execute("SELECT count(*) * 3 // 4 - count(*) // 2 FROM orders").fetchone()[0]
     ids = {r.match_num for r in queries.Base(spark, SF).next.select("match_num").collect()}
     for name in ("p2_side_swap", "o6_holdout", "x_filled_features", "f20_seeded_coin"):
-        rows = [r.match_num for r in queries.queries()[f"{name}_whole"](spark, SF).select("match_num").collect()]
+        rows = [r.match_num for r in queries.queries()[name](spark, SF).select("match_num").collect()]
         assert len(rows) == len(ids) == n and set(rows) == ids
 
 
