@@ -1,8 +1,9 @@
 """Player state over a stream of matches: keyed state for each player, advanced in order of rn.
 
 Rows of a micro-batch are sorted by rn within each player; a row at or below the last one applied is late and dropped.
-Counters and latest values are one value, the last ten results a list, and surfaces, opponents and tournaments maps, of which
-a batch reads and writes only the entries that it touches. The state is bounded by a player's opponents and tournaments.
+A player's state is one typed value, read and written once a batch: counters, latest values, the last ten results, and the
+record on each surface. Opponents and tournaments, of which a player may have very many, have no order: they are tallied by
+a streaming aggregate of their own (streaming_tallies), whose state has an entry for each, so a batch touches only its own.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.state import player_match_events
@@ -19,9 +20,11 @@ from ..schema import STATE_SURFACES
 
 COUNTERS = ["rn", "matches", "wins", "win_streak", "loss_streak", "matches_vs_right", "wins_vs_right", "matches_vs_left", "wins_vs_left"]
 LATEST = {"rank": "double", "ht": "double", "hand": "string", "seed": "string", "age": "double"}
-_VALUE = ", ".join([*(f"{c} long" for c in COUNTERS), *(f"{c} {t}" for c, t in LATEST.items())])
-_ENTRY = "array<struct<name:string,matches:long,wins:long>>"
-OUTPUT = ", ".join(["player string", *(f"{c} long" for c in COUNTERS), *(f"latest_{c} {t}" for c, t in LATEST.items()), "last_5 double", "last_10 double", "preferred_surface string", "surface_last_10 map<string,double>", f"opponents {_ENTRY}", f"tournaments {_ENTRY}"])
+#: What the fold reads of a match.
+ROW = {"rn": "long", "won": "long", "surface": "string", "opp_hand": "string", **LATEST}
+_SURFACES = "array<struct<surface:string,matches:long,wins:long,recent:string>>"
+_VALUE = ", ".join([*(f"{c} long" for c in COUNTERS), *(f"{c} {t}" for c, t in LATEST.items()), "recent string", f"surfaces {_SURFACES}"])
+OUTPUT = ", ".join(["player string", *(f"{c} long" for c in COUNTERS), *(f"latest_{c} {t}" for c, t in LATEST.items()), "last_5 double", "last_10 double", "preferred_surface string", "surface_last_10 map<string,double>"])
 _SIDE = {"R": "right", "L": "left"}
 
 
@@ -29,63 +32,65 @@ def _share(wins: float, matches: float) -> float:
     return wins / matches if matches else 0.0
 
 
+def _rate(results: str) -> float:
+    return _share(results.count("1"), len(results))
+
+
+def _known(row: Row) -> tuple:
+    """A row's columns of ROW, which come after the player."""
+    return tuple(row)[1 : 1 + len(ROW)]
+
+
 class PlayerFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("value", _VALUE)
-        self.recent = handle.getListState("recent", "won long")
-        self.surfaces = handle.getMapState("surfaces", "surface string", "matches long, wins long, recent string")
-        self.opponents = handle.getMapState("opponents", "name string", "matches long, wins long")
-        self.tournaments = handle.getMapState("tournaments", "name string", "matches long, wins long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        yield self.applied(key, self.value.get(), sorted(map(_known, rows), key=lambda r: r[0]))
+
+    def applied(self, key: Any, old: tuple | None, rows: list[tuple]) -> Row:
+        """The state after the rows, which are in order; those that it has seen are passed over. old: the state before."""
         names = [*COUNTERS, *LATEST]
-        s = dict(zip(names, self.value.get(), strict=True)) if self.value.exists() else {**dict.fromkeys(COUNTERS, 0), "rn": -1, **dict.fromkeys(LATEST)}
-        batch = pd.concat(list(rows)).sort_values("rn")
-        batch = batch[batch["rn"] > s["rn"]]
-        recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
-        surfaces = {k[0]: list(v) for k, v in self.surfaces.iterator()}
-        for r in batch.itertuples():
-            won = int(r.won)
-            s["rn"] = int(r.rn)
+        s = dict(zip(names, old, strict=False)) if old else {**dict.fromkeys(COUNTERS, 0), "rn": -1, **dict.fromkeys(LATEST)}
+        recent, surfaces = (old[-2], {k: list(v) for k, *v in old[-1]}) if old else ("", {})
+        seen = s["rn"]
+        for rn, won, surface, opp_hand, *attributes in rows:
+            if rn <= s["rn"]:
+                continue
+            s["rn"] = rn
             s["matches"] += 1
             s["wins"] += won
             s["win_streak"], s["loss_streak"] = (s["win_streak"] + 1, 0) if won else (0, s["loss_streak"] + 1)
-            if side := _SIDE.get(r.opp_hand):
+            if side := _SIDE.get(opp_hand):
                 s[f"matches_vs_{side}"] += 1
                 s[f"wins_vs_{side}"] += won
-            recent = [*recent[-9:], won]
-            at = surfaces.setdefault(r.surface, [0, 0, ""])
+            recent = f"{recent[-9:]}{won}"
+            at = surfaces.setdefault(surface, [0, 0, ""])
             at[:] = [at[0] + 1, at[1] + won, f"{at[2][-9:]}{won}"]
-            for c in LATEST:
-                x = getattr(r, c)
-                s[c] = None if pd.isna(x) else x
-        touched = [self._tallied(state, batch, c) for state, c in ((self.opponents, "opponent"), (self.tournaments, "tourney_id"))]
-        if len(batch):
-            self.value.update(tuple(s[c] for c in names))
-            self.recent.put([(x,) for x in recent])
-            for surface in set(batch["surface"]):
-                self.surfaces.updateValue((surface,), tuple(surfaces[surface]))
+            s.update(zip(LATEST, attributes, strict=True))
+        if s["rn"] > seen:
+            self.value.update((*(s[c] for c in names), recent, [(k, *v) for k, v in surfaces.items()]))
         best = max(STATE_SURFACES, key=lambda k: (_share(surfaces[k][1], surfaces[k][0]) if k in surfaces else 0.0, -STATE_SURFACES.index(k)))
-        rate = lambda x: _share(sum(map(int, x)), len(x))
-        yield pd.DataFrame([{"player": key[0], **{c: s[c] for c in COUNTERS}, **{f"latest_{c}": s[c] for c in LATEST}, "last_5": rate(recent[-5:]), "last_10": rate(recent), "preferred_surface": best, "surface_last_10": {k: rate(v[2]) for k, v in surfaces.items()}, "opponents": touched[0], "tournaments": touched[1]}])
-
-    @staticmethod
-    def _tallied(state: Any, batch: pd.DataFrame, column: str) -> list[dict[str, Any]]:
-        """Adds a batch's matches and wins by the column to a map; the entries that changed."""
-        out = []
-        for name, won in batch.groupby(column)["won"].agg(["size", "sum"]).iterrows():
-            old = state.getValue((name,)) if state.containsKey((name,)) else (0, 0)
-            new = (int(old[0] + won["size"]), int(old[1] + won["sum"]))
-            state.updateValue((name,), new)
-            out.append({"name": name, "matches": new[0], "wins": new[1]})
-        return out
+        return Row(player=key[0], **{c: s[c] for c in COUNTERS}, **{f"latest_{c}": s[c] for c in LATEST}, last_5=_rate(recent[-5:]), last_10=_rate(recent), preferred_surface=best, surface_last_10={k: _rate(v[2]) for k, v in surfaces.items()})
 
     def close(self) -> None:
         pass
 
 
 def streaming_state(matches: DataFrame) -> DataFrame:
-    """matches: a streaming frame with rn. Emits each touched player's state after every micro-batch (update mode), with the
-    opponents and tournaments that the batch touched. Needs the RocksDB state store (see run.STATE_STORE)."""
-    events = player_match_events(matches).select("player", "rn", "won", "surface", "opp_hand", "opponent", "tourney_id", *LATEST)
-    return events.groupBy("player").transformWithStateInPandas(PlayerFold(), OUTPUT, "update", "none")
+    """matches: a streaming frame with rn. Emits each touched player's state after every micro-batch (update mode). Needs the
+    RocksDB state store (see run.STATE_STORE)."""
+    events = player_match_events(matches).select("player", *ROW)
+    return events.groupBy("player").transformWithState(PlayerFold(), OUTPUT, "update", "none")
+
+
+def streaming_tallies(matches: DataFrame, delay: str | None = None) -> DataFrame:
+    """matches: a streaming frame with rn. Emits after every micro-batch, for what it touched, a player's matches and wins so
+    far against each opponent and at each tournament (update mode): player, of (opponents or tournaments), name, matches, wins.
+    The order doesn't matter, so late matches count. delay: a match that arrives again within so long counts once, and later
+    ones than that are dropped; without it every row counts."""
+    events = player_match_events(matches)
+    if delay:
+        events = events.withColumn("at", F.col("tourney_date").cast("timestamp")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["player", "rn"])
+    names = F.inline(F.array(*(F.struct(F.lit(of).alias("of"), F.col(c).alias("name")) for of, c in (("opponents", "opponent"), ("tournaments", "tourney_id")))))
+    return events.select("player", "won", names).groupBy("player", "of", "name").agg(F.count(F.lit(1)).alias("matches"), F.sum("won").cast("long").alias("wins"))

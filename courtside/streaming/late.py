@@ -1,24 +1,24 @@
 """The streaming fold where matches arrive late, out of order and more than once.
 
-A player's matches wait in keyed state until the watermark has passed their date; event-time timers wake the player then, and
-what has waited is applied in order of rn. A match that arrives again is known by its rn, whether it still waits or was
-applied. Matches later than the watermark allows are dropped by Spark. A player who was idle for longer than `idle_days` of
-event time may be forgotten, which bounds the state; by default nobody is."""
+A player's matches wait in keyed state until the watermark has passed their date; one event-time timer wakes the player at the
+first of these dates, and what the watermark has passed is applied in order of rn. A match that arrives again is known by its
+rn, whether it still waits or was applied. What waits is one list, read once a call and bounded by the delay. Matches later
+than the watermark allows are dropped by Spark. A player who was idle for longer than `idle_days` of event time may be
+forgotten, which bounds the state; by default nobody is."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..operators.state import player_match_events
-from .fold import LATEST, OUTPUT, PlayerFold
+from .fold import OUTPUT, ROW, PlayerFold
 
-_ROW = {"won": "long", "surface": "string", "opp_hand": "string", "opponent": "string", "tourney_id": "string", **LATEST, "ms": "long"}
+_WAITS = {**ROW, "ms": "long"}
 DAY_MS = 86_400_000
 
 
@@ -29,45 +29,49 @@ class LateFold(PlayerFold):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "rn long", ", ".join(f"{c} {t}" for c, t in _ROW.items()))
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {t}" for c, t in _WAITS.items()))
         self.played = handle.getValueState("played", "ms long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        applied, times = self.value.get()[0] if self.value.exists() else -1, set()
-        for r in pd.concat(list(rows)).itertuples():
-            if r.rn > applied and not self.waiting.containsKey((int(r.rn),)):
-                values = [getattr(r, c) for c in _ROW]
-                self.waiting.updateValue((int(r.rn),), tuple(None if pd.isna(x) else int(x) if t == "long" else x for x, t in zip(values, _ROW.values(), strict=True)))
-                times |= {int(r.ms), int(r.ms) + self.idle_ms + 1} if self.idle_ms is not None else {int(r.ms)}
-        for ms in times:
-            self.handle.registerTimer(ms)
-        yield from self._advance(key, timerValues)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), [tuple(r)[1 : 1 + len(_WAITS)] for r in rows])
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues)
-        self._forget_if_idle(timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        yield from self._advance(key, now, [])
+        self._forget_if_idle(now)
 
     def _forget_if_idle(self, now: int) -> None:
-        if self.idle_ms is not None and self.played.exists() and now - self.played.get()[0] > self.idle_ms:
-            for state in (self.value, self.recent, self.surfaces, self.opponents, self.tournaments, self.played):
-                state.clear()
+        if self.idle_ms is not None and (played := self.played.get()) and now - played[0] > self.idle_ms:
+            self.value.clear()
+            self.played.clear()
 
-    def _advance(self, key: Any, timerValues: Any) -> Iterator[pd.DataFrame]:
-        """Applies what the watermark has passed, in runs between pauses that forget."""
-        now = timerValues.getCurrentWatermarkInMs()
-        ready = sorted(((k[0], *v) for k, v in self.waiting.iterator() if v[-1] <= now), key=lambda r: r[0])
+    def _advance(self, key: Any, now: int, new: list[tuple]) -> Iterator[Row]:
+        """Applies what the watermark has passed of what waits and of new rows, in runs between pauses that forget."""
+        waits = {r[0]: tuple(r) for r in self.waiting.get()}
+        if new:
+            old = self.value.get()
+            applied = old[0] if old else -1
+            new = list({r[0]: r for r in reversed(new) if r[0] > applied and r[0] not in waits}.values())
+        both = [*waits.values(), *new]
+        ready, later = sorted(r for r in both if r[-1] <= now), [r for r in both if r[-1] > now]
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        elif new:
+            self.waiting.appendList(new)
+        if later and (ready or new):
+            self.handle.registerTimer(min(r[-1] for r in later))
         while ready:
             self._forget_if_idle(ready[0][-1])
             n = next((i for i in range(1, len(ready)) if self.idle_ms is not None and ready[i][-1] - ready[i - 1][-1] > self.idle_ms), len(ready))
-            for r in ready[:n]:
-                self.waiting.removeKey((r[0],))
-            self.played.update((ready[n - 1][-1],))
-            yield from super().handleInputRows(key, iter([pd.DataFrame(ready[:n], columns=["rn", *_ROW])]), timerValues)
+            yield self.applied(key, self.value.get(), [r[:-1] for r in ready[:n]])
+            if self.idle_ms is not None:
+                self.played.update((ready[n - 1][-1],))
+                self.handle.registerTimer(ready[n - 1][-1] + self.idle_ms + 1)
             ready = ready[n:]
 
 
 def late_streaming_state(matches: DataFrame, delay: str = "100 days", idle_days: int | None = None) -> DataFrame:
     """As fold.streaming_state, for a stream whose matches come in any order within `delay` of the newest date, or again."""
     events = player_match_events(matches).withColumn("at", F.col("tourney_date").cast("timestamp")).withWatermark("at", delay)
-    events = events.select("player", "rn", "won", "surface", "opp_hand", "opponent", "tourney_id", *LATEST, F.unix_millis("at").alias("ms"), "at")
-    return events.groupBy("player").transformWithStateInPandas(LateFold(idle_days), OUTPUT, "update", "eventtime")
+    events = events.select("player", *ROW, F.unix_millis("at").alias("ms"), "at")
+    return events.groupBy("player").transformWithState(LateFold(idle_days), OUTPUT, "update", "eventtime")
