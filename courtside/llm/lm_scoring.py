@@ -39,7 +39,9 @@ from .ctw import Levels, grams, log_kt
 from .hashed import Table
 from .words import LOWER, NOT_SPACE, mixed, word_bounds, word_hashes
 
-DEPTH, CHUNK_BYTES, PARTITIONS, UNIT, SLICE = 5, 16 << 20, 20_000, 200_000, 2 << 20
+DEPTH, CHUNK_BYTES, PARTITIONS, UNIT, SLICE = 5, 16 << 20, 20_000, 200_000, 512 << 10
+#: Counts that a worker holds unmerged; a slice's arrays and these are most of its memory.
+UNMERGED = 1_500_000
 _TOP = 3
 #: Stands for the end among hashes of words.
 _END = np.uint64(0x9E3779B97F4A7C15)
@@ -93,11 +95,19 @@ class _Counts:
         names[-1] = b""
         self.words.append((np.append(hash_, _END), np.append(n, train.sum()), names))
         self.held += len(cut) + len(at)
-        if self.held > 4_000_000:
+        if self.held > UNMERGED:
             self.merge()
 
     def merge(self) -> None:
-        key, n, _ = _summed(*(np.concatenate(x) for x in zip(*self.grams, strict=True)))
+        key, n = (np.concatenate(x) for x in zip(*self.grams, strict=True))
+        self.grams = []  # each array goes before the next one comes
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        n = n[order]
+        del order
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        if len(cut) < len(key):
+            key, n = key[cut], np.add.reduceat(n, cut)
         self.grams = [(key, n)]
         hash_, sums, names = (np.concatenate(x) for x in zip(*self.words, strict=True))
         hash_, sums, at = _summed(hash_, sums)
