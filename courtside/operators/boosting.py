@@ -43,13 +43,17 @@ class Tree:
     value: np.ndarray
 
     def route(self, bins: np.ndarray) -> np.ndarray:
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while len(rows):
-            at = node[rows]
-            rows = rows[self.left[at] >= 0]
-            at = node[rows]
-            b = bins[rows, self.feature[at]]
-            node[rows] = np.where(np.where(b == 0, self.missing_left[at], b <= self.bin[at]), self.left[at], self.right[at])
+        """The leaf of each row. All rows take as many steps as the tree has levels; at a leaf they stay."""
+        inner, here = self.left >= 0, np.arange(len(self.left))
+        children = np.stack([np.where(inner, self.left, here), np.where(inner, self.right, here)], 1).ravel()
+        least = np.where(self.missing_left, 0, 1).astype(np.uint16)  # bins from here to `bin` go left; a 0 below it wraps
+        span = self.bin.astype(np.uint16) - least
+        flat, start = np.ascontiguousarray(bins, np.uint16).ravel(), np.arange(len(bins)) * bins.shape[1]
+        node, level = np.zeros(len(bins), np.int64), np.zeros(1, np.int64)
+        while len(level := level[inner[level]]):
+            beyond = flat[start + self.feature[node]] - least[node] > span[node]
+            node = children[2 * node + beyond]
+            level = np.concatenate([self.left[level], self.right[level]])
         return node
 
 
@@ -67,6 +71,10 @@ class Binning:
         return out
 
 
+    def only(self, i: int) -> Binning:
+        return Binning([self.features[i]], [self.upper[i]])
+
+
 @dataclass
 class Boosted:
     """Models by the values of a segment column."""
@@ -80,8 +88,23 @@ class Boosted:
     def probability(self, key: Column, features: dict[str, Column] | None = None) -> Column:
         """P(label 1) of a row with the binning's features, or with other values of theirs. A key that has no model is an
         error."""
-        model = F.coalesce(*(F.when(key == F.lit(k), F.lit(i)) for i, k in enumerate(self.keys)), F.raise_error(F.concat(F.lit("no model for "), F.coalesce(key.cast("string"), F.lit("null")))).cast("int"))
-        return self._udf()(model, *((features[c] if features else F.col(c)).cast("double") for c in self.binning.features))
+        return self._udf()(self._model(key), *((features[c] if features else F.col(c)).cast("double") for c in self.binning.features))
+
+    def probabilities(self, key: Column, others: dict[str, Column]) -> Column:
+        """An array: probability() of a row, then with each of the other values in place of its own one at a time. Only
+        trees that ask for a feature are walked again, and only by rows that it puts into another bin."""
+        features, binning, base, trees = self.binning.features, self.binning, self.base, self.trees
+        at = [features.index(c) for c in others]
+
+        @F.pandas_udf("array<double>")
+        def each(model: pd.Series, *columns: pd.Series) -> pd.Series:
+            own, other = ([c.to_numpy(float) for c in part] for part in (columns[: len(features)], columns[len(features) :]))
+            return pd.Series(list(scored_with(model.to_numpy(), binning.bins(own), at, [binning.only(i).bins([x])[:, 0] for i, x in zip(at, other, strict=True)], base, trees)))
+
+        return each(self._model(key), *(F.col(c).cast("double") for c in features), *(x.cast("double") for x in others.values()))
+
+    def _model(self, key: Column) -> Column:
+        return F.coalesce(*(F.when(key == F.lit(k), F.lit(i)) for i, k in enumerate(self.keys)), F.raise_error(F.concat(F.lit("no model for "), F.coalesce(key.cast("string"), F.lit("null")))).cast("int"))
 
     def _udf(self):
         binning, base, trees = self.binning, self.base, self.trees
@@ -102,6 +125,25 @@ def scored(model: np.ndarray, bins: np.ndarray, base: np.ndarray, trees: list[li
     return sigmoid(_raised(base[model].astype(float), model, bins, trees))
 
 
+def scored_with(model: np.ndarray, bins: np.ndarray, at: list[int], others: list[np.ndarray], base: np.ndarray, trees: list[list[Tree]]) -> np.ndarray:
+    """A row's probability, then with the bins of each of `others` in place of feature at[i]; sums as in scored()."""
+    out = np.empty((len(model), 1 + len(at)))
+    for m, own in enumerate(trees):
+        rows = np.flatnonzero(model == m)
+        here = bins[rows]
+        values = [tree.value[tree.route(here)] for tree in own]
+        out[rows] = sum(values, np.full(len(rows), float(base[m])))[:, None]
+        for k, (f, other) in enumerate(zip(at, others, strict=True)):
+            moved = np.flatnonzero(other[rows] != here[:, f])
+            changed = here[moved]
+            changed[:, f] = other[rows[moved]]
+            score = np.full(len(moved), float(base[m]))
+            for tree, value in zip(own, values, strict=True):
+                score += tree.value[tree.route(changed)] if (tree.feature[tree.left >= 0] == f).any() else value[moved]
+            out[rows[moved], k + 1] = score
+    return sigmoid(out)
+
+
 def _raised(score: np.ndarray, model: np.ndarray, bins: np.ndarray, trees: list[list[Tree]]) -> np.ndarray:
     for m, own in enumerate(trees):
         rows = np.flatnonzero(model == m)
@@ -115,14 +157,15 @@ def binned(df: DataFrame, features: list[str], most: int = 255) -> Binning:
     as missing."""
     x = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"f{i}") for i, c in enumerate(features)))
     shares = [i / most for i in range(1, most)]
-    known = x.agg(*(F.approx_count_distinct(f"f{i}", 0.02).alias(f"n{i}") for i in range(len(features))), *(F.percentile_approx(f"f{i}", shares, 20 * most).alias(f"q{i}") for i in range(len(features)))).first()
-    few = [i for i in range(len(features)) if known[f"n{i}"] <= 1.2 * most]
+    # A sketch is one value of a task's buffer; approx_count_distinct keeps hundreds of columns a feature, which each row passes.
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), 12))
+    known = x.agg(*(sketch(f"f{i}").alias(f"n{i}") for i in range(len(features)))).first()
+    few = [i for i in range(len(features)) if (known[f"n{i}"] or 0) <= 1.2 * most]
     sets = x.agg(*(F.collect_set(f"f{i}").alias(f"s{i}") for i in few)).first() if few else None  # about 1.2 times `most` values at most
-    upper = []
-    for i in range(len(features)):
-        values = np.array(sorted(sets[f"s{i}"])) if i in few else None
-        upper.append((values[1:] + values[:-1]) / 2 if values is not None and len(values) <= most else np.unique(np.array(known[f"q{i}"] or [], float)))
-    return Binning(features, upper)
+    values = {i: np.array(sorted(sets[f"s{i}"])) for i in few}
+    many = [i for i in range(len(features)) if i not in values or len(values[i]) > most]  # only these pay for quantiles
+    cuts = x.agg(*(F.percentile_approx(f"f{i}", shares, 20 * most).alias(f"q{i}") for i in many)).first() if many else None
+    return Binning(features, [np.unique(np.array(cuts[f"q{i}"] or [], float)) if i in many else (values[i][1:] + values[i][:-1]) / 2 for i in range(len(features))])
 
 
 def _prepared(binning: Binning, base: np.ndarray):
@@ -130,13 +173,34 @@ def _prepared(binning: Binning, base: np.ndarray):
         for batch in batches:
             bins = binning.bins([np.asarray(batch.column(f"f{i}").to_numpy(zero_copy_only=False), float) for i in range(len(binning.features))])
             model = batch.column("model").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column("label"), pa.array([r.tobytes() for r in bins], pa.binary()), pa.array(base[model].astype(float))], names=["model", "label", "bins", "score"])
+            ends = np.arange(len(bins) + 1, dtype=np.int32) * np.int32(2 * bins.shape[1])
+            packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(bins)])
+            yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column("label"), packed, pa.array(base[model].astype(float))], names=["model", "label", "bins", "score"])
 
     return run
 
 
 def _matrix(batch: pa.RecordBatch, n_features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint16).reshape(batch.num_rows, n_features)
+    """The rows' bins, where Arrow has them: all rows have as many bytes, one after the other."""
+    column = batch.column("bins").cast(pa.large_binary())
+    if not len(column):
+        return np.zeros((0, n_features), np.uint16)
+    _, ends, data = column.buffers()
+    first = np.frombuffer(ends, np.int64)[column.offset]
+    return np.frombuffer(data, np.uint16, len(column) * n_features, first).reshape(len(column), n_features)
+
+
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, of about `rows`, since each costs as much as its histograms have cells."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
 
 def _rescored(trees: list[list[Tree]], n_features: int):
@@ -158,13 +222,13 @@ def _histograms(pending: list[list[Tree]], growing: list[Tree], wanted: list[lis
     """Sums of a task's rows by (model, node, feature, bin), of the wanted nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, n_features = max(widths), len(widths)
+        n_features = len(widths)
         place = [np.full(len(t.left), -1) for t in growing]
         first = np.cumsum([0, *map(len, wanted)])
         for m, nodes in enumerate(wanted):
             place[m][nodes] = first[m] + np.arange(len(nodes))
-        sums = np.zeros((3, n_features, first[-1] * width), np.int64)
-        for batch in batches:
+        sums = [np.zeros((3, first[-1] * width), np.int64) for width in widths]
+        for batch in _larger(batches):
             bins, model, label = _matrix(batch, n_features), batch.column("model").to_numpy(), batch.column("label").to_numpy()
             score = _raised(batch.column("score").to_numpy().copy(), model, bins, pending)
             node = np.full(len(model), -1)
@@ -173,16 +237,18 @@ def _histograms(pending: list[list[Tree]], growing: list[Tree], wanted: list[lis
                     rows = np.flatnonzero(model == m)
                     node[rows] = place[m][tree.route(bins[rows])]
             rows = np.flatnonzero(node >= 0)
-            g, h = gradients(label[rows], score[rows])
-            for f in range(n_features):
-                cell = node[rows] * width + bins[rows, f]
-                for s, weight in zip(sums[:, f], (g, h, None), strict=True):
-                    s += np.rint(np.bincount(cell, weight, len(s))).astype(np.int64)  # below 2^53 in a batch, so exact
-        f, cell = np.nonzero(sums[2])
-        model = np.searchsorted(first, cell // width, "right") - 1
-        nodes = np.array([n for own in wanted for n in own], np.int64)
-        columns = [model, nodes[cell // width] if len(cell) else cell, f, cell % width]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), *(pa.array(s[f, cell]) for s in sums)], names=["model", "node", "feature", "bin", "g", "h", "n"])
+            g, h = (x.astype(float) for x in gradients(label[rows], score[rows]))
+            node = node[rows]
+            for own, width, column in zip(sums, widths, bins[rows].T, strict=True):
+                cell = node * width + column
+                for s, weight in zip(own, (g, h, None), strict=True):
+                    s += np.bincount(cell, weight, len(s)).astype(np.int64)  # whole numbers below 2^53 in a batch, so exact
+        nodes = [(m, n) for m, own in enumerate(wanted) for n in own]
+        model, node = (np.array([x[k] for x in nodes], np.int64) for k in (0, 1))
+        for f, (own, width) in enumerate(zip(sums, widths, strict=True)):
+            cell = np.flatnonzero(own[2])
+            columns = [model[cell // width], node[cell // width], np.full(len(cell), f), cell % width]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), *(pa.array(s[cell]) for s in own)], names=["model", "node", "feature", "bin", "g", "h", "n"])
 
     return run
 
