@@ -73,26 +73,34 @@ def levels(counts: DataFrame) -> int:
     return reached.where("n > 1").agg(F.max("size")).first()[0] or 0
 
 
-def _backed(t: DataFrame, node: list[Column], branch: Column, tail: Column, alike: float) -> DataFrame:
-    """(at, s, inherited) for branches s of nodes `at` that have no labelled url, but labelled siblings that they resemble."""
+def _backed(t: DataFrame, node: list[Column], branch: Column, tail: Column, alike: float) -> DataFrame | None:
+    """(at, s, inherited) for branches s of nodes `at` that have no labelled url, but labelled siblings that they resemble;
+    None if labels tell nothing at this level. What several steps read is written, or each of them would plan it anew, and
+    plans that repeat each other's parts fill the driver."""
     x = t.select(F.struct(*node).alias("at"), branch.alias("s"), tail.alias("tail"), "urls", "labelled", "blocked")
-    branches = x.groupBy("at", "s").agg(*(F.sum(c).alias(c) for c in ("urls", "labelled", "blocked")))
+    branches = settle(x.groupBy("at", "s").agg(*(F.sum(c).alias(c) for c in ("urls", "labelled", "blocked"))))
     share = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled"))
     nodes = branches.groupBy("at").agg(F.count(share).alias("m"), F.avg(share).alias("mean"), F.coalesce(F.var_pop(share), F.lit(0.0)).alias("spread"), F.count(F.lit(1)).alias("all")).where("m > 0")
     # Of the level: the mean of nodes, how much branches vary within nodes, and how much nodes vary beyond that.
     of_level = nodes.agg(F.avg("mean").alias("mu"), F.sum(F.col("m") * F.col("spread")).alias("w"), F.sum(F.col("m") - 1).alias("free"), F.coalesce(F.var_pop("mean"), F.lit(0.0)).alias("v"), F.avg(1 / F.col("m")).alias("r"))
     within = F.try_divide("w", "free")
-    of_level = of_level.where("free > 0").select("mu", within.alias("within"), F.greatest(F.lit(0.0), F.col("v") - within * F.col("r")).alias("between"))
-    some = nodes.where("m < all").crossJoin(F.broadcast(of_level))
-    weight = F.coalesce(F.try_divide(F.col("between"), F.col("between") + F.col("within") / F.col("m")), F.lit(0.0))
-    some = some.select("at", (F.col("mu") + weight * (F.col("mean") - F.col("mu"))).alias("inherited"))
+    of_level = of_level.where("free > 0").select("mu", within.alias("within"), F.greatest(F.lit(0.0), F.col("v") - within * F.col("r")).alias("between")).first()
+    if of_level is None:
+        unsettle(branches)
+        return None
+    mu, within, between = (F.lit(of_level[c]) for c in ("mu", "within", "between"))
+    weight = F.coalesce(F.try_divide(between, between + within / F.col("m")), F.lit(0.0))
+    some = settle(nodes.where("m < all").select("at", (mu + weight * (F.col("mean") - mu)).alias("inherited")))
     # The overlap of an unlabelled branch's tails with those of its labelled siblings together.
-    marked = x.join(some.select("at"), "at", "left_semi").join(branches.select("at", "s", (F.col("labelled") > 0).alias("known")), ["at", "s"])
+    marked = settle(x.join(some.select("at"), "at", "left_semi").join(branches.select("at", "s", (F.col("labelled") > 0).alias("known")), ["at", "s"]))
     known = marked.where("known").groupBy("at", "tail").agg(F.sum("urls").alias("n"))
     known = known.join(known.groupBy("at").agg(F.sum("n").alias("of")), "at").select("at", "tail", (F.col("n") / F.col("of")).alias("q"))
     own = marked.where("not known").groupBy("at", "s", "tail").agg(F.sum("urls").alias("n")).join(branches.select("at", "s", F.col("urls").alias("of")), ["at", "s"])
     overlap = own.join(known, ["at", "tail"]).groupBy("at", "s").agg(F.sum(F.least(F.col("n") / F.col("of"), F.col("q"))).alias("overlap")).where(F.col("overlap") >= alike)
-    return overlap.join(some, "at").select("at", "s", "inherited")
+    back = settle(overlap.join(some, "at").select("at", "s", "inherited"))
+    for done in (branches, some, marked):
+        unsettle(done)
+    return back
 
 
 def templates(counts: DataFrame, depth: int, support: int = SUPPORT, variable: float = VARIABLE, z: float = Z, alike: float = ALIKE) -> DataFrame:
@@ -117,12 +125,13 @@ def templates(counts: DataFrame, depth: int, support: int = SUPPORT, variable: f
         error = F.sqrt(share * (1 - share) * (1 / F.col("n") + 1 / (F.col("nn") - F.col("n"))))
         same = both.where(gap <= z * error).select("host", "above", "s", F.lit(True).alias("same"))
         back = _backed(t.where(F.size("template") > k), [F.col("host"), F.slice("template", 1, k).alias("above")], F.get("template", F.lit(k)), F.slice("template", k + 2, 1 << 20), alike)
-        t = t.withColumns({"above": F.slice("template", 1, k), "s": F.get("template", F.lit(k))}).join(same, ["host", "above", "s"], "left").join(back.select("at.host", "at.above", "s", F.col("inherited").alias("back")), ["host", "above", "s"], "left")
+        t = t.withColumns({"above": F.slice("template", 1, k), "s": F.get("template", F.lit(k))}).join(same, ["host", "above", "s"], "left")
+        t = t.join(back.select("at.host", "at.above", "s", F.col("inherited").alias("back")), ["host", "above", "s"], "left") if back is not None else t.withColumn("back", F.lit(None).cast("double"))
         t = t.withColumn("template", F.when(F.col("same") & literal(k), _with(F.col("template"), k, "{m}")).otherwise(F.col("template"))).withColumn("inherited", F.coalesce("back", "inherited")).drop("above", "s", "same", "back")
         t = _next(t)
     domain = F.regexp_extract("host", r"\.(.*)", 1)
     back = _backed(t.where(domain != ""), [domain.alias("domain")], F.col("host"), F.col("shape"), alike)
-    return t.join(back.select(F.col("s").alias("host"), F.col("inherited").alias("back")), "host", "left").withColumn("inherited", F.coalesce("inherited", "back")).drop("back")
+    return t.join(back.select(F.col("s").alias("host"), F.col("inherited").alias("back")), "host", "left").withColumn("inherited", F.coalesce("inherited", "back")).drop("back") if back is not None else t
 
 
 def _next(t: DataFrame) -> DataFrame:
