@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, hashed_sample, slices, table
+from .common import crc_mod, hashed_sample, slices, small_batches, table
 
 BUCKETS, SAMPLE, EPOCHS = 1 << 15, 1000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-3
+SLICE = 128 << 10  # bytes of text that a worker holds as arrays at a time, at some 100 bytes a character
 
 
 @cache
@@ -94,7 +95,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's texts: in how many each bucket occurs."""
     df = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", SLICE):
         texts = batch.column("text").to_pylist()
         for i in range(0, len(texts), 256):
             part = texts[i : i + 256]
@@ -108,7 +109,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's buckets and their shares."""
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", SLICE):
         bucket, off, _ = features(batch.column("text").to_pylist())
         out = []
         for a, b in zip(off[:-1], off[1:], strict=True):
@@ -159,10 +160,14 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     df = np.zeros(BUCKETS)
-    seen = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()  # one row a bucket
+    seen = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    with small_batches(docs.sparkSession):
+        seen = seen.toArrow()  # one row a bucket
     df[seen.column("bucket").to_numpy()] = seen.column("df").to_numpy()
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
-    chosen = hashed_sample(rows, "lang", ["id", "text"], sample, counts).select("lang", "order", "text").mapInArrow(_vectors, "lang string, order long, bucket array<int>, share array<float>").toArrow().combine_chunks()
+    chosen = hashed_sample(rows, "lang", ["id", "text"], sample, counts).select("lang", "order", "text").mapInArrow(_vectors, "lang string, order long, bucket array<int>, share array<float>")
+    with small_batches(docs.sparkSession):
+        chosen = chosen.toArrow().combine_chunks()
     place = {lang: i for i, lang in enumerate(languages)}
     label, turn = np.array([place[x] for x in chosen.column("lang").to_pylist()], np.int64), chosen.column("order").to_numpy()
     lists = [chosen.column(c).combine_chunks() for c in ("bucket", "share")]
@@ -186,7 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, SLICE):
             best, p = shared.value.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(p, pa.float64())], names=[*names, lang, score])
 

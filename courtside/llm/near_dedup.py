@@ -37,7 +37,7 @@ from .words import NOT_SPACE, gram_hashes, mixed, whole, word_bounds, word_hashe
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 40, 4
 PER_SALT, BLOCK = 2000, 1000
-SLICE = 512 << 10  # bytes of text that a worker holds as arrays at a time
+SLICE = 256 << 10  # bytes of text that a worker holds as arrays at a time
 #: Longs of sketch bits, 32 coordinates each: of every class, and of those that meet across components; with how many
 #: places may differ.
 LONGS, MISMATCHES = 5, 56
