@@ -1,6 +1,6 @@
 """Operator 11, source divergence audit: how far the word use of a language's sources lies apart.
 
-Method, by term-block dense matrices. One scan counts terms in each task and sends (lang, source, term) with its
+Method, by term-block dense matrices. One scan counts terms of HELD bytes of text together, as arrays, and sends (lang, source, term) with its
 occurrences and documents. Terms that enough documents of a language hold are dealt out to blocks of about BLOCK terms, and
 a language's sources to tiles of about TILE. A task gets one block of two tiles as dense int64 matrices, source by term,
 absent terms included. It compares all pairs of sources of the tiles by broadcasting, and each source with its language.
@@ -19,7 +19,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, slices, table, unsettle
+from .common import settle, slices, string_bytes, table, unsettle
 
 LEAST_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 BLOCK, TILE = 256, 128
-#: Entries and bytes of text after which a task sends what it has counted, and bytes of a text that it splits at a time.
-ENTRIES, HELD, PART = 200_000, 64 << 20, 1 << 20
+#: Rows sent at a time, bytes of text that are counted together, and bytes of a text that are split at a time.
+ENTRIES, HELD, PART = 20_000, 16 << 20, 1 << 20
 _STEPS = (31_250, UNIT // 31_250)
 #: ASCII that isn't a letter becomes a blank, A-Z becomes a-z, all else stays.
 _FOLDED = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+_TO = np.frombuffer(_FOLDED, np.uint8)
 
 
 def terms_of(text: bytes) -> Iterator[list[bytes]]:
@@ -49,34 +50,85 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of what a task has read; a row without a term for each group."""
-    found, docs = defaultdict(Counter), defaultdict(Counter)
-    held = entries = 0
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in found.items():
-            each = docs[lang, source]
-            names, n = [None, *counts], [0, *counts.values()]
-            columns = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array([0, *(each[t] for t in counts)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
-        found.clear()
-        docs.clear()
+def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The terms of texts that lie together: the text that each is of, and the terms."""
+    folded = _TO[raw]
+    inside = folded != 0x20
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    starts[firsts] = inside[firsts]  # a text's end ends its last term
+    at = np.flatnonzero(starts)
+    before = np.cumsum(inside, dtype=np.int32)  # the bytes of terms up to here
+    data = folded[inside]
+    ends = np.append(before[at] - 1, len(data)).astype(np.int32)
+    return np.searchsorted(offsets, at, "right") - 1, pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, how often each occurs, and the sum of its n (as often, if not given)."""
+    order = np.argsort(keys, kind="stable") if n is not None else None
+    keys = np.sort(keys) if order is None else keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(at, len(keys)))
+    return keys[at], times, times if order is None else np.add.reduceat(n[order], at) if len(at) else times
+
+
+def _sent(groups: list[tuple[str, str]], group: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray, alone: bool) -> pa.RecordBatch:
+    """Rows of (lang, source, term, n, docs); alone: after one without a term for each of the groups."""
+    some = len(groups) if alone else 0
+    group = pa.array(np.append(np.arange(some), group))
+    lang, source = (pa.array([g[i] for g in groups], pa.string()).take(group) for i in (0, 1))
+    terms = pa.concat_arrays([pa.nulls(some, pa.string()), terms.cast(pa.string())])
+    n, docs = (pa.array(np.append(np.zeros(some, np.int64), x)) for x in (n, docs))
+    return pa.RecordBatch.from_arrays([lang, source, terms, n, docs], names=["lang", "source", "term", "n", "docs"])
+
+
+def _together(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What some rows count, each of whose texts is of PART bytes at most."""
+    names = [x for r in rows for x in zip(r.column("lang").to_pylist(), r.column("source").to_pylist(), strict=True)]
+    places: dict[tuple[str, str], int] = {}
+    group = np.array([places.setdefault(x, len(places)) for x in names], np.int64)
+    doc, terms = _tokens(*string_bytes(pa.chunked_array([r.column("text") for r in rows])))
+    coded = terms.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    each, _, n = _summed(doc * size + coded.indices.to_numpy())
+    keys, docs, n = _summed(group[each // size] * size + each % size, n)
+    for start in range(0, max(1, len(keys)), ENTRIES):
+        some = slice(start, start + ENTRIES)
+        yield _sent([*places], keys[some] // size, coded.dictionary.take(pa.array(keys[some] % size)), n[some], docs[some], not start)
+
+
+def _alone(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """What a row with a long text counts."""
+    counts: Counter[bytes] = Counter()
+    group = (row.column("lang")[0].as_py(), row.column("source")[0].as_py())
+    for terms in terms_of(row.column("text")[0].as_py().encode()):
+        counts.update(terms)
+    names, n = [*counts], np.fromiter(counts.values(), np.int64, len(counts))
+    for start in range(0, max(1, len(names)), ENTRIES):
+        some = slice(start, start + ENTRIES)
+        yield _sent([group], np.zeros(len(n[some]), np.int64), pa.array(names[some], pa.binary()), n[some], np.ones(len(n[some]), np.int64), not start)
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of what a task has read, HELD bytes of text at a time; rows without a term for each
+    group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for part in slices([batch], "text"):
-            for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                counts, own = found[lang, source], set()
-                before = len(counts)
-                for terms in terms_of(text):
-                    counts.update(terms)
-                    own.update(terms)
-                docs[lang, source].update(own)
-                held, entries = held + len(text), entries + len(counts) - before
-                if held > HELD or entries > ENTRIES:
-                    yield from sent()
-                    held = entries = 0
-    yield from sent()
+        for part in slices([batch], "text", PART):
+            bytes_ = len(string_bytes(part.column("text"))[0])
+            if held and size + bytes_ > HELD:
+                yield from _together(held)
+                held, size = [], 0
+            if bytes_ > PART:  # one row
+                yield from _alone(part)
+            else:
+                held.append(part)
+                size += bytes_
+    if held:
+        yield from _together(held)
 
 
 def weights(n: np.ndarray, total: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -149,7 +201,8 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     first. Part `term`: up to `top` terms that the source uses more than its language does."""
     named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(k) for k, c in (("lang", lang_col), ("source", source_col), ("text", text_col))))
     counted = named.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    counts = settle(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    dealt = counted.repartition("lang", "source", "term")  # a task's rows hardly repeat a term, so none is looked for before the shuffle
+    counts = settle(dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("lang_n")).where(F.col("in_docs") >= least_docs)
     kept = settle(kept.select("lang", "term", "lang_n"))
     cells = settle(counts.where("term is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))

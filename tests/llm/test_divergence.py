@@ -82,3 +82,32 @@ def test_cut_texts_and_large_counts(monkeypatch):
     assert [t for part in terms_of(b"Ab cde\xc3\xa9f-gh  ijklmnopq r") for t in part] == [b"ab", b"cde\xc3\xa9f", b"gh", b"ijklmnopq", b"r"]
     for n, total, v in ((10**14, 2 * 10**14, 10**6), (0, 0, 1), (5, 5, 1), (123_456_789_012, 987_654_321_098, 77)):
         assert weights(np.array([n]), np.array(total), np.array(v))[0] == 1 + 10**9 * (n + 2) // (total + 2 * v)
+
+
+def test_a_task_counts_texts_together(monkeypatch):
+    """Terms aren't counted one by one, and what a task has counted is sent once, not every few texts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "Counter", None)
+    rows = [{"lang": "e", "source": f"s{i % 2}", "text": f"A{'bcdefghij'[i % 9]} x{'yz'[i % 2]} {chr(97 + i % 26) * (1 + i % 40)}é"} for i in range(6000)]
+    parts = list(divergence._counted(iter(pa.RecordBatch.from_pylist(rows[i : i + 500]) for i in range(0, 6000, 500))))
+    found = [(r["source"], r["term"], r["n"], r["docs"]) for p in parts for r in p.to_pylist()]
+    assert len({x[:2] for x in found}) == len(found) and sum(x[2] for x in found) == 18_000
+    wanted = Counter((r["source"], t) for r in rows for t in r["text"].lower().split())
+    assert {x[:2]: x[2] for x in found if x[1]} == wanted and all(x[2] == x[3] for x in found)
+
+
+@pytest.mark.parametrize("part, held", [(5, 20), (20, 30), (1 << 20, 1 << 30)])
+def test_texts_apart_or_together(spark, monkeypatch, part, held):
+    monkeypatch.setattr(divergence, "PART", part)
+    monkeypatch.setattr(divergence, "HELD", held)
+    rows = [("ab c", "e", "s"), ("d", "e", "s"), ("", "f", "s"), ("ab ab Éé x1y", "e", "t"), ("c" * 40 + " c", "f", "t")]
+    total, docs = Counter(), Counter()
+    import pyarrow as pa
+
+    for p in divergence._counted(iter([pa.RecordBatch.from_pylist([dict(zip(("text", "lang", "source"), r, strict=True)) for r in rows])])):
+        for r in p.to_pylist():
+            total[r["lang"], r["source"], r["term"]] += r["n"]
+            docs[r["lang"], r["source"], r["term"]] += r["docs"]
+    assert total == {("e", "s", None): 0, ("f", "s", None): 0, ("e", "t", None): 0, ("f", "t", None): 0, ("e", "s", "ab"): 1, ("e", "s", "c"): 1, ("e", "s", "d"): 1, ("e", "t", "ab"): 2, ("e", "t", "Éé"): 1, ("e", "t", "x"): 1, ("e", "t", "y"): 1, ("f", "t", "c" * 40): 1, ("f", "t", "c"): 1}
+    assert docs["e", "t", "ab"] == 1 and docs["f", "t", "c"] == 1
