@@ -25,7 +25,9 @@ ROW = {"rn": "long", "won": "long", "surface": "string", "opp_hand": "string", *
 _SURFACES = "array<struct<surface:string,matches:long,wins:long,recent:string>>"
 _VALUE = ", ".join([*(f"{c} long" for c in COUNTERS), *(f"{c} {t}" for c, t in LATEST.items()), "recent string", f"surfaces {_SURFACES}"])
 OUTPUT = ", ".join(["player string", *(f"{c} long" for c in COUNTERS), *(f"latest_{c} {t}" for c, t in LATEST.items()), "last_5 double", "last_10 double", "preferred_surface string", "surface_last_10 map<string,double>"])
-_SIDE = {"R": "right", "L": "left"}
+_SHOWN = Row("player", *COUNTERS, *(f"latest_{c}" for c in LATEST), "last_5", "last_10", "preferred_surface", "surface_last_10")
+#: Where the counters against a hand begin, among those against hands.
+_SIDES = {"R": 0, "L": 2}
 
 
 def _share(wins: float, matches: float) -> float:
@@ -41,37 +43,53 @@ def _known(row: Row) -> tuple:
     return tuple(row)[1 : 1 + len(ROW)]
 
 
+#: The state before the first match.
+_NOTHING = (-1, *[0] * (len(COUNTERS) - 1), *[None] * len(LATEST), "", ())
+
+
+def folded(old: tuple | None, rows: list[tuple]) -> tuple:
+    """The state after the rows of ROW, which are in order; those that it has seen are passed over. old: the state before."""
+    rn, matches, wins, win_streak, loss_streak, *hands = (old or _NOTHING)[: len(COUNTERS)]
+    *latest, recent, surfaces = (old or _NOTHING)[len(COUNTERS) :]
+    by_surface = {k: list(v) for k, *v in surfaces}
+    for row in rows:
+        if row[0] <= rn:
+            continue
+        rn, won, surface, opp_hand, *latest = row
+        matches += 1
+        wins += won
+        win_streak, loss_streak = (win_streak + 1, 0) if won else (0, loss_streak + 1)
+        if opp_hand in _SIDES:
+            side = _SIDES[opp_hand]
+            hands[side] += 1
+            hands[side + 1] += won
+        recent = f"{recent[-9:]}{won}"
+        if (at := by_surface.get(surface)) is None:
+            at = by_surface[surface] = [0, 0, ""]
+        at[0] += 1
+        at[1] += won
+        at[2] = f"{at[2][-9:]}{won}"
+    return rn, matches, wins, win_streak, loss_streak, *hands, *latest, recent, [(k, *v) for k, v in by_surface.items()]
+
+
+def shown(player: str, state: tuple) -> Row:
+    """A state as a row of OUTPUT."""
+    *values, recent, surfaces = state
+    by_surface = {k: v for k, *v in surfaces}
+    best = max(STATE_SURFACES, key=lambda k: (_share(by_surface[k][1], by_surface[k][0]) if k in by_surface else 0.0, -STATE_SURFACES.index(k)))
+    return _SHOWN(player, *values, _rate(recent[-5:]), _rate(recent), best, {k: _rate(v[2]) for k, v in by_surface.items()})
+
+
 class PlayerFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("value", _VALUE)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        yield self.applied(key, self.value.get(), sorted(map(_known, rows), key=lambda r: r[0]))
-
-    def applied(self, key: Any, old: tuple | None, rows: list[tuple]) -> Row:
-        """The state after the rows, which are in order; those that it has seen are passed over. old: the state before."""
-        names = [*COUNTERS, *LATEST]
-        s = dict(zip(names, old, strict=False)) if old else {**dict.fromkeys(COUNTERS, 0), "rn": -1, **dict.fromkeys(LATEST)}
-        recent, surfaces = (old[-2], {k: list(v) for k, *v in old[-1]}) if old else ("", {})
-        seen = s["rn"]
-        for rn, won, surface, opp_hand, *attributes in rows:
-            if rn <= s["rn"]:
-                continue
-            s["rn"] = rn
-            s["matches"] += 1
-            s["wins"] += won
-            s["win_streak"], s["loss_streak"] = (s["win_streak"] + 1, 0) if won else (0, s["loss_streak"] + 1)
-            if side := _SIDE.get(opp_hand):
-                s[f"matches_vs_{side}"] += 1
-                s[f"wins_vs_{side}"] += won
-            recent = f"{recent[-9:]}{won}"
-            at = surfaces.setdefault(surface, [0, 0, ""])
-            at[:] = [at[0] + 1, at[1] + won, f"{at[2][-9:]}{won}"]
-            s.update(zip(LATEST, attributes, strict=True))
-        if s["rn"] > seen:
-            self.value.update((*(s[c] for c in names), recent, [(k, *v) for k, v in surfaces.items()]))
-        best = max(STATE_SURFACES, key=lambda k: (_share(surfaces[k][1], surfaces[k][0]) if k in surfaces else 0.0, -STATE_SURFACES.index(k)))
-        return Row(player=key[0], **{c: s[c] for c in COUNTERS}, **{f"latest_{c}": s[c] for c in LATEST}, last_5=_rate(recent[-5:]), last_10=_rate(recent), preferred_surface=best, surface_last_10={k: _rate(v[2]) for k, v in surfaces.items()})
+        old = self.value.get()
+        new = folded(old, sorted(map(_known, rows), key=lambda r: r[0]))
+        if new[0] > (old or _NOTHING)[0]:
+            self.value.update(new)
+        yield shown(key[0], new)
 
     def close(self) -> None:
         pass
